@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as fv
 from ..functions.text import let, strip
@@ -34,7 +35,7 @@ def generator(load: ModelLoader, batch_size: int) -> Callable[[Column], Column]:
 
         return predict
 
-    return predict_batch_udf(make_predict, return_type="string", batch_size=batch_size)
+    return predict_batch_udf(make_predict, return_type=StringType(), batch_size=batch_size)
 
 
 def batch_generate(df: DataFrame, load: ModelLoader, batch_size: int = 32, text: str = "input_text",
