@@ -111,12 +111,42 @@ def summary_lcs_hits(reference: list[list[str]], candidate: list[list[str]]) ->
 
 
 def longest_common_run(first: str, second: str) -> int:
-    """Length of the longest common contiguous text.
+    """Length of the longest common contiguous text, in time near-linear in both lengths.
 
-    The best length grows by at most one per end position, so one containment test per character is enough.
+    Windows of length 1, 2, 4 … get ranks, equal windows equal ranks, as long as both texts share one. The length is
+    then refined by the smaller powers of two.
     """
-    best = 0
-    for end in range(1, len(first) + 1):
-        if first[end - best - 1:end] in second:
-            best += 1
-    return best
+    if not first or not second:
+        return 0
+    a, b = code_points(first), code_points(second)
+    split = len(a)
+    text = np.concatenate([a, [0x110000], b]).astype(np.int64)
+
+    def ranked(values: np.ndarray) -> np.ndarray:
+        return np.unique(values, return_inverse=True)[1]
+
+    def shared(ranks: np.ndarray) -> bool:
+        seen = np.zeros(len(text) + 1, dtype=bool)
+        seen[ranks[:split]] = True
+        return bool(seen[ranks[split + 1:]].any())
+
+    def longer(ranks: np.ndarray, length: int, tail: np.ndarray, size: int) -> np.ndarray:
+        """Ranks of the windows that extend `length` by `size`."""
+        count = len(text) - length - size + 1
+        return ranked(ranks[:count] * (len(text) + 1) + tail[length:length + count]) if count > 0 else ranks[:0]
+
+    levels = [ranked(text)]
+    if not shared(levels[0]):
+        return 0
+    while True:
+        size = 1 << (len(levels) - 1)
+        double = longer(levels[-1], size, levels[-1], size)
+        if not shared(double):
+            break
+        levels.append(double)
+    ranks, length = levels[-1], 1 << (len(levels) - 1)
+    for level in range(len(levels) - 2, -1, -1):
+        extended = longer(ranks, length, levels[level], 1 << level)
+        if shared(extended):
+            ranks, length = extended, length + (1 << level)
+    return length

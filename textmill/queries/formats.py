@@ -161,15 +161,16 @@ _DEP_LABEL_SQL = """'deprel: ' || array_to_string(list_transform(ws,
   lambda r: '(' || r.i || '/' || r.n || ', ' || r.h || ', ' || r.d || ')'), '▁') || E'\\nword_counts: ' || len(ws)"""
 
 
-def parsed_sentences(spark, sf):
+def parsed_sentences(spark, sf, one_line: bool = False):
     """Sentences whose words carry made-up lemmas, tags, heads and relations."""
-    words = F.split("text", " ", -1)
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" ")) if one_line else F.col("text")
+    words = F.split(text, " ", -1)
 
     def column(build):
         return F.transform(words, build)
 
     return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("row_id"), F.col("text").alias("sentence"),
+        F.col("item_id").alias("row_id"), text.alias("sentence"),
         column(lambda w, i: i + 1).alias("index"), words.alias("word_form"),
         column(lambda w, i: F.concat(F.lower(w), F.lit(" x"), (i + 1).cast("string"))).alias("lemma"),
         column(lambda w, i: F.when((i + 1) % 2 == 0, "NNG+JKS").otherwise("VV")).alias("pos"),
