@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
-from .text import let
 
 # U+FFFD stands for undecodable bytes while decoding; U+FDD0 keeps genuine U+FFFD characters apart.
 _REPLACEMENT_BYTES = "\u00ef\u00bf\u00bd"
@@ -60,8 +59,8 @@ def attention_mask(ids: Column, length: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), length - F.size(ids)))
 
 
-def _valid_text(binary: Column) -> Column:
-    latin = F.decode(binary, "ISO-8859-1")
+def _valid_text(latin: Column) -> Column:
+    """Text of UTF-8 bytes given as ISO-8859-1 characters, without the bytes that do not decode."""
     shielded = F.encode(F.replace(latin, F.lit(_REPLACEMENT_BYTES), F.lit(_KEEP_BYTES)), "ISO-8859-1")
     text = F.make_valid_utf8(shielded.cast("string"))
     return F.translate(F.replace(text, F.lit("\ufffd"), F.lit("")), "\ufdd0", "\ufffd")
@@ -72,13 +71,13 @@ def byte_decode(ids: Column, skip_special: bool = True) -> Column:
 
     With `skip_special=False` sentinel ids stay as `<extra_id_n>`, while end and pad marks are removed.
     """
-    def hex_of(token: Column) -> Column:
-        byte = F.lpad(F.hex(token - F.lit(fv.BYTE_OFFSET)), 2, "0")
+    def piece(token: Column) -> Column:
+        byte = F.chr(token - F.lit(fv.BYTE_OFFSET))
         if skip_special:
             return byte
         name = F.concat(F.lit("<extra_id_"), (token - F.lit(fv.FIRST_SENTINEL_ID)).cast("string"), F.lit(">"))
-        return F.when(token < fv.FIRST_SENTINEL_ID, byte).otherwise(F.hex(name))
+        return F.when(token < fv.FIRST_SENTINEL_ID, byte).otherwise(name)
 
     upper = fv.FIRST_SENTINEL_ID if skip_special else fv.VOCABULARY_SIZE
     kept = F.filter(ids, lambda token: (token >= fv.BYTE_OFFSET) & (token < upper))
-    return let(F.unhex(F.array_join(F.transform(kept, hex_of), "")), _valid_text)
+    return _valid_text(F.array_join(F.transform(kept, piece), ""))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
 
-# Unicode white space plus the four ASCII separators that count as space when a line is stripped.
-SPACE_CLASS = r"[\s\x1c-\x1f]"
+# Unicode white space and the four ASCII separators: what a stripped line loses at its ends.
+_SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = f"[{_SPACES}]"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if re.match(SPACE_CLASS, chr(c)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,15 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE_CLASS}+|(?<!{SPACE_CLASS}){SPACE_CLASS}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"(?U){SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE_CLASS}+", " "))
 
 
 def remove_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){SPACE_CLASS}+", "")
+    return F.regexp_replace(text, f"{SPACE_CLASS}+", "")
 
 
 def remove_punctuation(text: Column) -> Column:

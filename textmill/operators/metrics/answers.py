@@ -74,24 +74,25 @@ def reading_score(df: DataFrame, pred: str = "prediction", golds: str = "golds",
         F.avg("em").alias("exact_match"), F.avg("rouge_w").alias("rouge"), F.count("*").alias("n_rows"))
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    """F1 of two token bags."""
-    def in_both(total: Column, token: Column) -> Column:
-        def times(tokens: Column) -> Column:
-            return F.size(F.filter(tokens, lambda t: t == token))
+def numbered_tokens(tokens: Column) -> Column:
+    """Each token with the number of its occurrence, so that set operations respect repetitions."""
+    return let(F.sort_array(tokens), lambda ordered: F.transform(
+        ordered, lambda t, i: F.concat_ws("\u0001", t, (i - F.array_position(ordered, t)).cast("string"))))
 
-        return total + F.least(times(pred), times(gold))
 
-    same = F.aggregate(F.array_distinct(F.array_intersect(pred, gold)), F.lit(0), in_both)
+def token_f1(pred: Column, gold: Column) -> Column:
+    """F1 of two token bags, given as numbered tokens."""
     # 2PR/(P+R) with P = same/|pred| and R = same/|gold|.
-    return let(same, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(pred) + F.size(gold))))
+    return let(F.size(F.array_intersect(pred, gold)), lambda same: F.when(same == 0, 0.0).otherwise(
+        2.0 * same / (F.size(pred) + F.size(gold))))
 
 
 def score_squad_answers(df: DataFrame, pred: str = "prediction", golds: str = "golds") -> DataFrame:
     """Add `squad_em` and `squad_f1` in 0..1, the best over the gold answers."""
     ready = df.withColumn("_pred", normalize_squad_answer(F.col(pred))).withColumn(
         "_golds", F.transform(golds, normalize_squad_answer))
-    tokens = ready.withColumn("_ptok", words(F.col("_pred"))).withColumn("_gtok", F.transform("_golds", words))
+    tokens = ready.withColumn("_ptok", numbered_tokens(words(F.col("_pred")))).withColumn(
+        "_gtok", F.transform("_golds", lambda g: numbered_tokens(words(g))))
     pair = let(F.struct(F.col("_pred").alias("text"), F.col("_ptok").alias("tokens")), lambda p: F.struct(
         _best(F.col("_golds"), lambda g: (g == p["text"]).cast("double")).alias("em"),
         _best(F.col("_gtok"), lambda g: token_f1(p["tokens"], g)).alias("f1")))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 
 @dataclass(frozen=True)
 class Query:
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly row work: a small file is dealt out to all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_hash(key: str, seed: int | str) -> str:
     """SQL for the 32-bit hash of a key."""
     return f"(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT)"

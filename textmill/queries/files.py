@@ -8,7 +8,7 @@ from ..functions.hashing import hash_bucket
 from ..operators.dataset import train_test_split
 from ..session import scratch_path
 from ..sources import benchmarks, lines, pairs, questions
-from . import Registry, sql_hash, table
+from . import Registry, sql_hash, table, texts
 from .data import _SPLIT_SQL
 from .formats import _PARSED_SQL, parsed_sentences
 from .scores import _SPACES_SQL
@@ -31,7 +31,7 @@ def _write_pair_lines(spark, sf) -> str:
             .when(k == 2, F.concat(text, F.lit("\t")))
             .otherwise(F.concat(F.lit("  "), F.concat_ws("\t", F.col("lang"), text), F.lit(" \t"))))
     path = scratch_path(spark, "pairs.tsv")
-    table(spark, sf, "documents").select(line).write.text(path)
+    texts(spark, sf, "documents").select(line).write.text(path)
     return path
 
 
@@ -59,7 +59,7 @@ def s2_jsonl_pairs(spark, sf):
     k = F.col("doc_id") % 3
     label = F.when(k == 0, F.col("lang")).when(k == 1, F.lit(" 　"))
     path = scratch_path(spark, "pairs.jsonl")
-    table(spark, sf, "documents").select("text", label.alias("label")).write.json(path)
+    texts(spark, sf, "documents").select("text", label.alias("label")).write.json(path)
     return pairs.read_jsonl_pairs(spark, path)
 
 
@@ -67,7 +67,7 @@ def s2_jsonl_pairs(spark, sf):
 def s3_read_any(spark, sf):
     """A saved folder and a catalog name go through the same call; repeated inputs are concatenated."""
     path, name = scratch_path(spark, "saved"), "textmill_documents"
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     docs.write.parquet(path)
     docs.createOrReplaceTempView(name)
     return pairs.concat_sources([pairs.read_any(spark, path), pairs.read_any(spark, name)])
@@ -80,7 +80,7 @@ def s4_benchmark_json(spark, sf):
     key = F.col("conv_id") * 1000 + F.col("turn")
     names = F.array(*[F.lit(n) for n in ("entailment", "contradiction", "neutral")])
     path = scratch_path(spark, "nli.json")
-    table(spark, sf, "conversations").select(
+    texts(spark, sf, "conversations").select(
         F.concat_ws("#", key.cast("string"), "role").alias("premise"), F.col("text").alias("hypothesis"),
         F.get(names, hash_bucket(key, 3, 1).cast("int")).alias("gold_label")).write.json(path)
     rows = benchmarks.read_benchmark_json(spark, "nli", path, json_lines=True)
@@ -108,7 +108,7 @@ def _nested_documents(spark, sf):
         question("0", some, none), question("1", none, answer(start)),
         question("2", none, F.lit(None).cast("array<struct<text:string,answer_start:int>>"))).alias("qas"))
     data = F.array(F.struct(F.col("lang").alias("title"), F.array(paragraph).alias("paragraphs")))
-    return table(spark, sf, "documents").select(data.alias("data"))
+    return texts(spark, sf, "documents").select(data.alias("data"))
 
 
 _START_SQL = "(length(text) - (doc_id * 7919) % length(text) - 1)"
@@ -161,7 +161,7 @@ def s7_ner_blocks(spark, sf):
     body = F.transform(F.split(text, ""), lambda c: F.concat_ws("\t", c, F.when(c.rlike("[A-Z]"), "B-PS").otherwise("O")))
     block = F.concat(F.lit("## klue-ner-"), key, F.lit("\t"), key, F.lit("|"), text, F.lit("\n"), F.array_join(body, "\n"))
     path = scratch_path(spark, "ner.tsv")
-    table(spark, sf, "conversations").select(block).write.option("lineSep", "\n\n").text(path)
+    texts(spark, sf, "conversations").select(block).write.option("lineSep", "\n\n").text(path)
     rows = benchmarks.read_ner_blocks(spark, path)
     parts = F.split("tagged_sent", "[|]", 2)
     return rows.select(parts[0].cast("long").alias("key"), F.ltrim(parts[1]).alias("tagged"),
@@ -223,7 +223,7 @@ def s9_nli_table(spark, sf):
     """Rows with a missing cell are dropped."""
     key = F.col("conv_id") * 1000 + F.col("turn")
     names = F.array(*[F.lit(n) for n in ("entailment", "contradiction", "neutral")])
-    rows = table(spark, sf, "conversations").select(
+    rows = texts(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sentence1"),
         F.when(F.col("turn") != 1, F.translate("text", "\t\n\r", "   ")).alias("sentence2"),
         F.get(names, hash_bucket(key, 3, 1).cast("int")).alias("gold_label"))
@@ -236,7 +236,7 @@ SELECT 'news' AS genre, role AS filename, '2024' AS year, (conv_id * 1000 + turn
   {_CELL_SQL} AS sentence1, {_CELL_SQL} AS sentence2 FROM conversations""")
 def s9_sts_table(spark, sf):
     cell = F.translate("text", "\t\n\r", "   ")
-    rows = table(spark, sf, "conversations").select(
+    rows = texts(spark, sf, "conversations").select(
         F.lit("news").alias("genre"), F.col("role").alias("filename"), F.lit("2024").alias("year"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 11 / 2).alias("score"),
         cell.alias("sentence1"), cell.alias("sentence2"))
@@ -268,14 +268,14 @@ def s11_flat_questions(spark, sf):
 @QUERIES.add("SELECT doc_id, text AS text1 FROM documents")
 def s12_compressed_records(spark, sf):
     path = scratch_path(spark, "docs.jsonl")
-    table(spark, sf, "documents").select("doc_id", F.col("text").alias("text1")).write.option("compression", "gzip").json(path)
+    texts(spark, sf, "documents").select("doc_id", F.col("text").alias("text1")).write.option("compression", "gzip").json(path)
     return pairs.read_json_records(spark, path, "doc_id long, text1 string")
 
 
 @QUERIES.add(f"SELECT doc_id, lang FROM documents WHERE {_SPLIT_SQL} = 'validation'")
 def s13_splits(spark, sf):
     path = scratch_path(spark, "splits")
-    pairs.write_splits(train_test_split(table(spark, sf, "documents"), 0.1, 0.2, key="doc_id"), path)
+    pairs.write_splits(train_test_split(texts(spark, sf, "documents"), 0.1, 0.2, key="doc_id"), path)
     return pairs.read_split(spark, path, "validation").select("doc_id", "lang")
 
 
@@ -284,7 +284,7 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, lang || chr(9) || sour
 def s14_lines(spark, sf):
     """Lines written in key order, and numbered over all part files when they are read."""
     path = scratch_path(spark, "lines.txt")
-    rows = table(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("items"))
+    rows = texts(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("items"))
     lines.write_lines(rows, path, "items", "doc_id")
     return lines.read_lines_indexed(spark, path).select("row_id", "value")
 
@@ -292,7 +292,7 @@ def s14_lines(spark, sf):
 @QUERIES.add("SELECT doc_id::VARCHAR AS id, text AS prediction_text FROM documents")
 def s15_answer_map(spark, sf):
     path = scratch_path(spark, "answers.json")
-    lines.write_answer_map(table(spark, sf, "documents"), path, "doc_id", "text")
+    lines.write_answer_map(texts(spark, sf, "documents"), path, "doc_id", "text")
     return lines.read_answer_map(spark, path)
 
 

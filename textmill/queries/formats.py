@@ -8,13 +8,13 @@ from ..functions import text as tx
 from ..functions.hashing import hash_bucket
 from ..operators import formatting as fmt
 from ..plans.tasks import format_task, prepare
-from . import Registry, sql_hash, table
+from . import Registry, sql_hash, table, texts
 
 QUERIES = Registry()
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return texts(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
 
 
 def _labelled(spark, sf):
@@ -118,7 +118,7 @@ kept AS (SELECT doc_id, unnest(list_filter(p, lambda x: length(x) > 1)) AS piece
 SELECT doc_id, i::INT AS i, i || ' // ' || regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM kept""")
 def f7_sentences(spark, sf):
     """With Latin letters, since the given documents hold no Hangul."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", F.posexplode(tx.numbered_sentences(F.col("text"), "a-z")).alias("i", "sentence"))
 
 

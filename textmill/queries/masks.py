@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import masking
 from ..plans.corpus import salient_span_corpus
-from . import Registry, table
+from . import Registry, texts
 
 QUERIES = Registry()
 _ENTITY = "[A-Z][a-z]{3,}"
@@ -61,7 +61,7 @@ def capitalised(sentence):
 
 @QUERIES.add(f"WITH {_ALL}, {_SENTENCES_SQL} SELECT doc_id, sent_no, substr(sentence, 1, 510) AS sentence FROM s")
 def m1_sentences(spark, sf):
-    return masking.sentence_rows(table(spark, sf, "documents"))
+    return masking.sentence_rows(texts(spark, sf, "documents"))
 
 
 @QUERIES.add(f"""
@@ -69,7 +69,7 @@ WITH RECURSIVE {_ALL}, {_SENTENCES_SQL}, {_PACK_SQL}
 SELECT doc_id, context_no, count(*) AS n_sentences, sum(strlen(sentence))::BIGINT AS n_bytes, min(sent_no) AS first_sentence
 FROM s JOIN p USING (doc_id, sent_no) GROUP BY ALL""")
 def m2_pack_contexts(spark, sf):
-    contexts = masking.pack_contexts(table(spark, sf, "documents"))
+    contexts = masking.pack_contexts(texts(spark, sf, "documents"))
     size = F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s["sentence"]))
     return contexts.select("doc_id", "context_no", F.size("sentences").alias("n_sentences"), size.alias("n_bytes"),
                            F.col("sentences")[0]["sent_no"].alias("first_sentence"))
@@ -81,7 +81,7 @@ e AS (SELECT doc_id, sent_no, unnest(l) AS surface, generate_subscripts(l, 1) -
   FROM (SELECT *, regexp_extract_all(substr(sentence, 1, 510), '{_ENTITY}') AS l FROM s))
 SELECT doc_id, sent_no, i % 3 AS variant, string_agg(surface, ' ' ORDER BY i) AS surfaces FROM e GROUP BY ALL""")
 def m3_round_robin(spark, sf):
-    found = masking.sentence_rows(table(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
+    found = masking.sentence_rows(texts(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
     each = found.select("doc_id", "sent_no", "e", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("variant"))
     chosen = each.withColumn("mine", masking.round_robin(F.col("e"), F.col("variant"), 3))
     return chosen.filter(F.size("mine") > 0).select("doc_id", "sent_no", "variant",
@@ -90,7 +90,7 @@ def m3_round_robin(spark, sf):
 
 @QUERIES.add(_masked_sql(_ALL, "sent_no", 1) + " SELECT doc_id, sent_no, text, target FROM done")
 def m4_mask_sentences(spark, sf):
-    rows = masking.sentence_rows(table(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
+    rows = masking.sentence_rows(texts(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
     masked = masking.mask_sentence(F.col("sentence"), F.col("e"), F.lit(0))
     return rows.select("doc_id", "sent_no", masked.alias("m")).select("doc_id", "sent_no", "m.text", "m.target")
 
@@ -98,13 +98,13 @@ def m4_mask_sentences(spark, sf):
 @QUERIES.add(_masked_sql(_DISTINCT, "context_no", 2) + _CORPUS_SQL)
 def m5_masked_corpus(spark, sf):
     """Deduplicate, split, pack, mask in two variants, join the sentences of each context."""
-    return salient_span_corpus(table(spark, sf, "documents"), tagger=capitalised)
+    return salient_span_corpus(texts(spark, sf, "documents"), tagger=capitalised)
 
 
 @QUERIES.add(_masked_sql(_ALL, "context_no", 2) + _CORPUS_SQL)
 def m5_entity_table(spark, sf):
     """The same without deduplication, with the entities given as a table."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     found = masking.sentence_rows(docs).select(
         "doc_id", "sent_no", F.posexplode(capitalised(F.col("sentence"))).alias("ent_no", "surface"))
     return salient_span_corpus(docs, entities=found, dedup=False)

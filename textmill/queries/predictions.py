@@ -10,7 +10,7 @@ from ..operators import labels, prediction
 from ..operators.formatting import untag
 from ..session import scratch_path
 from ..streaming.generate import read_line_stream, stream_generate
-from . import Registry, sql_hash, table
+from . import Registry, sql_hash, table, texts
 
 QUERIES = Registry()
 TYPES = ["ECONOMY", "MEDIUM", "LARGE", "SMALL", "PROMO", "STANDARD"]
@@ -40,7 +40,7 @@ def p1_label_counts(spark, sf):
 @QUERIES.add("SELECT w AS label, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY w")
 def p1_label_counts_nested(spark, sf):
     """Lists of labels are flattened first."""
-    return labels.count_labels(table(spark, sf, "documents").select(F.split("text", " ", -1).alias("w")), "w")
+    return labels.count_labels(texts(spark, sf, "documents").select(F.split("text", " ", -1).alias("w")), "w")
 
 
 @QUERIES.add(f"""
@@ -139,7 +139,7 @@ def _one_line(column):
 
 @QUERIES.add(f"SELECT conv_id, turn, {_STUB_SQL} AS prediction FROM (SELECT *, trim(text) AS t FROM conversations)")
 def p6_batch_generate(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", _one_line(F.col("text")).alias("input_text"))
+    rows = texts(spark, sf, "conversations").select("conv_id", "turn", _one_line(F.col("text")).alias("input_text"))
     return prediction.batch_generate(rows, load_stub, 16).select("conv_id", "turn", "prediction")
 
 

@@ -10,7 +10,7 @@ from ..operators import prediction
 from ..operators.metrics import answers, classification, dependency, overlap, states, tagging
 from ..operators.tokens import pad_batch
 from ..plans.evaluate import evaluate_task
-from . import Registry, sql_hash, table
+from . import Registry, sql_hash, table, texts
 from .formats import parsed_sentences
 from .predictions import TYPES, _NEAREST_SQL, _TYPO_SQL, mistyped_parts
 
@@ -36,7 +36,7 @@ SELECT conv_id, turn, text AS gold, array_to_string(list_filter(string_split(tex
 def changed_turns(spark, sf):
     """Every seventh word is missing from the prediction."""
     kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.col("text").alias("gold"), F.array_join(kept, " ").alias("pred"))
 
 
@@ -103,13 +103,13 @@ def _reading_sql(text: str) -> str:
 
 @QUERIES.add(f"SELECT doc_id, {_reading_sql('text')} AS normal FROM documents")
 def e4_normalize_reading(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_reading_answer(F.col("text")).alias("normal"))
+    return texts(spark, sf, "documents").select("doc_id", tx.normalize_reading_answer(F.col("text")).alias("normal"))
 
 
 @QUERIES.add(f"""
 SELECT doc_id, {_reading_sql("translate(text, '''\"《》<>〈〉()‘’', '            ')")} AS normal FROM documents""")
 def e5_normalize_question(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_question_answer(F.col("text")).alias("normal"))
+    return texts(spark, sf, "documents").select("doc_id", tx.normalize_question_answer(F.col("text")).alias("normal"))
 
 
 _RUN_SQL = """
@@ -119,7 +119,7 @@ list_max(list_transform(range(1, length({p}) + 1), lambda i: list_max(list_trans
 
 def _changed_items(spark, sf):
     kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(kept, " ").alias("pred"),
+    return texts(spark, sf, "benchmark").select("item_id", F.array_join(kept, " ").alias("pred"),
                                                 F.col("text").alias("gold"))
 
 
@@ -141,7 +141,7 @@ def e6_rouge_w(spark, sf):
 def e6_rouge_w_long(spark, sf):
     """Whole documents against the text without every seventh word, in Arrow batches."""
     kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.array_join(kept, " ").alias("pred"))
+    docs = texts(spark, sf, "documents").select("doc_id", "text", F.array_join(kept, " ").alias("pred"))
     scored = docs.withColumn("run", answers.common_run_long(F.col("pred"), F.col("text")))
     return scored.select("doc_id", "run", answers.run_f(F.col("run"), F.col("pred"), F.col("text")).alias("rouge_w"))
 
@@ -256,7 +256,7 @@ def tagged_turns(spark, sf):
 
     gold = tagged(lambda i: F.when(i % 4 == 0, "PS"))
     pred = tagged(lambda i: F.when(i % 8 == 0, "OG").when(i % 4 == 0, "PS").when(i % 6 == 0, "LC"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", pred.alias("pred"), gold.alias("gold"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", pred.alias("pred"), gold.alias("gold"))
 
 
 @QUERIES.add(f"""
@@ -372,7 +372,7 @@ def e16_dialogue_slots(spark, sf):
     w = F.split(F.lower("text"), " ", -1)
     gold = F.filter(w, lambda x, i: ((i + 1) % 2 == 0) & (F.col("turn") != 3))
     pred = F.filter(w, lambda x, i: ((i + 1) % 3 == 0) & (F.col("turn") != 2))
-    slots = table(spark, sf, "conversations").select(gold.alias("gold"), pred.alias("pred"))
+    slots = texts(spark, sf, "conversations").select(gold.alias("gold"), pred.alias("pred"))
     scored = states.dialogue_state_score(slots)
     return scored.withColumns({c: F.round(c, 9) for c in ("f1", "recall", "precision")})
 
@@ -384,7 +384,7 @@ e AS (SELECT b, m, m - strlen(text) + len(list_filter(range(0, strlen(text)), la
   substr(hex(encode(text)), (2 * i + 1)::INT, 2) = substr(hex(encode(low)), (2 * i + 1)::INT, 2))) AS same FROM s)
 SELECT round(avg(a), 9) AS token_accuracy, count(*) AS n_batches FROM (SELECT sum(same) / sum(m) AS a FROM e GROUP BY b)""")
 def e17_token_accuracy(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("input_text"),
+    rows = texts(spark, sf, "benchmark").select("item_id", F.lower("text").alias("input_text"),
                                                 F.col("text").alias("target_text"))
     batches = pad_batch(rows, 8, order="item_id").withColumnRenamed("input_ids", "pred_ids")
     return states.token_accuracy(batches).withColumn("token_accuracy", F.round("token_accuracy", 9))

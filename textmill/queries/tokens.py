@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import byte_ids as ids
 from ..operators import tokens
-from . import Registry, table
+from . import Registry, texts
 
 QUERIES = Registry()
 
@@ -22,7 +22,7 @@ _BYTES_SQL = """list_transform(range(0, strlen(text)),
 @QUERIES.add(f"""
 SELECT conv_id, turn, array_to_string(list_append({_BYTES_SQL}, 1), ' ') AS ids FROM conversations""")
 def t1_encode(spark, sf):
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         "conv_id", "turn", _joined(ids.byte_encode(F.col("text"))).alias("ids"))
 
 
@@ -36,7 +36,7 @@ def t1_encode_sentinels(spark, sf):
     """Every tenth word replaced by a sentinel, which takes a single id."""
     words = F.transform(F.split("text", " ", -1), lambda w, i: F.when(
         (i + 1) % 10 == 0, F.concat(F.lit("<extra_id_"), (i % 100).cast("string"), F.lit(">"))).otherwise(w))
-    encoded = table(spark, sf, "benchmark").select(
+    encoded = texts(spark, sf, "benchmark").select(
         "item_id", ids.byte_encode(F.array_join(words, " "), sentinels=True).alias("x"))
     return encoded.select("item_id", F.size("x").cast("long").alias("n_ids"),
                           F.size(F.filter("x", lambda i: i >= 259)).cast("long").alias("n_sentinels"))
@@ -45,7 +45,7 @@ def t1_encode_sentinels(spark, sf):
 @QUERIES.add(f"""
 SELECT conv_id, turn, array_to_string(list_append(({_BYTES_SQL})[1:63], 1), ' ') AS ids FROM conversations""")
 def t2_truncate(spark, sf):
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         "conv_id", "turn", _joined(ids.byte_encode(F.col("text"), 64)).alias("ids"))
 
 
@@ -59,7 +59,7 @@ SELECT item_id, batch_id, array_to_string(list_resize(ids, m, 0), ' ') AS input_
 
 
 def _padded(spark, sf, multiple):
-    rows = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("input_text"),
+    rows = texts(spark, sf, "benchmark").select("item_id", F.col("text").alias("input_text"),
                                                 F.lit("a").alias("target_text"))
     batches = tokens.pad_batch(rows, 8, multiple=multiple, order="item_id")
     return batches.select("item_id", "batch_id",
@@ -79,12 +79,12 @@ def t4_pad_to_multiple(spark, sf):
 @QUERIES.add("SELECT doc_id, text FROM documents")
 def t5_decode(spark, sf):
     """Encoding and decoding give the text back."""
-    return table(spark, sf, "documents").select("doc_id", ids.byte_decode(ids.byte_encode(F.col("text"))).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", ids.byte_decode(ids.byte_encode(F.col("text"))).alias("text"))
 
 
 @QUERIES.add("""
 SELECT lang, count(*) AS n_rows, max(strlen(text) + 1) AS max_length, sum(strlen(text) + 1)::BIGINT AS sum_length,
   quantile_disc(strlen(text) + 1, 0.5) AS median_length FROM documents GROUP BY lang""")
 def t6_length_profile(spark, sf):
-    profile = tokens.length_profile(table(spark, sf, "documents"), "text", ["lang"])
+    profile = tokens.length_profile(texts(spark, sf, "documents"), "text", ["lang"])
     return profile.withColumn("median_length", F.col("quantiles")[0]).drop("quantiles")

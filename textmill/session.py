@@ -48,6 +48,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textmill/{uuid.uuid4().hex}/{name}"
 
 
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of an input that is too small to give every core a file split.
+
+    Costly row work on a few small files would otherwise run in a few tasks. Larger inputs are left alone, so nothing
+    is shuffled for it at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so that lost executors do not trigger long recomputation."""
     spark = df.sparkSession
