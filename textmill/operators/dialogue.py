@@ -42,36 +42,36 @@ def dialogue_examples(records: DataFrame) -> DataFrame:
 
 def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column], totals: dict[str, Column],
                   block_rows: int = BLOCK_TURNS) -> DataFrame:
-    """Add running columns over the rows *before* each row of its key.
+    """Add running columns over the rows *before* each row of its key, and `_block`.
 
     `values`: last non-null value so far; `totals`: sum so far. A key may hold any number of rows: they are handled
-    in blocks of `block_rows` order values, one task per block, and only one summary row per block is carried along
-    the key. `(key, order)` must be unique and `order` a non-negative integer.
+    in blocks of `block_rows` order values, each a group of its own, and only the last row of a block is carried along
+    the key. `(key, order)` must be unique and `order` a non-negative integer. An existing `_block` is used as it is,
+    so a second call finds the rows where the first one left them.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    kept = [c for c in df.columns if c != "_block"]
+    blocked = df if "_block" in df.columns else df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    zero = F.lit(0).cast("long")
+    block = Window.partitionBy(key, "_block").orderBy(order)
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
     staged = blocked.withColumns({f"_v_{n}": c for n, c in values.items()} | {f"_t_{n}": c for n, c in totals.items()})
-    in_block = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = staged.withColumns(
-        {f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(in_block) for n in values}
-        | {f"_s_{n}": F.sum(f"_t_{n}").over(in_block) for n in totals})
-
-    def last_value(name: str) -> Column:
-        present = F.col(f"_v_{name}").isNotNull()
-        return F.max_by(f"_v_{name}", F.when(present, F.col(order)))
-
-    blocks = staged.groupBy(key, "_block").agg(
-        *[last_value(n).alias(f"_b_{n}") for n in values], *[F.sum(f"_t_{n}").alias(f"_c_{n}") for n in totals])
+        {f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(before) for n in values}
+        | {f"_s_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), zero) for n in totals}
+        | {"_ends": F.lead(order).over(block).isNull()})
+    ends = inside.filter("_ends").select(
+        key, "_block",
+        *[F.coalesce(f"_v_{n}", f"_i_{n}").alias(f"_b_{n}") for n in values],
+        *[(F.coalesce(f"_t_{n}", zero) + F.col(f"_s_{n}")).alias(f"_c_{n}") for n in totals])
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(
+    carried = ends.select(
         key, "_block",
         *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values],
         *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in totals])
-    joined = inside.join(carried, [key, "_block"])
-    zero = F.lit(0).cast("long")
-    return joined.select(
-        *df.columns,
+    return inside.join(carried, [key, "_block"]).select(
+        *kept, "_block",
         *[F.coalesce(f"_i_{n}", f"_b_{n}").alias(n) for n in values],
-        *[(F.coalesce(f"_s_{n}", zero) + F.coalesce(f"_c_{n}", zero)).alias(n) for n in totals])
+        *[(F.col(f"_s_{n}") + F.coalesce(f"_c_{n}", zero)).alias(n) for n in totals])
 
 
 def dialogue_states(turns: DataFrame, system_role: str = "sys", user_role: str = "user", key: str = "conv_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
@@ -42,7 +43,8 @@ def map_labels(df: DataFrame, column: str, mapping: LabelMap | None, out: str |
         joined = df.withColumn("_found", found)
     else:
         key_type = df.schema[column].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(list(mapping.items()), f"_key {key_type}, _found {kind}")
+        entries = pd.DataFrame({"_key": list(mapping), "_found": list(mapping.values())})
+        table = df.sparkSession.createDataFrame(entries, f"_key {key_type}, _found {kind}")
         joined = df.join(F.broadcast(table), F.col("_key") == value, "left").drop("_key")
     if unmapped == "flag":
         result = joined.withColumn(f"{out}_unmapped", F.col("_found").isNull()).withColumn(out, F.col("_found"))

@@ -48,26 +48,33 @@ def chrf_statistics(pred: Column, gold: Column, char_order: int = 6, word_order:
     return statistics(pred, gold)
 
 
-def chrf(df: DataFrame, pred: str = "pred", gold: str = "gold", char_order: int = 6, word_order: int = 0,
-         beta: float = 2.0) -> DataFrame:
-    """One row with the corpus-level `chrf` score in 0..100."""
-    orders = char_order + word_order
-    stats = df.select(chrf_statistics(F.col(pred), F.col(gold), char_order, word_order).alias("s"))
-    sums = stats.agg(F.count("*").alias("n_rows"),
-                     *[F.coalesce(F.sum(F.col("s")[i]), F.lit(0)).alias(f"s{i}") for i in range(3 * orders)])
+def chrf_sums(statistics: str, orders: int) -> list[Column]:
+    """Corpus totals of a statistics column, as aggregates `_s0, _s1, …`."""
+    return [F.coalesce(F.sum(F.col(statistics)[i]), F.lit(0)).alias(f"_s{i}") for i in range(3 * orders)]
+
 
+def chrf_score(orders: int, beta: float) -> Column:
+    """Score in 0..100 from the totals: precision and recall averaged over the orders present on both sides."""
     precision, recall, effective = F.lit(0.0), F.lit(0.0), F.lit(0)
     for order in range(orders):
-        p, r, m = (F.col(f"s{3 * order + i}") for i in range(3))
+        p, r, m = (F.col(f"_s{3 * order + i}") for i in range(3))
         usable = (p > 0) & (r > 0)
         precision = precision + F.when(usable, m / p).otherwise(0.0)
         recall = recall + F.when(usable, m / r).otherwise(0.0)
         effective = effective + usable.cast("int")
-    means = sums.select("n_rows", F.when(effective > 0, precision / effective).otherwise(0.0).alias("p"),
-                        F.when(effective > 0, recall / effective).otherwise(0.0).alias("r"))
     factor = beta ** 2
-    score = 100 * (1 + factor) * F.col("p") * F.col("r") / (factor * F.col("p") + F.col("r"))
-    return means.select(F.when(F.col("p") + F.col("r") > 0, score).otherwise(0.0).alias("chrf"), "n_rows")
+    # The common divisor of both means cancels out of the quotient except once.
+    score = 100 * (1 + factor) * precision * recall / (factor * precision + recall) / effective
+    return F.when(precision + recall > 0, score).otherwise(0.0)
+
+
+def chrf(df: DataFrame, pred: str = "pred", gold: str = "gold", char_order: int = 6, word_order: int = 0,
+         beta: float = 2.0) -> DataFrame:
+    """One row with the corpus-level `chrf` score in 0..100."""
+    orders = char_order + word_order
+    stats = df.select(chrf_statistics(F.col(pred), F.col(gold), char_order, word_order).alias("_stats"))
+    sums = stats.agg(F.count("*").alias("n_rows"), *chrf_sums("_stats", orders))
+    return sums.select(chrf_score(orders, beta).alias("chrf"), "n_rows")
 
 
 def _tokenize(text: str, tokenizer: str) -> list[str]:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import normalize_question_answer
 from ..operators.labels import apply_correction, lookup_label_id
 from ..operators.metrics.answers import score_reading_answers, score_squad_answers
-from ..operators.metrics.classification import accuracy, exact_match
-from ..operators.metrics.overlap import chrf, rouge, rouge_statistics
+from ..operators.metrics.classification import accuracy
+from ..operators.metrics.overlap import chrf_score, chrf_statistics, chrf_sums, rouge_statistics
 from ..operators.prediction import parse_reading_prediction
 from .tasks import get_task
 
@@ -58,11 +58,13 @@ def evaluate_labels(df: DataFrame, labels: dict[str, int], prediction: str = "pr
 
 def evaluate_texts(df: DataFrame, prediction: str = "prediction", gold: str = "gold",
                    tokenizer: str = "ascii") -> DataFrame:
-    """Exact match, chrF and ROUGE of free text."""
-    em = exact_match(df, prediction, gold)
-    score = chrf(df, prediction, gold)
-    overlap = rouge(df, prediction, gold, tokenizer)
-    return _long(em, ["exact_match"]).unionByName(_long(score, ["chrf"])).unionByName(_long(overlap, list(_ROUGE)))
+    """Exact match, chrF and ROUGE of free text, in one pass."""
+    pred, truth = F.col(prediction), F.col(gold)
+    scored = df.select((pred == truth).cast("int").alias("_hit"), chrf_statistics(pred, truth).alias("_stats"),
+                       rouge_statistics(pred, F.array(truth), tokenizer).alias("_rouge"))
+    wide = scored.agg(F.avg("_hit").alias("exact_match"), *chrf_sums("_stats", 6),
+                      *[F.avg(f"_rouge.{n}").alias(n) for n in _ROUGE])
+    return _long(wide.withColumn("chrf", chrf_score(6, 2.0)), ["exact_match", "chrf", *_ROUGE])
 
 
 def evaluate_task(name: str, df: DataFrame, prediction: str = "prediction", gold: str = "gold",

@@ -126,19 +126,22 @@ def read_dialogue_states(spark: SparkSession, paths, json_lines: bool = False) -
     return dialogue_examples(_json_records(spark, paths, RECORD_SCHEMAS["wos"], json_lines))
 
 
-def _blocks(spark: SparkSession, paths) -> DataFrame:
-    """One row per blank-line separated block, splittable inside a file."""
-    blocks = spark.read.option("lineSep", "\n\n").text(paths).select("value", "_metadata")
+def _blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
+    """One row per blank-line separated block, splittable inside a file. `newline` is the file's line ending."""
+    blocks = spark.read.option("lineSep", newline * 2).text(paths).select("value", "_metadata")
     numbered = with_file_row_number(blocks).withColumnRenamed("line_no", "block_no")
-    return numbered.withColumn("lines", F.split(F.regexp_replace("value", "^\n+|\n+$", ""), "\n")).drop("value")
+    return numbered.withColumn("lines", F.split(F.regexp_replace("value", "^[\r\n]+|[\r\n]+$", ""), newline)).drop("value")
 
 
-def ner_block_columns(lines: Column) -> dict[str, Column]:
-    """Characters, tags and tagged sentence of a tagging block. A line that holds only a tag stands for a space."""
+def ner_fields(lines: Column) -> Column:
+    """Tab fields of the character lines of a tagging block."""
     body = F.filter(lines, lambda line: ~line.startswith("##") & (strip(line) != ""))
-    fields = F.transform(body, lambda line: F.split(strip(line), "\t", -1))
-    heads = F.filter(lines, lambda line: line.startswith("## klue-ner"))
-    head = F.get(heads, F.lit(0))
+    return F.transform(body, lambda line: F.split(strip(line), "\t", -1))
+
+
+def ner_block_columns(lines: Column, fields: Column) -> dict[str, Column]:
+    """Characters, tags and tagged sentence of a tagging block. A line that holds only a tag stands for a space."""
+    head = F.get(F.filter(lines, lambda line: line.startswith("## klue-ner")), F.lit(0))
     return {
         "sentence": F.transform(fields, lambda f: F.when(F.size(f) == 2, f[0]).otherwise("")),
         "tags": F.transform(fields, lambda f: F.when(F.size(f) == 2, F.get(f, F.lit(1))).otherwise(f[0])),
@@ -146,13 +149,15 @@ def ner_block_columns(lines: Column) -> dict[str, Column]:
     }
 
 
-def read_ner_blocks(spark: SparkSession, paths) -> DataFrame:
+def read_ner_blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
     """`sentence` characters, `labels` class ids and `tagged_sent` per block."""
-    columns = ner_block_columns(F.col("lines"))
     classes = F.array(*[F.lit(name) for name in fv.NER_CLASSES])
-    blocks = _blocks(spark, paths).withColumns(columns).filter(F.size("sentence") > 0)
+    # Blocks without any character line, such as file headings, are dropped by a test that stops at the first one.
+    some = F.exists("lines", lambda line: ~line.startswith("##") & (strip(line) != ""))
+    blocks = _blocks(spark, paths, newline).filter(some).withColumn("fields", ner_fields(F.col("lines")))
+    shaped = blocks.withColumns(ner_block_columns(F.col("lines"), F.col("fields")))
     labels = F.transform("tags", lambda tag: (F.array_position(classes, tag) - 1).cast("int"))
-    return blocks.select("file_path", "block_no", "sentence", labels.alias("labels"), "tagged_sent")
+    return shaped.select("file_path", "block_no", "sentence", labels.alias("labels"), "tagged_sent")
 
 
 def dependency_block_columns(lines: Column) -> dict[str, Column]:
@@ -173,18 +178,18 @@ def dependency_block_columns(lines: Column) -> dict[str, Column]:
     }
 
 
-def read_dependency_blocks(spark: SparkSession, paths) -> DataFrame:
+def read_dependency_blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
     """`ids, words, lemma, pos, head, relation` per block."""
     columns = dependency_block_columns(F.col("lines"))
-    blocks = _blocks(spark, paths).withColumns(columns)
+    blocks = _blocks(spark, paths, newline).withColumns(columns)
     return blocks.filter(F.size("ids") > 0).select(
         "file_path", "block_no", "ids", "words", "lemma", "pos", "head", "relation")
 
 
-def read_dependency_sentences(spark: SparkSession, paths) -> DataFrame:
+def read_dependency_sentences(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
     """The same blocks with their sentence; a last block without a closing blank line is kept."""
     columns = dependency_block_columns(F.col("lines"))
-    blocks = _blocks(spark, paths).withColumns(columns)
+    blocks = _blocks(spark, paths, newline).withColumns(columns)
     return blocks.filter((F.size("ids") > 0) & F.col("sentence").isNotNull()).select(
         "file_path", "block_no", "sentence", F.col("ids").alias("index"), F.col("words").alias("word_form"),
         "lemma", "pos", "head", F.col("relation").alias("deprel"))
