@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 from ...functions.overlap import longest_common_run
 from ...functions.text import (let, normalize_question_answer, normalize_reading_answer, normalize_squad_answer,
@@ -25,7 +26,7 @@ def common_run(pred: Column, gold: Column) -> Column:
         F.aggregate(F.sequence(F.lit(1), F.length(pred)), F.lit(0), extend))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def common_run_long(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """The same for whole documents, in Arrow batches."""
     return pd.Series([longest_common_run(p, g) for p, g in zip(pred, gold)], dtype="int32")
