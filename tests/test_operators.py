@@ -86,6 +86,8 @@ def test_dedup_consecutive(spark):
     texts = ["a", "a", "b", "a", "a", "a", "c"]
     df = spark.createDataFrame(list(enumerate(texts)), "line_no long, text string")
     assert sorted(r.line_no for r in dataset.dedup_consecutive(df).collect()) == [0, 2, 3, 6]
+    for block in (1, 2, 3):
+        assert sorted(r.line_no for r in dataset.dedup_consecutive(df, block_rows=block).collect()) == [0, 2, 3, 6]
     two = df.withColumn("file_path", F.when(F.col("line_no") < 1, "x").otherwise("y"))
     kept = dataset.dedup_consecutive(two, within="file_path").collect()
     assert sorted(r.line_no for r in kept) == [0, 1, 2, 3, 6]

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.byte_ids import encoded_length
 from ..functions.hashing import HASH_RANGE, hash32, hash_bucket, hash_unit
+from .dialogue import carry_forward
 
 _COARSE_BUCKETS = 1 << 20
+_DEDUP_BLOCK_ROWS = 1 << 16
 
 
 def shard_sample(df: DataFrame, n: int, seed: int, index: int = 0, key: str = "row_id",
@@ -113,17 +115,17 @@ def dedup_passages(df: DataFrame, text: str = "text", key: str = "row_id") -> Da
 
 
 def dedup_consecutive(df: DataFrame, text: str = "text", order: str = "line_no",
-                      within: str | None = None) -> DataFrame:
-    """Drop a row whose text equals that of the row just before it; `order` numbers the rows without gaps.
+                      within: str | None = None, block_rows: int = _DEDUP_BLOCK_ROWS) -> DataFrame:
+    """Drop a row whose text equals that of the row just before it in the order of a unique integer column.
 
-    The row before is found by an equi-join of hashes on `order`, which needs no global sort.
+    Rows are compared inside blocks of `block_rows` order values, and across blocks through the last row of each
+    block, so no group grows with the data and there is no global sort.
     """
-    keys = [within, order] if within else [order]
-    hashed = df.select(*keys, content_hash(F.col(text)).alias("_hash"))
-    before = hashed.select(*([within] if within else []), (F.col(order) + 1).alias(order),
-                           F.col("_hash").alias("_before"))
-    repeated = hashed.join(before, keys).filter(F.col("_hash") == F.col("_before")).select(*keys)
-    return df.join(repeated, keys, "left_anti")
+    key = within or "_all"
+    keyed = df if within else df.withColumn("_all", F.lit(0))
+    hashed = keyed.withColumn("_hash", content_hash(F.col(text)))
+    beside = carry_forward(hashed, key, order, {"_before": F.col("_hash")}, {}, block_rows)
+    return beside.filter(~F.col("_hash").eqNullSafe(F.col("_before"))).select(df.columns)
 
 
 def keep_rows(df: DataFrame, predicate: Column) -> DataFrame:

@@ -91,7 +91,7 @@ def mask_sentence(sentence: Column, entities: Column, first: Column, compat: boo
                 (span["at"] + span["size"]).alias("next"))
 
         text = F.aggregate(
-            F.array_sort(state["spans"]), F.struct(F.lit("").alias("text"), F.lit(1).alias("next")), write,
+            F.sort_array(state["spans"]), F.struct(F.lit("").alias("text"), F.lit(1).alias("next")), write,
             lambda out: F.concat(out["text"], F.substr(sentence, out["next"], F.length(sentence))))
         return F.struct(text.alias("text"), state["target"].alias("target"))
 
@@ -112,7 +112,9 @@ def mask_contexts(contexts: DataFrame, key: str = "doc_id", variants: int = fv.M
 
     def add(state: Column, s: Column) -> Column:
         def masked(mine: Column) -> Column:
-            pair = mask_sentence(s["sentence"], mine, state["number"], compat)
+            unmasked = F.struct(s["sentence"].alias("text"), F.lit("").alias("target"))
+            pair = F.when(F.size(mine) == 0, unmasked).otherwise(
+                mask_sentence(s["sentence"], mine, state["number"], compat))
             return let(pair, lambda p: F.struct(
                 F.array_append(state["texts"], p["text"]).alias("texts"),
                 F.array_append(state["labels"], p["target"]).alias("labels"),
@@ -143,14 +145,14 @@ def join_entities(contexts: DataFrame, entities: DataFrame, key: str = "doc_id")
     Every group is bounded: the entities of one sentence of at most 510 characters, and the sentences of one context.
     """
     per_sentence = entities.groupBy(key, "sent_no").agg(
-        F.array_sort(F.collect_list(F.struct("ent_no", "surface"))).alias("_found"))
+        F.sort_array(F.collect_list(F.struct("ent_no", "surface"))).alias("_found"))
     rows = contexts.select(key, "context_no", F.explode("sentences").alias("_s")).select(
         key, "context_no", F.col("_s.sent_no").alias("sent_no"),
         F.substring("_s.sentence", 1, fv.SENTENCE_MASK_CHARS).alias("sentence"))
     surfaces = F.coalesce(F.transform("_found", lambda e: e["surface"]), F.array().cast("array<string>"))
     joined = rows.join(per_sentence, [key, "sent_no"], "left").withColumn("entities", surfaces)
     return joined.groupBy(key, "context_no").agg(
-        F.array_sort(F.collect_list(F.struct("sent_no", "sentence", "entities"))).alias("sentences"))
+        F.sort_array(F.collect_list(F.struct("sent_no", "sentence", "entities"))).alias("sentences"))
 
 
 def tagged_surfaces(tagged: Column) -> Column:

@@ -52,9 +52,8 @@ def classification_report(df: DataFrame, pred: str = "pred", gold: str = "gold",
             raise ValueError("compat needs the row order")
         first = df.agg(F.min_by(gold, order).alias("_first"))
         known = df.select(F.col(gold).alias("pred")).distinct().withColumn("_known", F.lit(True))
-        # One row on the broadcast side; the other join runs on distinct labels.
-        cells = cells.join(known, "pred", "left").join(F.broadcast(first)).select(
-            "gold", F.when(F.col("_known"), F.col("pred")).otherwise(F.col("_first")).alias("pred"), "n")
+        cells = cells.join(known, "pred", "left").select(
+            "gold", F.when(F.col("_known"), F.col("pred")).otherwise(first.scalar()).alias("pred"), "n")
     counts = class_counts(cells).filter(F.col("support") > 0)
     precision, recall = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))
     f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))

@@ -138,16 +138,20 @@ def d13_dedup_passages(spark, sf):
 
 @QUERIES.add("""
 WITH copies AS (SELECT doc_id, unnest(range(1 + doc_id % 3)) AS copy_no, text FROM documents),
-numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id * 4 + copy_no) - 1 AS line_no FROM copies),
-beside AS (SELECT *, lag(text) OVER (ORDER BY line_no) AS before FROM numbered)
-SELECT line_no, doc_id FROM beside WHERE before IS NULL OR before <> text""")
+beside AS (SELECT *, lag(text) OVER (ORDER BY doc_id, copy_no) AS before FROM copies)
+SELECT doc_id, copy_no FROM beside WHERE before IS NULL OR before <> text""")
 def d13_dedup_consecutive(spark, sf):
-    """Passages repeated next to each other, numbered without a global sort, then reduced to one."""
+    """Passages repeated next to each other, once per question, reduced to one."""
     copies = _docs(spark, sf).select(
         "doc_id", "text", F.explode(F.sequence(F.lit(0), F.pmod("doc_id", F.lit(3)))).alias("copy_no"))
     placed = copies.withColumn("place", F.col("doc_id") * 4 + F.col("copy_no"))
-    numbered = dense_index(placed, "place", "line_no")
-    return dataset.dedup_consecutive(numbered).select("line_no", "doc_id")
+    return dataset.dedup_consecutive(placed, order="place").select("doc_id", "copy_no")
+
+
+@QUERIES.add("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents WHERE lang <> 'en'")
+def s14_dense_index(spark, sf):
+    """Rows left after a filter are numbered without gaps and without a global sort."""
+    return dense_index(_docs(spark, sf).filter("lang <> 'en'").select("doc_id"), "doc_id")
 
 
 @QUERIES.add("""

@@ -14,7 +14,7 @@ QUERIES = Registry()
 
 
 def _documents(spark, sf):
-    return texts(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
 
 
 def _labelled(spark, sf):
@@ -235,7 +235,7 @@ SELECT split, lang, count(*) AS n_rows, sum(strlen(text) + 1)::BIGINT AS n_input
   sum(strlen(lang) + 1)::BIGINT AS n_label_ids FROM kept GROUP BY ALL""")
 def f14_prepare(spark, sf):
     """Rows to encoded training examples: split, format, filter, encode; counted per split and language."""
-    rows = _documents(spark, sf).select("row_id", "text", F.col("lang").alias("label"))
+    rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
     ready = prepare("jsonlines", rows, valid_proportion=0.1, test_proportion=0.1, max_len=4096)
     from ..functions.byte_ids import byte_decode
 

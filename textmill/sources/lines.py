@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions import fixed_values as fv
+
 INDEX_BLOCK_ROWS = 1 << 20
 
 
@@ -54,6 +56,16 @@ def read_lines_indexed(spark: SparkSession, paths: str | list[str], line_sep: st
     return with_file_row_number(lines).select("file_path", "line_no", "row_id", "value")
 
 
+def read_prediction_records(spark: SparkSession, paths, prefix: str = fv.OUTPUT_PREFIX.strip()) -> DataFrame:
+    """`row_id, prediction` of a file whose predictions span several lines and start with `prefix`.
+
+    The prefix itself separates the records, so each one is whole whatever the file splits.
+    """
+    records = read_lines_indexed(spark, paths, line_sep="\n" + prefix)
+    whole = F.when(F.col("value").startswith(prefix), F.col("value")).otherwise(F.concat(F.lit(prefix), "value"))
+    return records.select("row_id", F.regexp_replace(whole, "\n+$", "").alias("prediction"))
+
+
 def dense_index(df: DataFrame, order: str, out: str = "row_id", within: str | None = None,
                 block_rows: int = INDEX_BLOCK_ROWS) -> DataFrame:
     """Number rows 0, 1, 2 … in the order of a unique, non-negative integer column, without a global sort.
