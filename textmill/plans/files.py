@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
-from ..operators.metrics.classification import classification_report, first_seen
+from ..operators.metrics.classification import classification_report
 from ..operators.metrics.dependency import align_dependencies, attachment_scores, dependency_lines
 from ..operators.metrics.overlap import chrf
 from ..operators.metrics.tagging import entity_f1, iob_word_f1
 from ..operators.prediction import ModelLoader, align, batch_generate
+from ..session import cut_lineage
 from ..sources.lines import dense_index, read_lines_indexed, read_prediction_records, write_lines
 from .evaluate import evaluate_reading
 
@@ -24,14 +25,13 @@ def paired_lines(spark: SparkSession, pred_path, gold_path) -> DataFrame:
 
 def score_label_files(spark: SparkSession, pred_path, gold_path, compat: bool = False) -> DataFrame:
     """Classification report with the classes' first gold row, one label per line."""
-    rows = paired_lines(spark, pred_path, gold_path)
-    report = classification_report(rows, order="row_id", compat=compat)
-    return report.join(first_seen(rows, "gold", "row_id"), "label", "left")
+    return classification_report(paired_lines(spark, pred_path, gold_path), order="row_id", compat=compat)
 
 
 def score_tag_files(spark: SparkSession, pred_path, gold_path) -> DataFrame:
     """`metric, value` of tagged sentences: entity F1, word F1 of the mark sequences, chrF with beta 1."""
-    rows = paired_lines(spark, pred_path, gold_path)
+    # The pairing is used three times, so the aligned lines are kept once.
+    rows = cut_lineage(paired_lines(spark, pred_path, gold_path))
 
     def named(name: str, scored: DataFrame, column: str) -> DataFrame:
         return scored.select(F.lit(name).alias("metric"), F.col(column).alias("value"))

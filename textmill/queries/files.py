@@ -11,7 +11,11 @@ from ..sources import benchmarks, lines, pairs, questions
 from . import Registry, sql_hash, table, texts
 from .data import _SPLIT_SQL
 from .formats import _PARSED_SQL, parsed_sentences
-from .scores import _SPACES_SQL
+from ..plans.files import generate_lines, score_dependency_files, score_label_files, score_tag_files
+from .predictions import _STUB_SQL, load_stub
+from .scores import (_FLIP_SQL, _SPACES_SQL, _WORD_PAIRS_SQL, _dependency_predictions, _f1_sql, _report_sql,
+                     flipped_events, tagged_turns)
+from .scores import QUERIES as SCORES
 
 QUERIES = Registry()
 
@@ -309,3 +313,48 @@ def s18_concat_sources(spark, sf):
     names = (("documents", "doc_id", "lang"), ("benchmark", "item_id", "text"), ("conversations", "conv_id", "text"))
     return pairs.concat_sources([
         table(spark, sf, name).select(F.col(key).alias("id"), F.col(text).alias("text")) for name, key, text in names])
+
+
+def _write_sides(spark, df, order: str) -> tuple[str, str]:
+    paths = scratch_path(spark, "pred.txt"), scratch_path(spark, "gold.txt")
+    for path, column in zip(paths, ("pred", "gold")):
+        lines.write_lines(df, path, column, order)
+    return paths
+
+
+@QUERIES.add(f"""
+SELECT r.*, first_row FROM ({_report_sql('pred')}) r LEFT JOIN (
+  SELECT gold, min(n) AS first_row FROM (SELECT gold, row_number() OVER (ORDER BY event_id) - 1 AS n FROM ({_FLIP_SQL}))
+  GROUP BY gold) f ON r.label = f.gold""")
+def e3_report_files(spark, sf):
+    """Predicted and gold labels written as lines, paired by line number and scored."""
+    return score_label_files(spark, *_write_sides(spark, flipped_events(spark, sf), "event_id"))
+
+
+@QUERIES.add(f"""
+SELECT 'entity_f1' AS metric, round(f1, 9) AS value FROM ({SCORES['e11_entity_f1'].sql})
+UNION ALL SELECT 'iob_word_f1', round(chrf, 7) FROM ({SCORES['e12_iob_word_f1'].sql})""")
+def e11_tag_files(spark, sf):
+    rows = tagged_turns(spark, sf).withColumn("row", F.col("conv_id") * 1000 + F.col("turn"))
+    scored = score_tag_files(spark, *_write_sides(spark, rows, "row")).filter("metric <> 'chrf'")
+    digits = F.when(F.col("metric") == "entity_f1", F.round("value", 9)).otherwise(F.round("value", 7))
+    return scored.withColumn("value", digits)
+
+
+@QUERIES.add(f"WITH {_WORD_PAIRS_SQL} {_f1_sql('UAS', 'head', 'gold_head')} UNION ALL {_f1_sql('LAS', 'label', 'gold_label')}")
+def e15_attachment_files(spark, sf):
+    scored = score_dependency_files(spark, *_write_sides(spark, _dependency_predictions(spark, sf), "row_id"))
+    return scored.withColumns({c: F.round(c, 7) for c in ("macro_f1", "micro_f1")})
+
+
+@QUERIES.add(rf"""
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id, {_STUB_SQL} AS prediction
+FROM (SELECT *, trim(text) AS t FROM conversations)""")
+def p6_generate_lines(spark, sf):
+    """A text file through a model to a text file in the same order."""
+    source, out = scratch_path(spark, "in.txt"), scratch_path(spark, "out.txt")
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"),
+                                                    _one_line(F.col("text")).alias("line"))
+    lines.write_lines(rows, source, "line", "row")
+    generate_lines(spark, source, out, load_stub, 16)
+    return lines.read_lines_indexed(spark, out).select("row_id", F.col("value").alias("prediction"))

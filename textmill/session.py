@@ -51,6 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SPLIT_BYTES = 128 << 20
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of a frame as the optimizer estimates it; for a file scan, the size of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out the rows of an input that is too small to give every core a file split.
 
@@ -58,8 +63,7 @@ def spread(df: DataFrame) -> DataFrame:
     is shuffled for it at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if input_bytes(df) < cores * SPLIT_BYTES else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

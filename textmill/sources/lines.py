@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..session import SPLIT_BYTES, input_bytes
 
 INDEX_BLOCK_ROWS = 1 << 20
+# Up to this many file splits (32 TB of large files) the summary of a row-number scan is small enough to broadcast.
+BROADCAST_SPLITS = 1 << 18
 
 
 def with_file_row_number(records: DataFrame) -> DataFrame:
@@ -31,6 +34,7 @@ def with_file_row_number(records: DataFrame) -> DataFrame:
         .withColumn("_base", F.sum("_rows").over(in_file) - F.col("_rows"))
         .withColumn("_start", F.sum("_rows").over(in_all) - F.col("_rows"))
     )
+    few = input_bytes(records) // SPLIT_BYTES + len(records.inputFiles()) <= BROADCAST_SPLITS
     step = F.col("_place") - F.col("_first")
     consistent = (step >= 0) & (step < F.col("_rows"))
     checked = F.when(consistent, step).otherwise(
@@ -38,7 +42,7 @@ def with_file_row_number(records: DataFrame) -> DataFrame:
         .cast("long")
     )
     return (
-        placed.join(splits, ["file_path", "_split"], "left")
+        placed.join(F.broadcast(splits) if few else splits, ["file_path", "_split"], "left")
         .withColumn("_step", checked)
         .withColumn("line_no", F.col("_base") + F.col("_step"))
         .withColumn("row_id", F.col("_start") + F.col("_step"))
