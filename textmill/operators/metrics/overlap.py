@@ -45,7 +45,7 @@ def chrf_statistics(pred: Column, gold: Column, char_order: int = 6, word_order:
     def statistics(preds: pd.Series, golds: pd.Series) -> pd.Series:
         return pd.Series([_chrf_row(p, g, char_order, word_order) for p, g in zip(preds, golds)], dtype=object)
 
-    return statistics(pred, gold)
+    return statistics(F.coalesce(pred, F.lit("")), F.coalesce(gold, F.lit("")))
 
 
 def chrf_sums(statistics: str, orders: int) -> list[Column]:
@@ -113,7 +113,7 @@ def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii") -> C
             rows.append([max(s) for s in zip(*scores)] if scores else [0.0] * 4)
         return pd.DataFrame(rows, columns=["rouge1", "rouge2", "rougeL", "rougeLsum"], dtype="float64")
 
-    return statistics(pred, golds)
+    return statistics(F.coalesce(pred, F.lit("")), F.filter(golds, lambda g: g.isNotNull()))
 
 
 def rouge(df: DataFrame, pred: str = "pred", gold: str = "gold", tokenizer: str = "ascii") -> DataFrame:
