@@ -19,7 +19,11 @@ class Query:
 class Registry(dict):
     """Query name to `Query`; `add` registers a function under its own name."""
 
-    def add(self, sql: str | None = None):
+    def add(self, sql: str | None = None, ints: tuple[str, ...] = ()):
+        """`ints` names the SQL columns to narrow to 32 bits, the type of array positions and sizes in Spark."""
+        if ints:
+            sql = f"SELECT * REPLACE ({', '.join(f'({c})::INT AS {c}' for c in ints)}) FROM ({sql})"
+
         def register(run):
             self[run.__name__] = Query(run, sql)
             return run

@@ -84,7 +84,7 @@ def d7_restructure(spark, sf):
 
 @QUERIES.add("""
 WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations)
-SELECT conv_id, turn, words[len(words)] AS answer, len(words) - 1 AS start_idx FROM w""")
+SELECT conv_id, turn, words[len(words)] AS answer, len(words) - 1 AS start_idx FROM w""", ints=("start_idx",))
 def d8_reduce_answers(spark, sf):
     words = F.split("text", " ", -1)
     answers = F.transform(words, lambda w, i: F.struct(w.alias("text"), i.alias("start_idx")))

@@ -122,7 +122,7 @@ _START_SQL = "(length(text) - (doc_id * 7919) % length(text) - 1)"
 SELECT doc_id || '-0' AS qid, lang AS title, false AS plausible_answer, 2 AS n_answers,
   substr(text, {_START_SQL} + 1, 9) AS first_text, {_START_SQL} AS first_start FROM documents
 UNION ALL SELECT doc_id || '-1', lang, true, 1, substr(text, {_START_SQL} + 1, 9), {_START_SQL} FROM documents
-UNION ALL SELECT doc_id || '-2', lang, false, 0, NULL, NULL FROM documents""")
+UNION ALL SELECT doc_id || '-2', lang, false, 0, NULL, NULL FROM documents""", ints=("first_start",))
 def s5_reading_questions(spark, sf):
     path = scratch_path(spark, "mrc.json")
     _nested_documents(spark, sf).write.json(path)
@@ -190,7 +190,7 @@ def _write_parse_blocks(spark, sf) -> str:
 SELECT sentence, len(ws) AS n_words, array_to_string(list_transform(ws, lambda r: r.w), '/') AS words,
   array_to_string(list_transform(ws, lambda r: r.l), '/') AS lemma, array_to_string(list_transform(ws, lambda r: r.p), '/') AS pos,
   array_to_string(list_transform(ws, lambda r: r.h), ' ') AS head,
-  array_to_string(list_transform(ws, lambda r: r.d), ' ') AS deprel FROM ({_LINES_PARSED_SQL})""")
+  array_to_string(list_transform(ws, lambda r: r.d), ' ') AS deprel FROM ({_LINES_PARSED_SQL})""", ints=("n_words",))
 def s8_dependency_sentences(spark, sf):
     rows = benchmarks.read_dependency_sentences(spark, _write_parse_blocks(spark, sf))
     return rows.select(
@@ -202,7 +202,7 @@ def s8_dependency_sentences(spark, sf):
 
 @QUERIES.add(f"""
 SELECT len(ws) AS n_words, array_to_string(list_transform(ws, lambda r: r.i), ' ') AS ids,
-  array_to_string(list_transform(ws, lambda r: r.w), '/') AS words FROM ({_LINES_PARSED_SQL})""")
+  array_to_string(list_transform(ws, lambda r: r.w), '/') AS words FROM ({_LINES_PARSED_SQL})""", ints=("n_words",))
 def s8_dependency_blocks(spark, sf):
     rows = benchmarks.read_dependency_blocks(spark, _write_parse_blocks(spark, sf))
     return rows.select(F.size("ids").alias("n_words"),
@@ -253,7 +253,7 @@ WITH q AS (SELECT doc_id, text, source, {_START_SQL} AS start FROM documents),
 l AS (SELECT *, string_split(regexp_replace(text, '([.?!]) ', '\1' || chr(1), 'g'), chr(1)) AS s FROM q)
 SELECT doc_id || '-0' AS id, source AS text2, substr(text, start + 1, 9) AS first_label, start AS first_pos,
   CASE WHEN regexp_matches(substr(text, start, 2), '^[.?!] $') THEN ''
-    ELSE s[len(regexp_extract_all(left(text, start), '[.?!] ')) + 1] END AS first_sent, s[1] AS second_sent FROM l""")
+    ELSE s[len(regexp_extract_all(left(text, start), '[.?!] ')) + 1] END AS first_sent, s[1] AS second_sent FROM l""", ints=("first_pos",))
 def s10_flatten_questions(spark, sf):
     flat = questions.flatten_questions(_nested_documents(spark, sf)).filter(F.size("label") > 0)
     return flat.select("id", "text2", F.col("label")[0].alias("first_label"), F.col("position")[0]["pos"].alias("first_pos"),

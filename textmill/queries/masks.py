@@ -59,7 +59,7 @@ def capitalised(sentence):
     return F.regexp_extract_all(sentence, F.lit(_ENTITY), 0)
 
 
-@QUERIES.add(f"WITH {_ALL}, {_SENTENCES_SQL} SELECT doc_id, sent_no, substr(sentence, 1, 510) AS sentence FROM s")
+@QUERIES.add(f"WITH {_ALL}, {_SENTENCES_SQL} SELECT doc_id, sent_no, substr(sentence, 1, 510) AS sentence FROM s", ints=("sent_no",))
 def m1_sentences(spark, sf):
     return masking.sentence_rows(texts(spark, sf, "documents"))
 
@@ -67,7 +67,7 @@ def m1_sentences(spark, sf):
 @QUERIES.add(f"""
 WITH RECURSIVE {_ALL}, {_SENTENCES_SQL}, {_PACK_SQL}
 SELECT doc_id, context_no, count(*) AS n_sentences, sum(strlen(sentence))::BIGINT AS n_bytes, min(sent_no) AS first_sentence
-FROM s JOIN p USING (doc_id, sent_no) GROUP BY ALL""")
+FROM s JOIN p USING (doc_id, sent_no) GROUP BY ALL""", ints=("n_sentences", "first_sentence"))
 def m2_pack_contexts(spark, sf):
     contexts = masking.pack_contexts(texts(spark, sf, "documents"))
     size = F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s["sentence"]))
@@ -79,7 +79,7 @@ def m2_pack_contexts(spark, sf):
 WITH {_ALL}, {_SENTENCES_SQL},
 e AS (SELECT doc_id, sent_no, unnest(l) AS surface, generate_subscripts(l, 1) - 1 AS i
   FROM (SELECT *, regexp_extract_all(substr(sentence, 1, 510), '{_ENTITY}') AS l FROM s))
-SELECT doc_id, sent_no, i % 3 AS variant, string_agg(surface, ' ' ORDER BY i) AS surfaces FROM e GROUP BY ALL""")
+SELECT doc_id, sent_no, i % 3 AS variant, string_agg(surface, ' ' ORDER BY i) AS surfaces FROM e GROUP BY ALL""", ints=("sent_no", "variant"))
 def m3_round_robin(spark, sf):
     found = masking.sentence_rows(texts(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
     each = found.select("doc_id", "sent_no", "e", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("variant"))
@@ -88,20 +88,20 @@ def m3_round_robin(spark, sf):
                                                     F.array_join("mine", " ").alias("surfaces"))
 
 
-@QUERIES.add(_masked_sql(_ALL, "sent_no", 1) + " SELECT doc_id, sent_no, text, target FROM done")
+@QUERIES.add(_masked_sql(_ALL, "sent_no", 1) + " SELECT doc_id, sent_no, text, target FROM done", ints=("sent_no",))
 def m4_mask_sentences(spark, sf):
     rows = masking.sentence_rows(texts(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))
     masked = masking.mask_sentence(F.col("sentence"), F.col("e"), F.lit(0))
     return rows.select("doc_id", "sent_no", masked.alias("m")).select("doc_id", "sent_no", "m.text", "m.target")
 
 
-@QUERIES.add(_masked_sql(_DISTINCT, "context_no", 2) + _CORPUS_SQL)
+@QUERIES.add(_masked_sql(_DISTINCT, "context_no", 2) + _CORPUS_SQL, ints=("variant",))
 def m5_masked_corpus(spark, sf):
     """Deduplicate, split, pack, mask in two variants, join the sentences of each context."""
     return salient_span_corpus(texts(spark, sf, "documents"), tagger=capitalised)
 
 
-@QUERIES.add(_masked_sql(_ALL, "context_no", 2) + _CORPUS_SQL)
+@QUERIES.add(_masked_sql(_ALL, "context_no", 2) + _CORPUS_SQL, ints=("variant",))
 def m5_entity_table(spark, sf):
     """The same without deduplication, with the entities given as a table."""
     docs = texts(spark, sf, "documents")

@@ -191,7 +191,7 @@ def p9_retag_boundary(spark, sf):
 SELECT conv_id, turn, CASE WHEN {sql_hash('conv_id * 1000 + turn', 5)} % 3 = 0 THEN '[알 수 없음]' ELSE w[1] END AS first_text,
   CASE WHEN {sql_hash('conv_id * 1000 + turn', 5)} % 3 = 0 THEN -1 ELSE 0 END AS first_start,
   CASE WHEN {sql_hash('conv_id * 1000 + turn', 5)} % 3 = 0 THEN 1 ELSE len(w) END AS n_answers
-FROM (SELECT *, string_split(text, ' ') AS w FROM conversations)""")
+FROM (SELECT *, string_split(text, ' ') AS w FROM conversations)""", ints=("n_answers",))
 def p10_gold_answers(spark, sf):
     key = F.col("conv_id") * 1000 + F.col("turn")
     answers = F.transform(F.split("text", " ", -1), lambda w, i: F.struct(w.alias("text"), i.alias("start_idx")))

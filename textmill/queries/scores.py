@@ -339,7 +339,7 @@ h AS (SELECT *, CASE WHEN k = 0 AND i > n - 2 THEN -2 WHEN k = 2 AND i % 3 = 0 T
 pairs AS (SELECT *, CASE WHEN head <> gold_head THEN -2 ELSE raw END AS label FROM h)"""
 
 
-@QUERIES.add(f"WITH {_WORD_PAIRS_SQL} SELECT item_id AS row_id, i - 1 AS place, gold_head, head, gold_label, label FROM pairs")
+@QUERIES.add(f"WITH {_WORD_PAIRS_SQL} SELECT item_id AS row_id, i - 1 AS place, gold_head, head, gold_label, label FROM pairs", ints=("place", "gold_head", "head"))
 def e14_dependency_align(spark, sf):
     """Parsed, padded or cut to the gold length, labels cleared where the head is wrong."""
     aligned = dependency.align_dependencies(_dependency_predictions(spark, sf))

@@ -84,7 +84,7 @@ def t5_decode(spark, sf):
 
 @QUERIES.add("""
 SELECT lang, count(*) AS n_rows, max(strlen(text) + 1) AS max_length, sum(strlen(text) + 1)::BIGINT AS sum_length,
-  quantile_disc(strlen(text) + 1, 0.5) AS median_length FROM documents GROUP BY lang""")
+  quantile_disc(strlen(text) + 1, 0.5) AS median_length FROM documents GROUP BY lang""", ints=("max_length", "median_length"))
 def t6_length_profile(spark, sf):
     profile = tokens.length_profile(texts(spark, sf, "documents"), "text", ["lang"])
     return profile.withColumn("median_length", F.col("quantiles")[0]).drop("quantiles")
