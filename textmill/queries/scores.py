@@ -137,13 +137,17 @@ def e6_rouge_w(spark, sf):
                         F.round(answers.rouge_w_char(F.col("pred"), F.col("gold")), 9).alias("rouge_w"))
 
 
-@QUERIES.add()
+@QUERIES.add("""
+WITH r AS (SELECT doc_id, greatest(length(text) // 3, length(text) - length(text) // 3) AS run, length(text) AS n FROM documents)
+SELECT doc_id, run, round(2 * (run / (n + 1)) * (run / n) / (run / (n + 1) + run / n), 9) AS rouge_w FROM r""", ints=("run",))
 def e6_rouge_w_long(spark, sf):
-    """Whole documents against the text without every seventh word, in Arrow batches."""
-    kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    docs = texts(spark, sf, "documents").select("doc_id", "text", F.array_join(kept, " ").alias("pred"))
+    """Whole documents whose parts are swapped around a foreign mark, so the longer part is the longest run."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    swapped = F.concat(F.substr(F.col("text"), third + 1), F.lit("\u2060"), F.substr(F.col("text"), F.lit(1), third))
+    docs = texts(spark, sf, "documents").select("doc_id", "text", swapped.alias("pred"))
     scored = docs.withColumn("run", answers.common_run_long(F.col("pred"), F.col("text")))
-    return scored.select("doc_id", "run", answers.run_f(F.col("run"), F.col("pred"), F.col("text")).alias("rouge_w"))
+    score = answers.run_f(F.col("run"), F.col("pred"), F.col("text"))
+    return scored.select("doc_id", "run", F.round(score, 9).alias("rouge_w"))
 
 
 def _golds(df):
@@ -247,9 +251,19 @@ def e10_rouge_l(spark, sf):
     return scored.select(F.round("rougeL", 9).alias("rouge_l"), "n_rows")
 
 
-@QUERIES.add()
+_LINES_KEPT_SQL = "list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 0)"
+
+
+@QUERIES.add(f"""
+SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE 2.0 * p / (p + g) END), 9) AS rouge_lsum, count(*) AS n_rows FROM (
+  SELECT {_token_count_sql(f"array_to_string({_LINES_KEPT_SQL}, ' ')")} AS p, {_token_count_sql('text')} AS g FROM documents)""")
 def e10_rouge_lsum(spark, sf):
-    return overlap.rouge(changed_turns(spark, sf), tokenizer="whitespace").select("rougeLsum", "n_rows")
+    """Two of three lines in reverse order: each finds its own line, so all its words count, whatever the order."""
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: (i + 1) % 3 != 0)
+    pairs = texts(spark, sf, "documents").select(F.col("text").alias("gold"),
+                                                 F.array_join(F.reverse(kept), "\n").alias("pred"))
+    scored = overlap.rouge(pairs, tokenizer="whitespace")
+    return scored.select(F.round("rougeLsum", 9).alias("rouge_lsum"), "n_rows")
 
 
 _WORDS_SQL = "SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations"
