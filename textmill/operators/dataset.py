@@ -14,14 +14,18 @@ _DEDUP_BLOCK_ROWS = 1 << 16
 
 
 def shard_sample(df: DataFrame, n: int, seed: int, index: int = 0, key: str = "row_id",
-                 exact: bool = False) -> DataFrame:
+                 exact: bool = False, only: Column | None = None) -> DataFrame:
     """Keep one of `n` pseudo-random shards.
 
-    By default a row predicate on the key's hash, so about 1/n of the rows and no shuffle. `exact` keeps the rows
-    whose rank in hash order lies in the shard's range, so shard sizes differ by at most one.
+    By default a row predicate on the key's hash, so about 1/n of the rows and no shuffle; with `only`, rows outside
+    that condition are all kept. `exact` keeps the rows whose rank in hash order lies in the shard's range, so shard
+    sizes differ by at most one.
     """
     if not exact:
-        return df.filter(hash_bucket(F.col(key), n, seed) == index)
+        chosen = hash_bucket(F.col(key), n, seed) == index
+        return df.filter(chosen if only is None else ~only | chosen)
+    if only is not None:
+        raise ValueError("exact shards are taken of all rows")
     hashed = df.withColumn("_hash", hash32(F.col(key), seed)).withColumn(
         "_coarse", F.floor(F.col("_hash") / F.lit(HASH_RANGE // _COARSE_BUCKETS)))
     # At most 2^20 summary rows, whatever the size of `df`.
@@ -89,13 +93,15 @@ def reduce_answers(df: DataFrame, column: str = "answers") -> DataFrame:
 
 
 def rebalance(df: DataFrame, flag: str = "plausible_answer", seed: int = fv.REBALANCE_SEED,
-              key: str = "row_id") -> DataFrame:
+              key: str = "row_id", only: Column | None = None) -> DataFrame:
     """Repeat half of the answerable and half of the unanswerable rows, in one pass without a union.
 
+    With `only`, rows outside that condition stay single.
+
     `copy_no` is 0 for the original row and 1 for the repeated one; `key` and `copy_no` together stay unique.
     """
     half = hash_bucket(F.col(key), 2, seed) == 0
-    repeated = half & F.col(flag).isNotNull()
+    repeated = half & F.col(flag).isNotNull() & (F.lit(True) if only is None else only)
     copies = F.when(repeated, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return df.withColumn("copy_no", F.explode(copies))
 

@@ -42,15 +42,13 @@ def dialogue_examples(records: DataFrame) -> DataFrame:
 
 def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column], totals: dict[str, Column],
                   block_rows: int = BLOCK_TURNS) -> DataFrame:
-    """Add running columns over the rows *before* each row of its key, and `_block`.
+    """Add running columns over the rows *before* each row of its key.
 
     `values`: last non-null value so far; `totals`: sum so far. A key may hold any number of rows: they are handled
     in blocks of `block_rows` order values, each a group of its own, and only the last row of a block is carried along
-    the key. `(key, order)` must be unique and `order` a non-negative integer. An existing `_block` is used as it is,
-    so a second call finds the rows where the first one left them.
+    the key. `(key, order)` must be unique and `order` a non-negative integer.
     """
-    kept = [c for c in df.columns if c != "_block"]
-    blocked = df if "_block" in df.columns else df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
     zero = F.lit(0).cast("long")
     block = Window.partitionBy(key, "_block").orderBy(order)
     before = block.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +67,7 @@ def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column]
         *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values],
         *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in totals])
     return inside.join(carried, [key, "_block"]).select(
-        *kept, "_block",
+        *df.columns,
         *[F.coalesce(f"_i_{n}", f"_b_{n}").alias(n) for n in values],
         *[(F.col(f"_s_{n}") + F.coalesce(f"_c_{n}", zero)).alias(n) for n in totals])
 
@@ -79,13 +77,42 @@ def dialogue_states(turns: DataFrame, system_role: str = "sys", user_role: str =
     """System turns of a turn table `(key, order, role, text)` with label state, previous state and history extent.
 
     The history of a turn is the prefix of its conversation, given as `history_turns` and `history_chars`; the turn
-    table itself holds the text once, however long a conversation grows.
+    table itself holds the text once, however long a conversation grows. Conversations are handled in blocks of
+    `block_rows` order values, as in `carry_forward`.
     """
-    running = carry_forward(
-        turns, key, order,
-        {"label_state": F.when(F.col("role") == user_role, F.col(state))},
-        {"history_turns": F.lit(1), "history_chars": F.length("text")}, block_rows)
-    system = running.filter(F.col("role") == system_role)
-    with_previous = carry_forward(system, key, order, {"prev_state": F.col("label_state")}, {}, block_rows)
-    return with_previous.select(key, order, F.col("text").alias("sys_text"), "label_state", "prev_state",
-                                "history_turns", "history_chars")
+    is_system = F.col("role") == system_role
+    staged = turns.select(
+        key, order, F.col("text").alias("_text"), is_system.alias("_system"),
+        F.when(F.col("role") == user_role, F.col(state)).alias("_said"),
+        F.floor(F.col(order) / F.lit(block_rows)).alias("_block"))
+    block = Window.partitionBy(key, "_block").orderBy(order)
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    # The state within the block, then the state that the last system turn of the block saw.
+    inside = staged.withColumns({
+        "_user": F.last("_said", ignorenulls=True).over(before),
+        "_turns": F.count("*").over(before),
+        "_chars": F.coalesce(F.sum(F.length("_text")).over(before), zero),
+        "_ends": F.lead(order).over(block).isNull(),
+    }).withColumn("_saw", F.when(F.col("_system"), F.struct(F.col("_user").alias("state")))
+                  ).withColumn("_seen", F.last("_saw", ignorenulls=True).over(before))
+    # One row per block; a block without an own user turn has seen the state carried into it.
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = inside.filter("_ends").select(
+        key, "_block", F.coalesce("_said", "_user").alias("_last"), F.coalesce("_saw", "_seen").alias("_last_seen"),
+        (F.col("_turns") + 1).alias("_n"), (F.col("_chars") + F.length("_text")).alias("_c"))
+    carried = ends.withColumns({
+        "_user_in": F.last("_last", ignorenulls=True).over(earlier),
+        "_turns_in": F.coalesce(F.sum("_n").over(earlier), zero),
+        "_chars_in": F.coalesce(F.sum("_c").over(earlier), zero),
+    }).withColumn("_resolved", F.when(F.col("_last_seen").isNotNull(), F.struct(
+        F.coalesce(F.col("_last_seen.state"), F.col("_user_in")).alias("state")))
+    ).withColumn("_seen_in", F.last("_resolved", ignorenulls=True).over(earlier))
+    system = inside.filter("_system").join(
+        carried.select(key, "_block", "_user_in", "_turns_in", "_chars_in", "_seen_in"), [key, "_block"])
+    previous = F.when(F.col("_seen").isNotNull(), F.coalesce(F.col("_seen.state"), F.col("_user_in"))).otherwise(
+        F.col("_seen_in.state"))
+    return system.select(
+        key, order, F.col("_text").alias("sys_text"), F.coalesce("_user", "_user_in").alias("label_state"),
+        previous.alias("prev_state"), (F.col("_turns") + F.col("_turns_in")).alias("history_turns"),
+        (F.col("_chars") + F.col("_chars_in")).alias("history_chars"))

@@ -57,6 +57,9 @@ def score_reading_file(spark: SparkSession, pred_path, golds: DataFrame, on_miss
 
 
 def generate_lines(spark: SparkSession, in_path, out_path: str, load: ModelLoader, batch_size: int = 32) -> None:
-    """A text file, one input per line, to the model's output lines in the same order."""
+    """A text file, one input per line, to the model's output lines in the same order.
+
+    The lines are sorted before the model runs: sorting afterwards would run the model a second time to sample keys.
+    """
     lines = read_lines_indexed(spark, in_path).select("row_id", F.col("value").alias("input_text"))
-    write_lines(batch_generate(lines, load, batch_size), out_path, "prediction", "row_id")
+    write_lines(batch_generate(lines.orderBy("row_id"), load, batch_size), out_path, "prediction")

@@ -18,7 +18,7 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Task:
-    """`shape` prepares any row, `augment` the training rows only, `format` gives input and target text."""
+    """`shape` prepares any row, `augment` changes the training rows of a split frame, `format` gives input and target text."""
 
     format: Callable[..., DataFrame]
     gold_labels: dict[str, int] | None = None
@@ -41,8 +41,15 @@ def _sentiment_prompted(df: DataFrame) -> DataFrame:
     return fmt.format_template(df, "document", "label", fv.SENTIMENT_INPUT, fv.LABEL_ONLY, fv.SENTIMENT_TARGETS)
 
 
+_TRAIN = "split = 'train'"
+
+
 def _half_sample(df: DataFrame) -> DataFrame:
-    return shard_sample(df, 2, fv.CLASSIFIER_SAMPLE_SEED)
+    return shard_sample(df, 2, fv.CLASSIFIER_SAMPLE_SEED, only=F.expr(_TRAIN))
+
+
+def _rebalanced(df: DataFrame) -> DataFrame:
+    return rebalance(df, only=F.expr(_TRAIN))
 
 
 def _multitask(df: DataFrame, label_map) -> DataFrame:
@@ -63,7 +70,7 @@ TASKS: dict[str, Task] = {
     "kr-internal": Task(fmt.format_title_content, augment=_half_sample, valid_proportion=0.05,
                         seeds=_CLASSIFIER_SEEDS),
     "kr-internal-mtl": Task(_multitask, augment=_half_sample, valid_proportion=0.05, seeds=_CLASSIFIER_SEEDS),
-    "klue-mrc": Task(fmt.format_mrc, shape=reduce_answers, augment=rebalance, valid_is_test=True),
+    "klue-mrc": Task(fmt.format_mrc, shape=reduce_answers, augment=_rebalanced, valid_is_test=True),
     "klue-ner": Task(fmt.format_ner, valid_is_test=True),
     "klue-dp": Task(fmt.format_dependency, shape=fmt.build_dependency_strings, valid_is_test=True),
     "korquad-v1": Task(fmt.format_qa, valid_proportion=0.05),
@@ -108,11 +115,7 @@ def assemble_splits(name: str, train: DataFrame | list[DataFrame] | None, valid=
     if train is not None:
         split = train_test_split(train, 0.0 if test is not None else test_proportion,
                                  0.0 if valid is not None else share, task.seeds)
-        if task.augment:
-            learned = split.filter(F.col("split") == "train").transform(task.augment)
-            held = split.filter(F.col("split") != "train")
-            split = learned.unionByName(held, allowMissingColumns=True)
-        parts.append(split)
+        parts.append(split.transform(task.augment) if task.augment else split)
     for rows, label in ((valid, "validation"), (test, "test")):
         if rows is not None:
             parts.append(rows.withColumn("split", F.lit(label)))

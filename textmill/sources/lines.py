@@ -96,7 +96,10 @@ def line_of(items: Column, is_list: bool = False) -> Column:
 
 
 def write_lines(df: DataFrame, path: str, column: str, order: str | None = None) -> None:
-    """One item per line. With `order` the files, read in name order, keep the rows sorted by that column."""
+    """One item per line. With `order` the files, read in name order, keep the rows sorted by that column.
+
+    Sorting samples its input first, so compute costly columns after sorting and leave `order` out.
+    """
     is_list = df.schema[column].dataType.typeName() == "array"
     lines = df.select(*([order] if order else []), line_of(F.col(column), is_list).alias("value"))
     if order:
