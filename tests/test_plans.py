@@ -76,6 +76,10 @@ def test_prepare(spark):
     df = spark.createDataFrame([(i, "가" * i, "y") for i in range(20)], "row_id long, text string, target_text string")
     kept = prepare("tsv", df, max_len=20).collect()
     assert all(len(r.input_ids) + len(r.labels) < 20 for r in kept) and len(kept) == 6
+    held = prepare("tsv", None, test=df, max_len=20).collect()
+    assert len(held) == 20 and max(len(r.input_ids) for r in held) == 20
+    topics = df.selectExpr("row_id", "text AS title", "0 AS label")
+    assert prepare("klue-ynat", topics, max_len=20).count() == 20
     cut = prepare("tsv", df, max_len=20, truncate=True).collect()
     assert len(cut) == 20 and max(len(r.input_ids) for r in cut) == 20
 

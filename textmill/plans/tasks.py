@@ -18,7 +18,10 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Task:
-    """`shape` prepares any row, `augment` changes the training rows of a split frame, `format` gives input and target text."""
+    """`shape` prepares any row, `augment` changes the training rows of a split frame, `format` gives both texts.
+
+    `drops_long`: without truncation, rows over the length limit are dropped rather than cut.
+    """
 
     format: Callable[..., DataFrame]
     gold_labels: dict[str, int] | None = None
@@ -26,6 +29,7 @@ class Task:
     augment: Step | None = None
     valid_proportion: float = 0.0
     valid_is_test: bool = False
+    drops_long: bool = False
     seeds: tuple[int, int] = (fv.TEXT_TEST_SEED, fv.TEXT_VALID_SEED)
 
 
@@ -63,8 +67,8 @@ TASKS: dict[str, Task] = {
     "nsmc-naive": Task(lambda df: fmt.format_plain(df, "document", "label", fv.SENTIMENT_TARGETS),
                        _ids(fv.SENTIMENT_TARGETS), valid_proportion=0.02),
     "nsmc-prompted": Task(_sentiment_prompted, _ids(fv.SENTIMENT_TARGETS), valid_proportion=0.02),
-    "klue-nli": Task(fmt.format_nli, _nli_gold(), valid_proportion=0.05),
-    "klue-ynat": Task(fmt.format_topic, _ids(fv.TOPIC_TARGETS), valid_proportion=0.05),
+    "klue-nli": Task(fmt.format_nli, _nli_gold(), valid_is_test=True),
+    "klue-ynat": Task(fmt.format_topic, _ids(fv.TOPIC_TARGETS), valid_proportion=0.01),
     "kornli-prompted": Task(fmt.format_nli, _nli_gold()),
     "paws-x-kor": Task(fmt.format_paraphrase, _ids(fv.PARAPHRASE_TARGETS)),
     "kr-internal": Task(fmt.format_title_content, augment=_half_sample, valid_proportion=0.05,
@@ -74,10 +78,10 @@ TASKS: dict[str, Task] = {
     "klue-ner": Task(fmt.format_ner, valid_is_test=True),
     "klue-dp": Task(fmt.format_dependency, shape=fmt.build_dependency_strings, valid_is_test=True),
     "korquad-v1": Task(fmt.format_qa, valid_proportion=0.05),
-    "hfdataset": Task(lambda df: fmt.format_plain(df, "text", "label")),
-    "jsonlines": Task(lambda df: fmt.format_plain(df, "text", "label"), seeds=_JSON_SEEDS),
+    "hfdataset": Task(lambda df: fmt.format_plain(df, "text", "label"), drops_long=True),
+    "jsonlines": Task(lambda df: fmt.format_plain(df, "text", "label"), drops_long=True, seeds=_JSON_SEEDS),
 }
-DEFAULT_TASK = Task(lambda df: fmt.format_plain(df, "text", "target_text"))
+DEFAULT_TASK = Task(lambda df: fmt.format_plain(df, "text", "target_text"), drops_long=True)
 # Tasks whose class names come with the data: the caller passes them as an id-to-name dict.
 _NEEDS_LABEL_MAP = ("kr-internal", "kr-internal-mtl")
 
@@ -130,8 +134,12 @@ def assemble_splits(name: str, train: DataFrame | list[DataFrame] | None, valid=
 def prepare(name: str, train=None, valid=None, test=None, valid_proportion: float | None = None,
             test_proportion: float = 0.0, max_len: int | None = None, truncate: bool = False,
             label_map=None, encode: bool = True) -> DataFrame:
-    """Read rows to encoded examples: split, format, filter by length, encode. One lazy plan without a shuffle."""
+    """Read rows to encoded examples: split, format, filter by length, encode. One lazy plan without a shuffle.
+
+    Rows that are not dropped, such as long test rows, are cut to `max_len` when they are encoded.
+    """
     rows = assemble_splits(name, train, valid, test, valid_proportion, test_proportion)
     formatted = format_task(name, rows, label_map)
-    kept = filter_by_length(formatted, max_len, ["input_text", "target_text"], truncate=truncate)
-    return encode_pairs(kept, max_len if truncate else None) if encode else kept
+    keep_long = truncate or not get_task(name).drops_long
+    kept = filter_by_length(formatted, max_len, ["input_text", "target_text"], truncate=keep_long)
+    return encode_pairs(kept, max_len) if encode else kept

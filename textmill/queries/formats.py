@@ -231,7 +231,7 @@ WITH rows AS (
   SELECT doc_id, text, lang, CASE WHEN {sql_hash('doc_id', 59282)} / 4294967296.0 < 0.1 THEN 'test'
     WHEN {sql_hash('doc_id', 39581)} / 4294967296.0 < 0.1 THEN 'validation' ELSE 'train' END AS split FROM documents),
 kept AS (SELECT * FROM rows WHERE split = 'test' OR strlen(text) + 1 + strlen(lang) + 1 < 4096)
-SELECT split, lang, count(*) AS n_rows, sum(strlen(text) + 1)::BIGINT AS n_input_ids,
+SELECT split, lang, count(*) AS n_rows, sum(least(strlen(text) + 1, 4096))::BIGINT AS n_input_ids,
   sum(strlen(lang) + 1)::BIGINT AS n_label_ids FROM kept GROUP BY ALL""")
 def f14_prepare(spark, sf):
     """Rows to encoded training examples: split, format, filter, encode; counted per split and language."""
