@@ -56,6 +56,19 @@ def test_read_any_dispatch(spark, folder):
     assert pairs.read_any(spark, "named_rows").count() == 3
 
 
+def test_sampled_sources(spark, folder):
+    tsv = put(folder, "p.tsv", "".join("same\tpair\n" for _ in range(400)))
+    saved = os.path.join(folder, "saved")
+    spark.range(300).selectExpr("'x' AS text", "'y' AS target_text").write.parquet(saved)
+    spark.range(5).selectExpr("id AS row_id", "'t' AS text", "'u' AS target_text").createOrReplaceTempView("keyed_rows")
+    rows = pairs.read_sources(spark, [(tsv, 4), (saved, 3), "keyed_rows"], seed=1)
+    counts = {r.text: r["count"] for r in rows.groupBy("text").count().collect()}
+    assert 60 < counts["same"] < 140 and 65 < counts["x"] < 135 and counts["t"] == 5
+    assert rows.select("row_id").distinct().count() == rows.count()
+    again = pairs.read_sources(spark, [(tsv, 4), (saved, 3), "keyed_rows"], seed=1)
+    assert set(map(tuple, rows.collect())) == set(map(tuple, again.collect()))
+
+
 def test_line_numbers_over_splits_and_files(spark, folder):
     expected = []
     for name in ("a.txt", "b.txt"):

@@ -33,11 +33,16 @@ SELECT conv_id, turn, text AS gold, array_to_string(list_filter(string_split(tex
   lambda w, i: i % 7 <> 0), ' ') AS pred FROM conversations"""
 
 
-def changed_turns(spark, sf):
+def _without_every_seventh_word(df, one_line: bool):
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" ")) if one_line else F.col("text")
+    kept = F.filter(F.split(text, " ", -1), lambda w, i: (i + 1) % 7 != 0)
+    return df.withColumns({"gold": text, "pred": F.array_join(kept, " ")})
+
+
+def changed_turns(spark, sf, one_line: bool = False):
     """Every seventh word is missing from the prediction."""
-    kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    return texts(spark, sf, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("gold"), F.array_join(kept, " ").alias("pred"))
+    rows = _without_every_seventh_word(texts(spark, sf, "conversations"), one_line)
+    return rows.select("conv_id", "turn", "gold", "pred")
 
 
 @QUERIES.add(f"SELECT round(avg((pred = gold)::INT), 9) AS exact_match, count(*) AS n_rows FROM ({_CHANGED_SQL})")
@@ -117,10 +122,9 @@ list_max(list_transform(range(1, length({p}) + 1), lambda i: list_max(list_trans
   lambda n: CASE WHEN contains({g}, substr({p}, i::INT, n::INT)) THEN n ELSE 0 END))))"""
 
 
-def _changed_items(spark, sf):
-    kept = F.filter(F.split("text", " ", -1), lambda w, i: (i + 1) % 7 != 0)
-    return texts(spark, sf, "benchmark").select("item_id", F.array_join(kept, " ").alias("pred"),
-                                                F.col("text").alias("gold"))
+def _changed_items(spark, sf, one_line: bool = False):
+    rows = _without_every_seventh_word(texts(spark, sf, "benchmark"), one_line)
+    return rows.select("item_id", "pred", "gold")
 
 
 _ITEMS_SQL = """SELECT item_id, text AS gold, array_to_string(list_filter(string_split(text, ' '),
@@ -216,18 +220,18 @@ def e9_chrf(spark, sf):
 _ROUGE_WORDS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-def _rouge_n_sql(n: int) -> str:
+def _rouge_n_sql(n: int, rows: str = _CHANGED_SQL, key: str = "conv_id, turn") -> str:
     def grams(side: str) -> str:
         return (f"list_transform(range(1, len({side}) - {n - 2}), "
                 f"lambda i: array_to_string({side}[i:i + {n - 1}], ' '))")
 
     return f"""
-SELECT conv_id, turn, CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(list_distinct(p),
+SELECT {key}, CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(list_distinct(p),
   lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t)))))
   * 2.0 / (len(p) + len(g)), 0) END AS f FROM (
-  SELECT conv_id, turn, {grams('pw')} AS p, {grams('gw')} AS g FROM (
-    SELECT conv_id, turn, {_ROUGE_WORDS_SQL.format('pred')} AS pw, {_ROUGE_WORDS_SQL.format('gold')} AS gw
-    FROM ({_CHANGED_SQL})))"""
+  SELECT {key}, {grams('pw')} AS p, {grams('gw')} AS g FROM (
+    SELECT {key}, {_ROUGE_WORDS_SQL.format('pred')} AS pw, {_ROUGE_WORDS_SQL.format('gold')} AS gw
+    FROM ({rows})))"""
 
 
 @QUERIES.add(f"""
@@ -422,15 +426,47 @@ def e18_mismatch_count(spark, sf):
     return prediction.mismatch_count(changed_turns(spark, sf), "pred", "gold")
 
 
-@QUERIES.add()
+def _metrics_sql(parts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS metric, round(({value})::DOUBLE, 7) AS value" for name, value in parts.items())
+
+
+def _rouge_parts_sql(rows: str, key: str) -> dict[str, str]:
+    """One-line predictions that leave words out: all their tokens are the longest common subsequence."""
+    tokens = f"SELECT len({_ROUGE_WORDS_SQL.format('pred')}) AS p, len({_ROUGE_WORDS_SQL.format('gold')}) AS g FROM ({rows})"
+    longest = f"SELECT avg(CASE WHEN p = 0 THEN 0 ELSE 2.0 * p / (p + g) END) FROM ({tokens})"
+    return {"rouge1": f"SELECT avg(f) FROM ({_rouge_n_sql(1, rows, key)})",
+            "rouge2": f"SELECT avg(f) FROM ({_rouge_n_sql(2, rows, key)})", "rougeL": longest, "rougeLsum": longest}
+
+
+_LINE_ITEMS_SQL = _ITEMS_SQL.replace("FROM benchmark", "FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
+_LINE_TURNS_SQL = _CHANGED_SQL.replace("FROM conversations", "FROM (SELECT * REPLACE (replace(text, chr(10), ' ') AS text) FROM conversations)")
+
+
+def _reading_parts_sql() -> dict[str, str]:
+    normal = f"SELECT {_reading_sql('pred')} AS p, {_reading_sql('gold')} AS g FROM ({_LINE_ITEMS_SQL})"
+    run = f"SELECT *, {_RUN_SQL.format(p='p', g='g')} AS run FROM ({normal})"
+    words = (f"SELECT {_SQUAD_TOKENS_SQL.format(_reading_sql('pred'))} AS p, "
+             f"{_SQUAD_TOKENS_SQL.format(_reading_sql('gold'))} AS g FROM ({_LINE_ITEMS_SQL})")
+    # The prediction's words are all in the gold answer.
+    return {"exact_match": f"SELECT avg((p = g)::INT) FROM ({normal})",
+            "rouge_w": f"SELECT avg(2.0 * run / (length(p) + length(g))) FROM ({run})",
+            "squad_exact_match": f"SELECT 100 * avg((p = g)::INT) FROM ({words})",
+            "squad_f1": f"SELECT 100 * avg(2.0 * len(p) / (len(p) + len(g))) FROM ({words})",
+            **_rouge_parts_sql(_LINE_ITEMS_SQL, "item_id")}
+
+
+@QUERIES.add(_metrics_sql(_reading_parts_sql()))
 def evaluate_reading_task(spark, sf):
     """All metrics of the reading task in one pass over parsed predictions."""
-    df = _golds(_changed_items(spark, sf)).withColumn(
-        "prediction", F.concat(F.lit("출력: "), F.replace("prediction", F.lit("\n"), F.lit(" ")), F.lit("\n정답임")))
-    return evaluate_task("klue-mrc", df, "prediction", "golds")
+    rows = _changed_items(spark, sf, one_line=True)
+    told = rows.select(F.concat(F.lit("출력: "), "pred", F.lit("\n정답임")).alias("prediction"), F.array("gold").alias("golds"))
+    return evaluate_task("klue-mrc", told, "prediction", "golds").withColumn("value", F.round("value", 7))
 
 
-@QUERIES.add()
+@QUERIES.add(_metrics_sql({
+    "exact_match": f"SELECT avg((pred = gold)::INT) FROM ({_LINE_TURNS_SQL})",
+    "chrf": f"SELECT chrf FROM ({_chrf_sql(_LINE_TURNS_SQL, 6, 2.0)})", **_rouge_parts_sql(_LINE_TURNS_SQL, "conv_id, turn")}))
 def evaluate_text_task(spark, sf):
-    """Exact match, chrF and ROUGE of free text."""
-    return evaluate_task("klue-ner", changed_turns(spark, sf), "pred", "gold")
+    """Exact match, chrF and ROUGE of free text in one pass."""
+    scored = evaluate_task("klue-ner", changed_turns(spark, sf, one_line=True), "pred", "gold")
+    return scored.withColumn("value", F.round("value", 7))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
+from ..operators.dataset import shard_sample
 from .lines import read_lines_indexed
 
 PAIR_COLUMNS = ("text", "target_text")
@@ -60,17 +61,26 @@ def read_saved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_any(spark: SparkSession, source: str, columns=PAIR_COLUMNS, delimiter: str = "\t") -> DataFrame:
-    """Dispatch on the source: a saved dataset folder, a pair file, or else a catalog table."""
+def source_kind(spark: SparkSession, source: str) -> str:
+    """`saved` for a folder, `records` or `pairs` for a file, `table` for anything else."""
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
-        return read_table(spark, source)
+        return "table"
     if files.getFileStatus(path).isDirectory():
+        return "saved"
+    plain = source.removesuffix(".gz").removesuffix(".zst")
+    return "records" if plain.endswith((".jsonl", ".json")) else "pairs"
+
+
+def read_any(spark: SparkSession, source: str, columns=PAIR_COLUMNS, delimiter: str = "\t") -> DataFrame:
+    """Read a saved dataset folder, a JSON-lines or pair file, or else a catalog table."""
+    kind = source_kind(spark, source)
+    if kind == "saved":
         return read_saved(spark, source)
-    if source.removesuffix(".gz").removesuffix(".zst").endswith((".jsonl", ".json")):
+    if kind == "records":
         return read_jsonl_pairs(spark, source)
-    return read_tsv_pairs(spark, source, columns, delimiter)
+    return read_tsv_pairs(spark, source, columns, delimiter) if kind == "pairs" else read_table(spark, source)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -83,6 +93,33 @@ def concat_sources(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def read_sources(spark: SparkSession, sources: list[str | tuple[str, int]], seed: int, columns=PAIR_COLUMNS,
+                 delimiter: str = "\t") -> DataFrame:
+    """Several inputs of one role with a `row_id`; an input given as `(source, n)` contributes 1/n of its rows.
+
+    The key is the input's number and the row's place in its file, so copies of a row are drawn independently.
+    A named table must bring a `row_id` of its own.
+    """
+    frames = []
+    for number, item in enumerate(sources):
+        source, n = item if isinstance(item, tuple) else (item, 1)
+        kind = source_kind(spark, source)
+        if kind == "pairs":
+            rows = read_tsv_pairs(spark, source, columns, delimiter, with_row_id=True)
+            rows = rows.drop("file_path", "line_no")
+            place = F.col("row_id").cast("string")
+        elif kind == "saved":
+            rows = read_saved(spark, source).select(
+                "*", F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string")).alias("row_id"))
+            place = F.col("row_id")
+        else:
+            rows = read_any(spark, source)
+            place = F.col("row_id").cast("string")
+        keyed = rows.withColumn("row_id", F.concat_ws(":", F.lit(str(number)), place))
+        frames.append(shard_sample(keyed, n, seed) if n > 1 else keyed)
+    return concat_sources(frames)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """Save all splits together, one folder per split, so that reading one split prunes the others."""
     df.write.partitionBy("split").parquet(path)
