@@ -358,3 +358,16 @@ def p6_generate_lines(spark, sf):
     lines.write_lines(rows, source, "line", "row")
     generate_lines(spark, source, out, load_stub, 16)
     return lines.read_lines_indexed(spark, out).select("row_id", F.col("value").alias("prediction"))
+
+
+@QUERIES.add(f"""
+WITH numbered AS (SELECT lang AS text, source AS target_text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)
+SELECT '0:' || n AS row_id, text, target_text FROM numbered WHERE {sql_hash("'0:' || n", 7)} % 4 = 0
+UNION ALL SELECT '1:' || n, text, target_text FROM numbered""")
+def s18_sampled_sources(spark, sf):
+    """The same pair files given twice: a fourth of them, and all of them."""
+    path = scratch_path(spark, "pairs.tsv")
+    rows = table(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("fields"))
+    lines.write_lines(rows, path, "fields", "doc_id")
+    files = f"{path}/part-*"
+    return pairs.read_sources(spark, [(files, 4), files], seed=7)

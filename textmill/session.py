@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 128 << 20
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def build_session(app_name: str = "textmill", master: str | None = None, **conf) -> SparkSession:
+def build_session(app_name: str = "textmill", master: str | None = None, shuffled_bytes: int | None = None,
+                  **conf) -> SparkSession:
     """Session with the settings the operators are tuned for; every one can be overridden by `conf`.
 
-    Shuffle partitions are left to the cluster: AQE coalesces them, and skewed join partitions are split.
+    `shuffled_bytes` is the most that one shuffle is expected to move. Shuffles start with one partition per 128 MB of
+    it, AQE coalesces what turns out smaller, and skewed join partitions are split.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -25,10 +28,14 @@ def build_session(app_name: str = "textmill", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Joins of text with narrow keys then hash the keys instead of sorting the text.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SPLIT_BYTES),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
+    if shuffled_bytes:
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                            str(max(200, shuffled_bytes // SPLIT_BYTES)))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -52,9 +59,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textmill/{uuid.uuid4().hex}/{name}"
 
 
-SPLIT_BYTES = 128 << 20
-
-
 def input_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it; for a file scan, the size of the files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -62,13 +62,14 @@ def read_saved(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_kind(spark: SparkSession, source: str) -> str:
-    """`saved` for a folder, `records` or `pairs` for a file, `table` for anything else."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return "table"
-    if files.getFileStatus(path).isDirectory():
-        return "saved"
+    """`saved` for a folder, `records` or `pairs` for a file or a file pattern, `table` for anything else."""
+    if "*" not in source:
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return "table"
+        if files.getFileStatus(path).isDirectory():
+            return "saved"
     plain = source.removesuffix(".gz").removesuffix(".zst")
     return "records" if plain.endswith((".jsonl", ".json")) else "pairs"
 
