@@ -146,6 +146,9 @@ def test_label_maps(spark):
     assert [r.y for r in labels.map_labels(df, "y", None).collect()] == [0, 1, 5]
     big = {i: f"n{i}" for i in range(200)}
     assert sorted(r.y for r in labels.map_labels(df, "y", big).collect()) == ["n0", "n1", "n5"]
+    table = spark.createDataFrame([(0, "zero"), (1, "one")], "id int, name string")
+    joined = labels.map_labels(df, "y", table, "t", unmapped="flag").orderBy("y").collect()
+    assert [(r.y, r.t, r.t_unmapped) for r in joined] == [(0, "zero", False), (1, "one", False), (5, None, True)]
     nested = spark.createDataFrame([(["a", "b"],), (["a"],)], "l array<string>")
     assert {r.label: r.n for r in labels.count_labels(nested, "l").collect()} == {"a": 2, "b": 1}
 

@@ -41,8 +41,7 @@ def remove_punctuation(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Space-separated words; no words for blank text."""
-    clean = collapse_spaces(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
 
 
 def render(template: str, **columns: Column) -> Column:

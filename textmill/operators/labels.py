@@ -13,7 +13,7 @@ from ..functions.text import let
 # size is bounded by the program text or configuration they were read from, never by the data.
 LITERAL_ENTRIES = 64
 
-LabelMap = dict | Callable[[Column], Column]
+LabelMap = dict | DataFrame | Callable[[Column], Column]
 
 
 def literal_map(mapping: dict) -> Column:
@@ -27,20 +27,25 @@ def _unmapped(value: Column, kind: str) -> Column:
 
 def map_labels(df: DataFrame, column: str, mapping: LabelMap | None, out: str | None = None,
                unmapped: str = "raise") -> DataFrame:
-    """Replace ids by texts. `mapping` is a dict, a Column function, or None to pass values through.
+    """Replace ids by texts. `mapping` is a dict, a two-column table, a Column function, or None for no change.
 
-    A value without entry fails the job, or with `unmapped="flag"` gives null and a true `<out>_unmapped`.
+    A value without entry fails the job, or with `unmapped="flag"` gives null and a true `<out>_unmapped`. Whether a
+    table is broadcast is left to the optimizer, which knows its size.
     """
     out = out or column
     value = F.col(column)
     if mapping is None:
         return df.withColumn(out, value)
-    if not isinstance(mapping, dict):
+    if not isinstance(mapping, (dict, DataFrame)):
         return df.withColumn(out, mapping(value))
-    kind = "string" if all(isinstance(v, str) for v in mapping.values()) else "int"
-    if len(mapping) <= LITERAL_ENTRIES:
-        found = F.try_element_at(literal_map(mapping), value)
-        joined = df.withColumn("_found", found)
+    if isinstance(mapping, dict):
+        kind = "string" if all(isinstance(v, str) for v in mapping.values()) else "int"
+    else:
+        kind = mapping.dtypes[1][1]
+    if not isinstance(mapping, dict):
+        joined = df.join(mapping.toDF("_key", "_found"), F.col("_key") == value, "left").drop("_key")
+    elif len(mapping) <= LITERAL_ENTRIES:
+        joined = df.withColumn("_found", F.try_element_at(literal_map(mapping), value))
     else:
         key_type = df.schema[column].dataType.simpleString()
         entries = pd.DataFrame({"_key": list(mapping), "_found": list(mapping.values())})
