@@ -6,6 +6,7 @@ Each helper looks at one prediction and one reference. Spark partitions the rows
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -51,7 +52,7 @@ def token_ids(predicted: list[str], reference: list[str]) -> tuple[np.ndarray, n
             np.array([vocabulary[t] for t in reference], dtype=np.int64))
 
 
-def _lcs_rows(rows: list[str], columns: list[str]):
+def _lcs_rows(rows: Sequence[str], columns: Sequence[str]):
     """Yield one integer per element of `rows`; a zero bit j marks a step of the common-subsequence length at j."""
     everything = (1 << len(columns)) - 1
     places: dict[str, int] = {}
@@ -73,7 +74,7 @@ def lcs_length(first: list[str], second: list[str]) -> int:
     return len(second) - state.bit_count()
 
 
-def _lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
+def _lcs_positions(reference: Sequence[str], candidate: Sequence[str]) -> set[int]:
     """Positions of `reference` on the traced common subsequence; on equal lengths the trace moves up."""
     table = [(1 << len(candidate)) - 1, *_lcs_rows(reference, candidate)]
 
@@ -85,7 +86,8 @@ def _lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
         if reference[i - 1] == candidate[j - 1]:
             positions.add(i - 1)
             i, j = i - 1, j - 1
-        elif length(i, j - 1) > length(i - 1, j):
+        elif table[i] >> (j - 1) & 1 and length(i, j) > length(i - 1, j):
+            # A set bit means that the length does not change at j, so the step to the left keeps it.
             j -= 1
         else:
             i -= 1
@@ -93,17 +95,34 @@ def _lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
 
 
 def summary_lcs_hits(reference: list[list[str]], candidate: list[list[str]]) -> int:
-    """Tokens of the union of sentence-wise common subsequences, each counted at most as often as on both sides."""
+    """Tokens of the union of sentence-wise common subsequences, each counted at most as often as on both sides.
+
+    A pair of sentences is only traced if it can add a position: one of its shared tokens must stand where the union
+    has nothing yet. Equal sentences, tried first, settle a sentence at once.
+    """
     left_reference = Counter(t for sentence in reference for t in sentence)
     left_candidate = Counter(t for sentence in candidate for t in sentence)
+    distinct = list(dict.fromkeys(map(tuple, candidate)))
+    known, vocabularies = set(distinct), [frozenset(sentence) for sentence in distinct]
     hits = 0
     for sentence in reference:
-        union: set[int] = set()
-        for other in candidate:
-            union |= _lcs_positions(sentence, other)
-        for position in sorted(union):
-            token = sentence[position]
-            if left_reference[token] > 0 and left_candidate[token] > 0:
+        everything = (1 << len(sentence)) - 1
+        union = everything if tuple(sentence) in known else 0
+        if not union:
+            places: dict[str, int] = {}
+            for position, token in enumerate(sentence):
+                places[token] = places.get(token, 0) | (1 << position)
+            for other, vocabulary in zip(distinct, vocabularies):
+                possible = 0
+                for token in places.keys() & vocabulary:
+                    possible |= places[token]
+                if possible & ~union:
+                    for position in _lcs_positions(sentence, other):
+                        union |= 1 << position
+                    if union == everything:
+                        break
+        for position, token in enumerate(sentence):
+            if union >> position & 1 and left_reference[token] > 0 and left_candidate[token] > 0:
                 left_reference[token] -= 1
                 left_candidate[token] -= 1
                 hits += 1
