@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..queries import Query
-from . import bpe, line_dedup, minhash, mixing, quality
+from . import bpe, chat, line_dedup, minhash, mixing, quality, rules
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,40 @@ def op8_byte_bpe(spark, sf):
     result = bpe.encode_texts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                               public_tokenizers.PATTERN, with_ids=False)
     return result.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def _escaped(column: str) -> str:
+    """SQL for the escaped text."""
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for control in chat.CONTROL_STRINGS:
+        out = f"replace({out}, '{control}', chr(92) || '{'l' if control[0] == '<' else 'b'}{control[1:]}')"
+    return out
+
+
+@add(f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.TURN_START + chat.ROLE_END + chat.TURN_END)} + length({_escaped("replace(role, chr(10), chr(92) || 'n')")})
+    + length({_escaped('text')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op3_chat_format(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0, 'user', '{probe}'), (-7L, 1, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
+    made = chat.format_turns(turns.unionByName(extra))
+    read = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.char_length("formatted").alias("chars"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                       F.col("chars").cast("long").alias("formatted_chars"))
+
+
+@add()
+def op9_quality_rules(spark, sf):
+    result = rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return result.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
