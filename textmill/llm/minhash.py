@@ -159,7 +159,8 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Da
     wanted = members.select("id").distinct()
     # Different texts under one id count as one vertex: it is linked if any of them is.
     sets = stored(shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), width), "sets")
-    found, current, turn = None, members.withColumn("component", F.col("id")), 0
+    found, turn = None, 0
+    current = members.withColumns({"component": F.col("id"), "shared": F.col("n"), "bands": F.array("band")})
     while True:
         pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
         order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
@@ -177,17 +178,39 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Da
         current = stored(rest.join(open_bands, "band", "left_semi"), "open")
         if current.isEmpty():
             return found
+        if not turn:
+            current = stored(_with_bounds(current, classes, sets), "bounded")
         turn += 1
 
 
+def _with_bounds(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of open buckets with all their bands, and with the number of their shingles that another member holds.
+
+    A set can't have more than these in common with any other, which rules out most pairs of loose copies of one text.
+    """
+    ids = members.select("id").distinct()
+    single = (sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s")).distinct()
+              .groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+              .groupBy("id").agg(F.count("*").alias("single")))
+    facts = ids.join(single, "id", "left").join(classes.select("id", F.col("bands").alias("all_bands")), "id")
+    return (members.join(facts, "id").withColumns({"shared": F.col("n") - F.coalesce("single", F.lit(0)), "bands": F.col("all_bands")})
+            .drop("single", "all_bands"))
+
+
 def _candidates(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a pivot and a member of another component that size and sketch do not rule out."""
-    p = chosen.select("band", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "sketch_1", "sketch_2", "component")))
+    """Pairs of a pivot and a member of another component that sizes, shared shingles and sketches do not rule out.
+
+    A pair belongs to the first of the bands in which both lie, so it is met once however many these are.
+    """
+    p = chosen.select("band", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "sketch_1", "sketch_2", "component", "shared", "bands")))
     near = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("p_sketch_1"))) \
         + F.bit_count(F.col("sketch_2").bitwiseXOR(F.col("p_sketch_2"))) <= SKETCH_DISTANCE
     sized = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
     differ = (F.col("component") != F.col("p_component")) & (F.col("id") != F.col("p_id"))
-    joined = members.hint("merge").join(p, (members["band"] == p["band"]) & differ & sized & near)
+    enough = F.least("shared", "p_shared") * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    together = F.zip_with("bands", "p_bands", lambda x, y: x == y)
+    first = F.element_at("bands", F.array_position(together, True).cast("int")) == members["band"]
+    joined = members.hint("merge").join(p, (members["band"] == p["band"]) & differ & sized & enough & near & first)
     return joined.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
