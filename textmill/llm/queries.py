@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..queries import Query
-from . import bpe, chat, line_dedup, minhash, mixing, quality, rules
+from . import bpe, chat, line_dedup, minhash, mixing, quality, rules, scoring
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,10 @@ def op3_chat_format(spark, sf):
 def op9_quality_rules(spark, sf):
     result = rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return result.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@add()
+def op10_lm_score(spark, sf):
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    result = scoring.score_texts(table(spark, sf, "documents"), ~held_out)
+    return result.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
