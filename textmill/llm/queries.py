@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..queries import Query
-from . import bpe, chat, line_dedup, minhash, mixing, quality, rules, scoring
+from . import bpe, chat, line_dedup, minhash, mixing, passages, quality, rules, scoring
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,25 @@ def op10_lm_score(spark, sf):
     held_out = crc_remainder(F.col("doc_id"), 7) == 2
     result = scoring.score_texts(table(spark, sf, "documents"), ~held_out)
     return result.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@add(r"""
+WITH d AS (SELECT doc_id, upper(to_hex(encode(coalesce(text, '')))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+p AS (SELECT doc_id, unnest(range(n - 49)) AS p FROM n WHERE n >= 50),
+w AS MATERIALIZED (SELECT p.doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k FROM p JOIN n ON n.doc_id = p.doc_id),
+f AS (SELECT k, min(doc_id) AS first_id FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS MATERIALIZED (SELECT w.doc_id, p FROM w JOIN f ON f.k = w.k WHERE first_id < w.doc_id),
+b AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS fresh FROM g),
+s AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM s GROUP BY doc_id, run),
+o AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM r),
+k AS (
+  SELECT o.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN next IS NULL THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM o JOIN n ON n.doc_id = o.doc_id GROUP BY o.doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM n LEFT JOIN k ON k.doc_id = n.doc_id""")
+def op7_repeated_passages(spark, sf):
+    result = passages.dedup_passages(table(spark, sf, "documents"))
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
