@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..queries import Query
-from . import bpe, chat, line_dedup, minhash, mixing, passages, quality, rules, scoring
+from . import bpe, chat, line_dedup, minhash, mixing, passages, quality, rules, scoring, vectors
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -166,3 +166,19 @@ FROM n LEFT JOIN k ON k.doc_id = n.doc_id""")
 def op7_repeated_passages(spark, sf):
     result = passages.dedup_passages(table(spark, sf, "documents"))
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@add("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT b, c FROM reach JOIN links ON a = v WHERE c < b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM embeddings JOIN reach ON v = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id""")
+def op4_embedding_near_dedup(spark, sf):
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
