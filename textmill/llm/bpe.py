@@ -18,6 +18,7 @@ from .common import batch_map, text_bytes
 #: States and remembered pieces of a worker; beyond it the tables start anew. Results do not depend on it.
 MAX_STATES = 3 << 17
 MAX_PIECES = 1 << 18
+WINDOW = 4096
 
 
 class Transducer:
@@ -25,10 +26,11 @@ class Transducer:
 
     A token sequence is the encoding of its bytes exactly if each two neighbours are the encoding of theirs. So the encoding of
     each prefix is its last token after the encoding of a shorter prefix, and reading a byte only needs, for each place where
-    a token may still begin, the token that ends there. A state is that knowledge, taken relative to the last place that
-    all encodings still possible share: the token before it, and the bytes read since with the last tokens of their prefixes.
-    Reading a byte leads to another state and emits the tokens that no later bytes can change. At most as many bytes
-    wait as the longest token has, since a token that may still grow begins there. States and transitions are made when first met.
+    a token may still begin, the token that ends there and how much of a token has been read since. That is a state; reading a byte leads
+    to another state and gives the last token of the prefix read so far. States and transitions are made when first met.
+
+    Tokens are emitted after a bounded lookahead: a token may still begin at most as many bytes back as the longest token
+    has, and what the encodings up to all such places have in common is final.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
@@ -41,13 +43,15 @@ class Transducer:
         self.tree: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         self.grows: set[int] = set()
+        self.depth: dict[int, int] = {0: 0}
         # a << 32 | b to the token that the two make together.
         self.joins: dict[int, int] = {}
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
+            for place, byte in enumerate(token):
                 self.grows.add(node)
                 node = self.tree.setdefault(node << 8 | byte, len(self.tree) + 1)
+                self.depth[node] = place + 1
             self.token_at[node] = rank
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -56,13 +60,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # A state: (chain, places). chain holds the token before the waiting bytes, -1 if there is none, and the last token of
-        # each of their prefixes; places are the prefixes after which a later token may begin, with their nodes of the tree.
-        self.states: list[tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = [((-1,), ((0, 0),))]
-        self.numbers: dict[tuple[int, ...], int] = {(-1,): 0}
-        # 256 * state + byte to (256 * next state, ids emitted); state to the ids left at the end of the input.
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {0: ()}
+        # A state: for each place where a token may still begin, the farthest first, the node of the tree that the bytes
+        # since lead to and the token before the place, -1 at the beginning. The last place is the end of what was read.
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.numbers: dict[tuple[tuple[int, int], ...], int] = {self.states[0]: 0}
+        # 256 * state + byte to (256 * next state, last token of the prefix).
+        self.moves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
@@ -119,87 +122,85 @@ class Transducer:
         self.pairs[key] = found
         return found
 
-    def _advance(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        chain, places = self.states[number]
-        tree, token_at, grows, sizes = self.tree, self.token_at, self.grows, self.sizes
+    def _advance(self, number: int, byte: int) -> tuple[int, int]:
+        tree, token_at, grows = self.tree, self.token_at, self.grows
         made, alive = None, []
-        for start, node in places:
+        for node, left in self.states[number]:
             node = tree.get(node << 8 | byte)
             if node is None:
                 continue
             if made is None:
                 token = token_at.get(node)
-                if token is not None and (sizes[token] == 1 or self._halves(token)):
-                    left = chain[start]
-                    if left < 0 or self._fits(left, token):
-                        made = token
+                if token is not None and (self.sizes[token] == 1 or self._halves(token)) and (left < 0 or self._fits(left, token)):
+                    made = token
             if node in grows:
-                alive.append((start, node))
+                alive.append((node, left))
         if made is None:
             raise ValueError(f"no token for the byte {byte}")
-        chain += (made,)
-        # The last place that the encodings up to all living places have in common.
-        shared = len(chain) - 1
-        for at, _ in alive:
-            while at != shared:
-                if at > shared:
-                    at -= sizes[chain[at]]
-                else:
-                    shared -= sizes[chain[shared]]
-        emitted = []
-        at = shared
-        while at > 0:
-            emitted.append(chain[at])
-            at -= sizes[chain[at]]
-        emitted.reverse()
-        alive.append((len(chain) - 1, 0))
-        key = chain[shared:]
+        alive.append((0, made))
+        key = tuple(alive)
         target = self.numbers.get(key)
         if target is None:
-            target = len(self.states)
-            self.states.append((key, tuple([(p - shared, node) for p, node in alive]) if shared else tuple(alive)))
-            self.numbers[key] = target
-        move = (target << 8, tuple(emitted))
-        self.moves[number << 8 | byte] = move
+            if len(self.states) >= self.max_states:  # forget all states; the run goes on from the new one
+                self._reset()
+                target = self.numbers[key] = len(self.states)
+                self.states.append(key)
+                return target << 8, made
+            target = self.numbers[key] = len(self.states)
+            self.states.append(key)
+        self.moves[number << 8 | byte] = move = (target << 8, made)
         return move
 
-    def _flush(self, number: int) -> tuple[int, ...]:
-        chain = self.states[number][0]
-        at, out = len(chain) - 1, []
-        while at > 0:
-            out.append(chain[at])
-            at -= self.sizes[chain[at]]
-        self.ends[number] = ended = tuple(reversed(out))
-        return ended
+    def _settled(self, chain: list[int], number: int) -> int:
+        """How many of the bytes read have an encoding that no later byte can change."""
+        places = [len(chain) - self.depth[node] for node, _ in self.states[number]]
+        shared = places[0]
+        for place in places[1:]:
+            while place != shared:
+                if place > shared:
+                    place -= self.sizes[chain[place - 1]]
+                else:
+                    shared -= self.sizes[chain[shared - 1]]
+        return shared
+
+    def _back(self, chain: list[int], place: int) -> list[int]:
+        """The encoding of the first `place` bytes, from the last tokens of all prefixes."""
+        out, sizes = [], self.sizes
+        while place > 0:
+            token = chain[place - 1]
+            out.append(token)
+            place -= sizes[token]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) >= self.max_states:
-            self._reset()
-        out: list[int] = []
-        at, moves = 0, self.moves
+        return [token for part in self.stream(data) for token in part] if len(data) > WINDOW else self._back(self._read(data, 0)[0], len(data))
+
+    def _read(self, data: bytes, at: int) -> tuple[list[int], int]:
+        """The last token of each prefix of `data` read from state at / 256, and the state reached."""
+        chain: list[int] = []
+        add = chain.append
+        moves = self.moves
         for byte in data:
             move = moves.get(at | byte)
             if move is None:
                 move = self._advance(at >> 8, byte)
-                if len(self.states) >= 2 * self.max_states:
-                    move = (self._restart(move[0] >> 8), move[1])
-                    moves = self.moves
-            at = move[0]
-            if move[1]:
-                out += move[1]
-        ended = self.ends.get(at >> 8)
-        out += self._flush(at >> 8) if ended is None else ended
-        return out
-
-    def _restart(self, number: int) -> int:
-        """Forget all states but one, inside a piece that makes very many."""
-        state = self.states[number]
-        self._reset()
-        if state[0] in self.numbers:
-            return 0
-        self.states.append(state)
-        self.numbers[state[0]] = 1
-        return 1 << 8
+                moves = self.moves
+            at, made = move
+            add(made)
+        return chain, at
+
+    def stream(self, data: bytes) -> Iterator[list[int]]:
+        """Tokens in parts as they become final, `WINDOW` bytes being read at a time."""
+        chain: list[int] = []
+        at = 0
+        for start in range(0, len(data), WINDOW):
+            more, at = self._read(data[start:start + WINDOW], at)
+            chain += more
+            final = self._settled(chain, at >> 8)
+            yield self._back(chain, final)
+            del chain[:final]
+        yield self._back(chain, len(chain))
 
 
 def _utf8_steps() -> list[dict[range, int]]:
