@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batch_map, stored, text_bytes, word_hashes, word_list
 
-#: Ends a text; no byte of UTF-8. Before a text stand two bytes 0.
+#: Ends a text; no byte of UTF-8. Before a text stand as many bytes 0 as a context has.
 END_BYTE = 0xFF
 #: The end of a word sequence, which no word can be.
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -19,12 +21,85 @@ END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b""))
 HEAVY = 1 << 14
 #: Words that the lookups of one group should answer for.
 GROUP_WORDS = 1 << 22
+#: Bytes of the longest context. A context is kept if it precedes at least one in `SHARE` training bytes, so there are at most as many of each length.
+DEPTH = 5
+SHARE = 1 << 15
+CHUNK = 1 << 20
 
 
-def contexts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the text and its end: the two bytes before it as a number, and the byte."""
-    data = np.frombuffer(b"\0\0" + text + bytes([END_BYTE]), np.uint8).astype(np.int32)
-    return data[:-2] << 8 | data[1:-1], data[2:]
+def joined(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(data, places, ends, first text) for runs of texts: places of the bytes to predict, and how many of them end each text."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK):
+            size += len(texts[stop])
+            stop += 1
+        pad, end = b"\0" * DEPTH, bytes([END_BYTE])
+        data = np.frombuffer(b"".join(x for text in texts[at:stop] for x in (pad, text, end)), np.uint8)
+        sizes = np.fromiter(map(len, texts[at:stop]), np.int64, stop - at) + 1
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(np.arange(1, stop - at + 1) * DEPTH, sizes)
+        yield data, places, ends, at
+        at = stop
+
+
+def common_contexts(texts: list[bytes], share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, code, count) of the contexts of these texts that precede at least one in `share` of their bytes.
+
+    A code holds the bytes before a place, the newest highest, so shorter contexts are its leading bytes.
+    """
+    codes = []
+    for data, places, _, _ in joined(texts):
+        code = np.zeros(len(places), np.uint64)
+        for k in range(1, DEPTH + 1):
+            code = code << np.uint64(8) | data[places - k].astype(np.uint64)
+        codes.append(code)
+    ordered = np.concatenate(codes)
+    ordered.sort()
+    least = len(ordered) / share
+    lengths, found, counts = [], [], []
+    for length in range(1, DEPTH + 1):
+        short = ordered >> np.uint64(8 * (DEPTH - length))
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        n = np.diff(np.append(first, len(short)))
+        on = n >= least
+        lengths.append(np.full(on.sum(), length, np.int32))
+        found.append(short[first[on]].astype(np.int64))
+        counts.append(n[on])
+    return np.concatenate(lengths), np.concatenate(found), np.concatenate(counts)
+
+
+@dataclass(frozen=True)
+class ContextNodes:
+    """Contexts as a table of steps: 256 * node + older byte to the longer context, 0 if there is none; the empty context is node 1.
+
+    Longer contexts have higher numbers.
+    """
+
+    steps: np.ndarray
+    parents: np.ndarray
+
+    @staticmethod
+    def of(lengths: np.ndarray, codes: np.ndarray) -> ContextNodes:
+        """From contexts that hold all their shorter forms, too."""
+        numbers: dict[tuple[int, int], int] = {(0, 0): 1}
+        parents = [0, 0]
+        steps = np.zeros((len(codes) + 2, 256), np.int32)
+        for length, code in sorted(zip(lengths.tolist(), codes.tolist())):
+            parent = numbers[length - 1, code >> 8]
+            numbers[length, code] = number = len(parents)
+            parents.append(parent)
+            steps[parent, code & 255] = number
+        return ContextNodes(steps.reshape(-1), np.array(parents))
+
+    def longest(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The node of the longest context before each place."""
+        best = at = np.ones(len(places), np.int32)
+        for k in range(1, DEPTH + 1):
+            at = self.steps[(at << 8) | data[places - k]]
+            best = np.maximum(best, at)
+        return best
 
 
 def _rising(counts: np.ndarray, offset: float) -> np.ndarray:
@@ -50,13 +125,12 @@ def bit_counts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Node 1 decides the highest bit; below node n are 2n (bit 0) and 2n + 1 (bit 1). Column 0 is not used.
     """
-    shape = symbols.shape[:-1]
-    sums = np.zeros((*shape, 512))
+    sums = np.zeros((*symbols.shape[:-1], 512))
     sums[..., 256:] = symbols
-    for node in range(255, 0, -1):
-        sums[..., node] = sums[..., 2 * node] + sums[..., 2 * node + 1]
-    nodes = np.arange(256)
-    zeros, ones = sums[..., 2 * nodes], sums[..., 2 * nodes + 1]
+    for level in range(7, -1, -1):
+        low, high = 1 << level, 2 << level
+        sums[..., low:high] = sums[..., high:2 * high:2] + sums[..., high + 1:2 * high:2]
+    zeros, ones = sums[..., 0::2].copy(), sums[..., 1::2].copy()
     zeros[..., 0] = ones[..., 0] = 0
     return zeros, ones
 
@@ -74,90 +148,129 @@ def symbol_logs(one_probability: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ContextTree:
-    """log10 probabilities of bytes: `rows` has one row for each context met, `row_of` its number for all 65,536 contexts.
+    """log10 probabilities of bytes: one row of 256 for each node. At most DEPTH * SHARE + 2 nodes, whatever the corpus."""
 
-    The size is bounded whatever the corpus: (65,536 + 256 + 1) rows of 256 32-bit numbers.
-    """
-
-    row_of: np.ndarray
+    nodes: ContextNodes
     rows: np.ndarray
 
-    def score(self, text: bytes) -> float:
-        """log10 of the probability of the text and its end."""
-        context, symbol = contexts(text)
-        return float(self.rows[self.row_of[context], symbol].sum(dtype=np.float64))
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text and its end."""
+        out = np.zeros(len(texts))
+        for data, places, ends, at in joined(texts):
+            logs = self.rows[(self.nodes.longest(data, places) << 8) | data[places]].astype(np.float64)
+            out[at:at + len(ends)] = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
+        return out
 
 
-def weigh(codes: np.ndarray, counts: np.ndarray) -> ContextTree:
-    """The tree of depths 0 to 2 from the counts of byte triples (older << 16 | newer << 8 | byte).
+def _parts(numbers: np.ndarray) -> list[np.ndarray]:
+    return [numbers[i:i + 4096] for i in range(0, len(numbers), 4096)]
 
-    Each of the 255 nodes of the decomposition has a context tree of its own. A context of full depth has the probability
-    of its own estimate, a shorter one the mean of its own and the product of its children's. The probability of a bit mixes the
-    estimates on the path of contexts by the shares these means give them; a context that was never met says 1/2.
-    """
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
-    met, place = np.unique(codes >> 8, return_inverse=True)
-    newer = met & 255
-    row_of = (65536 + np.arange(65536) % 256).astype(np.int32)
-    tables: list[np.ndarray] = []
-    half = np.full(256, 0.5)
-    root_symbols, root_below = np.zeros(256), np.zeros(256)
-    inner = {}
-    # By newer byte, so that at most 256 contexts are dense at a time.
-    for byte in np.unique(newer).tolist():
-        own = np.flatnonzero(newer == byte)
-        local = np.full(len(met), -1)
-        local[own] = np.arange(len(own))
-        picked = local[place] >= 0
-        symbols = np.zeros((len(own), 256))
-        np.add.at(symbols, (local[place[picked]], codes[picked] & 255), counts[picked])
-        zeros, ones = bit_counts(symbols)
-        below = estimate(zeros, ones).sum(axis=0)
-        z, o = bit_counts(symbols.sum(axis=0))
-        mine = estimate(z, o)
-        inner[byte] = (own, (ones + 0.5) / (zeros + ones + 1), (o + 0.5) / (z + o + 1), _share(mine, below))
-        root_symbols += symbols.sum(axis=0)
-        root_below += np.logaddexp(mine, below) - np.log(2)
-    z, o = bit_counts(root_symbols)
-    root, share = (o + 0.5) / (z + o + 1), _share(estimate(z, o), root_below)
-    by_byte = np.tile(symbol_logs(share * root + (1 - share) * half), (256, 1))
-    at = 0
-    for byte, (own, leaf, middle, kept) in inner.items():
-        made = share * root + (1 - share) * (kept * middle + (1 - kept) * leaf)
-        tables.append(symbol_logs(made))
-        row_of[met[own]] = at + np.arange(len(own))
-        at += len(own)
-        by_byte[byte] = symbol_logs(share * root + (1 - share) * (kept * middle + (1 - kept) * half))
-    row_of[row_of >= 65536] -= 65536 - at
-    return ContextTree(row_of, np.concatenate([*tables, by_byte]).astype(np.float32))
 
+def weigh(nodes: ContextNodes, codes: np.ndarray, counts: np.ndarray, share: int = SHARE) -> ContextTree:
+    """The tree from how often each byte followed where each node was the longest context (256 * node + byte).
 
-def _share(own: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Weight of a context's own estimate against its children."""
-    return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+    Contexts below one in `share` bytes fall back to their shorter form first. Each of the 255 nodes of the binary decomposition has a
+    context tree of its own. There, a context's probability is the mean of its own estimate and of the product of its children's, where
+    all places without a longer context kept are one more child; a context without children has its own estimate. The probability
+    of a bit mixes the estimates on the path of contexts by the shares these means give them.
+    """
+    parents = nodes.parents
+    size = len(parents)
+    total = max(float(counts.sum()), 1.0)
+    depth = np.zeros(size, np.int64)
+    for node in range(2, size):
+        depth[node] = depth[parents[node]] + 1
+    # Slices of nodes of one length, a few thousand each; parents come in an earlier length.
+    slices = [part for d in range(int(depth[2:].max(initial=0)), 0, -1) for part in _parts(np.flatnonzero(depth == d))]
+    own = np.zeros((size, 256))
+    own.reshape(-1)[codes] = counts
+    every = own.copy()
+    for part in slices:
+        np.add.at(every, parents[part], every[part])
+    kept = every.sum(axis=1) * share >= total
+    kept[:2] = False, True
+    for part in slices:
+        gone = part[~kept[part]]
+        np.add.at(own, parents[gone], own[gone])
+    # Only the kept ones go on, in the same order.
+    kept[0] = True
+    number = np.where(kept, np.cumsum(kept) - 1, 0)
+    steps = number[nodes.steps.reshape(size, 256)[kept]].astype(np.int32).reshape(-1)
+    parents, own, every, depth = number[parents[kept]], own[kept], every[kept], depth[kept]
+    size = len(parents)
+    slices = [part for d in range(int(depth[2:].max(initial=0)), 0, -1) for part in _parts(np.flatnonzero(depth == d))] + [np.array([1])]
+    has_children = np.zeros(size, bool)
+    has_children[parents[2:]] = True
+    # From the longest up: log of the product of the children's probabilities, the rest being one of them.
+    below, shares = np.zeros((size, 256)), np.ones((size, 256), np.float32)
+    for part in slices:
+        mine = estimate(*bit_counts(every[part]))
+        below[part] += estimate(*bit_counts(own[part]))
+        inner = has_children[part][:, None]
+        shares[part] = np.where(inner, 1 / (1 + np.exp(np.clip(below[part] - mine, -700, 700))), 1.0)
+        weighted = np.where(inner, np.logaddexp(mine, below[part]) - np.log(2), mine)
+        if part[0] > 1:
+            np.add.at(below, parents[part], weighted)
+    # From the root down: what the contexts above give, and the weight that is left.
+    rows = np.zeros((size, 256), np.float32)
+    given, weight = np.zeros((size, 256), np.float32), np.ones((size, 256), np.float32)
+    for part in reversed(slices):
+        if part[0] > 1:
+            given[part], weight[part] = given[parents[part]], weight[parents[part]]
+        zeros, ones = bit_counts(every[part])
+        given[part] += weight[part] * shares[part] * (ones + 0.5) / (zeros + ones + 1)
+        weight[part] *= 1 - shares[part]
+        zeros, ones = bit_counts(own[part])
+        rows[part] = symbol_logs(given[part] + weight[part] * (ones + 0.5) / (zeros + ones + 1))
+    return ContextTree(ContextNodes(steps, parents), rows.reshape(-1))
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """kind, key and n over all (id, binary text) rows: kind 0 counts words by hash, kind 1 byte triples."""
+    """kind, key and n over all (id, binary text) rows: kind 0 counts words by hash, kind d > 0 common contexts of d bytes, kind -1 bytes.
+
+    A batch tells of the contexts that precede one in 2 * SHARE of its bytes. The rest sum up to less than that share of all
+    bytes, so a context with one in SHARE of all bytes has at least half of that here: none is missed.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, triples = [], []
-        for text in batch.column(1).to_pylist():
-            words.append(word_hashes(word_list(text)))
-            words.append(np.array([END_WORD]))
-            context, symbol = contexts(text)
-            triples.append(context << 8 | symbol)
-        keys, n = np.unique(np.concatenate(words), return_counts=True)
-        codes, m = np.unique(np.concatenate(triples), return_counts=True)
+        data = batch.column(1).to_pylist()
+        keys, n = np.unique(np.concatenate([h for t in data for h in (word_hashes(word_list(t)), [END_WORD])]).astype(np.uint64), return_counts=True)
+        lengths, codes, m = common_contexts(data, 2 * SHARE)
+        size = sum(map(len, data)) + len(data)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([0, 1], np.int32), [len(keys), len(codes)])),
-             pa.array(np.concatenate([keys.view(np.int64), codes.astype(np.int64)])), pa.array(np.concatenate([n, m]).astype(np.int64))],
+            [pa.array(np.concatenate([np.zeros(len(keys), np.int32), lengths, [np.int32(-1)]]).astype(np.int32)),
+             pa.array(np.concatenate([keys.view(np.int64), codes, [0]])), pa.array(np.concatenate([n, m, [size]]).astype(np.int64))],
             ["kind", "key", "n"])
 
     return batch_map(texts, work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def following(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """key (256 * node + byte) and n: how often each byte followed where the node was the longest context."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes = shared.value
+        codes = [nodes.longest(data, places) << 8 | data[places] for data, places, _, _ in joined(batch.column(1).to_pylist())]
+        if len(nodes.steps) <= 1 << 24:
+            n = np.bincount(np.concatenate(codes), minlength=1)
+            keys = np.flatnonzero(n)
+            n = n[keys]
+        else:
+            keys, n = np.unique(np.concatenate(codes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return batch_map(texts, work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def train(texts: DataFrame, counts: DataFrame) -> ContextTree:
+    """The tree from the (id, binary text) rows and their `corpus_counts`; at most 2 * DEPTH * SHARE contexts reach the driver."""
+    size = counts.where("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = counts.where((F.col("kind") > 0) & (F.col("n") * 2 * SHARE >= size)).select("kind", "key").toPandas()
+    nodes = ContextNodes.of(common["kind"].to_numpy(), common["key"].to_numpy())
+    found = following(texts, texts.sparkSession.sparkContext.broadcast(nodes)).toPandas()
+    return weigh(nodes, found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+
+
 _ASKED = "part int, home binary, uids binary, sizes binary, words binary, counts binary"
 _OWN = np.dtype([("uid", np.int64), ("id", np.int64), ("null", np.int8), ("tokens", np.int64), ("known", np.int64), ("base", np.float64),
                  ("score", np.float64), ("bytes", np.int64)])
@@ -176,8 +289,8 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     of a text: base_score = sum of log10((c + 1) / (N + V + 1)), with c the training count of a token, N of all and V of
     distinct ones; n_tokens includes the end, n_known counts tokens with c > 0.
 
-    Counts are combined per batch before they are shuffled. The tree is broadcast; its size is bounded by the number of contexts.
-    So are the at most 16,384 words that are at least one in 16,384 of the training words: every task answers for them itself, so no
+    Counts are combined per batch before they are shuffled. Contexts of up to `DEPTH` bytes that precede at least one in `SHARE`
+    bytes form the tree, with exact counts over all training texts. It is broadcast: 2 kB for each of at most DEPTH * SHARE contexts. So are the at most 16,384 words that are at least one in 16,384 of the training words: every task answers for them itself, so no
     lookup meets a frequent word. All other words of a batch go, packed, to the group of their hash, where the
     counts are; each of them has less than one in 16,384 of the words. Sums by document end the job.
 
@@ -190,8 +303,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     words = counts.where("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     heavy = words.where(F.col("n") * HEAVY >= total).select("key", "n").toPandas()
-    triples = counts.where("kind = 1").select("key", "n").toPandas()
-    tree = weigh(triples["key"].to_numpy(), triples["n"].to_numpy())
+    tree = train(texts.where("trains").select("id", "text"), counts)
     keys = heavy["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((tree, keys[order], heavy["n"].to_numpy(np.int64)[order]))
@@ -201,6 +313,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
         model, known_keys, known_counts = shared.value
         gains = np.log10(known_counts + 1.0)
         own = np.zeros(batch.num_rows, _OWN)
+        scores = model.scores(batch.column(1).to_pylist())
         rare: list[np.ndarray] = []
         times: list[np.ndarray] = []
         for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
@@ -209,7 +322,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             at[at == len(known_keys)] = 0
             hit = known_keys[at] == hashed if len(known_keys) else np.zeros(len(hashed), bool)
             uid = xxhash.xxh3_64_intdigest(b"%d " % key + text if key is not None else b"x " + text) - (1 << 63)
-            own[i] = (uid, key or 0, key is None, n.sum(), n[hit].sum(), (n[hit] * gains[at[hit]]).sum(), model.score(text), len(text) + 1)
+            own[i] = (uid, key or 0, key is None, n.sum(), n[hit].sum(), (n[hit] * gains[at[hit]]).sum(), scores[i], len(text) + 1)
             rare.append(hashed[~hit])
             times.append(n[~hit])
         sizes = np.fromiter(map(len, rare), np.int64, len(rare))
