@@ -47,9 +47,10 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each vertex hangs on one vertex, and that one on none."""
-    lows = edges.select(F.col("lo").alias("hi")).distinct()
-    once = edges.groupBy("hi").agg(F.count("*").alias("n"))
-    return once.where("n > 1").isEmpty() and edges.join(lows, "hi", "left_semi").isEmpty()
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("lo", F.lit(0), F.lit(1)))
+    per_vertex = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not per_vertex.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
 
 
 def _step(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,11 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(
         prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key")
         .agg(F.min(F.struct("id", "n_shingles", "sketch_1", "sketch_2", "bands")).alias("r")).select("set_key", "r.*"), "classes")
-    links = _links(texts, classes, percent, width)
-    grouped = components(links) if links is not None else None
     named = classes.select("set_key", F.col("id").alias("first_id"))
-    if grouped is not None:
-        named = named.join(grouped, F.col("first_id") == F.col("vertex"), "left")
+    for merged in _merges(texts, classes, percent, width):
+        named = named.join(merged, F.col("first_id") == F.col("vertex"), "left")
         named = named.select("set_key", F.coalesce("component", "first_id").alias("first_id"))
     result = prints.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("first_id")).otherwise(F.col("id"))
@@ -148,18 +147,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          own.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Verified links (a, b) that connect what all links connect; None if no bucket has two members."""
+def _merges(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Iterator[DataFrame]:
+    """For each round (vertex, component): which components of the round before have become part of another.
+
+    Before the first round every id is a component. All rounds together connect what all links connect.
+    """
     spread = classes.select("id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     facts = classes.select("id", F.col("n_shingles").alias("n"), "sketch_1", "sketch_2")
     members = stored(spread.join(shared, "band").join(facts, "id"), "members")
-    if members.isEmpty():
-        return None
+    if not members.count():
+        return
     wanted = members.select("id").distinct()
     # Different texts under one id count as one vertex: it is linked if any of them is.
     sets = stored(shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), width), "sets")
-    found, turn = None, 0
+    turn = 0
     current = members.withColumns({"component": F.col("id"), "shared": F.col("n"), "bands": F.array("band")})
     while True:
         pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
@@ -167,17 +169,16 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Da
         chosen = current.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place")
         chosen = stored(chosen, "pivots")
         pairs = _candidates(chosen, current, percent)
-        good = stored(_verified(pairs, sets, percent), "verified")
-        found = good if found is None else found.union(good)
-        grouped = components(found)
-        rest = current.drop("component").join(chosen.select("band", "id"), ["band", "id"], "left_anti")
-        rest = rest.join(grouped, F.col("id") == F.col("vertex"), "left")
-        rest = rest.withColumn("component", F.coalesce("component", "id")).drop("vertex")
+        merged = components(_verified(pairs, sets, percent))
+        yield merged
+        rest = current.join(chosen.select("band", "id"), ["band", "id"], "left_anti").withColumnRenamed("component", "before")
+        rest = rest.join(merged, F.col("before") == F.col("vertex"), "left")
+        rest = rest.withColumn("component", F.coalesce("component", "before")).drop("vertex", "before")
         open_bands = (rest.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"))
                       .where("a < b").select("band"))
         current = stored(rest.join(open_bands, "band", "left_semi"), "open")
-        if current.isEmpty():
-            return found
+        if not current.count():
+            return
         if not turn:
             current = stored(_with_bounds(current, classes, sets), "bounded")
         turn += 1
@@ -211,14 +212,15 @@ def _candidates(chosen: DataFrame, members: DataFrame, percent: int) -> DataFram
     together = F.zip_with("bands", "p_bands", lambda x, y: x == y)
     first = F.element_at("bands", F.array_position(together, True).cast("int")) == members["band"]
     joined = members.hint("merge").join(p, (members["band"] == p["band"]) & differ & sized & enough & near & first)
-    return joined.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+    return joined.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"),
+                         F.least("component", "p_component").alias("low"), F.greatest("component", "p_component").alias("high")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
+    """The components (low, high) of the pairs whose whole sets reach the similarity."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(b, "b").join(a, "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     enough = common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent
-    return both.where(enough).select("a", "b")
+    return both.where(enough).select("low", "high")
