@@ -21,7 +21,7 @@ def test_label_files(spark, folder):
     assert report["b"].precision == 0.5 and report["b"].recall == 0.5
     compat = {r.label: r for r in files.score_label_files(spark, pred, gold, compat=True).collect()}
     assert compat["b"].recall == 1.0
-    with pytest.raises(Exception, match="row without counterpart"):
+    with pytest.raises(Exception, match="without counterpart"):
         files.score_label_files(spark, put(folder, "short", ["b"]), gold).collect()
 
 

@@ -42,7 +42,7 @@ def corpus_reference(rows, variants, compat=False):
             for v in range(variants):
                 number, texts, targets = 0, [], []
                 for s in context:
-                    cut = s[:510]
+                    cut = s
                     pieces, target = list(cut), ""
                     for surface in re.findall("[A-Z]+", cut)[v::variants]:
                         # Masked places hold a list, which no text matches.

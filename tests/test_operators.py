@@ -8,7 +8,7 @@ from textmill.functions import fixed_values as fv
 from textmill.functions.text import numbered_sentences
 from textmill.operators import dataset, formatting, labels, prediction, tokens
 from textmill.operators.dialogue import carry_forward, dialogue_states
-from textmill.session import cut_lineage, spread
+from textmill.session import cut_lineage, dealt
 
 
 def ids(spark, n, parts=4):
@@ -214,27 +214,9 @@ def test_alignment(spark):
     gold = ids(spark, 6).withColumn("g", F.lit("y"))
     assert prediction.align(pred, gold).count() == 5
     assert prediction.align(pred, ids(spark, 5), strict=True).count() == 5
-    with pytest.raises(Exception, match="row without counterpart"):
+    with pytest.raises(Exception, match="without counterpart"):
         prediction.align(pred, gold, strict=True).collect()
-    assert tuple(prediction.alignment_report(pred, gold).first()) == (5, 0, 1)
-
-
-def retag_reference(sentence, elements):
-    boundary = set(fv.TAG_BOUNDARY_CHARACTERS)
-    cursor = 0
-    for element in elements:
-        if not re.match("^<.+:..>$", element):
-            continue
-        word, tag = element[1:-4], element[-3:-1]
-        at = sentence.find(word, cursor)
-        for attempt in range(2):
-            if at <= 0 or sentence[at - 1] in boundary or (attempt == 0 and sentence.count(word, cursor) <= 1):
-                break
-            at = sentence.find(word, cursor + at)
-        if at >= 0:
-            sentence = sentence[:at] + f"<{word}:{tag}>" + sentence[at + len(word):]
-            cursor = at + len(word) + 5
-    return sentence
+    assert tuple(prediction.alignment_report(pred, gold).first()) == (5, 0, 1, 0)
 
 
 def test_retag(spark):
@@ -249,7 +231,7 @@ def test_retag(spark):
     df = spark.createDataFrame(rows, "s string, t string")
     got = df.select("s", "t", prediction.retag_sentence(F.col("s"), prediction.label_elements(F.col("t"))).alias("r"))
     for r in got.collect():
-        assert r.r == retag_reference(r.s, r.t.strip().replace("> <", ">▁<").split("▁")), (r.s, r.t)
+        assert r.r == plain_retag(r.s, r.t.strip().replace("> <", ">▁<").split("▁")), (r.s, r.t)
 
 
 def test_batch_generation_keeps_rows(spark):
@@ -271,5 +253,72 @@ def test_gold_answers(spark):
 
 
 def test_session_helpers(spark):
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
+    rows = spark.range(0, 100, 1, 1)
+    assert dealt(rows).rdd.getNumPartitions() == 1
+    spark.conf.set("spark.textmill.dealPartitions", "5")
+    try:
+        assert dealt(rows).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.textmill.dealPartitions")
     assert cut_lineage(ids(spark, 10)).count() == 10
+
+
+@pytest.mark.parametrize("size", [10, 1000])
+def test_label_maps_keep_their_types_at_any_size(spark, size):
+    for value, kind in ((lambda i: i + 1, "int"), (lambda i: i + 2 ** 40, "bigint"), (lambda i: i + 0.5, "double"), (lambda i: f"n{i}", "string")):
+        df = spark.range(size)
+        out = labels.map_labels(df, "id", {i: value(i) for i in range(size)}, "v")
+        assert dict(out.dtypes)["v"] == kind
+        assert {r.id: r.v for r in out.collect()} == {i: value(i) for i in range(size)}
+
+
+def test_strict_alignment_wants_every_key_once(spark):
+    golds = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, gold string")
+    good = spark.createDataFrame([(1, "x"), (2, "y")], "row_id long, prediction string")
+    assert prediction.align(good, golds, strict=True).count() == 2
+    for rows in ([(1, "x"), (1, "z"), (2, "y")], [(1, "x")], [(1, "x"), (2, "y"), (3, "z")]):
+        with pytest.raises(Exception, match="repeated or without counterpart"):
+            prediction.align(spark.createDataFrame(rows, "row_id long, prediction string"), golds, strict=True).collect()
+    report = prediction.alignment_report(spark.createDataFrame([(1, "x"), (1, "z"), (3, "y")], "row_id long, prediction string"), golds).first()
+    assert report.asDict() == {"n_both": 1, "n_repeated": 1, "n_only_predicted": 1, "n_only_gold": 1}
+
+
+def test_null_inputs_stay_null(spark):
+    def load():
+        return lambda texts: [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "None")], "row_id long, input_text string")
+    assert {r.row_id: r.prediction for r in prediction.batch_generate(df, load, batch_size=2).collect()} == {1: "A", 2: None, 3: "NONE"}
+
+
+def plain_retag(sentence, elements):
+    """The rule in plain Python, where a place of -1 indexes from the end."""
+    cursor = 0
+    for element in elements:
+        if not re.fullmatch("<.+:..>", element):
+            continue
+        word, tag = element[1:-4], element[-3:-1]
+        at = sentence.find(word, cursor)
+        if sentence.count(word, cursor) > 1 and at > 0 and sentence[at - 1] not in fv.TAG_BOUNDARY_CHARACTERS:
+            at = sentence.find(word, cursor + at)
+            if sentence[at - 1] not in fv.TAG_BOUNDARY_CHARACTERS:
+                at = sentence.find(word, cursor + at)
+        if at != -1:
+            sentence = sentence[:at] + f"<{word}:{tag}>" + sentence[at + len(word):]
+            cursor = at + len(word) + 5
+    return sentence
+
+
+def test_retagging_searches_again(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [("가 xa ya", ["<가:PS>", "<a:LC>"])]
+    for _ in range(300):
+        sentence = "".join(rng.choice("abxy .가") for _ in range(rng.randrange(2, 25)))
+        rows.append((sentence, [f"<{rng.choice(['a', 'ab', 'b', 'x', '가', 'ya'])}:PS>" for _ in range(rng.randrange(1, 5))]))
+    df = spark.createDataFrame(rows, "s string, e array<string>")
+    found = df.select("s", "e", prediction.retag_sentence(F.col("s"), F.col("e")).alias("t")).collect()
+    assert found[0].t == "<가:PS> x<a:LC> ya"
+    for r in found:
+        assert r.t == plain_retag(r.s, r.e), (r.s, r.e)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import fixed_values as fv
 from textmill.session import scratch_path, shared_dir
+from textmill.operators import tokens
 from textmill.sources import benchmarks, lines, pairs, questions
 
 
@@ -69,6 +70,34 @@ def test_sampled_sources(spark, folder):
     assert set(map(tuple, rows.collect())) == set(map(tuple, again.collect()))
 
 
+def test_sources_of_all_kinds_have_unique_keys(spark, folder):
+    saved = os.path.join(folder, "splits")
+    frame = spark.range(90, numPartitions=1).selectExpr("concat('t', id) AS text", "'u' AS target_text",
+                                                        "array('train', 'validation', 'test')[id % 3] AS split")
+    pairs.write_splits(frame, saved)
+    rows = pairs.read_sources(spark, [saved], seed=1)
+    assert rows.count() == rows.select("row_id").distinct().count() == 90
+    records = os.path.join(folder, "records")
+    spark.range(40).selectExpr("concat('r', id) AS text", "IF(id % 4 = 0, '', 'l') AS label").write.json(records)
+    tsv = os.path.join(folder, "lines")
+    spark.range(25).selectExpr("concat('p', id, '\t', 'q')").write.text(tsv)
+    assert [pairs.source_kind(spark, x) for x in (saved, records, tsv, "x*.jsonl.bz2", "y?.tsv.gz", "[ab].parquet", "none")] == [
+        "saved", "records", "pairs", "records", "pairs", "saved", "table"]
+    assert pairs.read_any(spark, records).count() == 30 and pairs.read_any(spark, tsv).count() == 25
+    both = pairs.read_sources(spark, [(records, 1), tsv], seed=1)
+    assert both.columns == ["row_id", "text", "target_text"]
+    assert both.count() == both.select("row_id").distinct().count() == 55
+    batches = tokens.pad_batch(both.withColumnsRenamed({"text": "input_text"}), 10)
+    assert sorted(r["count"] for r in batches.groupBy("batch_id").count().collect()) == [5, 10, 10, 10, 10, 10]
+
+
+def test_dense_numbers_of_sparse_keys(spark):
+    rows = spark.range(1000).selectExpr("id * id * 1000003 - 5000 AS k", "id")
+    found = {r.id: r.row_id for r in lines.dense_index(rows, "k", block_rows=64).collect()}
+    assert found == {i: i for i in range(1000)}
+    assert lines.dense_index(rows.limit(0), "k").count() == 0
+
+
 def test_line_numbers_over_splits_and_files(spark, folder):
     expected = []
     for name in ("a.txt", "b.txt"):
@@ -180,8 +209,14 @@ def test_ner_blocks_with_carriage_returns(spark, folder):
     path = os.path.join(folder, "ner.tsv")
     with open(path, "wb") as out:
         out.write("## klue-ner-0\tx y\r\nx\tO\r\n\r\n## klue-ner-1\tz\r\nz\tB-PS\r\n".encode())
-    rows = benchmarks.read_ner_blocks(spark, path, newline="\r\n").orderBy("block_no").collect()
-    assert [(r.sentence, r.labels, r.tagged_sent) for r in rows] == [(["x"], [0], "x y"), (["z"], [1], "z")]
+    for newline in ("\r\n", None):
+        rows = benchmarks.read_ner_blocks(spark, path, newline=newline).orderBy("block_no").collect()
+        assert [(r.sentence, r.labels, r.tagged_sent) for r in rows] == [(["x"], [0], "x y"), (["z"], [1], "z")]
+    with pytest.raises(Exception, match="two line endings"):
+        benchmarks.read_ner_blocks(spark, path, newline="\n").collect()
+    unknown = put(folder, "unknown.tsv", "## klue-ner-0\tx\nx\tB-XX\n")
+    with pytest.raises(Exception, match="unknown tag"):
+        benchmarks.read_ner_blocks(spark, unknown).collect()
 
 
 def test_dependency_blocks(spark, folder):
@@ -197,9 +232,20 @@ def test_dependency_blocks(spark, folder):
 
 def test_nli_and_sts_tables(spark, folder):
     nli = put(folder, "nli.tsv", 'sentence1\tsentence2\tgold_label\n"a\tb\tneutral\nx\t\tneutral\n')
-    assert [tuple(r) for r in benchmarks.read_nli_table(spark, nli).collect()] == [('"a', "b", 2)]
-    sts = put(folder, "sts.tsv", "genre\tfilename\tyear\tid\tscore\tsentence1\tsentence2\ng\tf\t2012\t3\t4.5\ta\tb\n")
-    assert tuple(benchmarks.read_sts_table(spark, sts).first()) == ("g", "f", "2012", 3, 4.5, "a", "b")
+    assert [tuple(r) for r in benchmarks.read_nli_table(spark, nli).collect()] == [('"a', "b", 1)]
+    sts = put(folder, "sts.tsv", "genre\tfilename\tyear\tid\tscore\tsentence1\tsentence2\nmain-forum\tMSRvid\t2012train\t3\t4.5\ta\tb\n")
+    assert tuple(benchmarks.read_sts_table(spark, sts).first()) == (2, 2, 3, 3, 4.5, "a", "b")
+    both = benchmarks.read_table_splits(spark, "nli", {"train": nli, "test": nli})
+    assert {(r.premise, r.label, r.split) for r in both.collect()} == {('"a', 1, "train"), ('"a', 1, "test")}
+    with pytest.raises(Exception, match="no label entry"):
+        benchmarks.read_sts_table(spark, put(folder, "odd.tsv", "genre\tfilename\tyear\tid\tscore\tsentence1\tsentence2\nx\tMSRvid\t2017\t3\t4.5\ta\tb\n")).collect()
+
+
+def test_class_tables(spark, folder):
+    relations = put(folder, "relation_list.json", '{"relations": ["no_relation", "org:founded"]}')
+    ontology = put(folder, "ontology.json", '{"hotel-area": ["a", "b"],\n "hotel-name": []}')
+    assert benchmarks.read_class_names(spark, relations, "re") == ["no_relation", "org:founded"]
+    assert benchmarks.read_class_names(spark, ontology, "wos") == ["hotel-area", "hotel-name"]
 
 
 def test_flatten_questions(spark, folder):

@@ -2,6 +2,12 @@
 
 # Class names of the benchmark tables, in class-id order.
 NLI_CLASSES = ["entailment", "contradiction", "neutral"]
+KORNLI_CLASSES = ["entailment", "neutral", "contradiction"]
+STS_GENRES = ["main-news", "main-captions", "main-forum", "main-forums"]
+STS_FILES = [
+    "images", "MSRpar", "MSRvid", "headlines", "deft-forum", "deft-news", "track5.en-en", "answers-forums", "answer-answer",
+]
+STS_YEARS = ["2017", "2016", "2013", "2012train", "2014", "2015", "2012test"]
 TOPIC_CLASSES = ["IT과학", "경제", "사회", "생활문화", "세계", "스포츠", "정치"]
 NER_CLASSES = [
     "O", "B-PS", "I-PS", "B-LC", "I-LC", "B-OG", "I-OG",
@@ -22,7 +28,7 @@ DEPENDENCY_RARE_FROM = 15
 # Target texts of the classification tasks.
 SENTIMENT_TARGETS = {0: "positive", 1: "negative"}
 NLI_TARGETS = {"entailment": "함의", "neutral": "중립", "contradiction": "모순"}
-TOPIC_TARGETS = {0: "IT과학", 1: "경제", 2: "사회", 3: "생활문화", 4: "세계", 5: "스포츠", 6: "정치"}
+TOPIC_TARGETS = dict(enumerate(TOPIC_CLASSES))
 PARAPHRASE_TARGETS = {0: "different", 1: "paraphrase"}
 
 # Prompt templates. `{{ name }}` marks a variable.
@@ -61,7 +67,6 @@ BYTE_OFFSET, FIRST_SENTINEL_ID, VOCABULARY_SIZE = 3, 259, 384
 
 # Span masking.
 CONTEXT_MAX_BYTES = 1024
-SENTENCE_MASK_CHARS = 510
 MASK_VARIANTS = 2
 
 # Seeds of the sampling operators.
@@ -73,9 +78,8 @@ CLASSIFIER_SPLIT_SEED, CLASSIFIER_SAMPLE_SEED = 123456, 76543
 # Characters that answer normalisation replaces by a space or deletes.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 QUOTE_CHARACTERS = "'\"《》<>〈〉()‘’"
-# One quote-like character followed by this exact text becomes a space in the reading-task normalisation.
-LITERAL_QUOTE_TAIL = "()‘’"
-LITERAL_QUOTE_HEADS = "'\"《》<>〈〉"
+# What becomes a space in the reading-task normalisation: a quote-like character with the four after it.
+READING_QUOTE_PATTERN = "['\"《》<>〈〉]\\(\\)‘’"
 
 # Characters that may stand before a word when tags are put back into a sentence.
 TAG_BOUNDARY_CHARACTERS = [

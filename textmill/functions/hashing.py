@@ -16,6 +16,12 @@ def hash32(key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def hash52(key: Column, seed: int | str) -> Column:
+    """First 52 bits of md5("<seed>:<key>")."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
 def hash_bucket(key: Column, buckets: int, seed: int | str) -> Column:
     return F.pmod(hash32(key, seed), F.lit(buckets))
 

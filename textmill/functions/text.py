@@ -93,8 +93,7 @@ def numbered_sentences(text: Column, letters: str = "가-힣") -> Column:
 
 def normalize_reading_answer(text: Column) -> Column:
     """Lower case, ASCII punctuation removed, spaces collapsed; the other quote characters survive."""
-    quoted = f"[{re.escape(fv.LITERAL_QUOTE_HEADS)}]{re.escape(fv.LITERAL_QUOTE_TAIL)}"
-    return collapse_spaces(remove_punctuation(F.regexp_replace(F.lower(text), quoted, " ")))
+    return collapse_spaces(remove_punctuation(F.regexp_replace(F.lower(text), fv.READING_QUOTE_PATTERN, " ")))
 
 
 def normalize_question_answer(text: Column) -> Column:

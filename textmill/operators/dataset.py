@@ -113,11 +113,14 @@ def content_hash(text: Column) -> Column:
 def dedup_passages(df: DataFrame, text: str = "text", key: str = "row_id") -> DataFrame:
     """Keep the row with the least key of each distinct text.
 
-    The kept keys are found on hashes alone with map-side combining, so a text that makes up a third of all rows
-    costs one partial result per task. The rows are then reduced by their unique key, which has no skew.
+    Texts that occur more than once are found on hashes alone with map-side combining, so a text that makes up a third
+    of all rows costs one partial result per task. Only the keys of their later copies meet the rows, which are few in most
+    corpora and may then be broadcast by the optimizer.
     """
-    kept = df.select(content_hash(F.col(text)).alias("_hash"), key).groupBy("_hash").agg(F.min(key).alias(key))
-    return df.join(kept.select(key), key, "left_semi")
+    hashed = df.select(content_hash(F.col(text)).alias("_hash"), F.col(key).alias("_key"))
+    repeated = hashed.groupBy("_hash").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
+    dropped = hashed.join(repeated.drop("_n"), "_hash").filter(F.col("_key") != F.col("_least")).select("_key")
+    return df.join(dropped, F.col(key) == F.col("_key"), "left_anti")
 
 
 def dedup_consecutive(df: DataFrame, text: str = "text", order: str = "line_no",

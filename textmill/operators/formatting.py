@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
@@ -40,9 +42,9 @@ def _format_mapped(df: DataFrame, template: str, columns: dict[str, str], label_
 
 
 def format_nli(df: DataFrame, premise: str = "premise", hypothesis: str = "hypothesis", label: str = "label",
-               label_map: LabelMap | None = None) -> DataFrame:
-    """Class ids follow the class-name table, so that ids and target words can never disagree."""
-    by_id = {i: fv.NLI_TARGETS[name] for i, name in enumerate(fv.NLI_CLASSES)}
+               label_map: LabelMap | None = None, classes: Sequence[str] = fv.NLI_CLASSES) -> DataFrame:
+    """Class ids follow the class-name table of the source, `classes`, so that ids and target words can never disagree."""
+    by_id = {i: fv.NLI_TARGETS[name] for i, name in enumerate(classes)}
     return _format_mapped(df, fv.NLI_INPUT, {"premise": premise, "hypothesis": hypothesis}, label,
                           by_id if label_map is None else label_map)
 

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
 
-# A map literal is searched linearly; longer tables are joined instead. They come from a Python sequence, so their
-# size is bounded by the program text or configuration they were read from, never by the data.
-LITERAL_ENTRIES = 64
-
 LabelMap = dict | DataFrame | Callable[[Column], Column]
 
 
@@ -20,17 +15,17 @@ def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
-def _unmapped(value: Column, kind: str) -> Column:
-    return F.raise_error(F.concat(F.lit("no label entry for: "), F.coalesce(value.cast("string"), F.lit("null")))
-                         ).cast(kind)
+def _unmapped(value: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no label entry for: "), F.coalesce(value.cast("string"), F.lit("null"))))
 
 
 def map_labels(df: DataFrame, column: str, mapping: LabelMap | None, out: str | None = None,
                unmapped: str = "raise") -> DataFrame:
     """Replace ids by texts. `mapping` is a dict, a two-column table, a Column function, or None for no change.
 
-    A value without entry fails the job, or with `unmapped="flag"` gives null and a true `<out>_unmapped`. Whether a
-    table is broadcast is left to the optimizer, which knows its size.
+    A value without entry fails the job, or with `unmapped="flag"` gives null and a true `<out>_unmapped`. A dict of any size is
+    a literal inside the row, searched from its beginning; its values keep their type. For thousands of entries pass
+    a table: it is joined, and whether it is broadcast is left to the optimizer, which knows its size.
     """
     out = out or column
     value = F.col(column)
@@ -39,22 +34,13 @@ def map_labels(df: DataFrame, column: str, mapping: LabelMap | None, out: str |
     if not isinstance(mapping, (dict, DataFrame)):
         return df.withColumn(out, mapping(value))
     if isinstance(mapping, dict):
-        kind = "string" if all(isinstance(v, str) for v in mapping.values()) else "int"
-    else:
-        kind = mapping.dtypes[1][1]
-    if not isinstance(mapping, dict):
-        joined = df.join(mapping.toDF("_key", "_found"), F.col("_key") == value, "left").drop("_key")
-    elif len(mapping) <= LITERAL_ENTRIES:
         joined = df.withColumn("_found", F.try_element_at(literal_map(mapping), value))
     else:
-        key_type = df.schema[column].dataType.simpleString()
-        entries = pd.DataFrame({"_key": list(mapping), "_found": list(mapping.values())})
-        table = df.sparkSession.createDataFrame(entries, f"_key {key_type}, _found {kind}")
-        joined = df.join(F.broadcast(table), F.col("_key") == value, "left").drop("_key")
+        joined = df.join(mapping.toDF("_key", "_found"), F.col("_key") == value, "left").drop("_key")
     if unmapped == "flag":
         result = joined.withColumn(f"{out}_unmapped", F.col("_found").isNull()).withColumn(out, F.col("_found"))
     else:
-        result = joined.withColumn(out, F.coalesce("_found", _unmapped(value, kind)))
+        result = joined.withColumn(out, F.coalesce("_found", _unmapped(value)))
     return result.drop("_found")
 
 

@@ -19,10 +19,14 @@ def sentence_array(text: Column) -> Column:
     return F.filter(split_passage(text), lambda sentence: sentence != "")
 
 
-def sentence_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`key, sent_no, sentence`, each sentence cut to the length that is masked."""
+def _cut(sentence: Column, max_chars: int | None) -> Column:
+    return sentence if max_chars is None else F.substring(sentence, 1, max_chars)
+
+
+def sentence_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", max_chars: int | None = None) -> DataFrame:
+    """`key, sent_no, sentence`. `max_chars` cuts sentences for a tagger that takes no longer ones; by default they stay whole."""
     rows = docs.select(key, F.posexplode(sentence_array(F.col(text))).alias("sent_no", "sentence"))
-    return rows.withColumn("sentence", F.substring("sentence", 1, fv.SENTENCE_MASK_CHARS))
+    return rows.withColumn("sentence", _cut(F.col("sentence"), max_chars))
 
 
 def pack_sentences(sentences: Column, max_bytes: int = fv.CONTEXT_MAX_BYTES) -> Column:
@@ -130,25 +134,26 @@ def mask_contexts(contexts: DataFrame, key: str = "doc_id", variants: int = fv.M
         key, "context_no", "variant", "_done.text", "_done.label")
 
 
-def tag_contexts(contexts: DataFrame, tagger: Callable[[Column], Column], key: str = "doc_id") -> DataFrame:
-    """Attach the entities that a Column function finds in each (cut) sentence; stays inside the row."""
+def tag_contexts(contexts: DataFrame, tagger: Callable[[Column], Column], key: str = "doc_id",
+                 max_chars: int | None = None) -> DataFrame:
+    """Attach the entities that a Column function finds in each sentence, cut to `max_chars` if given; stays inside the row."""
     def tagged(s: Column) -> Column:
-        return let(F.substring(s["sentence"], 1, fv.SENTENCE_MASK_CHARS), lambda cut: F.struct(
+        return let(_cut(s["sentence"], max_chars), lambda cut: F.struct(
             s["sent_no"].alias("sent_no"), cut.alias("sentence"), tagger(cut).alias("entities")))
 
     return contexts.select(key, "context_no", F.transform("sentences", tagged).alias("sentences"))
 
 
-def join_entities(contexts: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Attach entities from a table `(key, sent_no, ent_no, surface)`.
+def join_entities(contexts: DataFrame, entities: DataFrame, key: str = "doc_id", max_chars: int | None = None) -> DataFrame:
+    """Attach entities from a table `(key, sent_no, ent_no, surface)`; `max_chars` cuts the sentences.
 
-    Every group is bounded: the entities of one sentence of at most 510 characters, and the sentences of one context.
+    Every group is bounded by a row of the input: the entities of one sentence, and the sentences of one context.
     """
     per_sentence = entities.groupBy(key, "sent_no").agg(
         F.sort_array(F.collect_list(F.struct("ent_no", "surface"))).alias("_found"))
     rows = contexts.select(key, "context_no", F.explode("sentences").alias("_s")).select(
         key, "context_no", F.col("_s.sent_no").alias("sent_no"),
-        F.substring("_s.sentence", 1, fv.SENTENCE_MASK_CHARS).alias("sentence"))
+        _cut(F.col("_s.sentence"), max_chars).alias("sentence"))
     surfaces = F.coalesce(F.transform("_found", lambda e: e["surface"]), F.array().cast("array<string>"))
     joined = rows.join(per_sentence, [key, "sent_no"], "left").withColumn("entities", surfaces)
     return joined.groupBy(key, "context_no").agg(

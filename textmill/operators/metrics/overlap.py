@@ -6,6 +6,7 @@ No n-gram ever leaves its row, so the text is not shuffled and a long document c
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,16 +49,16 @@ def chrf_statistics(pred: Column, gold: Column, char_order: int = 6, word_order:
     return statistics(F.coalesce(pred, F.lit("")), F.coalesce(gold, F.lit("")))
 
 
-def chrf_sums(statistics: str, orders: int) -> list[Column]:
+def chrf_sums(statistics: str, orders: int, prefix: str = "_s") -> list[Column]:
     """Corpus totals of a statistics column, as aggregates `_s0, _s1, …`."""
-    return [F.coalesce(F.sum(F.col(statistics)[i]), F.lit(0)).alias(f"_s{i}") for i in range(3 * orders)]
+    return [F.coalesce(F.sum(F.col(statistics)[i]), F.lit(0)).alias(f"{prefix}{i}") for i in range(3 * orders)]
 
 
-def chrf_score(orders: int, beta: float) -> Column:
+def chrf_score(orders: int, beta: float, prefix: str = "_s") -> Column:
     """Score in 0..100 from the totals: precision and recall averaged over the orders present on both sides."""
     precision, recall, effective = F.lit(0.0), F.lit(0.0), F.lit(0)
     for order in range(orders):
-        p, r, m = (F.col(f"_s{3 * order + i}") for i in range(3))
+        p, r, m = (F.col(f"{prefix}{3 * order + i}") for i in range(3))
         usable = (p > 0) & (r > 0)
         precision = precision + F.when(usable, m / p).otherwise(0.0)
         recall = recall + F.when(usable, m / r).otherwise(0.0)
@@ -91,37 +92,46 @@ def _f1(hits: int, pred: int, gold: int) -> float:
     return 2.0 * hits / (pred + gold) if hits else 0.0
 
 
-def _rouge_row(pred: str, gold: str, tokenizer: str) -> tuple[float, float, float, float]:
+ROUGE_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
+def _rouge_row(pred: str, gold: str, tokenizer: str, types: Sequence[str]) -> list[float]:
     p, g = _tokenize(pred, tokenizer), _tokenize(gold, tokenizer)
-    (p1, g1, m1), (p2, g2, m2) = ngram_counts(*token_ids(p, g), 2)
-    p_lines = [t for t in (_tokenize(s, tokenizer) for s in pred.split("\n") if s) if t]
-    g_lines = [t for t in (_tokenize(s, tokenizer) for s in gold.split("\n") if s) if t]
-    if len(p_lines) <= 1 and len(g_lines) <= 1:
-        longest = lcs_length(p, g)
-        return _f1(m1, p1, g1), _f1(m2, p2, g2), _f1(longest, p1, g1), _f1(longest, p1, g1)
-    return (_f1(m1, p1, g1), _f1(m2, p2, g2), _f1(lcs_length(p, g), p1, g1),
-            _f1(summary_lcs_hits(g_lines, p_lines), p1, g1))
-
-
-def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii") -> Column:
-    """Per row `(rouge1, rouge2, rougeL, rougeLsum)` F1, each the best over the gold texts."""
-    @F.pandas_udf("rouge1 double, rouge2 double, rougeL double, rougeLsum double")
+    scores = {}
+    if {"rouge1", "rouge2"} & set(types):
+        one, two = ngram_counts(*token_ids(p, g), 2)
+        scores["rouge1"], scores["rouge2"] = (_f1(m, n, r) for n, r, m in (one, two))
+    if "rougeL" in types:
+        scores["rougeL"] = _f1(lcs_length(p, g), len(p), len(g))
+    if "rougeLsum" in types:
+        p_lines = [t for t in (_tokenize(s, tokenizer) for s in pred.split("\n") if s) if t]
+        g_lines = [t for t in (_tokenize(s, tokenizer) for s in gold.split("\n") if s) if t]
+        if len(p_lines) > 1 or len(g_lines) > 1:
+            scores["rougeLsum"] = _f1(summary_lcs_hits(g_lines, p_lines), len(p), len(g))
+        else:
+            scores["rougeLsum"] = scores["rougeL"] if "rougeL" in scores else _f1(lcs_length(p, g), len(p), len(g))
+    return [scores[t] for t in types]
+
+
+def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii", types: Sequence[str] = ROUGE_TYPES) -> Column:
+    """Per row F1 of the `types` asked for, each the best over the gold texts; only these are computed."""
+    @F.pandas_udf(", ".join(f"{t} double" for t in types))
     def statistics(preds: pd.Series, gold_lists: pd.Series) -> pd.DataFrame:
         rows = []
         for p, gs in zip(preds, gold_lists):
-            scores = [_rouge_row(p, g, tokenizer) for g in gs]
-            rows.append([max(s) for s in zip(*scores)] if scores else [0.0] * 4)
-        return pd.DataFrame(rows, columns=["rouge1", "rouge2", "rougeL", "rougeLsum"], dtype="float64")
+            scores = [_rouge_row(p, g, tokenizer, types) for g in gs]
+            rows.append([max(s) for s in zip(*scores)] if scores else [0.0] * len(types))
+        return pd.DataFrame(rows, columns=list(types), dtype="float64")
 
     return statistics(F.coalesce(pred, F.lit("")), F.filter(golds, lambda g: g.isNotNull()))
 
 
-def rouge(df: DataFrame, pred: str = "pred", gold: str = "gold", tokenizer: str = "ascii") -> DataFrame:
-    """One row of mean F1 values; `gold` is a text or a list of texts.
+def rouge(df: DataFrame, pred: str = "pred", gold: str = "gold", tokenizer: str = "ascii",
+          types: Sequence[str] = ROUGE_TYPES) -> DataFrame:
+    """One row of mean F1 values of the `types` asked for; `gold` is a text or a list of texts.
 
     The default tokenizer keeps `[a-z0-9]` only, so text in other scripts scores 0 with it.
     """
     golds = F.col(gold) if df.schema[gold].dataType.typeName() == "array" else F.array(F.col(gold))
-    scored = df.select(rouge_statistics(F.col(pred), golds, tokenizer).alias("s"))
-    names = ("rouge1", "rouge2", "rougeL", "rougeLsum")
-    return scored.agg(*[F.avg(f"s.{n}").alias(n) for n in names], F.count("*").alias("n_rows"))
+    scored = df.select(rouge_statistics(F.col(pred), golds, tokenizer, types).alias("s"))
+    return scored.agg(*[F.avg(f"s.{n}").alias(n) for n in types], F.count("*").alias("n_rows"))

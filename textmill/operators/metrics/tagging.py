@@ -29,12 +29,23 @@ def correct_entities(pred: Column, gold: Column) -> Column:
 
 def entity_f1(df: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
     """One row: counts, micro precision, recall and F1. A prediction without entities counts as one wrong entity."""
-    parsed = df.select(parse_entities(F.col(pred)).alias("p"), parse_entities(F.col(gold)).alias("g"))
-    counted = parsed.select(
-        let(F.col("p"), lambda p: correct_entities(p, F.col("g"))).alias("correct"),
-        F.greatest(F.size("p"), F.lit(1)).alias("predicted"), F.size("g").alias("golds"))
-    sums = counted.agg(F.sum("correct").alias("n_correct"), F.sum("predicted").alias("n_pred"),
-                       F.sum("golds").alias("n_gold"))
+    counted = df.select(entity_counts(F.col(pred), F.col(gold)).alias("_entities"))
+    return entity_scores(counted.agg(*entity_sums("_entities")))
+
+
+def entity_counts(pred: Column, gold: Column) -> Column:
+    """(correct, predicted, golds) of a row."""
+    return let(parse_entities(pred), lambda p: let(parse_entities(gold), lambda g: F.struct(
+        correct_entities(p, g).alias("correct"), F.greatest(F.size(p), F.lit(1)).alias("predicted"), F.size(g).alias("golds"))))
+
+
+def entity_sums(counts: str) -> list[Column]:
+    names = {"correct": "n_correct", "predicted": "n_pred", "golds": "n_gold"}
+    return [F.sum(f"{counts}.{part}").alias(name) for part, name in names.items()]
+
+
+def entity_scores(sums: DataFrame) -> DataFrame:
+    """Micro precision, recall and F1 beside the sums."""
     p = F.when(F.col("n_pred") > 0, F.col("n_correct") / F.col("n_pred")).otherwise(0.0)
     r = F.when(F.col("n_gold") > 0, F.col("n_correct") / F.col("n_gold")).otherwise(0.0)
     scored = sums.select("*", p.alias("precision"), r.alias("recall"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as fv
@@ -26,12 +26,17 @@ def clean_output(text: Column) -> Column:
 
 
 def generator(load: ModelLoader, batch_size: int) -> Callable[[Column], Column]:
-    """Column function that applies a model in batches. `load` runs once per Python worker."""
+    """Column function that applies a model in batches. `load` runs once per Python worker; a null text stays null."""
     def make_predict():
         model = load()
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array(model([str(t) for t in texts.reshape(-1)]), dtype=object)
+            flat = texts.reshape(-1)
+            given = np.array([isinstance(t, str) for t in flat], dtype=bool)
+            out = np.full(len(flat), None, dtype=object)
+            if given.any():
+                out[given] = model(list(flat[given]))
+            return out
 
         return predict
 
@@ -71,25 +76,27 @@ def gold_answers(plausible: Column, answers: Column) -> Column:
 
 
 def align(predictions: DataFrame, golds: DataFrame, key: str = "row_id", strict: bool = False) -> DataFrame:
-    """Predictions next to their gold rows. `strict` fails the job if a key is missing on either side."""
+    """Predictions next to their gold rows. `strict` fails the job if a key is missing or repeated on either side."""
     if not strict:
         return predictions.join(golds, key)
-    left = predictions.withColumn("_left", F.lit(True))
-    right = golds.withColumn("_right", F.lit(True))
-    both = left.join(right, key, "full")
-    complete = F.when(F.col("_left") & F.col("_right"), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("row without counterpart: "), F.col(key).cast("string"))).cast("boolean"))
+    # The count needs the partitioning and order that the join needs, so it costs no shuffle of its own.
+    times = F.count("*").over(Window.partitionBy(key))
+    both = predictions.withColumn("_left", times).join(golds.withColumn("_right", times), key, "full")
+    once = (F.col("_left") == 1) & (F.col("_right") == 1)
+    complete = F.when(once, F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("row repeated or without counterpart: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
     return both.filter(complete).drop("_left", "_right")
 
 
 def alignment_report(predictions: DataFrame, golds: DataFrame, key: str = "row_id") -> DataFrame:
-    """One row: keys on both sides, only predicted, only gold."""
+    """One row: keys on both sides, only predicted, only gold, and keys that repeat on a side."""
     sides = predictions.select(key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(
         golds.select(key, F.lit(0).alias("p"), F.lit(1).alias("g")))
-    per_key = sides.groupBy(key).agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    return per_key.agg(F.count_if((F.col("p") == 1) & (F.col("g") == 1)).alias("n_both"),
+    per_key = sides.groupBy(key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    return per_key.agg(F.count_if((F.col("p") > 0) & (F.col("g") > 0)).alias("n_both"),
                        F.count_if(F.col("g") == 0).alias("n_only_predicted"),
-                       F.count_if(F.col("p") == 0).alias("n_only_gold"))
+                       F.count_if(F.col("p") == 0).alias("n_only_gold"),
+                       F.count_if((F.col("p") > 1) | (F.col("g") > 1)).alias("n_repeated"))
 
 
 def lookup_by_id(golds: DataFrame, predictions: DataFrame, key: str = "qid") -> DataFrame:
@@ -106,14 +113,22 @@ def retag_sentence(sentence: Column, elements: Column, boundary_rule: bool = Tru
     """Put `<w:TT>` tags back into a plain sentence, left to right from a moving cursor.
 
     `boundary_rule`: a word that occurs more than once from the cursor on and does not follow a boundary character is
-    looked for again further right, at most twice. A word that is not found is skipped.
+    looked for again from the cursor plus its place on, and if what that finds does not follow one either, once more in the
+    same way. Places count from 0 and -1 is "not found"; a place before the text counts from its end. So after a
+    failed second search the character looked at is the last but one, and the third search begins just before the cursor. A
+    word that is not found is skipped.
     """
     def find(word: Column, text: Column, start: Column) -> Column:
         """0-based position at or after the 0-based `start`, -1 if there is none."""
         return F.position(word, text, start + 1) - 1
 
-    def inside(text: Column, at: Column) -> Column:
-        return (at > 0) & ~F.substr(text, at, F.lit(1)).isin(fv.TAG_BOUNDARY_CHARACTERS)
+    def find_from(word: Column, text: Column, start: Column) -> Column:
+        return find(word, text, F.when(start < 0, F.greatest(F.lit(0), F.length(text) + start)).otherwise(start))
+
+    def loose(text: Column, at: Column) -> Column:
+        """Whether the character before a place is no boundary."""
+        before = F.substr(text, F.when(at > 0, at).otherwise(F.length(text) + at), F.lit(1))
+        return ~before.isin(fv.TAG_BOUNDARY_CHARACTERS)
 
     def occurrences(word: Column, text: Column, start: Column) -> Column:
         rest = F.substr(text, start + 1)
@@ -131,11 +146,11 @@ def retag_sentence(sentence: Column, elements: Column, boundary_rule: bool = Tru
                           ).otherwise(F.struct(state["text"].alias("text"), state["cursor"].alias("cursor")))
 
         def again(at: Column) -> Column:
-            return F.when(inside(state["text"], at), find(word, state["text"], state["cursor"] + at)).otherwise(at)
+            return F.when(loose(state["text"], at), find_from(word, state["text"], state["cursor"] + at)).otherwise(at)
 
         def settle(at: Column) -> Column:
-            ambiguous = (occurrences(word, state["text"], state["cursor"]) > 1) & inside(state["text"], at)
-            return F.when(ambiguous, let(again(at), again)).otherwise(at)
+            ambiguous = (occurrences(word, state["text"], state["cursor"]) > 1) & (at > 0) & loose(state["text"], at)
+            return F.when(ambiguous, let(find(word, state["text"], state["cursor"] + at), again)).otherwise(at)
 
         first = find(word, state["text"], state["cursor"])
         at = let(first, settle) if boundary_rule else first

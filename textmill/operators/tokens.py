@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.byte_ids import attention_mask, byte_encode, encoded_length, pad_ids
+from ..functions.hashing import hash52
+from ..sources.lines import dense_index
 
 
 def encode_pairs(df: DataFrame, max_len: int | None = None, sentinels: bool = False) -> DataFrame:
@@ -19,18 +22,25 @@ def _round_up(length: Column, multiple: int) -> Column:
 
 
 def pad_batch(df: DataFrame, batch_size: int, max_len: int | None = None, multiple: int = 1,
-              order: str = "row_id") -> DataFrame:
+              order: str = "row_id", dense: bool = False) -> DataFrame:
     """`input_ids, attention_mask, labels` padded to the longest row of the batch.
 
-    A batch holds the rows whose `order` value falls in one range of `batch_size`, so its size is bounded. The text is
-    shuffled, not the ids: lengths come from byte counts and ids are built after the shuffle. `multiple` rounds the
-    padded length up.
+    Batches are full but for the last: rows are numbered by `order`, a unique key; a text key is ordered by its
+    hash, which mixes the sources. With `dense` the key is taken as the number itself, 0, 1, 2 … without gaps, and not
+    counted again. The text is shuffled, not the ids: lengths come from byte counts and ids are built after the
+    shuffle. `multiple` rounds the padded length up.
     """
     batch = Window.partitionBy("batch_id")
-    sized = df.withColumn("batch_id", F.floor(F.col(order) / F.lit(batch_size)))
+    others = [c for c in df.columns if c not in ("input_text", "target_text")]
+    place = order
+    if not dense:
+        place = "_place"
+        numeric = isinstance(df.schema[order].dataType, IntegralType)
+        df = dense_index(df if numeric else df.withColumn("_hash", hash52(F.col(order), 0)),
+                         order if numeric else "_hash", out=place, tie=order)
+    sized = df.withColumn("batch_id", F.floor(F.col(place) / F.lit(batch_size))).drop("_hash", "_place")
     longest = {f"_{side}": _round_up(F.max(encoded_length(F.col(f"{side}_text"), max_len)).over(batch), multiple)
                for side in ("input", "target")}
-    others = [c for c in df.columns if c not in ("input_text", "target_text")]
     encoded = sized.withColumns(longest).select(
         *others, "batch_id", "_input", "_target", byte_encode(F.col("input_text"), max_len).alias("_input_ids"),
         byte_encode(F.col("target_text"), max_len).alias("_target_ids"))

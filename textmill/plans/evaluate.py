@@ -15,7 +15,7 @@ from .tasks import get_task
 _ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
-def _long(row: DataFrame, columns: list[str]) -> DataFrame:
+def long_rows(row: DataFrame, columns: list[str]) -> DataFrame:
     """One wide row to `metric, value` rows."""
     pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
     return row.select(F.inline(F.array(*pairs)))
@@ -32,7 +32,7 @@ def evaluate_reading(df: DataFrame, prediction: str = "prediction", golds: str =
                       (F.avg("squad_em") * 100).alias("squad_exact_match"),
                       (F.avg("squad_f1") * 100).alias("squad_f1"),
                       *[F.avg(f"_rouge.{n}").alias(n) for n in _ROUGE])
-    return _long(wide, ["exact_match", "rouge_w", "squad_exact_match", "squad_f1", *_ROUGE])
+    return long_rows(wide, ["exact_match", "rouge_w", "squad_exact_match", "squad_f1", *_ROUGE])
 
 
 def normalized_questions(df: DataFrame, prediction: str = "prediction", golds: str = "golds") -> DataFrame:
@@ -45,7 +45,7 @@ def evaluate_questions(df: DataFrame, prediction: str = "prediction", golds: str
     scored = score_squad_answers(normalized_questions(df, prediction, golds), prediction, golds)
     wide = scored.agg((F.avg("squad_em") * 100).alias("squad_exact_match"),
                       (F.avg("squad_f1") * 100).alias("squad_f1"))
-    return _long(wide, ["squad_exact_match", "squad_f1"])
+    return long_rows(wide, ["squad_exact_match", "squad_f1"])
 
 
 def evaluate_labels(df: DataFrame, labels: dict[str, int], prediction: str = "prediction",
@@ -53,18 +53,19 @@ def evaluate_labels(df: DataFrame, labels: dict[str, int], prediction: str = "pr
     """Mistyped labels go to their nearest label, then label ids are compared."""
     corrected = apply_correction(df, prediction, list(labels))
     ids = lookup_label_id(lookup_label_id(corrected, prediction, labels, "_pred_id"), gold, labels, "_gold_id")
-    return _long(accuracy(ids, "_pred_id", "_gold_id"), ["accuracy"])
+    return long_rows(accuracy(ids, "_pred_id", "_gold_id"), ["accuracy"])
 
 
 def evaluate_texts(df: DataFrame, prediction: str = "prediction", gold: str = "gold",
                    tokenizer: str = "ascii") -> DataFrame:
     """Exact match, chrF and ROUGE of free text, in one pass."""
     pred, truth = F.col(prediction), F.col(gold)
-    scored = df.select((pred == truth).cast("int").alias("_hit"), chrf_statistics(pred, truth).alias("_stats"),
+    # A missing prediction is a miss, as it is for the other scores.
+    scored = df.select(F.coalesce((pred == truth).cast("int"), F.lit(0)).alias("_hit"), chrf_statistics(pred, truth).alias("_stats"),
                        rouge_statistics(pred, F.array(truth), tokenizer).alias("_rouge"))
     wide = scored.agg(F.avg("_hit").alias("exact_match"), *chrf_sums("_stats", 6),
                       *[F.avg(f"_rouge.{n}").alias(n) for n in _ROUGE])
-    return _long(wide.withColumn("chrf", chrf_score(6, 2.0)), ["exact_match", "chrf", *_ROUGE])
+    return long_rows(wide.withColumn("chrf", chrf_score(6, 2.0)), ["exact_match", "chrf", *_ROUGE])
 
 
 def evaluate_task(name: str, df: DataFrame, prediction: str = "prediction", gold: str = "gold",

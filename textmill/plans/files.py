@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import strip
 from ..operators.metrics.classification import classification_report
 from ..operators.metrics.dependency import align_dependencies, attachment_scores, dependency_lines
-from ..operators.metrics.overlap import chrf
-from ..operators.metrics.tagging import entity_f1, iob_word_f1
+from ..operators.metrics.overlap import chrf_score, chrf_statistics, chrf_sums
+from ..operators.metrics.tagging import entity_counts, entity_scores, entity_sums, iob_line
 from ..operators.prediction import ModelLoader, align, batch_generate
-from ..session import cut_lineage
 from ..sources.lines import dense_index, read_lines_indexed, read_prediction_records, write_lines
-from .evaluate import evaluate_reading
+from .evaluate import evaluate_reading, long_rows
 
 
 def paired_lines(spark: SparkSession, pred_path, gold_path) -> DataFrame:
@@ -29,15 +28,15 @@ def score_label_files(spark: SparkSession, pred_path, gold_path, compat: bool =
 
 
 def score_tag_files(spark: SparkSession, pred_path, gold_path) -> DataFrame:
-    """`metric, value` of tagged sentences: entity F1, word F1 of the mark sequences, chrF with beta 1."""
-    # The pairing is used three times, so the aligned lines are kept once.
-    rows = cut_lineage(paired_lines(spark, pred_path, gold_path))
-
-    def named(name: str, scored: DataFrame, column: str) -> DataFrame:
-        return scored.select(F.lit(name).alias("metric"), F.col(column).alias("value"))
-
-    return named("entity_f1", entity_f1(rows), "f1").unionByName(
-        named("iob_word_f1", iob_word_f1(rows), "chrf")).unionByName(named("chrf", chrf(rows, beta=1.0), "chrf"))
+    """`metric, value` of tagged sentences: entity F1, word F1 of the mark sequences, chrF with beta 1, in one pass."""
+    pred, gold = F.col("pred"), F.col("gold")
+    counted = paired_lines(spark, pred_path, gold_path).select(
+        entity_counts(pred, gold).alias("_entities"), chrf_statistics(iob_line(pred), iob_line(gold), 0, 1).alias("_marks"),
+        chrf_statistics(pred, gold).alias("_text"))
+    sums = counted.agg(*entity_sums("_entities"), *chrf_sums("_marks", 1, "_m"), *chrf_sums("_text", 6))
+    scored = entity_scores(sums).select(F.col("f1").alias("entity_f1"), chrf_score(1, 1.0, "_m").alias("iob_word_f1"),
+                                        chrf_score(6, 1.0).alias("chrf"))
+    return long_rows(scored, ["entity_f1", "iob_word_f1", "chrf"])
 
 
 def score_dependency_files(spark: SparkSession, pred_path, gold_path) -> DataFrame:

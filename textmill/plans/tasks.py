@@ -37,8 +37,12 @@ def _ids(targets: dict[int, str]) -> dict[str, int]:
     return {text: i for i, text in targets.items()}
 
 
-def _nli_gold() -> dict[str, int]:
-    return {fv.NLI_TARGETS[name]: i for i, name in enumerate(fv.NLI_CLASSES)}
+def _nli_gold(classes: list[str]) -> dict[str, int]:
+    return {fv.NLI_TARGETS[name]: i for i, name in enumerate(classes)}
+
+
+def _kornli(df: DataFrame) -> DataFrame:
+    return fmt.format_nli(df, classes=fv.KORNLI_CLASSES)
 
 
 def _sentiment_prompted(df: DataFrame) -> DataFrame:
@@ -67,9 +71,9 @@ TASKS: dict[str, Task] = {
     "nsmc-naive": Task(lambda df: fmt.format_plain(df, "document", "label", fv.SENTIMENT_TARGETS),
                        _ids(fv.SENTIMENT_TARGETS), valid_proportion=0.02),
     "nsmc-prompted": Task(_sentiment_prompted, _ids(fv.SENTIMENT_TARGETS), valid_proportion=0.02),
-    "klue-nli": Task(fmt.format_nli, _nli_gold(), valid_is_test=True),
+    "klue-nli": Task(fmt.format_nli, _nli_gold(fv.NLI_CLASSES), valid_is_test=True),
     "klue-ynat": Task(fmt.format_topic, _ids(fv.TOPIC_TARGETS), valid_proportion=0.01),
-    "kornli-prompted": Task(fmt.format_nli, _nli_gold()),
+    "kornli-prompted": Task(_kornli, _nli_gold(fv.KORNLI_CLASSES)),
     "paws-x-kor": Task(fmt.format_paraphrase, _ids(fv.PARAPHRASE_TARGETS)),
     "kr-internal": Task(fmt.format_title_content, augment=_half_sample, valid_proportion=0.05,
                         seeds=_CLASSIFIER_SEEDS),

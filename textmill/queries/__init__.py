@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+from ..session import dealt
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for costly row work: a small file is dealt out to all cores."""
-    return spread(table(spark, sf_dir, name))
+    """A table for costly row work, dealt out if the session asks for it."""
+    return dealt(table(spark, sf_dir, name))
 
 
 def sql_hash(key: str, seed: int | str) -> str:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..functions.hashing import hash_bucket
 from ..operators.dataset import train_test_split
+from ..operators.tokens import pad_batch
 from ..session import scratch_path
 from ..sources import benchmarks, lines, pairs, questions
 from . import Registry, sql_hash, table, texts
 from .data import _SPLIT_SQL
 from .formats import _PARSED_SQL, parsed_sentences
 from ..plans.files import generate_lines, score_dependency_files, score_label_files, score_tag_files
+from ..plans.tasks import prepare
 from .predictions import _STUB_SQL, load_stub
-from .scores import (_FLIP_SQL, _SPACES_SQL, _WORD_PAIRS_SQL, _dependency_predictions, _f1_sql, _report_sql,
+from .scores import (_FLIP_SQL, _SPACES_SQL, _TAGGED_SQL, _WORD_PAIRS_SQL, _chrf_sql, _dependency_predictions, _f1_sql, _report_sql,
                      flipped_events, tagged_turns)
 from .scores import QUERIES as SCORES
 
@@ -120,22 +123,23 @@ _START_SQL = "(length(text) - (doc_id * 7919) % length(text) - 1)"
 
 @QUERIES.add(f"""
 SELECT doc_id || '-0' AS qid, lang AS title, false AS plausible_answer, 2 AS n_answers,
-  substr(text, {_START_SQL} + 1, 9) AS first_text, {_START_SQL} AS first_start FROM documents
-UNION ALL SELECT doc_id || '-1', lang, true, 1, substr(text, {_START_SQL} + 1, 9), {_START_SQL} FROM documents
-UNION ALL SELECT doc_id || '-2', lang, false, 0, NULL, NULL FROM documents""", ints=("first_start",))
+  substr(text, {_START_SQL} + 1, 9) || '|' || substr(text, 1, 9) AS texts, {_START_SQL} || ' 0' AS starts, text AS context, source AS question
+FROM documents
+UNION ALL SELECT doc_id || '-1', lang, true, 1, substr(text, {_START_SQL} + 1, 9), ({_START_SQL})::VARCHAR, text, source FROM documents
+UNION ALL SELECT doc_id || '-2', lang, false, 0, '', '', text, source FROM documents""")
 def s5_reading_questions(spark, sf):
     path = scratch_path(spark, "mrc.json")
     _nested_documents(spark, sf).write.json(path)
     rows = benchmarks.read_reading_questions(spark, path, json_lines=True)
-    first = F.get("answers", F.lit(0))
-    return rows.select("qid", "title", "plausible_answer", F.size("answers").alias("n_answers"),
-                       first["text"].alias("first_text"), first["start_idx"].alias("first_start"))
+    return rows.select("qid", "title", "plausible_answer", F.size("answers").alias("n_answers"), F.array_join("answers.text", "|").alias("texts"),
+                       F.array_join(F.col("answers.start_idx").cast("array<string>"), " ").alias("starts"), "context", "question")
 
 
 @QUERIES.add("""
 WITH t AS (SELECT item_id, w, unnest(range(len(w))) AS i FROM (
   SELECT item_id, string_split(text, ' ') AS w FROM benchmark))
-SELECT item_id, i::INT AS turn_no, i::INT AS n_history, w[i + 1] AS sys_text,
+SELECT item_id, i::INT AS turn_no, array_to_string(list_transform(w[1:i], lambda x, k: CASE WHEN k % 3 = 1 THEN 'user:' ELSE 'sys:' END || x), ' ') AS history,
+  w[i + 1] AS sys_text,
   CASE WHEN i % 3 = 1 THEN w[i] ELSE w[i - 1] END AS label_state,
   CASE WHEN i % 3 = 2 THEN w[i - 1] WHEN i >= 4 THEN w[i - 3] ELSE '' END AS prev_state
 FROM t WHERE i % 3 > 0""")
@@ -149,7 +153,7 @@ def s6_dialogue_records(spark, sf):
                                          turn.alias("dialogue")).write.json(path)
     rows = benchmarks.read_dialogue_states(spark, path, json_lines=True)
     return rows.select(F.col("domain")[0].cast("long").alias("item_id"), F.col("turn_no"),
-                       F.size("dialogue").alias("n_history"), "sys_text",
+                       F.array_join(F.transform("dialogue", lambda t: F.concat_ws(":", t["role"], t["text"])), " ").alias("history"), "sys_text",
                        F.array_join("label_state", " ").alias("label_state"),
                        F.array_join("prev_state", " ").alias("prev_state"))
 
@@ -221,10 +225,10 @@ _CELL_SQL = "translate(text, chr(9) || chr(10) || chr(13), '   ')"
 
 
 @QUERIES.add(f"""
-SELECT conv_id || '-' || turn AS premise, {_CELL_SQL} AS hypothesis, {sql_hash('conv_id * 1000 + turn', 1)} % 3 AS label
+SELECT conv_id || '-' || turn AS premise, {_CELL_SQL} AS hypothesis, [0, 2, 1][1 + {sql_hash('conv_id * 1000 + turn', 1)} % 3]::BIGINT AS label
 FROM conversations WHERE turn <> 1""")
 def s9_nli_table(spark, sf):
-    """Rows with a missing cell are dropped."""
+    """Rows with a missing cell are dropped; entailment is 0, neutral 1 and contradiction 2."""
     key = F.col("conv_id") * 1000 + F.col("turn")
     names = F.array(*[F.lit(n) for n in ("entailment", "contradiction", "neutral")])
     rows = texts(spark, sf, "conversations").select(
@@ -236,12 +240,17 @@ def s9_nli_table(spark, sf):
 
 
 @QUERIES.add(f"""
-SELECT 'news' AS genre, role AS filename, '2024' AS year, (conv_id * 1000 + turn)::INT AS id, (turn % 11) / 2.0 AS score,
-  {_CELL_SQL} AS sentence1, {_CELL_SQL} AS sentence2 FROM conversations""")
+SELECT conv_id % 4 AS genre, turn % 9 AS filename, conv_id % 7 AS year, (conv_id * 1000 + turn)::INT AS id, (turn % 11) / 2.0 AS score,
+  {_CELL_SQL} AS sentence1, {_CELL_SQL} AS sentence2 FROM conversations""", ints=("genre", "filename", "year"))
 def s9_sts_table(spark, sf):
+    """Genre, file name and year come back as class ids."""
+    def named(names, key):
+        return F.get(F.array(*[F.lit(n) for n in names]), (F.col(key) % len(names)).cast("int"))
+
     cell = F.translate("text", "\t\n\r", "   ")
     rows = texts(spark, sf, "conversations").select(
-        F.lit("news").alias("genre"), F.col("role").alias("filename"), F.lit("2024").alias("year"),
+        named(fv.STS_GENRES, "conv_id").alias("genre"), named(fv.STS_FILES, "turn").alias("filename"),
+        named(fv.STS_YEARS, "conv_id").alias("year"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 11 / 2).alias("score"),
         cell.alias("sentence1"), cell.alias("sentence2"))
     read = benchmarks.read_sts_table(spark, _write_table(rows, spark, "sts.tsv"))
@@ -251,13 +260,16 @@ def s9_sts_table(spark, sf):
 @QUERIES.add(rf"""
 WITH q AS (SELECT doc_id, text, source, {_START_SQL} AS start FROM documents),
 l AS (SELECT *, string_split(regexp_replace(text, '([.?!]) ', '\1' || chr(1), 'g'), chr(1)) AS s FROM q)
-SELECT doc_id || '-0' AS id, source AS text2, substr(text, start + 1, 9) AS first_label, start AS first_pos,
-  CASE WHEN regexp_matches(substr(text, start, 2), '^[.?!] $') THEN ''
-    ELSE s[len(regexp_extract_all(left(text, start), '[.?!] ')) + 1] END AS first_sent, s[1] AS second_sent FROM l""", ints=("first_pos",))
+SELECT doc_id || '-0' AS id, source AS text2, text AS text1, substr(text, start + 1, 9) || '|' || substr(text, 1, 9) AS labels,
+  start || ' 0' AS places, CASE WHEN regexp_matches(substr(text, start, 2), '^[.?!] $') THEN ''
+    ELSE s[len(regexp_extract_all(left(text, start), '[.?!] ')) + 1] END || '|' || s[1] AS sentences FROM l
+UNION ALL SELECT doc_id || '-' || k, source, text, '', '', '' FROM q, (SELECT unnest([1, 2]) AS k)""")
 def s10_flatten_questions(spark, sf):
-    flat = questions.flatten_questions(_nested_documents(spark, sf)).filter(F.size("label") > 0)
-    return flat.select("id", "text2", F.col("label")[0].alias("first_label"), F.col("position")[0]["pos"].alias("first_pos"),
-                       F.col("position")[0]["sent"].alias("first_sent"), F.col("position")[1]["sent"].alias("second_sent"))
+    """Every question, with all its answers, their places and sentences."""
+    flat = questions.flatten_questions(_nested_documents(spark, sf))
+    return flat.select("id", "text2", "text1", F.array_join("label", "|").alias("labels"),
+                       F.array_join(F.col("position.pos").cast("array<string>"), " ").alias("places"),
+                       F.array_join("position.sent", "|").alias("sentences"))
 
 
 @QUERIES.add(f"""
@@ -333,10 +345,11 @@ def e3_report_files(spark, sf):
 
 @QUERIES.add(f"""
 SELECT 'entity_f1' AS metric, round(f1, 9) AS value FROM ({SCORES['e11_entity_f1'].sql})
-UNION ALL SELECT 'iob_word_f1', round(chrf, 7) FROM ({SCORES['e12_iob_word_f1'].sql})""")
+UNION ALL SELECT 'iob_word_f1', round(chrf, 7) FROM ({SCORES['e12_iob_word_f1'].sql})
+UNION ALL SELECT 'chrf', round(chrf, 7) FROM ({_chrf_sql(_TAGGED_SQL, 6, 1.0)})""")
 def e11_tag_files(spark, sf):
     rows = tagged_turns(spark, sf).withColumn("row", F.col("conv_id") * 1000 + F.col("turn"))
-    scored = score_tag_files(spark, *_write_sides(spark, rows, "row")).filter("metric <> 'chrf'")
+    scored = score_tag_files(spark, *_write_sides(spark, rows, "row"))
     digits = F.when(F.col("metric") == "entity_f1", F.round("value", 9)).otherwise(F.round("value", 7))
     return scored.withColumn("value", digits)
 
@@ -371,3 +384,32 @@ def s18_sampled_sources(spark, sf):
     lines.write_lines(rows, path, "fields", "doc_id")
     files = f"{path}/part-*"
     return pairs.read_sources(spark, [(files, 4), files], seed=7)
+
+
+_BATCH_TEXT_SQL = "regexp_replace(text, '[\\x09-\\x0D]+', ' ', 'g')"
+
+
+@QUERIES.add(f"""
+WITH d AS (SELECT doc_id, {_BATCH_TEXT_SQL} AS t, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents),
+keyed AS (
+  SELECT '0:' || n AS row_id, t AS text, lang AS target FROM d WHERE {sql_hash("'0:' || n", 7)} % 4 = 0
+  UNION ALL SELECT '1:' || n, t, source FROM d WHERE {sql_hash("'1:' || n", 7)} % 2 = 0),
+kept AS (SELECT row_id, strlen(text) + 1 AS n_in, strlen(target) + 1 AS n_out FROM keyed WHERE strlen(text) + 1 + strlen(target) + 1 < 4096),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY ('0x' || substr(md5('0:' || row_id), 1, 13))::BIGINT, row_id) - 1) // 32 AS batch_id FROM kept)
+SELECT batch_id, count(*) AS n_rows, max(n_in) AS input_width, max(n_out) AS label_width, sum(n_in)::BIGINT AS n_input_ids,
+  sum(n_out)::BIGINT AS n_label_ids FROM numbered GROUP BY batch_id""", ints=("input_width", "label_width"))
+def f14_sources_to_batches(spark, sf):
+    """The training path: a sample of JSON lines and one of delimited pairs to full, padded batches."""
+    text = F.regexp_replace("text", r"[\x09-\x0D]+", " ")
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"), "lang", "source")
+    records, tsv = scratch_path(spark, "rows.jsonl"), scratch_path(spark, "rows.tsv")
+    lines.write_lines(rows.select("doc_id", F.to_json(F.struct("text", F.col("lang").alias("label"))).alias("line")), records, "line", "doc_id")
+    lines.write_lines(rows.select("doc_id", F.array("text", "source").alias("fields")), tsv, "fields", "doc_id")
+    # Part files written as text don't tell that they hold records, so the kind is given.
+    source = pairs.read_sources(spark, [(f"{records}/part-*", 4, "records"), (f"{tsv}/part-*", 2)], seed=7)
+    ready = prepare("pairs", source, max_len=4096, encode=False)
+    batches = pad_batch(ready, 32)
+    return batches.groupBy("batch_id").agg(
+        F.count("*").alias("n_rows"), F.max(F.size("input_ids")).alias("input_width"), F.max(F.size("labels")).alias("label_width"),
+        F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x.cast("int"))).alias("n_input_ids"),
+        F.sum(F.size(F.filter("labels", lambda x: x != 0))).alias("n_label_ids"))

@@ -242,3 +242,57 @@ def f14_prepare(spark, sf):
     return ready.groupBy("split", byte_decode(F.col("labels")).alias("lang")).agg(
         F.count("*").alias("n_rows"), F.sum(F.size("input_ids")).alias("n_input_ids"),
         F.sum(F.size("labels")).alias("n_label_ids"))
+
+
+def _named(task: str, build, sql: str, label_map=None) -> None:
+    """A query that formats the rows of `build` by the named task."""
+    def run(spark, sf):
+        return format_task(task, build(spark, sf), label_map)
+
+    run.__name__ = "f14_" + task.replace("-", "_").replace(" ", "_")
+    QUERIES.add(sql)(run)
+
+
+def _nli_rows(spark, sf):
+    return _turns(spark, sf).select("row_id", F.col("role").alias("premise"), F.col("text").alias("hypothesis"),
+                                    hash_bucket(F.col("row_id"), 3, 1).cast("int").alias("label"))
+
+
+def _renamed(**names):
+    return lambda spark, sf: _labelled(spark, sf).select("row_id", *(F.col(old).alias(new) for new, old in names.items()))
+
+
+def _titles(spark, sf):
+    """Titles with one of two classes, by the row's hash."""
+    return _turns(spark, sf).select("row_id", F.col("role").alias("title"), F.col("text").alias("content"),
+                                    hash_bucket(F.col("row_id"), 2, 3).cast("int").alias("label"))
+
+
+_PLAIN_SQL = """
+SELECT doc_id AS row_id, text AS input_text, {} AS target_text FROM documents JOIN labels USING (doc_id)"""
+_CLASS_SQL = f"['first', 'second'][{sql_hash('conv_id * 1000 + turn', 3)} % 2 + 1]"
+_named("nsmc-naive", _renamed(document="text", label="toxic"),
+       _PLAIN_SQL.format("CASE toxic WHEN 0 THEN 'positive' ELSE 'negative' END"))
+_named("klue-nli", _nli_rows, QUERIES["f3_nli"].sql)
+# Here the classes are entailment, neutral and contradiction, in this order.
+_named("kornli-prompted", _nli_rows, QUERIES["f3_nli"].sql.replace("['함의', '모순', '중립']", "['함의', '중립', '모순']"))
+_named("klue-ynat", lambda spark, sf: _turns(spark, sf).select(
+    "row_id", F.col("text").alias("title"), hash_bucket(F.col("row_id"), 7, 2).cast("int").alias("label")), QUERIES["f4_topic"].sql)
+_named("paws-x-kor", lambda spark, sf: _titles(spark, sf).withColumnsRenamed({"title": "sentence1", "content": "sentence2"}),
+       QUERIES["f12_paraphrase"].sql)
+_named("kr-internal", _titles, f"""
+SELECT conv_id * 1000 + turn AS row_id, '#TITLE ' || role || E'\\n#CONTENT ' || text AS input_text, {_CLASS_SQL} AS target_text
+FROM conversations""", {0: "first", 1: "second"})
+_named("kr-internal-mtl", _titles, f"""
+SELECT conv_id * 1000 + turn AS row_id, E'Multitask classification:\\n\\n' || role AS input_text, {_CLASS_SQL} AS target_text
+FROM conversations""", {0: "first", 1: "second"})
+_named("klue-mrc", lambda spark, sf: _answers(spark, sf).withColumn(
+    "answers", F.array(F.struct(F.lit("an earlier answer").alias("text"), F.lit(3).alias("start_idx")), "answers")), QUERIES["f5_mrc"].sql)
+_named("klue-ner", _tagged, QUERIES["f8_ner"].sql)
+_named("klue-dp", parsed_sentences, QUERIES["f9_dependency"].sql)
+_named("korquad-v1", lambda spark, sf: _turns(spark, sf).select(
+    "row_id", F.col("role").alias("question"), F.col("text").alias("context"),
+    F.get(F.split("text", " ", -1), F.lit(1)).alias("label")), QUERIES["f11_qa"].sql)
+_named("hfdataset", _renamed(text="text", label="lang"), _PLAIN_SQL.format("lang"))
+_named("jsonlines", _renamed(text="text", label="source"), _PLAIN_SQL.format("source"))
+_named("any other name", _renamed(text="text", target_text="lang"), _PLAIN_SQL.format("lang"))

@@ -29,7 +29,7 @@ def _masked_sql(docs: str, context: str, variants: int) -> str:
     """Sentence texts with one private-use character per masked place, and the targets."""
     return rf"""
 WITH RECURSIVE {docs}, {_SENTENCES_SQL}, {_PACK_SQL},
-cut AS (SELECT doc_id, sent_no, {context} AS context_no, substr(sentence, 1, 510) AS cut FROM s JOIN p USING (doc_id, sent_no)),
+cut AS (SELECT doc_id, sent_no, {context} AS context_no, sentence AS cut FROM s JOIN p USING (doc_id, sent_no)),
 ents AS (SELECT doc_id, sent_no, context_no, unnest(e) AS surface, generate_subscripts(e, 1) - 1 AS ent_no
   FROM (SELECT *, regexp_extract_all(cut, '{_ENTITY}') AS e FROM cut)),
 v AS (SELECT *, ent_no % {variants} AS variant,
@@ -59,7 +59,7 @@ def capitalised(sentence):
     return F.regexp_extract_all(sentence, F.lit(_ENTITY), 0)
 
 
-@QUERIES.add(f"WITH {_ALL}, {_SENTENCES_SQL} SELECT doc_id, sent_no, substr(sentence, 1, 510) AS sentence FROM s", ints=("sent_no",))
+@QUERIES.add(f"WITH {_ALL}, {_SENTENCES_SQL} SELECT doc_id, sent_no, sentence FROM s", ints=("sent_no",))
 def m1_sentences(spark, sf):
     return masking.sentence_rows(texts(spark, sf, "documents"))
 
@@ -78,7 +78,7 @@ def m2_pack_contexts(spark, sf):
 @QUERIES.add(f"""
 WITH {_ALL}, {_SENTENCES_SQL},
 e AS (SELECT doc_id, sent_no, unnest(l) AS surface, generate_subscripts(l, 1) - 1 AS i
-  FROM (SELECT *, regexp_extract_all(substr(sentence, 1, 510), '{_ENTITY}') AS l FROM s))
+  FROM (SELECT *, regexp_extract_all(sentence, '{_ENTITY}') AS l FROM s))
 SELECT doc_id, sent_no, i % 3 AS variant, string_agg(surface, ' ' ORDER BY i) AS surfaces FROM e GROUP BY ALL""", ints=("sent_no", "variant"))
 def m3_round_robin(spark, sf):
     found = masking.sentence_rows(texts(spark, sf, "documents")).withColumn("e", capitalised(F.col("sentence")))

@@ -108,7 +108,7 @@ def p5_align(spark, sf):
 
 @QUERIES.add("""
 SELECT count(*) FILTER (d.doc_id = l.doc_id) AS n_both, count(*) FILTER (l.doc_id IS NULL) AS n_only_predicted,
-  count(*) FILTER (d.doc_id IS NULL) AS n_only_gold FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+  count(*) FILTER (d.doc_id IS NULL) AS n_only_gold, 0::BIGINT AS n_repeated FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def p5_alignment_report(spark, sf):
     return prediction.alignment_report(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
@@ -186,23 +186,40 @@ def _find_sql(start: str) -> str:
 _BOUNDARY_SQL = ", ".join("'" + c.replace("'", "''") + "'" for c in fv.TAG_BOUNDARY_CHARACTERS)
 
 
-def _inside_sql(at: str) -> str:
-    return f"({at} > 0 AND substr(text, {at}, 1) NOT IN ({_BOUNDARY_SQL}))"
+def _loose_sql(at: str) -> str:
+    """The character before a place is no boundary; places before the text count from its end."""
+    return f"(substr(text, CASE WHEN {at} > 0 THEN {at} ELSE length(text) + {at} END, 1) NOT IN ({_BOUNDARY_SQL}))"
 
 
-@QUERIES.add(rf"""
-WITH RECURSIVE w AS (SELECT item_id, unnest(e) AS word, generate_subscripts(e, 1) AS k
-  FROM (SELECT item_id, regexp_extract_all(text, '[A-Z][a-z]+') AS e FROM benchmark)),
-r AS (SELECT item_id, 0::BIGINT AS k, text, 0::BIGINT AS cursor FROM benchmark
+def _retag_sql(text: str, words: str) -> str:
+    return rf"""
+WITH RECURSIVE b AS (SELECT item_id, {text} AS text FROM benchmark),
+w AS (SELECT item_id, unnest(e) AS word, generate_subscripts(e, 1) AS k
+  FROM (SELECT item_id, regexp_extract_all(text, '{words}') AS e FROM b)),
+r AS (SELECT item_id, 0::BIGINT AS k, text, 0::BIGINT AS cursor FROM b
   UNION ALL SELECT item_id, k,
     CASE WHEN spot >= 0 THEN left(text, spot) || '<' || word || ':PS>' || substr(text, spot + length(word) + 1) ELSE text END,
     CASE WHEN spot >= 0 THEN spot + length(word) + 5 ELSE cursor END
-  FROM (SELECT *, CASE WHEN NOT unsure THEN a1 WHEN {_inside_sql('a2')} THEN {_find_sql('cursor + a2')} ELSE a2 END AS spot
-    FROM (SELECT *, {_find_sql('cursor + a1')} AS a2, {_inside_sql('a1')}
+  FROM (SELECT *, CASE WHEN NOT unsure THEN a1 WHEN NOT {_loose_sql('a2')} THEN a2
+        WHEN cursor + a2 < 0 THEN {_find_sql('greatest(0, length(text) + cursor + a2)')} ELSE {_find_sql('cursor + a2')} END AS spot
+    FROM (SELECT *, {_find_sql('cursor + a1')} AS a2, a1 > 0 AND {_loose_sql('a1')}
         AND (length(substr(text, cursor + 1)) - length(replace(substr(text, cursor + 1), word, ''))) // length(word) > 1 AS unsure
       FROM (SELECT *, {_find_sql('cursor')} AS a1 FROM (
         SELECT r.item_id, w.k, r.text, r.cursor, w.word FROM r JOIN w ON w.item_id = r.item_id AND w.k = r.k + 1)))))
-SELECT item_id, arg_max(text, k) AS tagged FROM r GROUP BY item_id""")
+SELECT item_id, arg_max(text, k) AS tagged FROM r GROUP BY item_id"""
+
+
+@QUERIES.add(_retag_sql("lower(text)", "[a-z]{2,3}"))
+def p9_retag_inside_words(spark, sf):
+    """Short strings of a lower-case text, most of which also occur inside other words, so that searches are repeated and fail."""
+    text = F.lower("text")
+    found = F.regexp_extract_all(text, F.lit("[a-z]{2,3}"), 0)
+    elements = F.transform(found, lambda w: F.concat(F.lit("<"), w, F.lit(":PS>")))
+    rows = table(spark, sf, "benchmark").select("item_id", prediction.retag_sentence(text, elements).alias("tagged"))
+    return rows
+
+
+@QUERIES.add(_retag_sql("text", "[A-Z][a-z]+"))
 def p9_retag_boundary(spark, sf):
     """With the boundary rule for words that occur more than once."""
     tags = F.array_join(F.regexp_extract_all("tagged", F.lit("<.+?:[A-Z][A-Z]>"), 0), " ")

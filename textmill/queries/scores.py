@@ -277,6 +277,11 @@ _GOLD_TAGS_SQL = """list_transform(list_filter(list_transform(w, lambda x, i: {'
   lambda e: {'w': e.w, 't': 'PS'})"""
 
 
+_TAGGED_SQL = f"""SELECT * EXCLUDE (w), array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 8 = 0 THEN '<' || x || ':OG>'
+    WHEN i % 4 = 0 THEN '<' || x || ':PS>' WHEN i % 6 = 0 THEN '<' || x || ':LC>' ELSE x END), ' ') AS pred,
+  array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 4 = 0 THEN '<' || x || ':PS>' ELSE x END), ' ') AS gold FROM ({_WORDS_SQL})"""
+
+
 def tagged_turns(spark, sf):
     """Every fourth word is an entity; the prediction mistakes some and adds others."""
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
@@ -417,7 +422,7 @@ SELECT round(avg(a), 9) AS token_accuracy, count(*) AS n_batches FROM (SELECT su
 def e17_token_accuracy(spark, sf):
     rows = texts(spark, sf, "benchmark").select("item_id", F.lower("text").alias("input_text"),
                                                 F.col("text").alias("target_text"))
-    batches = pad_batch(rows, 8, order="item_id").withColumnRenamed("input_ids", "pred_ids")
+    batches = pad_batch(rows, 8, order="item_id", dense=True).withColumnRenamed("input_ids", "pred_ids")
     return states.token_accuracy(batches).withColumn("token_accuracy", F.round("token_accuracy", 9))
 
 

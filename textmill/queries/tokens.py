@@ -29,17 +29,18 @@ def t1_encode(spark, sf):
 @QUERIES.add("""
 WITH pieces AS (
   SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i
-  FROM benchmark)
-SELECT item_id, sum(CASE WHEN i % 10 = 0 THEN 1 ELSE strlen(word) END)::BIGINT + max(i) AS n_ids,
-  count(*) FILTER (i % 10 = 0) AS n_sentinels FROM pieces GROUP BY item_id""")
+  FROM benchmark),
+coded AS (SELECT item_id, i, CASE WHEN i % 10 = 0 THEN [259 + (i - 1) % 100] ELSE list_transform(
+    regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::INT + 3) END AS ids FROM pieces)
+SELECT item_id, array_to_string(flatten(list(CASE WHEN i = 1 THEN ids ELSE list_prepend(35, ids) END ORDER BY i)), ' ') || ' 1' AS ids
+FROM coded GROUP BY item_id""")
 def t1_encode_sentinels(spark, sf):
     """Every tenth word replaced by a sentinel, which takes a single id."""
     words = F.transform(F.split("text", " ", -1), lambda w, i: F.when(
         (i + 1) % 10 == 0, F.concat(F.lit("<extra_id_"), (i % 100).cast("string"), F.lit(">"))).otherwise(w))
     encoded = texts(spark, sf, "benchmark").select(
         "item_id", ids.byte_encode(F.array_join(words, " "), sentinels=True).alias("x"))
-    return encoded.select("item_id", F.size("x").cast("long").alias("n_ids"),
-                          F.size(F.filter("x", lambda i: i >= 259)).cast("long").alias("n_sentinels"))
+    return encoded.select("item_id", _joined(F.col("x")).alias("ids"))
 
 
 @QUERIES.add(f"""
@@ -51,17 +52,20 @@ def t2_truncate(spark, sf):
 
 def _padded_sql(multiple: int) -> str:
     return f"""
-WITH sized AS (SELECT item_id, item_id // 8 AS batch_id, list_append({_BYTES_SQL}, 1) AS ids FROM benchmark),
-longest AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / {multiple}.0) * {multiple})::BIGINT AS m FROM sized)
+WITH sized AS (
+  SELECT item_id, item_id // 8 AS batch_id, list_append({_BYTES_SQL}, 1) AS ids,
+    list_append(list_transform(range(item_id % 11), lambda x: 100), 1) AS target FROM benchmark),
+longest AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / {multiple}.0) * {multiple})::BIGINT AS m,
+  (ceil(max(len(target)) OVER (PARTITION BY batch_id) / {multiple}.0) * {multiple})::BIGINT AS n FROM sized)
 SELECT item_id, batch_id, array_to_string(list_resize(ids, m, 0), ' ') AS input_ids,
   array_to_string(list_resize(list_transform(ids, lambda x: 1), m, 0), ' ') AS attention_mask,
-  '58 1' AS labels FROM longest""".replace("'58 1'", "'100 1'" if multiple == 1 else "'100 1 0 0 0 0 0 0'")
+  array_to_string(list_resize(target, n, 0), ' ') AS labels FROM longest"""
 
 
 def _padded(spark, sf, multiple):
     rows = texts(spark, sf, "benchmark").select("item_id", F.col("text").alias("input_text"),
-                                                F.lit("a").alias("target_text"))
-    batches = tokens.pad_batch(rows, 8, multiple=multiple, order="item_id")
+                                                F.repeat(F.lit("a"), F.col("item_id") % 11).alias("target_text"))
+    batches = tokens.pad_batch(rows, 8, multiple=multiple, order="item_id", dense=True)
     return batches.select("item_id", "batch_id",
                           *[_joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 

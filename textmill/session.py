@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 << 20
 SHARED_DIR_CONF = "spark.checkpoint.dir"
+DEAL_CONF = "spark.textmill.dealPartitions"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -59,19 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textmill/{uuid.uuid4().hex}/{name}"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it; for a file scan, the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out to as many partitions as the setting `spark.textmill.dealPartitions` says; unset, as they were scanned.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of an input that is too small to give every core a file split.
-
-    Costly row work on a few small files would otherwise run in a few tasks. Larger inputs are left alone, so nothing
-    is shuffled for it at scale.
+    For tables that are one file with one row group, which a scan can't split. It is a choice of the session, not of
+    the code: at scale it stays unset, and no row is shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if input_bytes(df) < cores * SPLIT_BYTES else df
+    partitions = df.sparkSession.conf.get(DEAL_CONF, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
@@ -42,7 +45,12 @@ def benchmark_files(config: str, folder: str) -> dict[str, str]:
 
 
 def read_benchmark(spark: SparkSession, config: str, folder: str, relations: list[str] | None = None) -> DataFrame:
-    """All splits of one benchmark configuration with a `split` column."""
+    """All splits of one benchmark configuration with a `split` column.
+
+    The relations of `re` are read from `relation_list.json` beside its files unless they are given.
+    """
+    if config == "re" and relations is None:
+        relations = read_class_names(spark, f"{folder}/{BENCHMARK_FILES[config]}/relation_list.json", config)
     readers = {"mrc": read_reading_questions, "wos": read_dialogue_states, "ner": read_ner_blocks,
                "dp": read_dependency_blocks, "dp_hfstyle": read_dependency_sentences}
     frames = []
@@ -126,11 +134,24 @@ def read_dialogue_states(spark: SparkSession, paths, json_lines: bool = False) -
     return dialogue_examples(_json_records(spark, paths, RECORD_SCHEMAS["wos"], json_lines))
 
 
-def _blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
-    """One row per blank-line separated block, splittable inside a file. `newline` is the file's line ending."""
+def line_ending(spark: SparkSession, paths) -> str:
+    """The line ending of the first line of the files."""
+    first = spark.read.option("lineSep", "\n").text(paths).first()
+    return "\r\n" if first is not None and first["value"].endswith("\r") else "\n"
+
+
+def _blocks(spark: SparkSession, paths, newline: str | None = None) -> DataFrame:
+    """One row per blank-line separated block, splittable inside a file.
+
+    `newline` is the files' line ending, found from the first line if not given; a block with another one fails the job.
+    """
+    newline = newline or line_ending(spark, paths)
+    other = "\n\n" if newline == "\r\n" else "\r\n\r\n"
     blocks = spark.read.option("lineSep", newline * 2).text(paths).select("value", "_metadata")
     numbered = with_file_row_number(blocks).withColumnRenamed("line_no", "block_no")
-    return numbered.withColumn("lines", F.split(F.regexp_replace("value", "^[\r\n]+|[\r\n]+$", ""), newline)).drop("value")
+    mixed = F.raise_error(F.concat(F.lit("two line endings in "), "file_path"))
+    checked = F.when(F.contains("value", F.lit(other)), mixed).otherwise(F.col("value"))
+    return numbered.withColumn("lines", F.split(F.regexp_replace(checked, "^[\r\n]+|[\r\n]+$", ""), newline)).drop("value")
 
 
 def ner_fields(lines: Column) -> Column:
@@ -149,14 +170,16 @@ def ner_block_columns(lines: Column, fields: Column) -> dict[str, Column]:
     }
 
 
-def read_ner_blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
-    """`sentence` characters, `labels` class ids and `tagged_sent` per block."""
+def read_ner_blocks(spark: SparkSession, paths, newline: str | None = None) -> DataFrame:
+    """`sentence` characters, `labels` class ids and `tagged_sent` per block. An unknown tag fails the job."""
     classes = F.array(*[F.lit(name) for name in fv.NER_CLASSES])
     # Blocks without any character line, such as file headings, are dropped by a test that stops at the first one.
     some = F.exists("lines", lambda line: ~line.startswith("##") & (strip(line) != ""))
     blocks = _blocks(spark, paths, newline).filter(some).withColumn("fields", ner_fields(F.col("lines")))
     shaped = blocks.withColumns(ner_block_columns(F.col("lines"), F.col("fields")))
-    labels = F.transform("tags", lambda tag: (F.array_position(classes, tag) - 1).cast("int"))
+    unknown = lambda tag: F.raise_error(F.concat(F.lit("unknown tag: "), tag))
+    labels = F.transform("tags", lambda tag: F.when(F.array_contains(classes, tag), F.array_position(classes, tag) - 1)
+                         .otherwise(unknown(tag)).cast("int"))
     return shaped.select("file_path", "block_no", "sentence", labels.alias("labels"), "tagged_sent")
 
 
@@ -178,7 +201,7 @@ def dependency_block_columns(lines: Column) -> dict[str, Column]:
     }
 
 
-def read_dependency_blocks(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
+def read_dependency_blocks(spark: SparkSession, paths, newline: str | None = None) -> DataFrame:
     """`ids, words, lemma, pos, head, relation` per block."""
     columns = dependency_block_columns(F.col("lines"))
     blocks = _blocks(spark, paths, newline).withColumns(columns)
@@ -186,7 +209,7 @@ def read_dependency_blocks(spark: SparkSession, paths, newline: str = "\n") -> D
         "file_path", "block_no", "ids", "words", "lemma", "pos", "head", "relation")
 
 
-def read_dependency_sentences(spark: SparkSession, paths, newline: str = "\n") -> DataFrame:
+def read_dependency_sentences(spark: SparkSession, paths, newline: str | None = None) -> DataFrame:
     """The same blocks with their sentence; a last block without a closing blank line is kept."""
     columns = dependency_block_columns(F.col("lines"))
     blocks = _blocks(spark, paths, newline).withColumns(columns)
@@ -200,11 +223,38 @@ def read_nli_table(spark: SparkSession, paths) -> DataFrame:
     rows = spark.read.csv(paths, sep="\t", header=True, quote="", schema=None, inferSchema=False)
     kept = rows.select(F.col("sentence1").alias("premise"), F.col("sentence2").alias("hypothesis"),
                        F.col("gold_label").alias("label")).dropna()
-    return encode_class(kept, "label", fv.NLI_CLASSES)
+    return encode_class(kept, "label", fv.KORNLI_CLASSES)
 
 
 def read_sts_table(spark: SparkSession, paths) -> DataFrame:
-    """Tab-separated similarity pairs with a header and seven columns."""
+    """Tab-separated similarity pairs with a header and seven columns; genre, file name and year become class ids."""
     rows = spark.read.csv(paths, sep="\t", header=True, quote="", inferSchema=False)
-    return rows.select("genre", "filename", "year", F.col("id").cast("int").alias("id"),
-                       F.col("score").cast("float").alias("score"), "sentence1", "sentence2")
+    shaped = rows.select("genre", "filename", "year", F.col("id").cast("int").alias("id"),
+                         F.col("score").cast("float").alias("score"), "sentence1", "sentence2")
+    for column, names in (("genre", fv.STS_GENRES), ("filename", fv.STS_FILES), ("year", fv.STS_YEARS)):
+        shaped = encode_class(shaped, column, names)
+    return shaped
+
+
+def read_table_splits(spark: SparkSession, config: str, files: dict[str, object]) -> DataFrame:
+    """The split files of a tab-table benchmark, `nli` or `sts`, as one table with a `split` column.
+
+    `files` maps split names (train, validation, test) to paths.
+    """
+    read = {"nli": read_nli_table, "sts": read_sts_table}[config]
+    frames = [read(spark, path).withColumn("split", F.lit(split)) for split, path in files.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def read_class_names(spark: SparkSession, path, config: str) -> list[str]:
+    """Class names, in id order, from the table beside a benchmark: `relation_list.json` for `re`, `ontology.json` for `wos`.
+
+    A relation list holds them under `relations`; an ontology's are its keys in file order.
+    """
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    table = json.loads(text)
+    if config == "re":
+        return list(table["relations"])
+    if config == "wos":
+        return list(table)
+    raise ValueError(f"no class table for {config!r}")

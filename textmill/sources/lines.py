@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
-from ..session import SPLIT_BYTES, input_bytes
 
 INDEX_BLOCK_ROWS = 1 << 20
-# Up to this many file splits (32 TB of large files) the summary of a row-number scan is small enough to broadcast.
-BROADCAST_SPLITS = 1 << 18
 
 
 def with_file_row_number(records: DataFrame) -> DataFrame:
@@ -34,7 +31,6 @@ def with_file_row_number(records: DataFrame) -> DataFrame:
         .withColumn("_base", F.sum("_rows").over(in_file) - F.col("_rows"))
         .withColumn("_start", F.sum("_rows").over(in_all) - F.col("_rows"))
     )
-    few = input_bytes(records) // SPLIT_BYTES + len(records.inputFiles()) <= BROADCAST_SPLITS
     step = F.col("_place") - F.col("_first")
     consistent = (step >= 0) & (step < F.col("_rows"))
     checked = F.when(consistent, step).otherwise(
@@ -42,7 +38,7 @@ def with_file_row_number(records: DataFrame) -> DataFrame:
         .cast("long")
     )
     return (
-        placed.join(F.broadcast(splits) if few else splits, ["file_path", "_split"], "left")
+        placed.join(splits, ["file_path", "_split"], "left")
         .withColumn("_step", checked)
         .withColumn("line_no", F.col("_base") + F.col("_step"))
         .withColumn("row_id", F.col("_start") + F.col("_step"))
@@ -71,17 +67,25 @@ def read_prediction_records(spark: SparkSession, paths, prefix: str = fv.OUTPUT_
 
 
 def dense_index(df: DataFrame, order: str, out: str = "row_id", within: str | None = None,
-                block_rows: int = INDEX_BLOCK_ROWS) -> DataFrame:
-    """Number rows 0, 1, 2 … in the order of a unique, non-negative integer column, without a global sort.
+                block_rows: int = INDEX_BLOCK_ROWS, tie: str | None = None) -> DataFrame:
+    """Number rows 0, 1, 2 … in the order of an integer column, unique unless `tie` orders equals, without a global sort.
 
-    Rows are ranked inside blocks of `block_rows` order values, and the block sizes are added up.
+    Rows are ranked inside blocks of order values, and the block sizes are added up. With `within`, rows are numbered inside its values
+    and a block is `block_rows` order values wide. Without, it is as wide as holds `block_rows` rows on average over the range of
+    the column, so that only one row for each block goes through one task, however sparse the values are.
     """
     keys = [within] if within else []
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    if within:
+        block = F.floor(F.col(order) / F.lit(block_rows))
+    else:
+        extent = df.agg(F.struct(F.min(order).alias("low"), (F.max(order) - F.min(order) + 1).cast("double").alias("span"),
+                                 F.ceil(F.count("*") / block_rows).alias("blocks"))).scalar()
+        block = F.floor((F.col(order) - extent["low"]) / extent["span"] * extent["blocks"])
+    blocked = df.withColumn("_block", block)
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
     running = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     bases = sizes.select(*keys, "_block", (F.sum("_rows").over(running) - F.col("_rows")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)) - 1
+    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *([tie] if tie else []))) - 1
     return (
         blocked.withColumn("_rank", rank)
         .join(bases, [*keys, "_block"])
