@@ -245,7 +245,26 @@ def _home(ids: np.ndarray, groups: int) -> np.ndarray:
 
 
 _REPLY = np.dtype([("id", np.int64), ("key", np.uint64)])
-_SPAN = np.dtype([("id", np.int64), ("text", np.uint64), ("from", np.int64), ("to", np.int64)])
+_SPAN = np.dtype([("id", np.int64), ("text", np.uint16), ("from", np.int64), ("to", np.int64)])
+
+
+def _packed(*parts: bytes) -> bytes:
+    """Parts as one compressed string."""
+    sizes = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    raw = b"".join((sizes, *parts))
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> list[bytes]:
+    raw = pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(raw[:8], np.int64)[0])
+    ends = np.cumsum(np.frombuffer(raw[8:8 + 8 * count], np.int64)) + 8 + 8 * count
+    return [raw[a:b] for a, b in zip([8 + 8 * count, *ends[:-1]], ends)]
+
+
+def _columns(rows: np.ndarray) -> bytes:
+    """A table of records, packed column by column."""
+    return _packed(*(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names))
 
 
 def _rows(pairs: list[tuple[int, bytes, bytes]], kind) -> pa.RecordBatch | pa.Table:
@@ -253,11 +272,74 @@ def _rows(pairs: list[tuple[int, bytes, bytes]], kind) -> pa.RecordBatch | pa.Ta
     return kind.from_arrays([pa.array(groups, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "a", "b"])
 
 
-def _read(table: pa.Table, column: str, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype) for x in table.column(column).to_pylist() if x]
+def _read(table: pa.Table, column: str, dtype: np.dtype) -> np.ndarray:
+    """The records of all packed tables in a column."""
+    parts = []
+    for blob in table.column(column).to_pylist():
+        if blob:
+            columns = [np.frombuffer(c, dtype[name]) for c, name in zip(_unpacked(blob), dtype.names)]
+            rows = np.empty(len(columns[0]), dtype)
+            for name, values in zip(dtype.names, columns):
+                rows[name] = values
+            parts.append(rows)
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+def _text_mark(text: bytes) -> int:
+    """Tells apart the texts of rows that repeat an id."""
+    return xxhash.xxh3_64_intdigest(text) & 0xFFFF
+
+
+def _piece(width: int) -> np.dtype:
+    return np.dtype([("id", np.int64), ("text", np.uint16), ("at", np.int64), ("key", np.uint64), ("offset", np.int16), ("size", np.int16),
+                     ("data", np.uint8, (width,))])
+
+
+_SENT = ("id", "text", "at", "offset", "size")
+
+
+def _send_pieces(pieces: np.ndarray) -> bytes:
+    """Pieces without the zeros after them and without the key, which their bytes give."""
+    width = pieces["data"].shape[1]
+    inside = np.arange(width)[None, :] < pieces["size"][:, None]
+    return _packed(*(np.ascontiguousarray(pieces[name]).tobytes() for name in _SENT), pieces["data"][inside].tobytes())
+
+
+def _read_pieces(table: pa.Table, column: str, width: int) -> np.ndarray:
+    dtype = _piece(width)
+    parts = []
+    for blob in table.column(column).to_pylist():
+        if blob:
+            *columns, data = _unpacked(blob)
+            values = {name: np.frombuffer(c, dtype[name]) for name, c in zip(_SENT, columns)}
+            rows = np.zeros(len(values["id"]), dtype)
+            for name in _SENT:
+                rows[name] = values[name]
+            rows["data"][np.arange(width)[None, :] < rows["size"][:, None]] = np.frombuffer(data, np.uint8)
+            parts.append(rows)
+    pieces = np.concatenate(parts) if parts else np.empty(0, dtype)
+    at = np.arange(len(pieces)) * width + pieces["offset"]
+    for start in range(0, len(pieces), PIECES):
+        own = slice(start, start + PIECES)
+        pieces["key"][own] = mixed(PrefixHash(pieces["data"][own].reshape(-1))(at[own] - start * width, GRAM))
+    return pieces
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Overlapping and touching spans of a text as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["from"], spans["text"], spans["id"]))]
+    fresh = np.append(True, (spans["id"][1:] != spans["id"][:-1]) | (spans["text"][1:] != spans["text"][:-1]))
+    # Starts that lie beyond all ends so far of their text; ends are lifted by text so that one running maximum serves all.
+    lift = np.cumsum(fresh) * (spans["to"].max() + 1)
+    reach = np.maximum.accumulate(spans["to"] + lift)
+    begin = np.flatnonzero(np.append(True, spans["from"][1:] + lift[1:] > reach[:-1]))
+    out = spans[begin]
+    out["to"] = np.maximum.reduceat(spans["to"], begin)
+    return out
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) and spans (from, to) of every row.
 
@@ -300,9 +382,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         fresh = ~again | np.concatenate([[True], found["id"][1:] != found["id"][:-1]])
         found, again = found[fresh], again[fresh]
         shared = again | np.append(again[1:], False)
-        out = [(g, c["x"].tobytes(), b"") for g, c in _by(_group(found["key"][~again], groups), groups, x=found[~again])]
+        out = [(g, _columns(c["x"]), b"") for g, c in _by(_group(found["key"][~again], groups), groups, x=found[~again])]
         known = found[shared]
-        out += [(g, b"", c["x"].tobytes()) for g, c in _by(_home(known["id"], groups), groups, x=known)]
+        out += [(g, b"", _columns(c["x"])) for g, c in _by(_home(known["id"], groups), groups, x=known)]
         return _rows(out, pa.RecordBatch)
 
     def answer_keys(table: pa.Table) -> pa.Table:
@@ -310,10 +392,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = asked[np.argsort(asked["key"], kind="stable")]
         same = np.concatenate([[False], asked["key"][1:] == asked["key"][:-1]]) if len(asked) else np.empty(0, bool)
         known = np.concatenate([known, asked[same | np.append(same[1:], False)]]) if len(asked) else known
-        return _rows([(g, c["x"].tobytes(), b"") for g, c in _by(_home(known["id"], groups), groups, x=known)], pa.Table)
+        return _rows([(g, _columns(c["x"]), b"") for g, c in _by(_home(known["id"], groups), groups, x=known)], pa.Table)
 
-    piece = np.dtype([("id", np.int64), ("text", np.uint64), ("at", np.int64), ("key", np.uint64), ("offset", np.int16), ("size", np.int16),
-                      ("data", np.uint8, (width,))])
+    piece = _piece(width)
 
     def judged(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Removed spans, and the pieces that keep a string."""
@@ -323,14 +404,36 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = np.zeros(len(row), _SPAN)
         spans["id"], spans["text"] = pieces["id"][row], pieces["text"][row]
         spans["from"], spans["to"] = pieces["at"][row] + begin, pieces["at"][row] + end
-        return spans, pieces[remove.sum(axis=1) < sizes - length + 1]
+        return _merged(spans), pieces[remove.sum(axis=1) < sizes - length + 1]
+
+    def send_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, data = batch.column(0), batch.column(1).to_pylist()
+        home = _home(ids.fill_null(0).to_numpy(), groups)
+        missing = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        out = []
+        for g, c in _by(home, groups, row=np.arange(len(data))):
+            own = c["row"]
+            out.append((g, _packed(ids.fill_null(0).to_numpy()[own].tobytes(), missing[own].tobytes(), sizes[own].tobytes(),
+                                   b"".join(data[i] for i in own)), b""))
+        return _rows(out, pa.RecordBatch)
+
+    def read_texts(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+        ids, found = [], []
+        for blob in table.column("a").to_pylist():
+            keys, missing, sizes, data = _unpacked(blob)
+            ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+            ids += [None if m else k for k, m in zip(np.frombuffer(keys, np.int64).tolist(), missing)]
+            found += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return ids, found
 
     def send_pieces(here: pa.Table, answers: pa.Table) -> pa.Table:
         shared = np.unique(_read(answers, "a", _REPLY))
         if not len(shared) or not here.num_rows:
             return _rows([], pa.Table)
-        here = here.filter(here.column("id").is_valid())
-        ids, texts_here = here.column("id").to_numpy(), here.column("text").to_pylist()
+        all_ids, all_texts = read_texts(here)
+        texts_here = [t for k, t in zip(all_ids, all_texts) if k is not None]
+        ids = np.array([k for k in all_ids if k is not None], np.int64)
         wanted = mixed(shared["key"] ^ mixed(shared["id"].view(np.uint64)))
         wanted.sort()
         found = []
@@ -342,32 +445,32 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked)
             made = np.zeros(len(hit), piece)
             starts = np.concatenate([[0], ends[:-1]])[owner[hit]]
-            digests = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts_here[at:at + len(ends)]), np.uint64, len(ends))
+            digests = np.fromiter(map(_text_mark, texts_here[at:at + len(ends)]), np.uint16, len(ends))
             made["id"], made["text"], made["key"], made["at"] = own_ids[hit], digests[owner[hit]], key[hit], first[hit] - starts
             made["offset"], made["size"] = place[hit] - first[hit], last[hit] - first[hit] + length
             made["data"] = _gathered(data, first[hit], made["size"].astype(np.int64), width)
             found.append(made)
         pieces = np.concatenate(found) if found else np.zeros(0, piece)
         spans, open_ = judged(pieces)
-        out = [(g, c["x"].tobytes(), b"") for g, c in _by(_group(open_["key"], groups), groups, x=open_)]
-        out += [(g, b"", c["x"].tobytes()) for g, c in _by(_home(spans["id"], groups), groups, x=spans)]
+        out = [(g, _send_pieces(c["x"]), b"") for g, c in _by(_group(open_["key"], groups), groups, x=open_)]
+        out += [(g, b"", _columns(c["x"])) for g, c in _by(_home(spans["id"], groups), groups, x=spans)]
         return _rows(out, pa.Table)
 
     def settle(table: pa.Table) -> pa.Table:
-        spans, _ = judged(_read(table, "a", piece))
+        spans, _ = judged(_read_pieces(table, "a", width))
         spans = np.concatenate([spans, _read(table, "b", _SPAN)])
-        return _rows([(g, c["x"].tobytes(), b"") for g, c in _by(_home(spans["id"], groups), groups, x=spans)], pa.Table)
+        return _rows([(g, _columns(c["x"]), b"") for g, c in _by(_home(spans["id"], groups), groups, x=spans)], pa.Table)
 
     def cut(here: pa.Table, found: pa.Table) -> pa.Table:
         spans = _read(found, "a", _SPAN)
         spans = spans[np.argsort(spans["id"], kind="stable")]
         columns: list[list] = [[], [], [], [], []]
         kept_all = []
-        for key, text in zip(here.column("id").to_pylist(), here.column("text").to_pylist()):
+        for key, text in zip(*read_texts(here)):
             own = spans[:0]
             if key is not None and len(spans):
                 own = spans[np.searchsorted(spans["id"], key, "left"):np.searchsorted(spans["id"], key, "right")]
-                own = own[own["text"] == np.uint64(xxhash.xxh3_64_intdigest(text))]
+                own = own[own["text"] == _text_mark(text)]
             marks = np.zeros(len(text) + 1, np.int32)
             np.add.at(marks, own["from"], 1)
             np.add.at(marks, own["to"], -1)
@@ -388,8 +491,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keys = batch_map(texts.where("id IS NOT NULL"), send_keys, packed)
     answers = keys.groupBy("part").applyInArrow(answer_keys, packed)
-    own = F.coalesce("id", F.lit(0).cast("long"))
-    grouped = texts.withColumn("part", F.pmod(own.bitwiseXOR(F.shiftright(own, 17)), F.lit(groups)).cast("int"))
+    grouped = batch_map(texts, send_texts, packed)
     pieces = grouped.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(send_pieces, packed)
     spans = pieces.groupBy("part").applyInArrow(settle, packed)
     result = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from: long, to: long>>"
