@@ -25,6 +25,7 @@ GROUP_WORDS = 1 << 22
 DEPTH = 5
 SHARE = 1 << 15
 CHUNK = 1 << 20
+SLICE = 4 << 20
 
 
 def joined(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -228,38 +229,51 @@ def weigh(nodes: ContextNodes, codes: np.ndarray, counts: np.ndarray, share: int
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """kind, key and n over all (id, binary text) rows: kind 0 counts words by hash, kind d > 0 common contexts of d bytes, kind -1 bytes.
 
-    A batch tells of the contexts that precede one in 2 * SHARE of its bytes. The rest sum up to less than that share of all
+    A run of texts tells of the contexts that precede one in 2 * SHARE of its bytes. The rest sum up to less than that share of all
     bytes, so a context with one in SHARE of all bytes has at least half of that here: none is missed.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = batch.column(1).to_pylist()
-        keys, n = np.unique(np.concatenate([h for t in data for h in (word_hashes(word_list(t)), [END_WORD])]).astype(np.uint64), return_counts=True)
-        lengths, codes, m = common_contexts(data, 2 * SHARE)
-        size = sum(map(len, data)) + len(data)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(len(keys), np.int32), lengths, [np.int32(-1)]]).astype(np.int32)),
-             pa.array(np.concatenate([keys.view(np.int64), codes, [0]])), pa.array(np.concatenate([n, m, [size]]).astype(np.int64))],
-            ["kind", "key", "n"])
-
-    return batch_map(texts, work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in _slices(batch.column(1).to_pylist()):
+                hashes = [word_hashes(word_list(t)) for t in data] + [np.full(len(data), END_WORD)]
+                keys, n = np.unique(np.concatenate(hashes), return_counts=True)
+                lengths, codes, m = common_contexts(data, 2 * SHARE)
+                size = sum(map(len, data)) + len(data)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.zeros(len(keys), np.int32), lengths, [np.int32(-1)]]).astype(np.int32)),
+                     pa.array(np.concatenate([keys.view(np.int64), codes, [0]])), pa.array(np.concatenate([n, m, [size]]).astype(np.int64))],
+                    ["kind", "key", "n"])
+
+    return texts.mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of some megabytes, so that the arrays made from them stay small."""
+    run: list[bytes] = []
+    size = 0
+    for text in texts:
+        if run and size + len(text) > SLICE:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
 
 
 def following(texts: DataFrame, shared: Broadcast) -> DataFrame:
     """key (256 * node + byte) and n: how often each byte followed where the node was the longest context."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = shared.value
-        codes = [nodes.longest(data, places) << 8 | data[places] for data, places, _, _ in joined(batch.column(1).to_pylist())]
-        if len(nodes.steps) <= 1 << 24:
-            n = np.bincount(np.concatenate(codes), minlength=1)
-            keys = np.flatnonzero(n)
-            n = n[keys]
-        else:
-            keys, n = np.unique(np.concatenate(codes), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return batch_map(texts, work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for run in _slices(batch.column(1).to_pylist()):
+                codes = [nodes.longest(data, places) << 8 | data[places] for data, places, _, _ in joined(run)]
+                keys, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return texts.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, counts: DataFrame) -> ContextTree:
