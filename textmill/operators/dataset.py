@@ -128,13 +128,15 @@ def dedup_consecutive(df: DataFrame, text: str = "text", order: str = "line_no",
     """Drop a row whose text equals that of the row just before it in the order of a unique integer column.
 
     Rows are compared inside blocks of `block_rows` order values, and across blocks through the last row of each
-    block, so no group grows with the data and there is no global sort.
+    block, so no group grows with the data and there is no global sort. Only keys and hashes are ordered; the text meets
+    the numbers of the dropped rows.
     """
-    key = within or "_all"
-    keyed = df if within else df.withColumn("_all", F.lit(0))
-    hashed = keyed.withColumn("_hash", content_hash(F.col(text)))
-    beside = carry_forward(hashed, key, order, {"_before": F.col("_hash")}, {}, block_rows)
-    return beside.filter(~F.col("_hash").eqNullSafe(F.col("_before"))).select(df.columns)
+    hashed = df.select(F.col(order).alias("_order"), F.col(within).alias("_key") if within else F.lit(0).alias("_key"),
+                       content_hash(F.col(text)).alias("_hash"))
+    beside = carry_forward(hashed, "_key", "_order", {"_before": F.col("_hash")}, {}, block_rows)
+    dropped = beside.filter(F.col("_hash").eqNullSafe(F.col("_before"))).select("_key", "_order")
+    same = F.col(order) == F.col("_order")
+    return df.join(dropped, same & F.col(within).eqNullSafe(F.col("_key")) if within else same, "left_anti")
 
 
 def keep_rows(df: DataFrame, predicate: Column) -> DataFrame:

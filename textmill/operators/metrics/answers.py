@@ -76,9 +76,16 @@ def reading_score(df: DataFrame, pred: str = "prediction", golds: str = "golds",
 
 
 def numbered_tokens(tokens: Column) -> Column:
-    """Each token with the number of its occurrence, so that set operations respect repetitions."""
-    return let(F.sort_array(tokens), lambda ordered: F.transform(
-        ordered, lambda t, i: F.concat_ws("\u0001", t, (i - F.array_position(ordered, t)).cast("string"))))
+    """Each token with the number of its occurrence, so that set operations respect repetitions. Linear but for the sort."""
+    def numbered(ordered: Column) -> Column:
+        fresh = F.transform(ordered, lambda t, i: F.when(~F.get(ordered, i - 1).eqNullSafe(t), i))
+        return let(F.filter(fresh, lambda i: i.isNotNull()), lambda starts: F.flatten(F.transform(
+            starts, lambda start, k: repeats(ordered, start, F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start))))
+
+    def repeats(ordered: Column, start: Column, times: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), times - 1), lambda j: F.concat_ws("\u0001", F.get(ordered, start), j.cast("string")))
+
+    return let(F.sort_array(tokens), numbered)
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
