@@ -162,7 +162,7 @@ def _merges(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> I
     # Different texts under one id count as one vertex: it is linked if any of them is.
     sets = stored(shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), width), "sets")
     turn = 0
-    current = members.withColumns({"component": F.col("id"), "shared": F.col("n"), "bands": F.array("band")})
+    current = members.withColumns({"component": F.col("id"), "inside": F.col("n"), "outside": F.lit(0), "bands": F.array("band")})
     while True:
         pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
         order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
@@ -180,35 +180,44 @@ def _merges(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> I
         if not current.count():
             return
         if not turn:
-            current = stored(_with_bounds(current, classes, sets), "bounded")
+            current = stored(_with_bounds(current, chosen, classes, sets), "bounded")
         turn += 1
 
 
-def _with_bounds(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of open buckets with all their bands, and with the number of their shingles that another member holds.
+def _with_bounds(members: DataFrame, origins: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of open buckets with all their bands and two counts that bound what two members have in common.
 
-    A set can't have more than these in common with any other, which rules out most pairs of loose copies of one text.
+    Only shingles that another member holds count. `inside` of them lie in the set of the bucket's first pivot, `outside`
+    do not. Two members share at most the lesser inside and the lesser outside count, which rules out most pairs of
+    loose copies of one text.
     """
     ids = members.select("id").distinct()
-    single = (sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s")).distinct()
+    own = stored(sets.join(ids, "id", "left_semi"), "open-sets")
+    single = (own.select("id", F.explode("shingles").alias("s")).distinct()
               .groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-              .groupBy("id").agg(F.count("*").alias("single")))
-    facts = ids.join(single, "id", "left").join(classes.select("id", F.col("bands").alias("all_bands")), "id")
-    return (members.join(facts, "id").withColumns({"shared": F.col("n") - F.coalesce("single", F.lit(0)), "bands": F.col("all_bands")})
-            .drop("single", "all_bands"))
+              .groupBy("id").agg(F.collect_list("s").alias("single")))
+    none = F.array().cast("array<long>")
+    held = own.join(single, "id", "left").select("id", F.array_except("shingles", F.coalesce("single", none)).alias("held"))
+    placed = members.drop("inside", "outside", "bands").join(origins.select("band", F.col("id").alias("origin")), "band")
+    base = sets.select(F.col("id").alias("origin"), F.col("shingles").alias("base"))
+    met = (placed.select("id", "origin").distinct().join(held, "id").join(base, "origin")
+           .select("id", "origin", F.size(F.array_intersect("held", "base")).alias("inside"), F.size("held").alias("total"))
+           .select("id", "origin", "inside", (F.col("total") - F.col("inside")).alias("outside")))
+    return placed.join(met, ["id", "origin"]).join(classes.select("id", "bands"), "id").drop("origin")
 
 
 def _candidates(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot and a member of another component that sizes, shared shingles and sketches do not rule out.
+    """Pairs of a pivot and a member of another component that sizes, counts of shared shingles and sketches do not rule out.
 
     A pair belongs to the first of the bands in which both lie, so it is met once however many these are.
     """
-    p = chosen.select("band", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "sketch_1", "sketch_2", "component", "shared", "bands")))
+    p = chosen.select("band", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "sketch_1", "sketch_2", "component", "inside", "outside", "bands")))
     near = F.bit_count(F.col("sketch_1").bitwiseXOR(F.col("p_sketch_1"))) \
         + F.bit_count(F.col("sketch_2").bitwiseXOR(F.col("p_sketch_2"))) <= SKETCH_DISTANCE
     sized = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
     differ = (F.col("component") != F.col("p_component")) & (F.col("id") != F.col("p_id"))
-    enough = F.least("shared", "p_shared") * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    most = F.least("inside", "p_inside") + F.least("outside", "p_outside")
+    enough = most * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
     together = F.zip_with("bands", "p_bands", lambda x, y: x == y)
     first = F.element_at("bands", F.array_position(together, True).cast("int")) == members["band"]
     joined = members.hint("merge").join(p, (members["band"] == p["band"]) & differ & sized & enough & near & first)
