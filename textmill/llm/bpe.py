@@ -9,11 +9,12 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_map, text_bytes
+from .common import batch_map, lists_of, text_bytes
 
 #: States and remembered pieces of a worker; beyond it the tables start anew. Results do not depend on it.
 MAX_STATES = 3 << 17
@@ -323,11 +324,11 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
             byte_digests.append(hashlib.sha256(data).hexdigest())
             whole.append(good)
             if with_ids:
-                lists.append(memoryview(ids))
+                lists.append(np.frombuffer(ids, np.uint32))
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(byte_digests), pa.array(whole)]
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"]
         if with_ids:
-            columns.append(pa.array([list(x) for x in lists], pa.list_(pa.int32())))
+            columns.append(lists_of(np.concatenate(lists).view(np.int32), np.array(counts), pa.int32()))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
