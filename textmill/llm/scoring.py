@@ -288,7 +288,7 @@ def train(texts: DataFrame, counts: DataFrame) -> ContextTree:
 _ASKED = "part int, home binary, uids binary, sizes binary, words binary, counts binary"
 _OWN = np.dtype([("uid", np.int64), ("id", np.int64), ("null", np.int8), ("tokens", np.int64), ("known", np.int64), ("base", np.float64),
                  ("score", np.float64), ("bytes", np.int64)])
-_ANSWER = "uid long, own long, id long, tokens long, known long, base double, score double, bytes long"
+_SUM = np.dtype([("uid", np.int64), ("known", np.int64), ("base", np.float64)])
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -306,7 +306,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     Counts are combined per batch before they are shuffled. Contexts of up to `DEPTH` bytes that precede at least one in `SHARE`
     bytes form the tree, with exact counts over all training texts. It is broadcast: 2 kB for each of at most DEPTH * SHARE contexts. So are the at most 16,384 words that are at least one in 16,384 of the training words: every task answers for them itself, so no
     lookup meets a frequent word. All other words of a batch go, packed, to the group of their hash, where the
-    counts are; each of them has less than one in 16,384 of the words. Sums by document end the job.
+    counts are; each of them has less than one in 16,384 of the words. The sums go, packed again, to the group of the document.
 
     A null text is empty: one token, the end. A null id stays null. Rows equal in id and text give one result row. Without
     training rows N and V are 0 and all bytes are equally likely. An empty table gives no rows. Other columns are not read.
@@ -359,16 +359,14 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
                                           ["part", "home", "uids", "sizes", "words", "counts"])
 
-    def answer(key, asked: pa.Table, found: pa.Table) -> pa.Table:
+    def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
+        """The sums over the words of this group, and the records sent along, by the group of the document."""
         hashes = found.column("key").to_numpy().view(np.uint64) if found.num_rows else np.empty(0, np.uint64)
         order = np.argsort(hashes)
         hashes, n = hashes[order], (found.column("n").to_numpy()[order] if found.num_rows else np.empty(0, np.int64))
-        out = []
+        own, sums = [np.empty(0, _OWN)], [np.empty(0, _SUM)]
         for row in asked.select(["home", "uids", "sizes", "words", "counts"]).to_pylist():
-            at_home = np.frombuffer(row["home"], _OWN)
-            if len(at_home):
-                out.append((at_home["uid"], np.ones(len(at_home), np.int64), at_home["id"], at_home["null"] != 0, at_home["tokens"],
-                            at_home["known"], at_home["base"], at_home["score"], at_home["bytes"]))
+            own.append(np.frombuffer(row["home"], _OWN))
             uids = np.frombuffer(row["uids"], np.int64)
             if not len(uids):
                 continue
@@ -378,29 +376,37 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
                 at = np.minimum(np.searchsorted(hashes, words_here), len(hashes) - 1)
                 seen = np.where(hashes[at] == words_here, n[at], 0)
             starts = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.uint32).astype(np.int64))[:-1]])
-            base = np.add.reduceat(times * np.log10(seen + 1.0), starts)
-            known = np.add.reduceat(times * (seen > 0), starts)
-            zero = np.zeros(len(uids), np.int64)
-            out.append((uids, zero, zero, np.ones(len(uids), bool), zero, known, base, zero.astype(np.float64), zero))
-        columns = [np.concatenate(c) for c in zip(*out)]
-        arrays = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=columns[3]), *map(pa.array, columns[4:])]
-        return pa.Table.from_arrays(arrays, ["uid", "own", "id", "tokens", "known", "base", "score", "bytes"])
+            made = np.zeros(len(uids), _SUM)
+            made["uid"], made["base"] = uids, np.add.reduceat(times * np.log10(seen + 1.0), starts)
+            made["known"] = np.add.reduceat(times * (seen > 0), starts)
+            sums.append(made)
+        records, totals = np.concatenate(own), np.concatenate(sums)
+        homes = [_part(x["uid"].view(np.uint64), parts) for x in (records, totals)]
+        rows = [(int(h), records[homes[0] == h].tobytes(), totals[homes[1] == h].tobytes()) for h in np.union1d(*homes)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))],
+                                    ["part", "records", "sums"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """One row for each document: its record and the sums of all groups."""
+        records, totals = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+                           for c, kind in (("records", _OWN), ("sums", _SUM)))
+        uids, first, times = np.unique(records["uid"], return_index=True, return_counts=True)
+        at = np.searchsorted(uids, totals["uid"])
+        one = records[first]
+        # Rows that repeat have asked as often as they are.
+        known = one["known"] + (np.bincount(at, totals["known"], len(uids)) / times).round().astype(np.int64)
+        base = one["base"] + np.bincount(at, totals["base"], len(uids)) / times
+        return pa.Table.from_arrays(
+            [pa.array(one["id"], mask=one["null"] != 0), *map(pa.array, (one["tokens"], known, base, one["score"], one["bytes"]))],
+            ["id", "tokens", "known", "base", "score", "bytes"])
 
     asked = batch_map(texts.select("id", "text"), ask, _ASKED)
     rare_words = words.where(F.col("n") * HEAVY < total).select(
         F.shiftright(F.shiftrightunsigned("key", 32) * parts, 32).cast("int").alias("part"), "key", "n")
-    answers = asked.groupBy("part").cogroup(rare_words.groupBy("part")).applyInArrow(
-        lambda key, a, b: answer(key, a, b) if a.num_rows else _no_answers(), _ANSWER)
-    sums = answers.groupBy("uid").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("own", "tokens", "known", "base", "score", "bytes")))
-    per_row = lambda c: F.col(c) / F.col("own")  # noqa: E731  rows that repeat have been summed
-    tokens = per_row("tokens").cast("long")
-    return sums.select(
-        F.col("id").alias(id_col), tokens.alias("n_tokens"), per_row("known").cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (per_row("base") - tokens * float(np.log10(total + distinct + 1.0))).alias("base_score"), per_row("score").alias("score"),
-        (-per_row("score") / float(np.log10(2)) / per_row("bytes")).alias("bits_per_byte"))
-
-
-def _no_answers() -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    names = ["uid", "own", "id", "tokens", "known", "base", "score", "bytes"]
-    return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+    answers = asked.groupBy("part").cogroup(rare_words.groupBy("part")).applyInArrow(answer, "part int, records binary, sums binary")
+    scored = answers.groupBy("part").applyInArrow(gather, "id long, tokens long, known long, base double, score double, bytes long")
+    return scored.select(
+        F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("tokens") * float(np.log10(total + distinct + 1.0))).alias("base_score"), "score",
+        (-F.col("score") / float(np.log10(2)) / F.col("bytes")).alias("bits_per_byte"))
