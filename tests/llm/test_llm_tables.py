@@ -96,6 +96,18 @@ def test_layouts_are_found_by_their_paths(spark):
     assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
 
 
+def test_chat_query_goes_through_the_layouts(spark, monkeypatch):
+    from textmill.llm import queries
+
+    rows = spark.createDataFrame([(1, 5, "human", "hi", 0), (1, None, None, None, 0), (None, 0, "bot", "", 0)], "id long, turn int, role string, text string, n int")
+    assert chat.find_layout(rows.schema).turn == "turn"
+    assert [tuple(r) for r in chat.canonical_turns(rows, "id").collect()] == [(1, 5, "human", "hi"), (1, None, "", ""), (None, 0, "bot", "")]
+    met = []
+    monkeypatch.setattr(chat, "fingerprint", lambda paths, real=chat.fingerprint: met.append(tuple(paths)) or real(paths))
+    made = queries.op3_chat_format(spark, SF_DIR)
+    assert ("turn", "role", "text") in met and made.where("conv_id = -7").count() == 1
+
+
 def plain_lines(docs):
     import textmill.llm.line_dedup as own
 

@@ -19,10 +19,11 @@ ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "a
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the turns of a record lie: an array with a role and a text field, or fields that are a turn each.
+    """Where the turns of a record lie: an array with a role and a text field, fields that are a turn each, or the record is one turn.
 
     `paths` are the field paths the layout needs; `fields` maps a role to the fields whose texts, joined by an empty line,
-    are its turn. A turn whose fields are all null or empty is no turn in this form.
+    are its turn. A turn whose fields are all null or empty is no turn in this form. `turn` is the
+    column that numbers the turns if a record is one.
     """
 
     paths: tuple[str, ...]
@@ -30,6 +31,7 @@ class Layout:
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    turn: str = ""
 
 
 def _pairs(prompt: str, answer: str, *more: str) -> Layout:
@@ -41,6 +43,7 @@ LAYOUTS = (
     Layout(("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
     Layout(("turns[].role", "turns[].text"), "turns", "role", "text"),
     Layout(("dialog[].speaker", "dialog[].utterance"), "dialog", "speaker", "utterance"),
+    Layout(("turn", "role", "text"), role="role", text="text", turn="turn"),
     Layout(("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     _pairs("instruction", "output", "input"),
     _pairs("instruction", "output"),
@@ -88,10 +91,13 @@ def _text(column: Column) -> Column:
 def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
     """id_col, turn (from 0), role and text of each turn, whatever the layout. Null roles and texts are empty.
 
-    Role names of other layouts become system, user and assistant; unknown ones stay. Rows without turns give none. An id
-    should not repeat: the turns of equal ids become one conversation, ordered as `format_turns` does.
+    Role names of nested layouts become system, user and assistant; unknown ones stay. Records without turns give none. Rows by turn keep
+    their turn numbers and their roles. The id of a nested record should not repeat: the turns of equal ids become one
+    conversation, ordered as `format_turns` does.
     """
     layout = find_layout(records.schema)
+    if layout.turn:
+        return records.select(id_col, F.col(layout.turn).alias("turn"), _text(F.col(layout.role)).alias("role"), _text(F.col(layout.text)).alias("text"))
     if layout.array:
         turns = F.transform(F.col(layout.array), lambda t: F.struct(_text(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text")))
     else:
