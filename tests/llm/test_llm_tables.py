@@ -96,6 +96,28 @@ def test_layouts_are_found_by_their_paths(spark):
     assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
 
 
+def test_layouts_mixed_in_one_table(spark):
+    talk = [{"role": "human", "content": "hello"}, {"role": "gpt", "content": "hi"}]
+    kind = ("id long, messages array<struct<role: string, content: string>>, instruction string, input string, output string, "
+            "turn int, role string, text string, note string")
+    rows = [(1, talk, None, None, None, None, None, None, None), (2, None, "hello", None, "hi", None, None, None, None),
+            (3, [], "hello", "", "hi", None, None, None, None), (4, None, None, None, None, 0, "user", "hello", None),
+            (4, None, None, None, None, 1, "assistant", "hi", None), (5, talk, "", "", "", None, None, None, "kept"),
+            (6, [], None, None, None, None, None, None, None), (7, None, "hello", "there", None, None, None, None, None),
+            (8, [(None, None)], None, None, None, None, None, None, None), (9, None, None, None, None, 3, None, None, None),
+            (9, None, None, None, None, None, None, None, None)]
+    found = {}
+    for r in chat.canonical_turns(spark.createDataFrame(rows, kind), "id").orderBy("id", "turn").collect():
+        found.setdefault(r["id"], []).append((r["role"], r["text"]))
+    both = [("user", "hello"), ("assistant", "hi")]
+    assert found == {1: both, 2: both, 3: both, 4: both, 5: both, 7: [("user", "hello\n\nthere")], 8: [("", "")], 9: [("", ""), ("", "")]}
+    lost = spark.createDataFrame([*rows, (10, [], None, None, None, None, None, None, "words")], kind)
+    with pytest.raises(Exception, match="no layout for the record 10"):
+        chat.canonical_turns(lost, "id").collect()
+    assert chat.canonical_turns(lost, "id", ("note",)).select("id").distinct().count() == len(found)
+    assert {r["id"]: r["n_turns"] for r in chat.format_records(lost, "id", ("note",)).collect()} == {k: len(t) for k, t in found.items()}
+
+
 def test_chat_query_goes_through_the_layouts(spark, monkeypatch):
     from textmill.llm import queries
 

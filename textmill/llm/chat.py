@@ -1,4 +1,4 @@
-r"""Chat formatting: layouts found by a fingerprint of their field paths, one template, reversible escapes and a loss mask.
+r"""Chat formatting: layouts found by fingerprints of field paths and chosen for each record, one template, reversible escapes and a loss mask.
 
 Everything is an expression or a grouping; no Python runs on rows.
 """
@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, MapType, NumericType, StringType, StructType
 
 TURN_START, ROLE_END, TURN_END = "<|turn|>", "\n", "<|end|>\n"
 #: Strings that chat templates use for control; none of them stays readable inside a text or role.
@@ -74,39 +75,103 @@ def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
 BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in LAYOUTS}
 
 
-def find_layout(schema: StructType) -> Layout:
-    """The layout with the most paths whose fingerprint is that of the same paths in the schema; other fields don't matter."""
+def find_layouts(schema: StructType) -> list[Layout]:
+    """All layouts whose fingerprint is that of the same paths in the schema, those with the most paths first; other fields don't matter."""
     paths = set(field_paths(schema))
-    for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths)):
-        found = BY_FINGERPRINT.get(fingerprint([p for p in layout.paths if p in paths]))
-        if found is layout:
-            return layout
-    raise ValueError(f"no layout for the fields {sorted(paths)}")
+    found = (BY_FINGERPRINT.get(fingerprint([p for p in layout.paths if p in paths])) for layout in LAYOUTS)
+    layouts = sorted((layout for layout, met in zip(LAYOUTS, found) if met is layout), key=lambda x: -len(x.paths))
+    if not layouts:
+        raise ValueError(f"no layout for the fields {sorted(paths)}")
+    return layouts
+
+
+def find_layout(schema: StructType) -> Layout:
+    """The layout with the most paths of those the schema has."""
+    return find_layouts(schema)[0]
 
 
 def _text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
-    """id_col, turn (from 0), role and text of each turn, whatever the layout. Null roles and texts are empty.
+def _present(layout: Layout, path: str) -> Column:
+    """Whether a record holds something other than empty text at a path of the layout."""
+    if layout.array:
+        return F.coalesce(F.exists(F.col(layout.array), lambda t: _text(t[path.split("[].")[1]]) != ""), F.lit(False))
+    return _text(F.col(path)) != ""
 
-    Role names of nested layouts become system, user and assistant; unknown ones stay. Records without turns give none. Rows by turn keep
-    their turn numbers and their roles. The id of a nested record should not repeat: the turns of equal ids become one
-    conversation, ordered as `format_turns` does.
+
+def _holds_text(column: Column, kind: DataType) -> Column:
+    """Whether there is text anywhere in a value."""
+    if isinstance(kind, StringType):
+        return F.coalesce(column != "", F.lit(False))
+    if isinstance(kind, MapType):
+        return _holds_text(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.exists(column, lambda x: _holds_text(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, StructType):
+        return reduce(Column.__or__, (_holds_text(column[f.name], f.dataType) for f in kind.fields), F.lit(False))
+    return F.lit(False)
+
+
+def _choice(layouts: list[Layout]) -> Column:
+    """The place of the record's own layout in `layouts`, null if it has none.
+
+    Complete layouts, which hold something at all their paths, go before others, then those that hold something at more paths, then the
+    earlier ones. An array with elements counts even if these are empty.
     """
-    layout = find_layout(records.schema)
+    scores = []
+    for place, layout in enumerate(layouts):
+        held = reduce(Column.__add__, (_present(layout, p).cast("int") for p in layout.paths))
+        some = F.coalesce(F.size(layout.array) > 0, F.lit(False)) if layout.array else held > 0
+        scores.append(F.when(some, F.struct((held == len(layout.paths)).alias("complete"), held.alias("held"), F.lit(-place).alias("place"))))
+    return -F.array_max(F.array(*scores))["place"]
+
+
+def _turns(layout: Layout, number: DataType) -> Column:
+    """The turns of a record of the layout: an array of turn, role and text."""
     if layout.turn:
-        return records.select(id_col, F.col(layout.turn).alias("turn"), _text(F.col(layout.role)).alias("role"), _text(F.col(layout.text)).alias("text"))
+        return F.array(F.struct(F.col(layout.turn).alias("turn"), _text(F.col(layout.role)).alias("role"), _text(F.col(layout.text)).alias("text")))
     if layout.array:
         turns = F.transform(F.col(layout.array), lambda t: F.struct(_text(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text")))
     else:
         made = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*(_text(F.col(c)) for c in columns)), lambda x: x != ""),
                                                                  "\n\n").alias("text")) for role, columns in layout.fields]
         turns = F.filter(F.array(*made), lambda t: t["text"] != "")
-    exploded = records.select(F.col(id_col), F.posexplode(turns).alias("turn", "t"))
     names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
-    return exploded.select(id_col, "turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), F.col("t.text").alias("text"))
+    return F.transform(turns, lambda t, i: F.struct(i.cast(number).alias("turn"), F.coalesce(names[t["role"]], t["role"]).alias("role"),
+                                                    t["text"].alias("text")))
+
+
+def canonical_turns(records: DataFrame, id_col: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, turn (from 0), role and text of each turn, whatever the layout. Null roles and texts are empty.
+
+    Records may have different layouts: each is read by the one, of those that the schema has, of which it holds the most, as
+    `_choice` says. Other fields of it don't matter. A record without any layout that holds text in a column other than the id and
+    the `ignored` ones fails the job, so no conversation is lost unseen; without text it gives no turn. Where rows by turn are one of the
+    layouts, a row of nulls is a turn, too, as it may be one of theirs.
+
+    Role names of nested layouts become system, user and assistant; unknown ones stay. Rows by turn keep
+    their turn numbers and their roles. The id of a nested record should not repeat: the turns of equal ids become one
+    conversation, ordered as `format_turns` does.
+    """
+    layouts = find_layouts(records.schema)
+    number = next((records.schema[x.turn].dataType for x in layouts if x.turn), IntegerType())
+    if len(layouts) > 1 and not isinstance(number, NumericType):
+        raise ValueError(f"turns are numbered by {number.simpleString()}, which can't number those of the other layouts")
+    if len(layouts) == 1 and layouts[0].turn:
+        turns = _turns(layouts[0], number)
+    else:
+        texts = [_holds_text(F.col(f"`{f.name}`"), f.dataType) for f in records.schema.fields if f.name not in (id_col, *ignored)]
+        lost = F.raise_error(F.concat(F.lit("no layout for the record "), _text(F.col(id_col))))
+        made = [_turns(layout, number) for layout in layouts]
+        without = F.col("_layout").isNull()
+        turns = F.when(without & reduce(Column.__or__, texts, F.lit(False)), lost)
+        for place, (layout, array) in enumerate(zip(layouts, made)):
+            nulls = without & reduce(Column.__and__, (F.col(x.array).isNull() for x in layouts if x.array), F.lit(True))
+            turns = turns.when((F.col("_layout") == place) | nulls if layout.turn else F.col("_layout") == place, array)
+        records = records.withColumn("_layout", _choice(layouts))
+    return records.select(F.col(id_col), F.explode(turns).alias("t")).select(id_col, "t.turn", "t.role", "t.text")
 
 
 def escape(text: Column) -> Column:
@@ -156,9 +221,9 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         F.filter(F.col("ts.span"), lambda s: s.isNotNull()).alias("loss_spans"))
 
 
-def format_records(records: DataFrame, id_col: str, **names) -> DataFrame:
-    """Conversations of any known layout, formatted."""
-    return format_turns(canonical_turns(records, id_col), id_col, **names)
+def format_records(records: DataFrame, id_col: str, ignored: tuple[str, ...] = (), **names) -> DataFrame:
+    """Conversations of any known layouts, also of several in one table, formatted."""
+    return format_turns(canonical_turns(records, id_col, ignored), id_col, **names)
 
 
 def read_turns(formatted: Column) -> Column:

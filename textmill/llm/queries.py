@@ -123,8 +123,8 @@ FROM t GROUP BY conv_id""")
 def op3_chat_format(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0, 'user', '{probe}'), (-7L, 1, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
-    made = chat.format_records(turns.unionByName(extra), "conv_id")
+    extra = spark.sql(f"SELECT -7L AS conv_id, array(struct('user' AS role, '{probe}' AS content), struct('assistant' AS role, '{probe}' AS content)) AS messages")
+    made = chat.format_records(turns.unionByName(extra, allowMissingColumns=True), "conv_id")
     read = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"),
                        chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.char_length("formatted").alias("chars"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
