@@ -319,6 +319,20 @@ def _plain_estimate(counts, symbol):
     return out
 
 
+def test_every_context_counts(spark):
+    """Scores are those of the dense tree of all contexts that are met, however rarely."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["the", "cat", "sät", "on", "mats", f"w{k % 7}"]) for _ in range(100)) + " rare" * (k == 1), "s") for k in range(300)]
+    texts = [t.encode() for _, t, _ in rows]
+    train = [t for (k, _, _), t in zip(rows, texts) if k % 3]
+    nodes = scoring.ContextNodes.of(*scoring.common_contexts(train, 1 << 40)[:2])
+    keys, counts = np.unique(np.concatenate([nodes.longest(data, places) << 8 | data[places] for data, places, _, _ in scoring.joined(train)]),
+                             return_counts=True)
+    expected = scoring.weigh(nodes, keys, counts, 1 << 40).scores(texts)
+    found = {r["doc_id"]: r["score"] for r in scoring.score_texts(frame(spark, rows), F.col("doc_id") % 3 != 0).collect()}
+    assert [found[k] for k, _, _ in rows] == pytest.approx(expected.tolist(), rel=1e-4)
+
+
 def test_scores_edges(spark):
     docs = frame(spark, [*ODD, (5, "the same words", "s"), (5, "the same words", "s"), (6, "z" * 50_000, "s")])
     found = {r["doc_id"]: r for r in scoring.score_texts(docs, F.col("doc_id") > 2).collect()}
