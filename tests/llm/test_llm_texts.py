@@ -219,6 +219,30 @@ def test_passages(spark):
     assert passages.dedup_passages(frame(spark, [])).collect() == []
 
 
+def test_template_lines_spread(spark):
+    """Differing pieces around one anchor go on as single strings, to many groups, with the same result."""
+    rng = random.Random(6)
+    line = "This is the notice of terms that all pages show, "
+    rows = [(k, f"{rng.random()} {line}{rng.randrange(40)} on {rng.randrange(9)}. " + line[:k % 49] + f"{k % 5}" * 3, "s") for k in range(400)]
+    texts = frame(spark, rows).selectExpr("doc_id AS id", "cast(text AS binary) AS text")
+    total = sum(len(t) for _, t, _ in rows)
+    hot = passages.hot_anchors(texts, total, 50, 100)
+    keys = np.concatenate([x[4] for x in passages.text_anchors([t.encode() for _, t, _ in rows], 50)])
+    found, n = np.unique(keys, return_counts=True)
+    assert (n >= 100).any() and set(found[n >= 100]) <= set(hot) <= set(found[n >= 50])
+    first, expected = {}, {}
+    for d, t, _ in rows:
+        marks = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i:i + 50], d) < d:
+                marks[i:i + 50] = b"\1" * 50
+        expected[d] = (sum(marks), "".join(c for c, m in zip(t, marks) if not m).encode())
+    assert sum(x for x, _ in expected.values()) > 1000
+    for most in (1, 100, 1 << 16):
+        made = passages.dedup_passages(frame(spark, rows), most=most).collect()
+        assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in made} == expected
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,6 +15,10 @@ GRAM = 16
 CHUNK = 1 << 20
 GROUP_BYTES = 16 << 20
 PIECES = 1 << 13
+#: Pieces around one anchor that may meet in one group.
+HOT = 1 << 16
+#: Bytes of the texts whose anchors are counted before they are told.
+TOLD_BYTES = 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -340,7 +346,54 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def hot_anchors(texts: DataFrame, total: int, length: int, most: int) -> np.ndarray:
+    """Keys, in order, of the anchors that occur `most` times in (id, binary text) rows of `total` bytes; some may occur half as often.
+
+    A run of texts tells of the keys that it holds half as often as its part of `most`. The untold rest of a key is less than
+    half of `most`, so none is missed.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            on = n * 2 * total >= most * size
+            return pa.RecordBatch.from_arrays([pa.array(found[on].view(np.int64)), pa.array(n[on].astype(np.int64))], ["key", "n"])
+
+        for batch in batches:
+            for data, _, _, _, key, _, _, _ in text_anchors(batch.column(1).to_pylist(), length):
+                keys.append(key)
+                size += len(data)
+                if size >= TOLD_BYTES:
+                    yield told()
+                    keys, size = [], 0
+        if keys:
+            yield told()
+
+    sums = texts.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * 2 >= most)
+    return np.sort(sums.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def single_strings(pieces: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of pieces at the starts that are left, each as a piece, and their hashes."""
+    row, start = np.nonzero(left)
+    width = pieces["data"].shape[1]
+    out = np.zeros(len(row), pieces.dtype)
+    for name in ("id", "text", "key"):
+        out[name] = pieces[name][row]
+    out["at"], out["offset"], out["size"] = pieces["at"][row] + start, pieces["offset"][row] - start, length
+    hashes = np.empty(len(row), np.uint64)
+    for at in range(0, len(row), PIECES):
+        own = slice(at, at + PIECES)
+        out["data"][own, :length] = pieces["data"][row[own][:, None], start[own][:, None] + np.arange(length)]
+        part = np.ascontiguousarray(out["data"][own]).reshape(-1)
+        hashes[own] = PrefixHash(part)(np.arange(len(part) // width) * width, length)
+    return out, hashes
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, most: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) and spans (from, to) of every row.
 
     A byte goes if a string of `length` bytes covers it that also begins in a document with a smaller id. Texts are UTF-8 bytes, strings
@@ -351,11 +404,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        once for a batch. The groups answer which keys two batches hold.
     2. The texts, grouped by a hash of the id, meet the answers. Only around shared anchors can a string repeat: these pieces
        are compared within the group by a suffix sort (`removable`); pieces that keep a string go on to the group of their key.
-    3. There the pieces of all groups are compared in the same way.
+    3. There the pieces of all groups are compared in the same way. An anchor that occurs more than `most` times would bring too many that
+       differ, as those of a template line do: its pieces go on as single strings, those without a smaller id in the group they come
+       from, each to the group of its hash.
     4. The removed spans meet the texts again; the exchange of the texts is the one of step 2.
 
-    Group counts follow the number of bytes, so a group's memory doesn't grow with the corpus, except that pieces around one anchor
-    that differ, such as the ends of a passage in different surroundings, meet in one group.
+    Group counts follow the number of bytes, so a group's memory doesn't grow with the corpus.
 
     A null or empty text has no bytes, a text below `length` keeps all. Rows with a null id take no part and keep all. Rows that
     repeat an id are one document; none removes bytes of the other. An empty table gives no rows. Other columns are not read.
@@ -365,6 +419,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(4 * spark.sparkContext.defaultParallelism, -(-total // GROUP_BYTES))
     width = 2 * length - GRAM
+    hot = spark.sparkContext.broadcast(hot_anchors(texts.where("id IS NOT NULL"), total, length, most))
     packed = "part int, a binary, b binary"
 
     def send_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -396,15 +451,17 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     piece = _piece(width)
 
-    def judged(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Removed spans, and the pieces that keep a string."""
+    def judged(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Removed spans, the pieces that keep a string, and at which starts these do."""
         sizes = pieces["size"].astype(np.int64)
         remove = removable(pieces["data"], sizes, pieces["key"], pieces["offset"].astype(np.int64), pieces["id"], length)
         row, begin, end = _spans(remove, length)
         spans = np.zeros(len(row), _SPAN)
         spans["id"], spans["text"] = pieces["id"][row], pieces["text"][row]
         spans["from"], spans["to"] = pieces["at"][row] + begin, pieces["at"][row] + end
-        return _merged(spans), pieces[remove.sum(axis=1) < sizes - length + 1]
+        left = ~remove & (np.arange(width - length + 1)[None, :] < (sizes - length + 1)[:, None])
+        keeps = left.any(axis=1)
+        return _merged(spans), pieces[keeps], left[keeps]
 
     def send_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, data = batch.column(0), batch.column(1).to_pylist()
@@ -451,13 +508,16 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made["data"] = _gathered(data, first[hit], made["size"].astype(np.int64), width)
             found.append(made)
         pieces = np.concatenate(found) if found else np.zeros(0, piece)
-        spans, open_ = judged(pieces)
-        out = [(g, _send_pieces(c["x"]), b"") for g, c in _by(_group(open_["key"], groups), groups, x=open_)]
+        spans, open_, left = judged(pieces)
+        many = np.isin(open_["key"], hot.value)
+        strings, hashes = single_strings(open_[many], left[many], length)
+        out = [(g, _send_pieces(c["x"]), b"") for g, c in _by(_group(open_["key"][~many], groups), groups, x=open_[~many])]
+        out += [(g, _send_pieces(c["x"]), b"") for g, c in _by(_group(hashes, groups), groups, x=strings)]
         out += [(g, b"", _columns(c["x"])) for g, c in _by(_home(spans["id"], groups), groups, x=spans)]
         return _rows(out, pa.Table)
 
     def settle(table: pa.Table) -> pa.Table:
-        spans, _ = judged(_read_pieces(table, "a", width))
+        spans, _, _ = judged(_read_pieces(table, "a", width))
         spans = np.concatenate([spans, _read(table, "b", _SPAN)])
         return _rows([(g, _columns(c["x"]), b"") for g, c in _by(_home(spans["id"], groups), groups, x=spans)], pa.Table)
 
