@@ -343,6 +343,12 @@ def _plain_estimate(counts, symbol):
     return out
 
 
+def test_repeated_rows_are_all_scored(spark):
+    rows = scoring.score_texts(frame(spark, [(5, "the same words", "s")] * 3 + [(6, "other", "s"), (None, "", "s"), (None, "", "s")]), F.lit(True)).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["5", "5", "5", "6", "None", "None"]
+    assert len({tuple(r) for r in rows}) == 3 and all(r["n_known"] == 4 for r in rows if r["doc_id"] == 5)
+
+
 def test_every_context_counts(spark):
     """Scores are those of the dense tree of all contexts that are met, however rarely."""
     rng = random.Random(3)

@@ -534,7 +534,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     lookup meets a frequent word. All other words of a run of texts go, packed, to the group of their hash, where the
     counts are; each of them has less than one in 16,384 of the words. The sums go, packed again, to the group of the document.
 
-    A null text is empty: one token, the end. A null id stays null. Rows equal in id and text give one result row. Without
+    A null text is empty: one token, the end. A null id stays null. Rows equal in id and text give a result row each. Without
     training rows N and V are 0 and all bytes are equally likely. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -629,7 +629,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
                                     ["part", "records", "sums"])
 
     def gather(table: pa.Table) -> pa.Table:
-        """One row for each document: its record and the sums of all groups."""
+        """A row for each record, with the sums of all groups."""
         records, totals = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
                            for c, kind in (("records", _OWN), ("sums", _SUM)))
         uids, first, times = np.unique(records["uid"], return_index=True, return_counts=True)
@@ -638,6 +638,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
         # Rows that repeat have asked as often as they are.
         known = one["known"] + (np.bincount(at, totals["known"], len(uids)) / times).round().astype(np.int64)
         base = one["base"] + np.bincount(at, totals["base"], len(uids)) / times
+        one, known, base = (np.repeat(x, times) for x in (one, known, base))
         return pa.Table.from_arrays(
             [pa.array(one["id"], mask=one["null"] != 0), *map(pa.array, (one["tokens"], known, base, one["score"], one["bytes"]))],
             ["id", "tokens", "known", "base", "score", "bytes"])
