@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..queries import Query
-from . import bpe, chat, line_dedup, minhash, mixing, passages, quality, rules, scoring, vectors
+from . import bpe, centroids, chat, line_dedup, minhash, mixing, passages, phrases, quality, rules, scoring, vectors, warc
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -182,3 +182,74 @@ SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec
 FROM embeddings JOIN reach ON v = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id""")
 def op4_embedding_near_dedup(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@add(r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + m - 1] AS g FROM i, range(1, 6) r(m) WHERE i + m - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (
+  SELECT lang, phrase, max(longer) AS longer FROM (
+    SELECT lang, f AS longer, unnest([array_to_string(g[:-2], ' '), array_to_string(g[2:], ' ')]) AS phrase FROM f WHERE len(g) > 2) GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN inner_ x ON x.lang = f.lang AND x.phrase = f.phrase WHERE len(g) > 1 AND (longer IS NULL OR longer < f)),
+k AS (SELECT lang, phrase, f AS a, unnest(range(1, len(g))) AS k, g FROM c),
+s AS (
+  SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.g[:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.g[k.k + 1:], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""".replace("g[:-2]", "g[:len(g) - 1]"))
+def op11_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * (i // 4)}, 5))::INT >> {15 - 5 * (i % 4)}) & 31), 1)" for i in range(32))
+
+
+@add(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN owner IS NULL OR owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner IS NULL OR owner = page_id THEN NULL ELSE owner END AS refers_to FROM o""")
+def op12_warc_archives(spark, sf):
+    path = warc.archive_pages(table(spark, sf, "pages"))
+    back = warc.read_archives(spark, path, with_payload=False)
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", warc.base32_digest(F.col("payload_sha1")).alias("payload_digest"),
+                       "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """SQL for the assignments a0, c1, a1, and so on, each from the centroids before."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, min({{'d': list_sum(list_transform(range(1, 65), lambda j: (q.v[j] - c.v[j]) * (q.v[j] - c.v[j])))::BIGINT, 'c': c.c}}) AS a
+  FROM q CROSS JOIN c{i} c GROUP BY rid)""")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  WITH u AS (SELECT a.c AS c, unnest(q.v) AS x, unnest(range(1, 65)) AS j FROM a{i} JOIN q ON q.rid = a{i}.rid),
+  s AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM u GROUP BY c, j),
+  m AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s GROUP BY c)
+  SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m ON m.c = o.c)""")
+    return ",\n".join(steps[:-1])
+
+
+@add(f"""
+WITH q AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v)) - 1 AS c, v FROM q ORDER BY sha256('3:' || vec_id), v LIMIT 8),
+{_centroid_rounds(10)},
+t AS (SELECT a.c AS c, sum(a.d)::BIGINT AS t FROM a10 GROUP BY a.c)
+SELECT vec_id, a.c::INT AS cluster, a.d AS distance, t.t AS cluster_inertia, (SELECT sum(t) FROM t)::BIGINT AS inertia,
+  sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM a10 JOIN q ON q.rid = a10.rid JOIN t ON t.c = a.c JOIN c10 ON c10.c = a.c""")
+def op13_centroid_clusters(spark, sf):
+    return centroids.cluster_vectors(table(spark, sf, "embeddings"))
