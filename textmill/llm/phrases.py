@@ -16,7 +16,7 @@ from .common import mixed, stored, text_bytes
 
 LONGEST = 5
 #: Tokens of a chunk, bytes of a text that are split at once, and tokens of the corpus for one prefix partition.
-CHUNK, SEGMENT, PART_TOKENS = 1 << 20, 4 << 20, 1 << 19
+CHUNK, SEGMENT, PART_TOKENS = 1 << 20, 4 << 20, 1 << 21
 #: Entries of a trie before it spills, those of a container before it bursts, and rows counted in one go.
 LIMIT, BURST, BLOCK = 1 << 18, 1 << 13, 1 << 16
 #: A byte that no UTF-8 text holds stands for the end of a piece.
@@ -83,9 +83,9 @@ class Node:
 class HatTrie:
     """Counts rows of `width` word numbers (0: no word) in bounded memory.
 
-    Rows go down a shallow trie by their first words into hash tables of the rest. A container of more than `burst` entries bursts: into two
-    for half of its range of words each, or, if it serves one word, into a node for the word after it. When the trie holds more
-    than `limit` entries, its largest subtrees are spilled whole, as runs in the order of their rows, until half are left.
+    Rows go down a shallow trie by their first words into hash tables of the rest. A container of more than `burst` entries bursts: into
+    half-full ones for a part of its range of words each, or, if it serves one word, into a node for the word after it. When the trie holds more
+    than `limit` entries, its largest subtrees are spilled whole, as one run in the order of their rows, until half are left.
     """
 
     def __init__(self, width: int, limit: int = LIMIT, burst: int = BURST) -> None:
@@ -98,14 +98,14 @@ class HatTrie:
         for at in range(0, len(rows), BLOCK):
             self._add(self.root, rows[at:at + BLOCK], 0)
             if self.entries > self.limit:
-                while self.entries > self.limit // 2:
-                    yield self._spill(max(range(len(self.root.children)), key=lambda i: self._size(self.root.children[i])))
+                sizes = np.array([self._size(c) for c in self.root.children])
+                largest = np.argsort(-sizes, kind="stable")
+                yield self._spilled(np.sort(largest[:1 + np.searchsorted(np.cumsum(sizes[largest]), self.entries - self.limit // 2)]))
 
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All that is left, as one run."""
         if self.entries:
-            runs = [self._spill(i) for i in range(len(self.root.children)) if self._size(self.root.children[i])]
-            yield np.concatenate([r for r, _ in runs]), np.concatenate([n for _, n in runs])
+            yield self._spilled(np.arange(len(self.root.children)))
 
     @staticmethod
     def _size(child: Container | Node) -> int:
@@ -139,17 +139,31 @@ class HatTrie:
                 below.children[0].counts = {k[4:]: n for k, n in child.counts.items()}
                 node.children[at] = below
             return
-        words = np.unique(np.frombuffer(b"".join(k[:4].ljust(4, b"\0") for k in child.counts), ">u4").astype(np.int64))
-        middle = int(words[len(words) // 2])
-        cuts = [middle] if len(words) > 1 else [middle, middle + 1]
-        borders = [child.low, *(c for c in cuts if child.low < c < child.high), child.high]
-        made = [Container(a, z) for a, z in zip(borders, borders[1:])]
-        for key, n in child.counts.items():
-            word = int.from_bytes(key[:4].ljust(4, b"\0"), "big")
-            next(c for c in made if word < c.high).counts[key] = n
-        node.children[at:at + 1] = made
+        keys, counts = self._table(child, depth)
+        words = keys.view(">u4").reshape(len(keys), -1)[:, 0].astype(np.int64)
+        # Borders at quantiles, so that each part is half full, and around a word that fills a part alone.
+        ordered = np.sort(words)
+        cuts = ordered[np.arange(self.burst // 2, len(ordered), max(self.burst // 2, 1))]
+        cuts = np.unique(np.concatenate([cuts, cuts + 1]))
+        borders = [child.low, *cuts[(cuts > child.low) & (cuts < child.high)].tolist(), child.high]
+        which = np.searchsorted(borders, words, "right") - 1
+        order = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[order], np.arange(len(borders)))
+        keys, counts = keys[order].tolist(), counts[order].tolist()
+        node.children[at:at + 1] = [
+            Container(low, high, dict(zip(keys[a:z], counts[a:z]))) for low, high, a, z in zip(borders, borders[1:], ends.tolist(), ends[1:].tolist())]
         node.bounds = np.concatenate([node.bounds[:at], borders[:-1], node.bounds[at + 1:]]).astype(np.int64)
 
+    def _table(self, child: Container, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a container, padded to their full size, and their counts."""
+        n = len(child.counts)
+        return np.fromiter(child.counts, f"S{4 * (self.width - depth)}", n), np.fromiter(child.counts.values(), np.int64, n)
+
+    def _spilled(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These subtrees, in order, as one run."""
+        runs = [self._spill(i) for i in places.tolist() if self._size(self.root.children[i])]
+        return np.concatenate([r for r, _ in runs]), np.concatenate([n for _, n in runs])
+
     def _spill(self, at: int) -> tuple[np.ndarray, np.ndarray]:
         child = self.root.children[at]
         run = self._sorted(child, int(self.root.bounds[at]), 0)
@@ -161,10 +175,10 @@ class HatTrie:
     def _sorted(self, child: Container | Node, low: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows below a child from `depth` on, in order, and their counts."""
         if isinstance(child, Container):
-            keys = sorted(child.counts)
-            size = 4 * (self.width - depth)
-            rows = np.frombuffer(b"".join(k.ljust(size, b"\0") for k in keys), ">u4").reshape(len(keys), -1).astype(np.int64)
-            return rows, np.fromiter(map(child.counts.__getitem__, keys), np.int64, len(keys))
+            keys, counts = self._table(child, depth)
+            rows = keys.view(">u4").reshape(len(keys), -1).astype(np.int64)
+            order = np.lexsort(rows.T[::-1])
+            return rows[order], counts[order]
         parts = [self._sorted(c, int(b), depth + 1) for c, b in zip(child.children, child.bounds) if self._size(c)]
         rows = np.concatenate([r for r, _ in parts])
         return np.concatenate([np.full((len(rows), 1), low), rows], axis=1), np.concatenate([n for _, n in parts])
@@ -290,7 +304,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     chunks = stored(encoded_chunks(docs, lang_col, text_col), "chunks")
     each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     counted = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
-    words = stored(counted.where(F.col("f") >= least).select("lang", "word", "f", (F.monotonically_increasing_id() + 1).alias("id")), "words")
+    # Frequent words get small ids, which pack well.
+    frequent = counted.where(F.col("f") >= least).orderBy(F.desc("f"), "lang", "word")
+    words = stored(frequent.select("lang", "word", "f", (F.monotonically_increasing_id() + 1).alias("id")), "words")
     totals = stored(chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "totals")
     parts = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS
 
