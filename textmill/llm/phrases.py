@@ -12,11 +12,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mixed, stored, text_bytes
+from .common import mixed, stored, text_bytes, word_hashes
 
 LONGEST = 5
-#: Tokens of a chunk, bytes of a text that are split at once, and tokens of the corpus for one prefix partition.
-CHUNK, SEGMENT, PART_TOKENS = 1 << 20, 4 << 20, 1 << 21
+#: Tokens of a chunk, bytes of a text that are split at once, and bytes of the corpus for one prefix partition.
+CHUNK, SEGMENT, PART_BYTES = 1 << 20, 4 << 20, 12 << 20
 #: Entries of a trie before it spills, those of a container before it bursts, and rows counted in one go.
 LIMIT, BURST, BLOCK = 1 << 18, 1 << 13, 1 << 16
 #: A byte that no UTF-8 text holds stands for the end of a piece.
@@ -60,6 +60,25 @@ def unpacked(blob: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(width, -1)
 
 
+def _joined(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(BREAK.join(words))
+
+
+def _split(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(BREAK)
+
+
+def _cut(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each key of an ordered array and where it is."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield int(keys[a]), slice(a, z)
+
+
+_RUNS = "part long, chunk long, lang string, own int, run binary, ids binary"
+_RUN_TYPES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("run", pa.binary()), ("ids", pa.binary())])
+
+
 @dataclass
 class Container:
     """Counts of the rest of rows, as big-endian bytes, whose next word number is in [low, high)."""
@@ -184,22 +203,32 @@ class HatTrie:
         return np.concatenate([np.full((len(rows), 1), low), rows], axis=1), np.concatenate([n for _, n in parts])
 
 
-def encoded_chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """Runs of tokens of texts of one language: chunk, lang, own (tokens of its own; up to four more follow, so that every phrase that begins
-    in the chunk is whole), its distinct words, how many of its own tokens each is, and the tokens as numbers of words from 1, or 0."""
+def encoded_chunks(docs: DataFrame, lang_col: str, text_col: str, parts: int) -> DataFrame:
+    """Runs of tokens of texts of one language, and the dictionary of each as sorted runs of words.
+
+    With part -1: chunk, lang, own (tokens of its own; up to four more follow, so that every phrase that begins in the chunk is whole)
+    and the tokens as numbers of the chunk's words from 1, or 0. With a part from 0 on: the words of that part of the hashes, and for each
+    its number and how many of the own tokens it is.
+    """
 
     def rows(lang: str, words: list[bytes], whole: int, number: int) -> Iterator[pa.RecordBatch]:
         """Chunks of the first `whole` words."""
         for at in range(0, whole, CHUNK):
             part = words[at:at + CHUNK + LONGEST - 1]
-            own = min(CHUNK, whole - at)
+            own, chunk = min(CHUNK, whole - at), number + at // CHUNK
             numbers = _Numbers()
             tokens = np.fromiter(map(numbers.__getitem__, part), np.int32, len(part))
-            counts = np.bincount(tokens[:own], minlength=len(numbers))[1:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number + at // CHUNK]), pa.array([lang]), pa.array([own], pa.int32()), pa.array([list(numbers)[1:]], pa.list_(pa.binary())),
-                 pa.array([counts], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(tokens.tobytes())])],
-                ["chunk", "lang", "own", "words", "counts", "tokens"])
+            counts = np.bincount(tokens[:own], minlength=len(numbers))
+            made = [(-1, chunk, lang, own, packed(tokens[None]), None)]
+            del numbers[BREAK]
+            ordered = sorted(numbers)
+            place = np.fromiter(map(numbers.__getitem__, ordered), np.int64, len(ordered))
+            home = (word_hashes(ordered) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            for own_part, rest in _cut(home[order]):
+                named = order[rest]
+                made.append((own_part, chunk, lang, own, _joined([ordered[i] for i in named.tolist()]), packed(np.stack([place[named], counts[place[named]]]))))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made), _RUN_TYPES.types)], _RUN_TYPES.names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -230,7 +259,7 @@ def encoded_chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             number += -(-len(words) // CHUNK)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(text_col).alias("text"))
-    return texts.mapInArrow(work, "chunk long, lang string, own int, words array<binary>, counts array<long>, tokens binary")
+    return texts.mapInArrow(work, _RUNS)
 
 
 def _runs(chunk: int, own: int, spilled: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, prefix: int, parts: int) -> Iterator[dict]:
@@ -244,10 +273,8 @@ def _runs(chunk: int, own: int, spilled: Iterator[tuple[np.ndarray, np.ndarray]]
         part = (code % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         table = np.concatenate([words, counts[:, None]], axis=1)[order].T
-        part = part[order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
-        for a, z in zip(first, [*first[1:], len(part)]):
-            yield {"part": int(part[a]), "chunk": chunk, "own": own, "run": packed(table[:, a:z]), "ids": None}
+        for own_part, rest in _cut(part[order]):
+            yield {"part": own_part, "chunk": chunk, "own": own, "run": packed(table[:, rest])}
 
 
 def merged_run(tables: list[np.ndarray]) -> np.ndarray:
@@ -283,17 +310,13 @@ def frequent_prefixes(table: np.ndarray, length: int, least: int) -> np.ndarray:
     return np.concatenate([words[:, first], counts[None]])[:, counts >= least]
 
 
-_RUNS = "part long, chunk long, own int, run binary, ids binary"
-_RUN_TYPES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("own", pa.int32()), ("run", pa.binary()), ("ids", pa.binary())])
-
-
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, n): how many words each language has, and (lang, words, f): all phrases of up to five words that occur `least` times.
 
     Every phrase within one is as frequent, so words and then pairs that are too rare cut the texts before longer phrases are counted:
 
-    1. Texts become chunks of some million tokens with a dictionary each. Words are summed over the dictionaries; the frequent ones get
-       an id and are joined back to the dictionaries that hold them.
+    1. Texts become chunks of up to a million tokens with a dictionary each, in sorted runs of words by partition of the word. The partitions sum
+       the runs as they come and give frequent words an id; these are joined to the runs that hold them, which gives each chunk its own.
     2. Each chunk counts its pairs of frequent words in a `HatTrie`; its sorted runs go to the partition of the pair, where
        they are merged as they come. The partitions' frequent pairs are joined to the runs that hold them, which gives each chunk its own.
     3. Windows of three to five words all of whose pairs are frequent are counted in the same way, partitioned by their first three words. A
@@ -301,24 +324,52 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     A chunk's memory is bounded, and a partition holds distinct phrases, not occurrences: their number grows with the corpus.
     """
-    chunks = stored(encoded_chunks(docs, lang_col, text_col), "chunks")
-    each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
-    counted = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
-    # Frequent words get small ids, which pack well.
-    frequent = counted.where(F.col("f") >= least).orderBy(F.desc("f"), "lang", "word")
-    words = stored(frequent.select("lang", "word", "f", (F.monotonically_increasing_id() + 1).alias("id")), "words")
-    totals = stored(chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "totals")
-    parts = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS
-
-    held = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
-    known = held.join(words, ["lang", "word"]).select(F.col("chunk").alias("home"), (F.col("place") + 1).alias("number"), "id")
+    size = docs.agg(F.sum(F.octet_length(text_bytes(text_col)))).first()[0] or 0
+    parts = 1 + size // PART_BYTES
+    chunks = stored(encoded_chunks(docs, lang_col, text_col, parts), "chunks")
+
+    def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, dict[bytes, int]] = {}
+        part = 0
+        for batch in batches:
+            for part, lang, run, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "run", "ids"))):
+                own = counts.setdefault(lang, {})
+                for word, n in zip(_split(run), unpacked(ids, 2)[1].tolist()):
+                    own[word] = own.get(word, 0) + n
+        found = sorted((-n, lang, word) for lang, own in counts.items() for word, n in own.items() if n >= least)
+        for lang, own in counts.items():
+            # Ids are unique, and small for frequent words, which packs well.
+            named = [(at * parts + part + 1, -n, word) for at, (n, of, word) in enumerate(found) if of == lang]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part]), pa.array([lang]), pa.array([sum(own.values())]), pa.array([[i for i, _, _ in named]], pa.list_(pa.int64())),
+                 pa.array([[n for _, n, _ in named]], pa.list_(pa.int64())), pa.array([[w for _, _, w in named]], pa.list_(pa.binary()))],
+                ["part", "lang", "n", "ids", "fs", "words"])
+
+    dictionaries = chunks.where("part >= 0").select("part", "chunk", "lang", "run", "ids")
+    frequent = stored(dictionaries.groupBy("part").applyInArrow(
+        merge_words, "part long, lang string, n long, ids array<long>, fs array<long>, words array<binary>"), "words")
+    totals = stored(frequent.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
+    words = frequent.select("lang", F.inline(F.arrays_zip("ids", "fs", "words"))).toDF("lang", "id", "f", "word")
+
+    def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for chunk, run, places, ids, named in zip(*(batch.column(c).to_pylist() for c in ("chunk", "run", "places", "ids", "words"))):
+                known = dict(zip(named, ids))
+                found = np.fromiter((known.get(w, 0) for w in _split(run)), np.int64)
+                made.append((chunk, packed(np.stack([unpacked(places, 2)[0], found])[:, found > 0])))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made), (pa.int64(), pa.binary()))], ["home", "names"])
+
+    # Frequent words and pairs grow with the corpus, so these joins never broadcast; a part and its runs may be split.
+    known = (dictionaries.withColumnRenamed("ids", "places").join(frequent.where(F.size("ids") > 0).select("part", "lang", "ids", "words").hint("merge"), ["part", "lang"])
+             .mapInArrow(held_words, "home long, names binary"))
 
     def count_pairs(tokens: pa.Table, names: pa.Table) -> pa.Table:
         out = []
         if tokens.num_rows and names.num_rows:
             chunk, own = tokens.column("chunk")[0].as_py(), tokens.column("own")[0].as_py()
-            numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens.column("tokens")[0].as_py()), np.int32)
-            ids, places = names.column("id").to_numpy(), names.column("number").to_numpy()
+            numbers = unpacked(tokens.column("run")[0].as_py(), 1)[0]
+            places, ids = np.concatenate([unpacked(b, 2) for b in names.column("names").to_pylist()], axis=1)
             order = np.argsort(ids)
             ids = ids[order]
             rank = np.zeros(max(int(numbers.max(initial=0)), int(places.max())) + 1, np.uint32)
@@ -339,7 +390,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
             out.append({"part": -1, "chunk": chunk, "own": own, "run": packed(ranked[None]), "ids": packed(ids[None])})
         return pa.Table.from_pylist(out, _RUN_TYPES)
 
-    tokens = chunks.select("chunk", "own", "tokens")
+    tokens = chunks.where("part < 0").select("chunk", "own", "run")
     runs = stored(tokens.groupBy("chunk").cogroup(known.groupBy("home")).applyInArrow(count_pairs, _RUNS), "pair_runs")
 
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +419,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
                     found.append(packed(both[:, 1:][:, same]))
             yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.binary())], ["home", "pairs"])
 
-    replies = runs.where("part >= 0").select("part", "chunk", "run").join(pairs, "part").mapInArrow(held_pairs, "home long, pairs binary")
+    replies = runs.where("part >= 0").select("part", "chunk", "run").join(pairs.hint("merge"), "part").mapInArrow(held_pairs, "home long, pairs binary")
 
     def count_windows(tokens: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
