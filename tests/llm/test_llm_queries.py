@@ -41,7 +41,7 @@ def test_same_as_sql(spark, connection, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_quality_classifier_separates_held_out_rows(spark, documents, labels):
