@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -107,6 +108,14 @@ def test_longest_common_run():
     for _ in range(500):
         a, b = ("".join(rng.choice("ab가") for _ in range(rng.randint(0, 20))) for _ in range(2))
         assert overlap.longest_common_run(a, b) == run_reference(a, b)
+        assert overlap.longest_runs(a, [b, a, None, ""]) == [run_reference(a, b), len(a), None, 0]
+
+
+def test_longest_run_of_long_texts():
+    text = "".join(random.Random(3).choice("abc") for _ in range(40_000))
+    started = time.perf_counter()
+    assert overlap.longest_runs(text[15_000:] + "|" + text[:15_000], [text, "a" * 40_000, text[::-1]])[0] == 25_000
+    assert time.perf_counter() - started < 5  # all windows of one length would be 10^9 characters
 
 
 def test_lcs():

@@ -126,6 +126,25 @@ def test_rouge(spark):
     assert overlap.rouge(korean, tokenizer="char").first().rougeL == 1
 
 
+def test_summary_blocks_give_the_same(spark):
+    rows = list(zip(random_texts(8, 60, "ab cd\n"), random_texts(9, 60, "ab cd\n")))
+    df = spark.createDataFrame([(p, [g, p[::-1], None], k) for k, (p, g) in enumerate(rows)] + [("a", [], 60), (None, ["a"], 61)],
+                               "pred string, golds array<string>, k int")
+    for lines in (1, 2, 1000):
+        found = {r["k"]: r["rougeLsum"] for r in overlap.summary_scores(df, "pred", "golds", block_lines=lines).collect()}
+        assert len(found) == 62 and found[60] == found[61] == 0
+        for k, (p, g) in enumerate(rows):
+            assert found[k] == pytest.approx(max(rouge_reference(p, t)[3] for t in (g, p[::-1])))
+
+
+def test_summary_score_of_many_lines(spark):
+    lines = 100_000
+    gold = "\n".join(f"the w{k} of x{k % 997} and y{k % 1009} to" for k in range(lines))
+    pred = "\n".join(f"and y{k % 1009} the w{k} to" for k in range(lines - 1, -1, -1))
+    df = spark.createDataFrame([(pred, [gold])], "pred string, golds array<string>").repartition(1)
+    assert 0.6 < overlap.summary_scores(df, "pred", "golds", tokenizer="whitespace").first()["rougeLsum"] < 0.9
+
+
 def test_rouge_takes_the_best_reference(spark):
     df = spark.createDataFrame([("a b", ["x", "a b"]), ("a", [])], "pred string, gold array<string>")
     assert overlap.rouge(df).first().rouge1 == 0.5
@@ -161,7 +180,7 @@ def test_longest_run_score(spark):
     df = pairs(spark, rows)
     scored = df.select("*", answers.rouge_w_char(F.col("pred"), F.col("gold")).alias("s"),
                        answers.common_run(F.col("pred"), F.col("gold")).alias("n"),
-                       answers.common_run_long(F.col("pred"), F.col("gold")).alias("m"))
+                       F.get(answers.common_runs(F.col("gold"), F.array(F.lit(None).cast("string"), F.col("pred"))), F.lit(1)).alias("m"))
     for r in scored.collect():
         assert r.s == pytest.approx(run_score(r.pred, r.gold)), r
         assert r.n == r.m

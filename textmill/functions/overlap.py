@@ -94,39 +94,104 @@ def _lcs_positions(reference: Sequence[str], candidate: Sequence[str]) -> set[in
     return positions
 
 
-def summary_lcs_hits(reference: list[list[str]], candidate: list[list[str]]) -> int:
-    """Tokens of the union of sentence-wise common subsequences, each counted at most as often as on both sides.
-
-    A pair of sentences is only traced if it can add a position: one of its shared tokens must stand where the union
-    has nothing yet. Equal sentences, tried first, settle a sentence at once.
-    """
-    left_reference = Counter(t for sentence in reference for t in sentence)
-    left_candidate = Counter(t for sentence in candidate for t in sentence)
-    distinct = list(dict.fromkeys(map(tuple, candidate)))
-    known, vocabularies = set(distinct), [frozenset(sentence) for sentence in distinct]
-    hits = 0
-    for sentence in reference:
-        everything = (1 << len(sentence)) - 1
-        union = everything if tuple(sentence) in known else 0
-        if not union:
-            places: dict[str, int] = {}
-            for position, token in enumerate(sentence):
-                places[token] = places.get(token, 0) | (1 << position)
-            for other, vocabulary in zip(distinct, vocabularies):
-                possible = 0
-                for token in places.keys() & vocabulary:
-                    possible |= places[token]
-                if possible & ~union:
-                    for position in _lcs_positions(sentence, other):
-                        union |= 1 << position
-                    if union == everything:
+class SentenceIndex:
+    """The distinct sentences of a prediction, found by their tokens."""
+
+    def __init__(self, sentences: Sequence[list[str]]) -> None:
+        self.counts = Counter(t for sentence in sentences for t in sentence)
+        self.sentences = list(dict.fromkeys(map(tuple, sentences)))
+        self.known = set(self.sentences)
+        self.holders: dict[str, list[int]] = {}
+        for number, sentence in enumerate(self.sentences):
+            for token in dict.fromkeys(sentence):
+                self.holders.setdefault(token, []).append(number)
+
+    def union(self, reference: list[str]) -> Counter:
+        """How often each token stands in the union of the common subsequences of a sentence with all sentences.
+
+        Only a sentence that holds a token can add the place where it stands. So the places are taken by how many sentences hold
+        their token, the fewest first, and for each the holders are traced until one covers it; most cover others too.
+        """
+        if tuple(reference) in self.known:
+            return Counter(reference)
+        covered: set[int] = set()
+        traced: set[int] = set()
+        places = [i for i, token in enumerate(reference) if token in self.holders]
+        for place in sorted(places, key=lambda i: len(self.holders[reference[i]])):
+            if place in covered:
+                continue
+            for number in self.holders[reference[place]]:
+                if number not in traced:
+                    traced.add(number)
+                    covered |= _lcs_positions(reference, self.sentences[number])
+                    if place in covered:
                         break
-        for position, token in enumerate(sentence):
-            if union >> position & 1 and left_reference[token] > 0 and left_candidate[token] > 0:
-                left_reference[token] -= 1
-                left_candidate[token] -= 1
-                hits += 1
-    return hits
+        return Counter(reference[i] for i in covered)
+
+
+class SuffixAutomaton:
+    """The substrings of a text as an automaton of at most two states a character, made in one pass."""
+
+    def __init__(self, text: str) -> None:
+        edges, links, lengths, last = [{}], [-1], [0], 0
+        for character in text:
+            new = len(edges)
+            edges.append({})
+            lengths.append(lengths[last] + 1)
+            links.append(0)
+            at = last
+            while at >= 0 and character not in edges[at]:
+                edges[at][character] = new
+                at = links[at]
+            if at >= 0:
+                below = edges[at][character]
+                if lengths[at] + 1 == lengths[below]:
+                    links[new] = below
+                else:
+                    # Only the shorter suffixes of this state go on with what was just added.
+                    twin = len(edges)
+                    edges.append(edges[below].copy())
+                    lengths.append(lengths[at] + 1)
+                    links.append(links[below])
+                    while at >= 0 and edges[at].get(character) == below:
+                        edges[at][character] = twin
+                        at = links[at]
+                    links[below] = links[new] = twin
+            last = new
+        self.edges, self.links, self.lengths = edges, links, lengths
+
+    def longest_run(self, other: str) -> int:
+        """Length of the longest contiguous text of `other` that is in the text."""
+        edges, links, lengths = self.edges, self.links, self.lengths
+        at = size = best = 0
+        for character in other:
+            while at and character not in edges[at]:
+                at = links[at]
+                size = lengths[at]
+            to = edges[at].get(character)
+            if to is not None:
+                at, size = to, size + 1
+                best = max(best, size)
+        return best
+
+
+#: Above this length an automaton takes more memory than the ranks of windows.
+AUTOMATON_CHARS = 1 << 17
+
+
+def longest_runs(text: str, others: Sequence[str | None]) -> list[int | None]:
+    """For each of the other texts the length of the longest contiguous text shared with `text`, in near-linear time."""
+    if len(text) > AUTOMATON_CHARS:
+        return [None if o is None else longest_common_run(text, o) for o in others]
+    automaton = None
+    runs: list[int | None] = []
+    for other in others:
+        if other is None or other == text:
+            runs.append(None if other is None else len(text))
+            continue
+        automaton = automaton or SuffixAutomaton(text)
+        runs.append(automaton.longest_run(other))
+    return runs
 
 
 def longest_common_run(first: str, second: str) -> int:

@@ -4,32 +4,27 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from ...functions.overlap import longest_common_run
+from ...functions.overlap import longest_runs
 from ...functions.text import (let, normalize_question_answer, normalize_reading_answer, normalize_squad_answer,
                                words)
 
 NORMALIZERS = {"reading": normalize_reading_answer, "question": normalize_question_answer}
 
 
-def common_run(pred: Column, gold: Column) -> Column:
-    """Length of the longest common contiguous text of two answers.
+@F.pandas_udf(ArrayType(IntegerType()))
+def common_runs(pred: pd.Series, golds: pd.Series) -> pd.Series:
+    """For each gold answer the length of the longest contiguous text that the prediction shares with it, texts of any length.
 
-    The best length grows by at most one per end position, so one containment test per character is enough.
+    The prediction becomes one suffix automaton, so a row takes time in proportion to its texts. Null texts have no length.
     """
-    def extend(best: Column, end: Column) -> Column:
-        longer = F.substr(pred, end - best, best + 1)
-        return F.when(F.contains(gold, longer), best + 1).otherwise(best)
-
-    return F.when(F.length(pred) == 0, 0).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.length(pred)), F.lit(0), extend))
+    return pd.Series([None if p is None or gs is None else longest_runs(p, gs) for p, gs in zip(pred, golds)], dtype=object)
 
 
-@F.pandas_udf(IntegerType())
-def common_run_long(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """The same for whole documents, in Arrow batches."""
-    return pd.Series([longest_common_run(p, g) for p, g in zip(pred, gold)], dtype="int32")
+def common_run(pred: Column, gold: Column) -> Column:
+    """Length of the longest common contiguous text of two answers."""
+    return F.get(common_runs(pred, F.array(gold)), F.lit(0))
 
 
 def run_f(run: Column, pred: Column, gold: Column, beta: float = 1.0) -> Column:
@@ -61,11 +56,12 @@ def score_reading_answers(df: DataFrame, pred: str = "prediction", golds: str =
     # Normalisation is a column of its own, so that it runs once per row and not once per gold answer.
     ready = df.withColumn("_pred", normalize_reading_answer(F.col(pred))).withColumn(
         "_golds", F.transform(gold, normalize_reading_answer))
-    pair = let(F.col("_pred"), lambda p: F.struct(
-        _best(F.col("_golds"), lambda g: (g == p).cast("double")).alias("em"),
-        _best(F.col("_golds"), lambda g: rouge_w_char(p, g)).alias("rouge_w")))
+    ready = ready.withColumn("_runs", common_runs(F.col("_pred"), F.col("_golds")))
+    pair = let(F.struct(F.col("_pred").alias("text"), F.col("_runs").alias("runs")), lambda p: F.struct(
+        _best(F.col("_golds"), lambda g: (g == p["text"]).cast("double")).alias("em"),
+        _best(F.col("_golds"), lambda g, i: run_f(F.get(p["runs"], i), p["text"], g)).alias("rouge_w")))
     return ready.withColumn("_pair", pair).withColumns({"em": F.col("_pair.em"), "rouge_w": F.col("_pair.rouge_w")}
-                                                       ).drop("_pred", "_golds", "_pair")
+                                                       ).drop("_pred", "_golds", "_runs", "_pair")
 
 
 def reading_score(df: DataFrame, pred: str = "prediction", golds: str = "golds",

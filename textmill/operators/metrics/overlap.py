@@ -1,18 +1,20 @@
 """Corpus chrF and ROUGE: per-row statistics in Arrow batches, then one aggregation.
 
-No n-gram ever leaves its row, so the text is not shuffled and a long document costs only its own length.
+No n-gram ever leaves its row, so the text is not shuffled and a long document costs only its own length. The summary score of
+a document of many lines is computed in blocks of lines, which meet in sums by token.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions import fixed_values as fv
-from ...functions.overlap import code_points, lcs_length, ngram_counts, summary_lcs_hits, token_ids
+from ...functions.overlap import code_points, lcs_length, ngram_counts, token_ids, SentenceIndex
 
 _PUNCTUATION = frozenset(fv.ASCII_PUNCTUATION)
 
@@ -103,18 +105,11 @@ def _rouge_row(pred: str, gold: str, tokenizer: str, types: Sequence[str]) -> li
         scores["rouge1"], scores["rouge2"] = (_f1(m, n, r) for n, r, m in (one, two))
     if "rougeL" in types:
         scores["rougeL"] = _f1(lcs_length(p, g), len(p), len(g))
-    if "rougeLsum" in types:
-        p_lines = [t for t in (_tokenize(s, tokenizer) for s in pred.split("\n") if s) if t]
-        g_lines = [t for t in (_tokenize(s, tokenizer) for s in gold.split("\n") if s) if t]
-        if len(p_lines) > 1 or len(g_lines) > 1:
-            scores["rougeLsum"] = _f1(summary_lcs_hits(g_lines, p_lines), len(p), len(g))
-        else:
-            scores["rougeLsum"] = scores["rougeL"] if "rougeL" in scores else _f1(lcs_length(p, g), len(p), len(g))
     return [scores[t] for t in types]
 
 
-def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii", types: Sequence[str] = ROUGE_TYPES) -> Column:
-    """Per row F1 of the `types` asked for, each the best over the gold texts; only these are computed."""
+def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii", types: Sequence[str] = ROUGE_TYPES[:3]) -> Column:
+    """Per row F1 of the `types` asked for, each the best over the gold texts; only these are computed. For rougeLsum see `summary_scores`."""
     @F.pandas_udf(", ".join(f"{t} double" for t in types))
     def statistics(preds: pd.Series, gold_lists: pd.Series) -> pd.DataFrame:
         rows = []
@@ -126,6 +121,78 @@ def rouge_statistics(pred: Column, golds: Column, tokenizer: str = "ascii", type
     return statistics(F.coalesce(pred, F.lit("")), F.filter(golds, lambda g: g.isNotNull()))
 
 
+def _sentences(text: str, tokenizer: str) -> list[list[str]]:
+    return [t for t in (_tokenize(line, tokenizer) for line in text.split("\n")) if t]
+
+
+_SUMMARY_BLOCK = ("struct<n_pred: bigint, n_gold: bigint, "
+                  "hits: array<struct<token: string, used: bigint, held: bigint>>>")
+
+
+def _summary_block(index: SentenceIndex, gold: Sequence[str], first: bool, only: bool, tokenizer: str) -> dict:
+    sentences = [t for t in (_tokenize(line, tokenizer) for line in gold) if t]
+    used: Counter = Counter()
+    for sentence in sentences:
+        used.update(index.union(sentence))
+    if only:
+        same = sum((used & index.counts).values())
+        hits = [{"token": None, "used": same, "held": same}]
+    else:
+        # What the prediction holds comes once, with the first block.
+        tokens = used.keys() | index.counts.keys() if first else used.keys()
+        hits = [{"token": t, "used": used[t], "held": index.counts[t] if first else 0} for t in tokens]
+    return {"n_pred": sum(index.counts.values()), "n_gold": sum(map(len, sentences)), "hits": hits}
+
+
+def summary_scores(df: DataFrame, pred: str, golds: str, tokenizer: str = "ascii", block_lines: int = 1024) -> DataFrame:
+    """`_row`, the other columns of `df` and rougeLsum, the best F1 over the gold texts (an array; 0 if it is empty).
+
+    A gold line counts the places of its tokens in the union of its common subsequences with all predicted lines; over the text, a token
+    counts at most as often as the prediction holds it: a sum of least(used, held) by token. So lines are independent
+    up to that sum. A gold text is cut into blocks of `block_lines` lines, each of which meets the prediction by an index from
+    tokens to lines; a text of one block sends one number, those of more send their token counts. `_row` is only unique.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    texts = rows.select("*", F.posexplode_outer(F.filter(golds, lambda g: g.isNotNull())).alias("_gold_no", "_gold"))
+    lines = texts.withColumn("_lines", F.split("_gold", "\n", -1)).withColumn("_blocks", F.ceil(F.size("_lines") / block_lines).cast("int"))
+    blocks = lines.select(
+        *df.columns, "_row", "_gold_no", "_lines", "_blocks",
+        F.explode_outer(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).withColumn(
+        "_lines", F.slice("_lines", F.col("_block") * block_lines + 1, F.lit(block_lines)))
+
+    @F.pandas_udf(_SUMMARY_BLOCK)
+    def counted(preds: pd.Series, gold_lines: pd.Series, numbers: pd.Series, of: pd.Series) -> pd.DataFrame:
+        made, last, index = [], None, None
+        for text, gold, number, n in zip(preds, gold_lines, numbers, of):
+            if index is None or text != last:
+                last, index = text, SentenceIndex(_sentences(text, tokenizer))
+            made.append(_summary_block(index, [] if gold is None else gold, number == 0, not n > 1, tokenizer))
+        return pd.DataFrame(made, columns=["n_pred", "n_gold", "hits"])
+
+    found = blocks.withColumn("_found", counted(F.coalesce(F.col(pred), F.lit("")), "_lines", "_block", "_blocks"))
+    kept = [F.first(c).alias(c) for c in df.columns if c not in (pred, golds)]
+    others = [c for c in df.columns if c not in (pred, golds)]
+    size = found.select(*others, "_row", "_gold_no", F.col("_found.n_pred").alias("_p"), F.col("_found.n_gold").alias("_g"),
+                        F.posexplode_outer("_found.hits").alias("_at", "_counted"))
+    # Sizes count once for each block: with its first token, or with none.
+    counts = size.groupBy("_row", "_gold_no", F.col("_counted.token").alias("_token")).agg(
+        *kept, F.sum("_counted.used").alias("_used"), F.sum("_counted.held").alias("_held"), F.max("_p").alias("_p"),
+        F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_g")).otherwise(0)).alias("_g"))
+    texts = counts.groupBy("_row", "_gold_no").agg(
+        *kept, F.sum(F.least("_used", "_held")).alias("_hits"), F.max("_p").alias("_p"), F.sum("_g").alias("_g"))
+    f1 = F.when(F.col("_hits") > 0, 2.0 * F.col("_hits") / (F.col("_p") + F.col("_g"))).otherwise(0.0)
+    return texts.groupBy("_row").agg(*kept, F.max(f1).alias("rougeLsum"))
+
+
+def with_rouge(df: DataFrame, pred: str, golds: str, tokenizer: str = "ascii", types: Sequence[str] = ROUGE_TYPES) -> DataFrame:
+    """Add the `types` asked for as columns, each the best F1 over the gold texts, in place of the texts; rows may move."""
+    within = [t for t in types if t != "rougeLsum"]
+    if within:
+        df = df.withColumn("_within", rouge_statistics(F.col(pred), F.col(golds), tokenizer, within))
+        df = df.withColumns({t: F.col(f"_within.{t}") for t in within}).drop("_within")
+    return summary_scores(df, pred, golds, tokenizer) if "rougeLsum" in types else df.drop(pred, golds)
+
+
 def rouge(df: DataFrame, pred: str = "pred", gold: str = "gold", tokenizer: str = "ascii",
           types: Sequence[str] = ROUGE_TYPES) -> DataFrame:
     """One row of mean F1 values of the `types` asked for; `gold` is a text or a list of texts.
@@ -133,5 +200,5 @@ def rouge(df: DataFrame, pred: str = "pred", gold: str = "gold", tokenizer: str
     The default tokenizer keeps `[a-z0-9]` only, so text in other scripts scores 0 with it.
     """
     golds = F.col(gold) if df.schema[gold].dataType.typeName() == "array" else F.array(F.col(gold))
-    scored = df.select(rouge_statistics(F.col(pred), golds, tokenizer, types).alias("s"))
-    return scored.agg(*[F.avg(f"s.{n}").alias(n) for n in types], F.count("*").alias("n_rows"))
+    rows = with_rouge(df.select(F.col(pred).alias("_pred"), golds.alias("_golds")), "_pred", "_golds", tokenizer, types)
+    return rows.agg(*[F.avg(n).alias(n) for n in types], F.count("*").alias("n_rows"))

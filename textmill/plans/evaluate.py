@@ -8,7 +8,7 @@ from ..functions.text import normalize_question_answer
 from ..operators.labels import apply_correction, lookup_label_id
 from ..operators.metrics.answers import score_reading_answers, score_squad_answers
 from ..operators.metrics.classification import accuracy
-from ..operators.metrics.overlap import chrf_score, chrf_statistics, chrf_sums, rouge_statistics
+from ..operators.metrics.overlap import chrf_score, chrf_statistics, chrf_sums, with_rouge
 from ..operators.prediction import parse_reading_prediction
 from .tasks import get_task
 
@@ -26,12 +26,11 @@ def evaluate_reading(df: DataFrame, prediction: str = "prediction", golds: str =
     """Parsed predictions against gold answer lists: official EM and run F, SQuAD EM and F1, ROUGE."""
     parsed = df.select(parse_reading_prediction(F.col(prediction), on_missing).alias("prediction"),
                        F.col(golds).alias("golds"))
-    scored = score_squad_answers(score_reading_answers(parsed)).withColumn(
-        "_rouge", rouge_statistics(F.col("prediction"), F.col("golds"), tokenizer))
+    scored = with_rouge(score_squad_answers(score_reading_answers(parsed)), "prediction", "golds", tokenizer)
     wide = scored.agg(F.avg("em").alias("exact_match"), F.avg("rouge_w").alias("rouge_w"),
                       (F.avg("squad_em") * 100).alias("squad_exact_match"),
                       (F.avg("squad_f1") * 100).alias("squad_f1"),
-                      *[F.avg(f"_rouge.{n}").alias(n) for n in _ROUGE])
+                      *[F.avg(n).alias(n) for n in _ROUGE])
     return long_rows(wide, ["exact_match", "rouge_w", "squad_exact_match", "squad_f1", *_ROUGE])
 
 
@@ -58,13 +57,13 @@ def evaluate_labels(df: DataFrame, labels: dict[str, int], prediction: str = "pr
 
 def evaluate_texts(df: DataFrame, prediction: str = "prediction", gold: str = "gold",
                    tokenizer: str = "ascii") -> DataFrame:
-    """Exact match, chrF and ROUGE of free text, in one pass."""
+    """Exact match, chrF and ROUGE of free text, in one scan."""
     pred, truth = F.col(prediction), F.col(gold)
     # A missing prediction is a miss, as it is for the other scores.
     scored = df.select(F.coalesce((pred == truth).cast("int"), F.lit(0)).alias("_hit"), chrf_statistics(pred, truth).alias("_stats"),
-                       rouge_statistics(pred, F.array(truth), tokenizer).alias("_rouge"))
-    wide = scored.agg(F.avg("_hit").alias("exact_match"), *chrf_sums("_stats", 6),
-                      *[F.avg(f"_rouge.{n}").alias(n) for n in _ROUGE])
+                       pred.alias("_pred"), F.array(truth).alias("_golds"))
+    wide = with_rouge(scored, "_pred", "_golds", tokenizer).agg(F.avg("_hit").alias("exact_match"), *chrf_sums("_stats", 6),
+                      *[F.avg(n).alias(n) for n in _ROUGE])
     return long_rows(wide.withColumn("chrf", chrf_score(6, 2.0)), ["exact_match", "chrf", *_ROUGE])
 
 

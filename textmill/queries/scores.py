@@ -137,8 +137,8 @@ SELECT item_id, run::INT AS run, round(CASE WHEN run = 0 THEN 0 ELSE
   2 * (run / length(pred)) * (run / length(gold)) / (run / length(pred) + run / length(gold)) END, 9) AS rouge_w FROM r""")
 def e6_rouge_w(spark, sf):
     pairs = _changed_items(spark, sf)
-    return pairs.select("item_id", answers.common_run(F.col("pred"), F.col("gold")).alias("run"),
-                        F.round(answers.rouge_w_char(F.col("pred"), F.col("gold")), 9).alias("rouge_w"))
+    scored = pairs.withColumn("run", answers.common_run(F.col("pred"), F.col("gold")))
+    return scored.select("item_id", "run", F.round(answers.run_f(F.col("run"), F.col("pred"), F.col("gold")), 9).alias("rouge_w"))
 
 
 @QUERIES.add("""
@@ -149,7 +149,7 @@ def e6_rouge_w_long(spark, sf):
     third = F.floor(F.length("text") / 3).cast("int")
     swapped = F.concat(F.substr(F.col("text"), third + 1), F.lit("\u2060"), F.substr(F.col("text"), F.lit(1), third))
     docs = texts(spark, sf, "documents").select("doc_id", "text", swapped.alias("pred"))
-    scored = docs.withColumn("run", answers.common_run_long(F.col("pred"), F.col("text")))
+    scored = docs.withColumn("run", answers.common_run(F.col("pred"), F.col("text")))
     score = answers.run_f(F.col("run"), F.col("pred"), F.col("text"))
     return scored.select("doc_id", "run", F.round(score, 9).alias("rouge_w"))
 
@@ -175,6 +175,23 @@ def e7_reading_score(spark, sf):
     return scored.withColumns({c: F.round(c, 9) for c in ("exact_match", "rouge")})
 
 
+@QUERIES.add("""
+WITH b AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS g FROM documents),
+p AS (SELECT doc_id, g, rtrim(substr(g, 1, length(g) // 3)) AS a, ltrim(substr(g, length(g) // 3 + 1)) AS b FROM b),
+r AS (SELECT *, greatest(length(a), length(b)) AS run,
+  length(ltrim(substr(g, length(g) // 3 + 1)) || '.' || rtrim(substr(g, 1, length(g) // 3))) AS n FROM p)
+SELECT doc_id, 0.0::DOUBLE AS em, round(CASE WHEN run = 0 THEN 0 ELSE
+  2 * (run / n) * (run / length(g)) / (run / n + run / length(g)) END, 9) AS rouge_w FROM r""")
+def e7_reading_documents(spark, sf):
+    """Golds as long as documents: the prediction has the parts of the letters swapped around a foreign mark."""
+    letters = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    docs = texts(spark, sf, "documents").select("doc_id", letters.alias("gold"))
+    third = F.floor(F.length("gold") / 3).cast("int")
+    swapped = F.concat(F.substr(F.col("gold"), third + 1), F.lit("\u2060"), F.substr(F.col("gold"), F.lit(1), third))
+    rows = docs.select("doc_id", swapped.alias("prediction"), F.array(F.lit("0 1 2"), F.col("gold")).alias("golds"))
+    return answers.score_reading_answers(rows).select("doc_id", "em", F.round("rouge_w", 9).alias("rouge_w"))
+
+
 _SQUAD_TOKENS_SQL = "list_filter(string_split({}, ' '), lambda w: w NOT IN ('a', 'an', 'the', ''))"
 
 
@@ -238,35 +255,101 @@ SELECT {key}, CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE coalesce(list_sum(l
 SELECT round((SELECT avg(f) FROM ({_rouge_n_sql(1)})), 9) AS rouge1,
   round((SELECT avg(f) FROM ({_rouge_n_sql(2)})), 9) AS rouge2, (SELECT count(*) FROM conversations) AS n_rows""")
 def e10_rouge_n(spark, sf):
-    scored = overlap.rouge(changed_turns(spark, sf))
+    scored = overlap.rouge(changed_turns(spark, sf), types=("rouge1", "rouge2"))
     return scored.select(F.round("rouge1", 9).alias("rouge1"), F.round("rouge2", 9).alias("rouge2"), "n_rows")
 
 
-def _token_count_sql(text: str) -> str:
-    return f"len(list_filter(string_split(regexp_replace({text}, {_SPACES_SQL}, ' ', 'g'), ' '), lambda w: w <> ''))"
+def _tokens_sql(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace({text}, {_SPACES_SQL}, ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@QUERIES.add(f"""
-SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE 2.0 * p / (p + g) END), 9) AS rouge_l, count(*) AS n_rows FROM (
-  SELECT {_token_count_sql('pred')} AS p, {_token_count_sql('gold')} AS g FROM ({_CHANGED_SQL}))""")
+def _lcs_sql(pairs: str) -> str:
+    """Rows of the table of common subsequence lengths: `l[j + 1]` for the first i of g and the first j of p, step by step.
+
+    A length is the greatest, up to j, of the one above and of the one above and to the left plus a match.
+    """
+    return f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({pairs}),
+t AS (
+  SELECT k, 0 AS i, list_transform(range(0, len(p) + 1), lambda j: 0) AS l FROM pairs
+  UNION ALL
+  SELECT k, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[:j])) FROM (
+    SELECT t.k AS k, i, list_transform(range(1, len(l) + 1), lambda j: greatest(l[j],
+      CASE WHEN j > 1 AND g[i + 1] = p[j - 1] THEN l[j - 1] + 1 ELSE 0 END)) AS c
+    FROM t JOIN pairs ON pairs.k = t.k WHERE i < len(g)))"""
+
+
+_SHUFFLED_SQL = f"""
+SELECT {{'a': conv_id, 'b': turn}} AS k, g, list_concat(g[len(g) // 3 + 1:], g[:len(g) // 3]) AS p FROM (
+  SELECT conv_id, turn, list_filter({_tokens_sql('text')}, lambda w, i: i % 5 <> 0) AS g FROM conversations)"""
+
+
+@QUERIES.add(f"""{_lcs_sql(_SHUFFLED_SQL)}
+SELECT round(avg(CASE WHEN l[-1] = 0 THEN 0 ELSE 2.0 * l[-1] / (len(g) + len(p)) END), 9) AS rouge_l, count(*) AS n_rows
+FROM t JOIN pairs ON pairs.k = t.k WHERE i = len(g)""")
 def e10_rouge_l(spark, sf):
-    """The prediction leaves words out, so all its words are the longest common subsequence."""
-    scored = overlap.rouge(changed_turns(spark, sf), tokenizer="whitespace")
+    """Words in another order: the prediction begins after a third of the words and ends with it."""
+    words = F.filter(tx.words(F.col("text")), lambda w, i: (i + 1) % 5 != 0)
+    third = F.floor(F.size("g") / 3).cast("int")
+    turns = texts(spark, sf, "conversations").select(words.alias("g"))
+    pairs = turns.select(F.array_join("g", " ").alias("gold"), F.array_join(
+        F.concat(F.slice("g", third + 1, F.size("g")), F.slice("g", F.lit(1), third)), " ").alias("pred"))
+    scored = overlap.rouge(pairs, tokenizer="whitespace", types=("rougeL",))
     return scored.select(F.round("rougeL", 9).alias("rouge_l"), "n_rows")
 
 
+_LINES_SQL = f"""
+SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_tokens_sql('x')}), lambda x: len(x) > 0) AS ls FROM conversations"""
+_LINE_PAIRS_SQL = f"""
+SELECT {{'a': conv_id, 'b': turn, 'g': gn, 'p': pn}} AS k, g, p FROM (
+  SELECT conv_id, turn, unnest(ls) AS g, unnest(range(len(ls))) AS gn FROM ({_LINES_SQL})) JOIN (
+  SELECT conv_id, turn, list_concat(x[len(x) // 2 + 1:], list_filter(x[:len(x) // 2], lambda w, i: i % 3 <> 0)) AS p, pn FROM (
+    SELECT conv_id, turn, unnest(ls) AS x, unnest(range(len(ls))) AS pn FROM ({_LINES_SQL}))) USING (conv_id, turn)"""
+
+
+@QUERIES.add(f"""{_lcs_sql(_LINE_PAIRS_SQL)},
+b AS (
+  SELECT pairs.k AS k, len(g) AS i, len(p) AS j, NULL::BIGINT AS hit FROM pairs
+  UNION ALL
+  SELECT k, CASE WHEN same OR NOT across THEN i - 1 ELSE i END, CASE WHEN same OR across THEN j - 1 ELSE j END, CASE WHEN same THEN i END FROM (
+    SELECT b.k AS k, b.i AS i, j, g[b.i] = p[j] AS same, here.l[j] > above.l[j + 1] AS across
+    FROM b JOIN pairs ON pairs.k = b.k JOIN t here ON here.k = b.k AND here.i = b.i JOIN t above ON above.k = b.k AND above.i = b.i - 1
+    WHERE b.i > 0 AND j > 0)),
+u AS (SELECT DISTINCT b.k.a AS c, b.k.b AS t, b.k.g AS gn, hit, g[hit] AS w FROM b JOIN pairs ON pairs.k = b.k WHERE hit IS NOT NULL),
+used AS (SELECT c, t, w, count(*) AS n FROM u GROUP BY ALL),
+held AS (SELECT c, t, w, count(*) AS n FROM (SELECT DISTINCT k.a AS c, k.b AS t, k.p AS pn, p FROM pairs), unnest(p) x(w) GROUP BY ALL),
+hits AS (SELECT c, t, sum(least(used.n, held.n)) AS n FROM used JOIN held USING (c, t, w) GROUP BY c, t),
+sizes AS (SELECT k.a AS c, k.b AS t, sum(CASE WHEN k.g = 0 THEN len(p) ELSE 0 END) + sum(CASE WHEN k.p = 0 THEN len(g) ELSE 0 END) AS n FROM pairs GROUP BY ALL)
+SELECT round(sum(2.0 * hits.n / sizes.n) / (SELECT count(*) FROM conversations), 9) AS rouge_lsum, (SELECT count(*) FROM conversations) AS n_rows
+FROM hits JOIN sizes USING (c, t)""")
+def e10_rouge_lsum(spark, sf):
+    """Each line of the prediction is one of the text with its halves swapped and words of the first left out, so lines overlap in part."""
+    tokens = F.filter(F.transform(F.split("text", "\n", -1), tx.words), lambda x: F.size(x) > 0)
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    changed = F.transform("ls", lambda x: F.array_join(F.concat(
+        F.slice(x, half(x) + 1, F.size(x)), F.filter(F.slice(x, F.lit(1), half(x)), lambda w, i: (i + 1) % 3 != 0)), " "))
+    turns = texts(spark, sf, "conversations").select("text", tokens.alias("ls"))
+    pairs = turns.select(F.col("text").alias("gold"), F.array_join(F.reverse(changed), "\n").alias("pred"))
+    scored = overlap.rouge(pairs, tokenizer="whitespace", types=("rougeLsum",))
+    return scored.select(F.round("rougeLsum", 9).alias("rouge_lsum"), "n_rows")
+
+
 _LINES_KEPT_SQL = "list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 0)"
 
 
+def _token_count_sql(text: str) -> str:
+    return f"len({_tokens_sql(text)})"
+
+
 @QUERIES.add(f"""
 SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE 2.0 * p / (p + g) END), 9) AS rouge_lsum, count(*) AS n_rows FROM (
   SELECT {_token_count_sql(f"array_to_string({_LINES_KEPT_SQL}, ' ')")} AS p, {_token_count_sql('text')} AS g FROM documents)""")
-def e10_rouge_lsum(spark, sf):
+def e10_rouge_lsum_documents(spark, sf):
     """Two of three lines in reverse order: each finds its own line, so all its words count, whatever the order."""
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: (i + 1) % 3 != 0)
     pairs = texts(spark, sf, "documents").select(F.col("text").alias("gold"),
                                                  F.array_join(F.reverse(kept), "\n").alias("pred"))
-    scored = overlap.rouge(pairs, tokenizer="whitespace")
+    scored = overlap.rouge(pairs, tokenizer="whitespace", types=("rougeLsum",))
     return scored.select(F.round("rougeLsum", 9).alias("rouge_lsum"), "n_rows")
 
 
