@@ -89,6 +89,9 @@ def test_dedup_consecutive(spark):
     for block in (1, 2, 3):
         assert sorted(r.line_no for r in dataset.dedup_consecutive(df, block_rows=block).collect()) == [0, 2, 3, 6]
     two = df.withColumn("file_path", F.when(F.col("line_no") < 1, "x").otherwise("y"))
+    sparse = df.withColumn("line_no", F.col("line_no") * (1 << 40))
+    for block in (1, 2, 1000):
+        assert sorted(r.line_no >> 40 for r in dataset.dedup_consecutive(sparse, block_rows=block).collect()) == [0, 2, 3, 6]
     kept = dataset.dedup_consecutive(two, within="file_path").collect()
     assert sorted(r.line_no for r in kept) == [0, 1, 2, 3, 6]
 

@@ -272,3 +272,29 @@ def test_shared_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir", None) in (None, shared_dir(spark))
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_blocks_are_balanced_whatever_the_values(spark):
+    ids = spark.range(100_000).select(F.col("id"))
+    tables = {
+        "outlier": ids.union(spark.createDataFrame([(1 << 60,)], "id long")),
+        "both ends": ids.union(spark.createDataFrame([(1 << 62,), (-(1 << 62),)], "id long")),
+        "clusters": ids.select((F.col("id") % 10 * (1 << 50) + F.col("id")).alias("id")),
+        "equal": ids.select(F.lit(7).cast("long").alias("id")),
+        "negative": ids.select((-F.col("id") * 3).alias("id")),
+    }
+    for name, table in tables.items():
+        block = lines.order_blocks(table, "id", block_rows=500)
+        placed = table.withColumn("block", block)
+        sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("block").collect()
+        assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:])), name
+        if name != "equal":
+            assert max(r["n"] for r in sizes) <= 2500, name
+        if name == "outlier":
+            numbered = lines.dense_index(table, "id", block_rows=500)
+            assert numbered.where("row_id <> id").select("id", "row_id").collect() == [(1 << 60, 100_000)]
+    some = spark.createDataFrame([(None,), (3,), (1,)], "id long")
+    assert sorted(lines.dense_index(some, "id").collect()) == [(1, 0), (3, 1)]
+    # No window sees all blocks: each has a key but for the one over the shares.
+    plan = lines.dense_index(tables["clusters"], "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.byte_ids import encoded_length
 from ..functions.hashing import HASH_RANGE, hash32, hash_bucket, hash_unit
+from ..sources.lines import order_blocks
 from .dialogue import carry_forward
 
 _COARSE_BUCKETS = 1 << 20
@@ -127,13 +128,14 @@ def dedup_consecutive(df: DataFrame, text: str = "text", order: str = "line_no",
                       within: str | None = None, block_rows: int = _DEDUP_BLOCK_ROWS) -> DataFrame:
     """Drop a row whose text equals that of the row just before it in the order of a unique integer column.
 
-    Rows are compared inside blocks of `block_rows` order values, and across blocks through the last row of each
-    block, so no group grows with the data and there is no global sort. Only keys and hashes are ordered; the text meets
-    the numbers of the dropped rows.
+    Rows are compared inside blocks, and across blocks through the last row of each, so no group grows with the data and there is no
+    global sort. A block is `block_rows` order values of one `within` wide; without `within` it holds about as many rows, however the
+    order values are spread. Only keys and hashes are ordered; the text meets the numbers of the dropped rows.
     """
     hashed = df.select(F.col(order).alias("_order"), F.col(within).alias("_key") if within else F.lit(0).alias("_key"),
                        content_hash(F.col(text)).alias("_hash"))
-    beside = carry_forward(hashed, "_key", "_order", {"_before": F.col("_hash")}, {}, block_rows)
+    beside = carry_forward(hashed, "_key", "_order", {"_before": F.col("_hash")}, {}, block_rows,
+                           None if within else order_blocks(hashed, "_order", block_rows))
     dropped = beside.filter(F.col("_hash").eqNullSafe(F.col("_before"))).select("_key", "_order")
     same = F.col(order) == F.col("_order")
     return df.join(dropped, same & F.col(within).eqNullSafe(F.col("_key")) if within else same, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_TURNS = 4096
+#: Blocks whose last rows are carried together.
+BLOCK_SPAN = 1 << 12
 _STATE = "array<string>"
 
 
@@ -41,31 +43,42 @@ def dialogue_examples(records: DataFrame) -> DataFrame:
 
 
 def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column], totals: dict[str, Column],
-                  block_rows: int = BLOCK_TURNS) -> DataFrame:
+                  block_rows: int = BLOCK_TURNS, block: Column | None = None) -> DataFrame:
     """Add running columns over the rows *before* each row of its key.
 
     `values`: last non-null value so far; `totals`: sum so far. A key may hold any number of rows: they are handled
-    in blocks of `block_rows` order values, each a group of its own, and only the last row of a block is carried along
-    the key. `(key, order)` must be unique and `order` a non-negative integer.
+    in blocks of `block_rows` order values, or those that `block` numbers in order, each a group of its own. The last row of a block is
+    carried along the next `BLOCK_SPAN` blocks, and the last of these along the key, so the rows that one task orders are few.
+    `(key, order)` must be unique and `order` a non-negative integer.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)) if block is None else block)
     zero = F.lit(0).cast("long")
-    block = Window.partitionBy(key, "_block").orderBy(order)
-    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(key, "_block").orderBy(order)
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
     staged = blocked.withColumns({f"_v_{n}": c for n, c in values.items()} | {f"_t_{n}": c for n, c in totals.items()})
     inside = staged.withColumns(
         {f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(before) for n in values}
         | {f"_s_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), zero) for n in totals}
-        | {"_ends": F.lead(order).over(block).isNull()})
+        | {"_ends": F.lead(order).over(group).isNull()})
     ends = inside.filter("_ends").select(
-        key, "_block",
+        key, "_block", F.floor(F.col("_block") / BLOCK_SPAN).alias("_span"),
         *[F.coalesce(f"_v_{n}", f"_i_{n}").alias(f"_b_{n}") for n in values],
         *[(F.coalesce(f"_t_{n}", zero) + F.col(f"_s_{n}")).alias(f"_c_{n}") for n in totals])
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
+    near = Window.partitionBy(key, "_span").orderBy("_block")
+    earlier = near.rowsBetween(Window.unboundedPreceding, -1)
+    steps = ends.select(
+        key, "_block", "_span", F.lead("_block").over(near).isNull().alias("_last"), *[f"_b_{n}" for n in values], *[f"_c_{n}" for n in totals],
+        *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_n_{n}") for n in values],
+        *[F.coalesce(F.sum(f"_c_{n}").over(earlier), zero).alias(f"_m_{n}") for n in totals])
+    far = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = steps.filter("_last").select(
+        key, "_span",
+        *[F.last(F.coalesce(f"_b_{n}", f"_n_{n}"), ignorenulls=True).over(far).alias(f"_f_{n}") for n in values],
+        *[F.coalesce(F.sum(F.col(f"_c_{n}") + F.col(f"_m_{n}")).over(far), zero).alias(f"_g_{n}") for n in totals])
+    carried = steps.join(spans, [key, "_span"]).select(
         key, "_block",
-        *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values],
-        *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in totals])
+        *[F.coalesce(f"_n_{n}", f"_f_{n}").alias(f"_b_{n}") for n in values],
+        *[(F.col(f"_m_{n}") + F.col(f"_g_{n}")).alias(f"_c_{n}") for n in totals])
     return inside.join(carried, [key, "_block"]).select(
         *df.columns,
         *[F.coalesce(f"_i_{n}", f"_b_{n}").alias(n) for n in values],

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.text import let
 
 INDEX_BLOCK_ROWS = 1 << 20
+#: Shares of the rows that are cut into blocks by themselves, and the step of the block numbers from one share to the next.
+BLOCK_CUTS, BLOCK_STEP = 64, 1 << 32
 
 
 def with_file_row_number(records: DataFrame) -> DataFrame:
@@ -66,25 +69,61 @@ def read_prediction_records(spark: SparkSession, paths, prefix: str = fv.OUTPUT_
     return records.select("row_id", F.regexp_replace(whole, "\n+$", "").alias("prediction"))
 
 
+def order_blocks(df: DataFrame, order: str, block_rows: int = INDEX_BLOCK_ROWS, cuts: int = BLOCK_CUTS) -> Column:
+    """A block number for each row that rises with an integer column; blocks hold about `block_rows` rows each.
+
+    The column is cut at `cuts` - 1 of its quantiles, and between two of these into equal widths, so that an outlier, or a part with
+    many more values than another, widens the blocks of its own share of the rows only. Block numbers are `BLOCK_STEP` times the share plus the
+    block in it. Reads the column once; only the borders come to the driver. A null has no block, and so no number.
+    """
+    shares = [i / cuts for i in range(1, cuts)]
+    found = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("rows"),
+                   F.percentile_approx(F.col(order), shares, 100 * cuts).alias("borders")).first()
+    value = F.col(order).cast("long")
+    if not found["rows"]:
+        return F.when(value.isNotNull(), F.lit(0).cast("long"))
+    borders = sorted({int(found["low"]), *(int(b) + 1 for b in found["borders"]), int(found["high"]) + 1})
+    blocks = max(1, -(-found["rows"] // (block_rows * (len(borders) - 1))))
+
+    def between(at: Column, first: int, last: int) -> Column:
+        """The share, by a search tree over the borders: about log2(cuts) comparisons for each row."""
+        if last - first > 1:
+            middle = (first + last) // 2
+            return F.when(at < borders[middle], between(at, first, middle)).otherwise(between(at, middle, last))
+        return F.lit(first)
+
+    lows = F.array(*(F.lit(float(b)) for b in borders[:-1]))
+    widths = F.array(*(F.lit(float(b - a)) for a, b in zip(borders, borders[1:])))
+
+    def number(at: Column, share: Column) -> Column:
+        # As doubles, since the distance may pass a long; rounding is monotone, so the order stays.
+        inside = F.floor((at.cast("double") - F.get(lows, share)) / F.get(widths, share) * float(blocks))
+        return share.cast("long") * BLOCK_STEP + F.least(F.greatest(inside, F.lit(0).cast("long")), F.lit(blocks - 1).cast("long"))
+
+    # Bound once: the optimizer would else write a computed column into every comparison.
+    placed = let(F.struct(value.alias("at")), lambda v: F.struct(v["at"].alias("at"), between(v["at"], 0, len(borders) - 1).alias("share")))
+    return F.when(value.isNotNull(), let(placed, lambda p: number(p["at"], p["share"])))
+
+
 def dense_index(df: DataFrame, order: str, out: str = "row_id", within: str | None = None,
                 block_rows: int = INDEX_BLOCK_ROWS, tie: str | None = None) -> DataFrame:
     """Number rows 0, 1, 2 … in the order of an integer column, unique unless `tie` orders equals, without a global sort.
 
     Rows are ranked inside blocks of order values, and the block sizes are added up. With `within`, rows are numbered inside its values
-    and a block is `block_rows` order values wide. Without, it is as wide as holds `block_rows` rows on average over the range of
-    the column, so that only one row for each block goes through one task, however sparse the values are.
+    and a block is `block_rows` order values wide. Without, blocks hold about `block_rows` rows, see `order_blocks`; their sizes are added
+    up inside each share of the rows and then over the shares, so no task meets all blocks.
     """
     keys = [within] if within else []
-    if within:
-        block = F.floor(F.col(order) / F.lit(block_rows))
-    else:
-        extent = df.agg(F.struct(F.min(order).alias("low"), (F.max(order) - F.min(order) + 1).cast("double").alias("span"),
-                                 F.ceil(F.count("*") / block_rows).alias("blocks"))).scalar()
-        block = F.floor((F.col(order) - extent["low"]) / extent["span"] * extent["blocks"])
-    blocked = df.withColumn("_block", block)
-    sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
-    running = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    bases = sizes.select(*keys, "_block", (F.sum("_rows").over(running) - F.col("_rows")).alias("_base"))
+    block = F.floor(F.col(order) / F.lit(block_rows)) if within else order_blocks(df, order, block_rows)
+    blocked = df.withColumn("_block", block).where(F.col("_block").isNotNull())
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows")).withColumn("_share", F.floor(F.col("_block") / BLOCK_STEP))
+    inner = Window.partitionBy(*keys, "_share").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    # One row for each share, at most `BLOCK_CUTS` of them where there is no key.
+    outer = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, 0)
+    shares = sizes.groupBy(*keys, "_share").agg(F.sum("_rows").alias("_all")).select(
+        *keys, "_share", (F.sum("_all").over(outer) - F.col("_all")).alias("_start"))
+    bases = sizes.withColumn("_inside", F.sum("_rows").over(inner) - F.col("_rows")).join(shares, [*keys, "_share"]).select(
+        *keys, "_block", (F.col("_start") + F.col("_inside")).alias("_base"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *([tie] if tie else []))) - 1
     return (
         blocked.withColumn("_rank", rank)
