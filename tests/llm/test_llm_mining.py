@@ -154,3 +154,38 @@ def test_centroid_clusters(spark):
         assert collections.Counter(map(tuple, found)) == plain_clusters(rows + odd, k, rounds, 6, 1024, 3)
     assert centroids.cluster_vectors(frame.limit(0), dims=6).collect() == []
     assert centroids.cluster_vectors(frame, dims=7).collect() == []
+
+
+def test_lines_of_rows_that_repeat_an_id(spark):
+    from textmill.llm import line_dedup
+
+    rows = [(1, "first common line here\nown line a", 1, 2, "p"), (2, "first common line here\nown line of two", 1, 2, "p"),
+            (2, "precious line alpha\nprecious line beta", 1, 2, "p"), (3, "  Precious line ALPHA ", 1, 2, "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _lines int, _gone int, _Dropped string")
+    found = line_dedup.dedup_lines(frame)
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in found.collect()) == [
+        (1, rows[0][1], 2, 0), (2, "own line of two", 2, 1), (2, rows[2][1], 2, 0), (3, "", 1, 1)]
+    assert found.columns == [*frame.columns, "n_lines", "n_dropped"]
+
+
+def test_common_line_is_a_join_that_spark_splits(spark):
+    from pyspark.sql import functions as F
+    from textmill.llm import line_dedup
+
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("one line that all share\nown line "), F.col("id").cast("string")).alias("text"))
+        result = line_dedup.dedup_lines(docs)
+        rows = result.agg(F.sum("n_dropped").alias("n"), F.count("*").alias("all")).select("n", "all")
+        assert tuple(rows.first()) == (59_999, 60_000)
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan()
+        assert "skew=true" in plan.toString() or "skewed" in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -27,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """`base`, with as many underscores after it as make it no column of the table."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def text_bytes(column: str = "text") -> Column:
     """The UTF-8 bytes of a text; a null text counts as an empty one."""
     return F.coalesce(F.col(column).cast("binary"), F.lit("").cast("binary"))

@@ -6,9 +6,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch_map, stored, text_bytes
+from .common import batch_map, free_name, stored, text_bytes
 
 LINE_WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -22,26 +22,32 @@ def line_key(line: bytes, least: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """id, line_no (from 0), key_1 and key_2 for every line of `min_chars` code points or more."""
+    """id, mark (of the text), line_no (from 0), key_1 and key_2 for every line of `min_chars` code points or more."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, places, keys = [], [], []
-        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids, marks, places, keys = [], [], [], []
+        for owner, mark, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
             for place, line in enumerate(text.split(b"\n")):
                 key = line_key(line, min_chars)
                 if key is not None:
                     ids.append(owner)
+                    marks.append(mark)
                     places.append(place)
                     keys.append(key)
         if not ids:
             return None
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-            ["id", "line_no", "key_1", "key_2"])
+            [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+            ["id", "mark", "line_no", "key_1", "key_2"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).where("id IS NOT NULL")
-    return batch_map(texts, work, "id long, line_no int, key_1 long, key_2 long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_mark(text_col).alias("mark"), text_bytes(text_col).alias("text"))
+    return batch_map(texts.where("id IS NOT NULL"), work, "id long, mark long, line_no int, key_1 long, key_2 long")
+
+
+def text_mark(column: str) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(text_bytes(column))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -54,12 +60,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay in order, joined by \n.
 
     Lines are exploded to (id, line number, 128-bit key); documents are counted per key with map-side combination, so
-    a frequent line is no hot key there, and the join back with frequent keys is one that skew handling may split. The
-    text itself is shuffled once, to meet its dropped line numbers.
+    a frequent line is no hot key there. Keys that go are stored, so that the join back is one of two shuffled tables, whose skewed
+    partitions Spark splits. The text itself is shuffled once, to meet its dropped line numbers.
 
-    Rows with a null id keep all their lines and count as no document. Rows that repeat an id are one document: the lines
-    dropped from it are dropped from each of them by line number, so such rows should hold the same text. An empty table gives no
-    rows. Result columns replace input columns of the same name.
+    Rows with a null id keep all their lines and count as no document. Rows that repeat an id are one document; each loses the lines of its
+    own text that a smaller id holds. Very long texts are split in one task. An empty table gives no rows. Result columns replace input columns of the
+    same name; the names of working columns are chosen free of those of the table.
     """
     lines = stored(line_hashes(docs, id_col, text_col, min_chars), "lines")
     # Two documents at least exactly if the smallest and the largest id differ; more needs a count of distinct ids.
@@ -70,19 +76,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         owners = (lines.select("key_1", "key_2", "id").distinct().groupBy("key_1", "key_2")
                   .agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n"))
-    dropped = (lines.join(owners, ["key_1", "key_2"]).where("id <> first_id")
-               .groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_dropped")))
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_id", "_dropped")]
-    joined = docs.select(*kept_columns).join(dropped, F.col(id_col).cast("long") == F.col("_id"), "left")
+    key, mark, places, all_lines, gone_lines = (free_name(n, docs.columns) for n in ("_id", "_mark", "_dropped", "_lines", "_gone"))
+    dropped = (lines.join(stored(owners, "owners"), ["key_1", "key_2"]).where("id <> first_id")
+               .groupBy(F.col("id").alias(key), F.col("mark").alias(mark)).agg(F.collect_set("line_no").alias(places)))
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = docs.select(*kept_columns).join(dropped, (F.col(id_col).cast("long") == F.col(key)) & (text_mark(text_col) == F.col(mark)), "left")
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
+    gone = F.coalesce(F.col(places), F.array().cast("array<int>"))
     # Marks by line number: one pass, where a lookup of each line in the set would be quadratic.
-    joined = joined.withColumns({"_lines": split, "_gone": F.array_sort(gone)})
+    joined = joined.withColumns({all_lines: split, gone_lines: F.array_sort(gone)})
     pieces = F.transform(F.arrays_zip(
-        F.concat(F.array(F.lit(-1)), F.col("_gone")).alias("a"), F.concat(F.col("_gone"), F.array(F.size("_lines"))).alias("b")),
-        lambda p: F.slice(F.col("_lines"), p["a"] + 2, p["b"] - p["a"] - 1))
-    rest = F.when(F.size("_gone") == 0, F.col("_lines")).otherwise(F.flatten(pieces))
-    text = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(rest, "\n"))
+        F.concat(F.array(F.lit(-1)), F.col(gone_lines)).alias("a"), F.concat(F.col(gone_lines), F.array(F.size(all_lines))).alias("b")),
+        lambda p: F.slice(F.col(all_lines), p["a"] + 2, p["b"] - p["a"] - 1))
+    rest = F.when(F.size(gone_lines) == 0, F.col(all_lines)).otherwise(F.flatten(pieces))
+    text = F.when(F.size(gone_lines) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(rest, "\n"))
     counted = joined.withColumns({
-        text_col: text, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_gone").cast("long")})
-    return counted.drop("_lines", "_gone", "_dropped", "_id")
+        text_col: text, "n_lines": F.size(all_lines).cast("long"), "n_dropped": F.size(gone_lines).cast("long")})
+    return counted.drop(all_lines, gone_lines, places, key, mark)

@@ -183,10 +183,13 @@ def removable(pieces: np.ndarray, sizes: np.ndarray, keys: np.ndarray, offsets:
     heads = order[~same]  # the smallest id of each class
     kind = np.empty(n, np.int64)
     kind[order] = number
-    # Strings of classes whose key another class has.
+    # Strings of classes whose key another class with another least id has: within one id nothing is removed.
     class_keys = keys[heads]
-    _, inverse, counts = np.unique(class_keys, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(counts[inverse] > 1)
+    known, inverse = np.unique(class_keys, return_inverse=True)
+    lowest, highest = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(lowest, inverse, ids[heads])
+    np.maximum.at(highest, inverse, ids[heads])
+    several = np.flatnonzero((lowest < highest)[inverse])
     least = np.repeat(ids[heads][:, None], width - length + 1, axis=1)
     several = several[np.argsort(inverse[several], kind="stable")]
     # By whole keys, so that the prefix hashes of a few thousand pieces are in memory at a time.
@@ -251,7 +254,7 @@ def _home(ids: np.ndarray, groups: int) -> np.ndarray:
 
 
 _REPLY = np.dtype([("id", np.int64), ("key", np.uint64)])
-_SPAN = np.dtype([("id", np.int64), ("text", np.uint16), ("from", np.int64), ("to", np.int64)])
+_SPAN = np.dtype([("id", np.int64), ("text", np.uint64), ("from", np.int64), ("to", np.int64)])
 
 
 def _packed(*parts: bytes) -> bytes:
@@ -293,11 +296,11 @@ def _read(table: pa.Table, column: str, dtype: np.dtype) -> np.ndarray:
 
 def _text_mark(text: bytes) -> int:
     """Tells apart the texts of rows that repeat an id."""
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFF
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def _piece(width: int) -> np.dtype:
-    return np.dtype([("id", np.int64), ("text", np.uint16), ("at", np.int64), ("key", np.uint64), ("offset", np.int16), ("size", np.int16),
+    return np.dtype([("id", np.int64), ("text", np.uint64), ("at", np.int64), ("key", np.uint64), ("offset", np.int16), ("size", np.int16),
                      ("data", np.uint8, (width,))])
 
 
@@ -359,7 +362,8 @@ def hot_anchors(texts: DataFrame, total: int, length: int, most: int) -> np.ndar
 
         def told() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(keys), return_counts=True)
-            on = n * 2 * total >= most * size
+            # In floating point: the product may pass 64 bits.
+            on = n >= most * (size / max(2 * total, 1))
             return pa.RecordBatch.from_arrays([pa.array(found[on].view(np.int64)), pa.array(n[on].astype(np.int64))], ["key", "n"])
 
         for batch in batches:
@@ -502,7 +506,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked)
             made = np.zeros(len(hit), piece)
             starts = np.concatenate([[0], ends[:-1]])[owner[hit]]
-            digests = np.fromiter(map(_text_mark, texts_here[at:at + len(ends)]), np.uint16, len(ends))
+            digests = np.fromiter(map(_text_mark, texts_here[at:at + len(ends)]), np.uint64, len(ends))
             made["id"], made["text"], made["key"], made["at"] = own_ids[hit], digests[owner[hit]], key[hit], first[hit] - starts
             made["offset"], made["size"] = place[hit] - first[hit], last[hit] - first[hit] + length
             made["data"] = _gathered(data, first[hit], made["size"].astype(np.int64), width)

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import hash_bucket
+from ..functions.hashing import hash_bucket, hash_unit
 from ..functions.text import let
 from .common import stored
 
@@ -108,18 +108,22 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", cuts: int = 32, max_rules: int = 12,
-          max_conditions: int = 3, least_precision: float = 0.97, least_rows: int = 3, seed: int = 5) -> list[Rule]:
+          max_conditions: int = 3, least_precision: float = 0.97, least_rows: int = 3, seed: int = 5, most_rows: int = 20_000) -> list[Rule]:
     """Sequential covering: conjunctions of thresholds that mark rows labelled 0, the surest first.
 
     Two thirds of the labelled rows grow a rule, condition by condition, by the gain in information on the rows not covered yet;
     the rest prune it to the prefix with the best precision. A rule stays if it covers `least_rows` poor pruning rows and its
     smoothed precision there reaches `least_precision` or it covers no good one; else no later rule begins with the same measure, and the list ends when none is left.
     Thresholds are `cuts` quantiles of each measure in each class. Each step is one aggregation over all labelled rows, of which only counts by measure and quantile
-    reach the driver. Null labels are none, an id with several labels has their mean, 0 below one half. Without labels,
+    reach the driver. Of more than `most_rows` labelled ids a seeded share of about that many is learned from, so the work of the steps, which look at
+    every labelled row again and again, is bounded. Null labels are none, an id with several labels has their mean, 0 below one half. Without labels,
     or with one class only, there are no rules.
     """
     wanted = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col)
               .agg((F.avg(F.col(label_col).cast("double")) < 0.5).cast("int").alias("poor")))
+    share = most_rows / max(wanted.count(), 1)
+    if share < 1:
+        wanted = wanted.where(hash_unit(F.col(id_col), seed + 1) < share)
     rows = stored(stats.select(id_col, *MEASURES).join(wanted, id_col)
                   .select((hash_bucket(F.col(id_col), 3, seed) > 0).alias("grows"), "poor", *(F.col(m).cast("double") for m in MEASURES)), "labelled")
     shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
