@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from textmill.llm import bpe, line_dedup, minhash, mixing, quality  # noqa: E402
-from textmill.llm.common import stored, table  # noqa: E402
+from textmill.llm.common import free_name, stored, table  # noqa: E402
 
 
 def _with(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
     """The documents that have a decision, under their id; `decisions` has one row for each id and its columns come last."""
-    decisions = decisions.withColumnRenamed("doc_id", "_decided")
-    return docs.join(decisions, F.col("doc_id").eqNullSafe(F.col("_decided")), how).drop("_decided")
+    decided = free_name("_decided", [*docs.columns, *decisions.columns])
+    decisions = decisions.withColumnRenamed("doc_id", decided)
+    return docs.join(decisions, F.col("doc_id").eqNullSafe(F.col(decided)), how).drop(decided)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: as many rows, or none."""
-    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
-    taken = _with(docs, repeats)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    times, copy = free_name("_repeats", docs.columns), free_name("_copy", docs.columns)
+    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias(times)).where(F.col(times) > 0)
+    return _with(docs, repeats).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
