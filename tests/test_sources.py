@@ -298,3 +298,20 @@ def test_blocks_are_balanced_whatever_the_values(spark):
     # No window sees all blocks: each has a key but for the one over the shares.
     plan = lines.dense_index(tables["clusters"], "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 3
+
+
+def test_answer_object_is_one_object(spark, folder):
+    import glob
+    import json
+
+    from textmill.sources import answers
+
+    rows = [(f"q{k}", f'text "{k}",\n}} {{ é 가 \\') for k in range(50)] + [("none", None), (None, "x"), ("", "")]
+    df = spark.createDataFrame(rows, "id string, prediction_text string").repartition(7)
+    expected = {k: v for k, v in rows if k is not None}
+    for name, table, wanted in (("some", df, expected), ("none", df.limit(0), {})):
+        path = f"{folder}/{name}"
+        answers.write_answer_object(table, path)
+        text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{path}/*")))
+        assert json.loads(text) == wanted
+        assert dict(map(tuple, answers.read_answer_object(spark, path).collect())) == wanted

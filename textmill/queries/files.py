@@ -9,7 +9,7 @@ from ..functions.hashing import hash_bucket
 from ..operators.dataset import train_test_split
 from ..operators.tokens import pad_batch
 from ..session import scratch_path
-from ..sources import benchmarks, lines, pairs, questions
+from ..sources import answers, benchmarks, lines, pairs, questions
 from . import Registry, sql_hash, table, texts
 from .data import _SPLIT_SQL
 from .formats import _PARSED_SQL, parsed_sentences
@@ -312,6 +312,14 @@ def s15_answer_map(spark, sf):
     return lines.read_answer_map(spark, path)
 
 
+@QUERIES.add("SELECT doc_id::VARCHAR AS id, text AS prediction_text FROM documents")
+def s15_answer_object(spark, sf):
+    """The answer map as one JSON object over many files."""
+    path = scratch_path(spark, "answers")
+    answers.write_answer_object(texts(spark, sf, "documents"), path, "doc_id", "text")
+    return answers.read_answer_object(spark, path)
+
+
 @QUERIES.add("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def s17_named_table(spark, sf):
     table(spark, sf, "documents").createOrReplaceTempView("textmill_named")
