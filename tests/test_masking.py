@@ -112,3 +112,23 @@ def test_tagged_surfaces_and_output(spark, folder):
     assert spark.read.json(f"{folder}/corpus").columns == ["label", "text"]
     with pytest.raises(ValueError):
         salient_span_corpus(df)
+
+
+def test_many_entities_in_a_long_sentence(spark):
+    """20,000 entities in a sentence of about a megabyte."""
+    words = [f"Word{i}x{'y' * (i % 80)}" for i in range(20000)]
+    df = spark.createDataFrame([(" ".join(words), words)], "s string, e array<string>")
+    m = df.select(masking.mask_sentence(F.col("s"), F.col("e"), F.lit(0)).alias("m")).first().m
+    assert m.text == " ".join(f"<extra_id_{i}>" for i in range(20000))
+    assert m.target == "".join(f"<extra_id_{i}>{w}" for i, w in enumerate(words))
+
+
+def test_masking_odd_entities(spark):
+    rows = [("aaa aa", ["aa", "a", "aa", "aa"]), ("", ["x"]), ("abcabc", ["bc", "abc", "", None, "abc"]), (None, ["x"]), ("a", None)]
+    df = spark.createDataFrame(rows, "s string, e array<string>")
+    got = [r.m for r in df.select(masking.mask_sentence(F.col("s"), F.col("e"), F.lit(3)).alias("m")).collect()]
+    assert got[0].text == "<extra_id_3><extra_id_4> <extra_id_5>"
+    assert got[0].target == "<extra_id_3>aa<extra_id_4>a<extra_id_5>aa<extra_id_6>aa"
+    assert tuple(got[1]) == ("", "<extra_id_3>x")
+    assert got[2].text == "a<extra_id_3><extra_id_4>"
+    assert got[3] is None and got[4] is None

@@ -316,3 +316,33 @@ def test_token_accuracy(spark):
     df = spark.createDataFrame([(0, [1, 2], [1, 3]), (0, [1, 1], [1, 1]), (1, [5], [5]), (1, [5], [4, 5])],
                                "batch_id int, pred_ids array<int>, labels array<int>")
     assert states.token_accuracy(df).first().token_accuracy == pytest.approx((3 / 4 + 1 / 3) / 2)
+
+
+def test_many_entities_and_slots_in_a_row(spark):
+    """Counts with repetition equal plain loops, and a row of 20,000 takes no quadratic time."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    rows = [([(rng.choice("abc"), rng.choice(["PS", "LC"])) for _ in range(rng.randint(0, 8))],
+             [(rng.choice("abcd"), rng.choice(["PS", "LC"])) for _ in range(rng.randint(0, 8))]) for _ in range(200)]
+    kind = "array<struct<word:string,tag:string>>"
+    df = spark.createDataFrame(rows, f"p {kind}, g {kind}")
+    got = df.select(tagging.correct_entities(F.col("p"), F.col("g")).alias("n")).collect()
+    assert [r.n for r in got] == [sum(dict(p).get(w) == t for w, t in g) for p, g in rows]
+    words = df.select(F.transform("g", lambda e: e["word"]).alias("gold"), F.transform("p", lambda e: e["word"]).alias("pred"))
+    slots = [([w for w, _ in g], [w for w, _ in p]) for p, g in rows]
+    for r, (gold, pred) in zip(words.select(states.slot_scores(F.col("gold"), F.col("pred")).alias("s")).collect(), slots):
+        if gold:
+            tp, fp = sum(w in pred for w in gold), sum(w not in gold for w in pred)
+            assert (r.s.recall, r.s.precision) == (tp / len(gold), tp / (tp + fp) if tp + fp else 0.0)
+        else:
+            assert r.s.f1 == float(not pred)
+    nulls = spark.createDataFrame([(["a", None], ["a", None])], "gold array<string>, pred array<string>")
+    assert nulls.select(states.slot_scores(F.col("gold"), F.col("pred")).alias("s")).first().s.recall == 0.5
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("w"))
+    started = time.time()
+    entities = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit("PS").alias("tag")))
+    row = many.select(tagging.correct_entities(entities, F.reverse(entities)).alias("n"), states.slot_scores(F.col("w"), F.reverse("w")).alias("s")).first()
+    assert row.n == 20000 and row.s.f1 == 1.0
+    assert time.time() - started < 20

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 import pytest
@@ -325,3 +326,53 @@ def test_retagging_searches_again(spark):
     assert found[0].t == "<가:PS> x<a:LC> ya"
     for r in found:
         assert r.t == plain_retag(r.s, r.e), (r.s, r.e)
+
+
+def test_nearest_label_of_a_table(spark):
+    """10,000 labels, against every distance computed."""
+    import duckdb
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(10000)]
+    preds = [names[0], None, "", "zzzzzzzzzzzzzzzzzz", "q" * 60, "a'b"]
+    for _ in range(150):
+        word = list(rng.choice(names))
+        for _ in range(rng.randint(1, 4)):
+            word.insert(rng.randint(0, len(word)), rng.choice("abx"))
+        preds.append("".join(word))
+    preds += [preds[-1]] * 40
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(preds)], "i long, p string")
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "label string, place long")
+    got = {r.i: r.c for r in labels.apply_correction(df, "p", table, "c").collect()}
+    base = duckdb.connect()
+    base.execute("CREATE TABLE n (label VARCHAR, place BIGINT)")
+    base.execute("CREATE TABLE p (p VARCHAR)")
+    base.executemany("INSERT INTO p VALUES (?)", [(p,) for p in {p for p in preds if p is not None}])
+    base.execute("INSERT INTO n SELECT unnest(?), unnest(range(10000))", [names])
+    expected = dict(base.execute("SELECT p, arg_min(label, levenshtein(p, label) * 100000 + place) FROM p, n GROUP BY p").fetchall())
+    assert got == {i: expected.get(p) for i, p in enumerate(preds)}
+    table = {r.label: (r.corrected, r.n) for r in labels.correction_map(df, "p", table).collect()}
+    wrong = {p for p in preds if p is not None} - set(names)
+    assert {p: c for p, (c, _) in table.items() if p is not None} == {p: expected[p] for p in wrong}
+    assert table[preds[-1]][1] == preds.count(preds[-1])
+
+
+def test_batches_by_length(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([3, 70, 70, 130, 900]) for _ in range(300)] + [0, 5000]
+    df = spark.createDataFrame([(f"k{i}", "x" * n, "y") for i, n in enumerate(sizes)] + [("null", None, "y")],
+                               "row_id string, input_text string, target_text string")
+    rows = tokens.pad_by_length(df, 2048).collect()
+    assert len(rows) == len(sizes) + 1
+    batches = {}
+    for r in rows:
+        batches.setdefault((r.bucket, r.batch_id), []).append(r)
+    for (bucket, _), batch in batches.items():
+        widths = {len(r.input_ids) for r in batch if r.input_ids is not None}
+        assert len(widths) <= 1 and all(w <= bucket for w in widths)
+        assert len(batch) * bucket <= 2048 or len(batch) == 1
+    full = {}
+    for (bucket, _), batch in batches.items():
+        full.setdefault(bucket, []).append(len(batch) == max(1, 2048 // bucket))
+    assert all(done.count(False) <= 2 for done in full.values())
+    assert {r.row_id: r.batch_id for r in rows} == {r.row_id: r.batch_id for r in tokens.pad_by_length(df.repartition(7), 2048).collect()}

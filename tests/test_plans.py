@@ -5,7 +5,8 @@ from textmill.functions import fixed_values as fv
 from textmill.plans import evaluate
 from textmill.plans.tasks import TASKS, assemble_splits, format_task, get_task, prepare
 from textmill.session import scratch_path
-from textmill.streaming.generate import read_line_stream, stream_generate
+from textmill.sources.lines import read_lines_indexed
+from textmill.streaming.generate import read_line_stream, read_predictions, stream_generate
 
 ANSWER = "array<struct<text:string,start_idx:int>>"
 PARSE = "index array<int>, word_form array<string>, lemma array<string>, pos array<string>, head array<int>, deprel array<string>"
@@ -128,3 +129,5 @@ def test_stream(spark):
     spark.range(3).select(F.lit("more").alias("v")).write.mode("append").text(source)
     stream_generate(read_line_stream(spark, source), load, sink, progress, drain=True).awaitTermination()
     assert spark.read.parquet(sink).count() == 23
+    keyed = read_predictions(spark, sink).join(read_lines_indexed(spark, source), ["file_path", "line_no"]).collect()
+    assert len(keyed) == 23 and all(r.value == r.input_text for r in keyed)

@@ -10,6 +10,9 @@ from ..functions.text import let
 
 LabelMap = dict | DataFrame | Callable[[Column], Column]
 
+#: Labels that a row of the exact comparison holds, and copies of a table that a join on few keys is spread over.
+LABEL_BLOCK, SPREAD = 512, 16
+
 
 def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
@@ -80,16 +83,75 @@ def count_labels(df: DataFrame, column: str) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def correction_map(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
-    """`label, corrected, n`: each distinct prediction that is not a label, with its nearest label."""
+def _deletions(text: Column, reach: int) -> Column:
+    """Hashes of the text and of all that is left of it when up to `reach` characters go."""
+    def shorter(word: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.overlay(word, F.lit(""), i, F.lit(1)))
+        return F.when(F.length(word) > 0, cuts).otherwise(F.array().cast("array<string>"))
+
+    found = level = F.array(text)
+    for _ in range(reach):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        found = F.concat(found, level)
+    return F.array_distinct(F.transform(found, lambda word: F.xxhash64(word)))
+
+
+def nearest_in_table(values: DataFrame, labels: DataFrame, reach: int = 2) -> DataFrame:
+    """`label, corrected`: each of the distinct `values` (one column) with its nearest label; nulls are left out.
+
+    `labels` holds `label, place`; the smallest place wins a tie. Two texts at a distance of at most `reach` become equal when each
+    loses at most that many characters, so values meet only labels with which they share such a rest, by an equi-join, and
+    the distance itself decides. Values without a label within reach are compared with all labels, in blocks of about
+    `LABEL_BLOCK`. Both ways are exact. The index takes about length ** reach / 2 keys for each label and value.
+    """
+    table = labels.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("place").alias("place"))
+    wanted = values.toDF("value").filter(F.col("value").isNotNull())
+    index = table.select("label", "place", F.explode(_deletions(F.col("label"), reach)).alias("key"))
+    scored = F.struct(F.levenshtein("value", "label").alias("distance"), F.col("place"), F.col("label"))
+    near = wanted.select("value", F.explode(_deletions(F.col("value"), reach)).alias("key")).join(index, "key").select(
+        "value", scored.alias("best")).groupBy("value").agg(F.min("best").alias("best")).filter(F.col("best.distance") <= reach)
+
+    n_blocks = max(1, table.count() // LABEL_BLOCK)
+    blocks = table.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("block")).agg(
+        F.collect_list(F.struct("label", "place")).alias("labels")).withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    far = wanted.join(near, "value", "left_anti").select(
+        "value", F.pmod(F.hash("value"), F.lit(SPREAD)).alias("spread"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    closest = let(F.col("value"), lambda value: F.array_min(F.transform("labels", lambda e: F.struct(
+        F.levenshtein(value, e["label"]).alias("distance"), e["place"].alias("place"), e["label"].alias("label")))))
+    compared = far.join(blocks, ["block", "spread"]).select("value", closest.alias("best")).groupBy("value").agg(
+        F.min("best").alias("best"))
+    return near.unionByName(compared).select(F.col("value").alias("label"), F.col("best.label").alias("corrected"))
+
+
+def correction_map(df: DataFrame, column: str, labels: Sequence[str] | DataFrame) -> DataFrame:
+    """`label, corrected, n`: each distinct prediction that is not a label, with its nearest label.
+
+    `labels` is a short list, or for thousands of labels a table `(label, place)`, which is indexed.
+    """
     distinct = count_labels(df, column)
+    if isinstance(labels, DataFrame):
+        wrong = distinct.join(labels.select("label"), "label", "left_anti")
+        return wrong.join(nearest_in_table(wrong.select("label"), labels), "label").select("label", "corrected", "n")
     return distinct.filter(~F.col("label").isin(list(labels))).select(
         "label", nearest_label(F.col("label"), labels).alias("corrected"), "n")
 
 
-def apply_correction(df: DataFrame, column: str, labels: Sequence[str], out: str | None = None) -> DataFrame:
-    """Replace every prediction by its nearest label, row by row."""
-    return df.withColumn(out or column, nearest_label(F.col(column), labels))
+def apply_correction(df: DataFrame, column: str, labels: Sequence[str] | DataFrame, out: str | None = None) -> DataFrame:
+    """Replace every prediction by its nearest label: row by row for a list, by way of the distinct predictions for a table.
+
+    The corrections of a table are joined back. Their copies are made after they are grouped, so a frequent prediction is spread over
+    `SPREAD` keys, and skew handling may split each of these. A null prediction stays null there.
+    """
+    out = out or column
+    if not isinstance(labels, DataFrame):
+        return df.withColumn(out, nearest_label(F.col(column), labels))
+    fixed = correction_map(df, column, labels).select(
+        F.col("label").alias("_wrong"), F.col("corrected").alias("_right"),
+        F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_copy"))
+    dealt = df.withColumn("_mine", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    joined = dealt.join(fixed, (F.col(column) == F.col("_wrong")) & (F.col("_mine") == F.col("_copy")), "left")
+    return joined.withColumn(out, F.coalesce("_right", F.col(column))).drop("_wrong", "_right", "_copy", "_mine")
 
 
 def lookup_label_id(df: DataFrame, column: str, labels: dict[str, int], out: str) -> DataFrame:

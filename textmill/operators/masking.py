@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import fixed_values as fv
+from ..functions.spans import mask_spans
 from ..functions.text import let, split_passage
 
-# A character that no text may use for interchange blocks the places already masked, at equal length.
-_BLOCKED = "\ufdd0"
 _CONTEXT = "array<struct<sent_no:int,sentence:string,entities:array<string>>>"
 
 
@@ -64,73 +65,48 @@ def round_robin(entities: Column, variant: Column, variants: int) -> Column:
     return F.filter(entities, lambda _, i: i % variants == variant)
 
 
-def mask_sentence(sentence: Column, entities: Column, first: Column, compat: bool = False) -> Column:
-    """`(text, target)`: each entity's first remaining occurrence becomes the sentinel of its number.
-
-    Places are found on a copy whose masked places are blocked, so an entity never matches inside a sentinel. An
-    entity that does not occur any more still takes a number and appears in the target.
-    """
-    def place(state: Column, surface: Column) -> Column:
-        size = F.length(surface)
+@F.pandas_udf(StructType().add("text", StringType()).add("target", StringType()))
+def _mask_each(sentences: pd.Series, entities: pd.Series, first: pd.Series, compat: pd.Series) -> pd.DataFrame:
+    rows = [mask_spans(s, [list(e)], int(n), "" if c else ">")[0] for s, e, n, c in zip(sentences, entities, first, compat)]
+    return pd.DataFrame(rows, columns=["text", "target"])
 
-        def cover(at: Column) -> Column:
-            covered = F.overlay(state["blocked"], F.repeat(F.lit(_BLOCKED), size), at, size)
-            span = F.struct(at.alias("at"), size.alias("size"), state["number"].alias("number"))
-            return F.struct(
-                F.when(at > 0, covered).otherwise(state["blocked"]).alias("blocked"),
-                F.when(at > 0, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-                (state["number"] + 1).alias("number"),
-                F.concat(state["target"], F.lit("<extra_id_"), state["number"].cast("string"), F.lit(">"), surface
-                         ).alias("target"))
 
-        return let(F.when(size > 0, F.position(surface, state["blocked"])).otherwise(0), cover)
-
-    def rebuild(state: Column) -> Column:
-        close = "" if compat else ">"
+def mask_sentence(sentence: Column, entities: Column, first: Column, compat: bool = False) -> Column:
+    """`(text, target)`: each entity's first remaining occurrence becomes the sentinel of its number, see `mask_spans`.
 
-        def write(out: Column, span: Column) -> Column:
-            return F.struct(
-                F.concat(out["text"], F.substr(sentence, out["next"], span["at"] - out["next"]),
-                         F.lit("<extra_id_"), span["number"].cast("string"), F.lit(close)).alias("text"),
-                (span["at"] + span["size"]).alias("next"))
+    Null where the sentence or the entities are null.
+    """
+    given = sentence.isNotNull() & entities.isNotNull()
+    none = F.array().cast("array<string>")
+    masked = _mask_each(F.coalesce(sentence, F.lit("")), F.coalesce(entities, none), first, F.lit(compat))
+    return F.when(given, masked)
 
-        text = F.aggregate(
-            F.sort_array(state["spans"]), F.struct(F.lit("").alias("text"), F.lit(1).alias("next")), write,
-            lambda out: F.concat(out["text"], F.substr(sentence, out["next"], F.length(sentence))))
-        return F.struct(text.alias("text"), state["target"].alias("target"))
 
-    start = F.struct(
-        sentence.alias("blocked"), F.array().cast("array<struct<at:int,size:int,number:int>>").alias("spans"),
-        first.alias("number"), F.lit("").alias("target"))
-    return F.aggregate(entities, start, place, rebuild)
+@F.pandas_udf(ArrayType(StructType().add("text", StringType()).add("label", StringType())))
+def _mask_variants(sentences: pd.Series, entities: pd.Series, variants: pd.Series, compat: pd.Series) -> pd.Series:
+    out = []
+    for texts, found, n, short in zip(sentences, entities, variants, compat):
+        numbers, parts = [0] * n, [([], []) for _ in range(n)]
+        for text, each in zip(texts, found):
+            chosen = [list(each[v::n]) for v in range(n)]
+            for v, (masked, target) in enumerate(mask_spans(text, chosen, numbers, "" if short else ">")):
+                parts[v][0].append(masked)
+                parts[v][1].append(target)
+                numbers[v] += len(chosen[v])
+        out.append([{"text": " ".join(t), "label": " ".join(labels)} for t, labels in parts])
+    return pd.Series(out, dtype=object)
 
 
 def mask_contexts(contexts: DataFrame, key: str = "doc_id", variants: int = fv.MASK_VARIANTS,
                   compat: bool = False) -> DataFrame:
     """`key, context_no, variant, text, label` from contexts of `(sent_no, sentence, entities)`.
 
-    Sentinel numbers run on through the sentences of a context.
+    Sentinel numbers run on through the sentences of a context. The places of the entities are found once for all variants.
     """
-    each = contexts.select(key, "context_no", "sentences",
-                           F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant"))
-
-    def add(state: Column, s: Column) -> Column:
-        def masked(mine: Column) -> Column:
-            unmasked = F.struct(s["sentence"].alias("text"), F.lit("").alias("target"))
-            pair = F.when(F.size(mine) == 0, unmasked).otherwise(
-                mask_sentence(s["sentence"], mine, state["number"], compat))
-            return let(pair, lambda p: F.struct(
-                F.array_append(state["texts"], p["text"]).alias("texts"),
-                F.array_append(state["labels"], p["target"]).alias("labels"),
-                (state["number"] + F.size(mine)).alias("number")))
-
-        return let(round_robin(s["entities"], F.col("variant"), variants), masked)
-
     none = F.array().cast("array<string>")
-    start = F.struct(none.alias("texts"), none.alias("labels"), F.lit(0).alias("number"))
-    done = F.aggregate("sentences", start, add, lambda s: F.struct(
-        F.array_join(s["texts"], " ").alias("text"), F.array_join(s["labels"], " ").alias("label")))
-    return each.select(key, "context_no", "variant", done.alias("_done")).select(
+    masked = _mask_variants(F.transform("sentences", lambda s: F.coalesce(s["sentence"], F.lit(""))),
+                            F.transform("sentences", lambda s: F.coalesce(s["entities"], none)), F.lit(variants), F.lit(compat))
+    return contexts.select(key, "context_no", F.posexplode(masked).alias("variant", "_done")).select(
         key, "context_no", "variant", "_done.text", "_done.label")
 
 

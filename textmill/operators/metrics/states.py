@@ -10,10 +10,8 @@ from ...functions.text import let
 def slot_scores(gold: Column, pred: Column) -> Column:
     """`(f1, recall, precision)` of two slot lists by membership; repeated slots count each time.
 
-    With no gold slot all three are 1 if nothing is predicted, and 0 otherwise.
+    With no gold slot all three are 1 if nothing is predicted, and 0 otherwise. A null slot is never equal to another.
     """
-    hits = F.size(F.filter(gold, lambda g: F.array_contains(pred, g)))
-    extra = F.size(F.filter(pred, lambda p: ~F.array_contains(gold, p)))
 
     def scores(n: Column) -> Column:
         precision = F.when(n["tp"] + n["fp"] > 0, n["tp"] / (n["tp"] + n["fp"])).otherwise(0.0)
@@ -21,9 +19,25 @@ def slot_scores(gold: Column, pred: Column) -> Column:
         f1 = F.when(n["tp"] > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
         return F.struct(f1.alias("f1"), recall.alias("recall"), precision.alias("precision"))
 
+    def side(slots: Column, is_gold: bool) -> Column:
+        return F.transform(slots, lambda s: F.struct(s.alias("slot"), F.lit(is_gold).alias("is_gold")))
+
+    def step(state: Column, s: Column) -> Column:
+        """The predictions of a slot come before its gold ones; `open` are those that no gold one has met yet."""
+        same = F.coalesce(state["slot"] == s["slot"], F.lit(False))
+        hit = s["is_gold"] & same
+        return F.struct(
+            F.when(s["is_gold"], state["slot"]).otherwise(s["slot"]).alias("slot"),
+            F.when(hit, 0).when(s["is_gold"], state["open"]).when(same, state["open"] + 1).otherwise(1).alias("open"),
+            (state["tp"] + F.when(hit, 1).otherwise(0)).alias("tp"),
+            (state["fp"] + F.when(hit, -state["open"]).when(s["is_gold"], 0).otherwise(1)).alias("fp"))
+
+    start = F.struct(F.lit(None).cast("string").alias("slot"), F.lit(0).alias("open"), F.lit(0).alias("tp"), F.lit(0).alias("fp"))
+    merged = F.aggregate(F.sort_array(F.concat(side(pred, False), side(gold, True))), start, step,
+                         lambda s: F.struct(s["tp"].alias("tp"), s["fp"].alias("fp")))
     blank = (F.size(pred) == 0).cast("double")
     return F.when(F.size(gold) == 0, F.struct(blank.alias("f1"), blank.alias("recall"), blank.alias("precision"))
-                  ).otherwise(let(F.struct(hits.alias("tp"), extra.alias("fp")), scores))
+                  ).otherwise(let(merged, scores))
 
 
 def dialogue_state_score(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -19,12 +19,24 @@ def parse_entities(line: Column) -> Column:
 
 
 def correct_entities(pred: Column, gold: Column) -> Column:
-    """Gold entities whose word the prediction tags alike; the last prediction of a word counts."""
-    def last_tag(word: Column) -> Column:
-        same = F.filter(pred, lambda p: p["word"] == word)
-        return F.get(same, F.size(same) - 1)["tag"]
-
-    return F.size(F.filter(gold, lambda g: last_tag(g["word"]) == g["tag"]))
+    """Gold entities whose word the prediction tags alike; the last prediction of a word counts.
+
+    One pass over both lists sorted by word, the predictions of a word in their order before its gold entities.
+    """
+    def side(entities: Column, is_gold: bool) -> Column:
+        return F.transform(entities, lambda e, i: F.struct(
+            e["word"].alias("word"), F.lit(is_gold).alias("is_gold"), i.alias("place"), e["tag"].alias("tag")))
+
+    def step(state: Column, e: Column) -> Column:
+        hit = e["is_gold"] & (state["word"] == e["word"]) & (state["tag"] == e["tag"])
+        return F.struct(
+            F.when(e["is_gold"], state["word"]).otherwise(e["word"]).alias("word"),
+            F.when(e["is_gold"], state["tag"]).otherwise(e["tag"]).alias("tag"),
+            (state["hits"] + F.when(hit, 1).otherwise(0)).alias("hits"))
+
+    none = F.lit(None).cast("string")
+    return F.aggregate(F.sort_array(F.concat(side(pred, False), side(gold, True))),
+                       F.struct(none.alias("word"), none.alias("tag"), F.lit(0).alias("hits")), step, lambda s: s["hits"])
 
 
 def entity_f1(df: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:

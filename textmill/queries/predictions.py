@@ -9,7 +9,8 @@ from ..functions.hashing import hash_bucket
 from ..operators import labels, prediction
 from ..operators.formatting import untag
 from ..session import scratch_path
-from ..streaming.generate import read_line_stream, stream_generate
+from ..sources.lines import read_lines_indexed
+from ..streaming.generate import read_line_stream, read_predictions, stream_generate
 from . import Registry, sql_hash, table, texts
 
 QUERIES = Registry()
@@ -55,6 +56,39 @@ def p3_apply_correction(spark, sf):
     return labels.apply_correction(mistyped_parts(spark, sf), "pred", TYPES, "corrected").select("p_partkey", "corrected")
 
 
+_NAME_TYPO_SQL = f"""
+SELECT c_custkey, CASE {sql_hash('c_custkey', 12)} % 48 WHEN 0 THEN substr(c_name, 2) WHEN 1 THEN c_name || '0' WHEN 2 THEN reverse(c_name)
+  WHEN 3 THEN 'K' || substr(c_name, 2, 8) || '9' || substr(c_name, 11) WHEN 4 THEN substr(c_name, 10) ELSE c_name END AS pred FROM customer"""
+_NAME_NEAREST_SQL = f"""
+SELECT pred, arg_min(c_name, levenshtein(pred, c_name) * 1000000000 + c_custkey) AS nearest
+FROM (SELECT DISTINCT pred FROM ({_NAME_TYPO_SQL}) WHERE pred NOT IN (SELECT c_name FROM customer)), customer GROUP BY pred"""
+
+
+def mistyped_names(spark, sf):
+    """Customer names, a tenth of them mistyped, some beyond any label's reach; and the table of all names as labels."""
+    customers = table(spark, sf, "customer")
+    name = F.col("c_name")
+    draw = hash_bucket(F.col("c_custkey"), 48, 12)
+    pred = (F.when(draw == 0, F.substr(name, F.lit(2))).when(draw == 1, F.concat(name, F.lit("0"))).when(draw == 2, F.reverse(name))
+            .when(draw == 3, F.concat(F.lit("K"), F.substring(name, 2, 8), F.lit("9"), F.substr(name, F.lit(11))))
+            .when(draw == 4, F.substr(name, F.lit(10))).otherwise(name))
+    return (customers.select("c_custkey", pred.alias("pred")),
+            customers.select(name.alias("label"), F.col("c_custkey").alias("place")))
+
+
+@QUERIES.add(f"SELECT pred AS label, nearest AS corrected, count(*) AS n FROM ({_NAME_TYPO_SQL}) JOIN ({_NAME_NEAREST_SQL}) USING (pred) GROUP BY ALL")
+def p2_correction_index(spark, sf):
+    """As many labels as customers, by an index."""
+    rows, names = mistyped_names(spark, sf)
+    return labels.correction_map(rows, "pred", names)
+
+
+@QUERIES.add(f"SELECT c_custkey, coalesce(nearest, pred) AS corrected FROM ({_NAME_TYPO_SQL}) LEFT JOIN ({_NAME_NEAREST_SQL}) USING (pred)")
+def p3_correction_index(spark, sf):
+    rows, names = mistyped_names(spark, sf)
+    return labels.apply_correction(rows, "pred", names, "corrected").select("c_custkey", "corrected")
+
+
 @QUERIES.add(f"""
 SELECT p_partkey, CASE WHEN list_contains({TYPES}, pred) THEN list_position({TYPES}, pred) - 1 END AS pred_id
 FROM ({_TYPO_SQL})""")
@@ -151,7 +185,20 @@ def p7_stream_generate(spark, sf):
     table(spark, sf, "conversations").select(_one_line(F.col("text"))).write.text(source)
     lines = read_line_stream(spark, source)
     stream_generate(lines, load_stub, sink, scratch_path(spark, "progress"), 16, drain=True).awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("input_text", "prediction")
+
+
+@QUERIES.add(rf"""
+SELECT replace(text, E'\n', '\n') AS gold, {_STUB_SQL} AS prediction
+FROM (SELECT *, trim(text) AS t FROM conversations)""")
+def p7_stream_aligned(spark, sf):
+    """Predictions of a stream, beside the lines of the same file and number read as a table."""
+    source, sink = scratch_path(spark, "lines"), scratch_path(spark, "scored")
+    table(spark, sf, "conversations").select(_one_line(F.col("text"))).write.text(source)
+    lines = read_line_stream(spark, source)
+    stream_generate(lines, load_stub, sink, scratch_path(spark, "progress"), 16, drain=True).awaitTermination()
+    golds = read_lines_indexed(spark, source).withColumnRenamed("value", "gold")
+    return read_predictions(spark, sink).join(golds, ["file_path", "line_no"]).select("gold", "prediction")
 
 
 _TAG_SQL = r"""SELECT item_id, regexp_replace(text, '([A-Z][a-z]+)', '<\1:PS>', 'g') AS tagged, text FROM benchmark"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import byte_ids as ids
 from ..operators import tokens
-from . import Registry, texts
+from . import Registry, sql_hash, texts
 
 QUERIES = Registry()
 
@@ -80,6 +80,21 @@ def t4_pad_to_multiple(spark, sf):
     return _padded(spark, sf, 8)
 
 
+@QUERIES.add(f"""
+WITH sized AS (SELECT doc_id, strlen(text) + 1 AS n, strlen(source) + 1 AS k,
+    (greatest(strlen(text), strlen(source)) + 1 + 63) // 64 * 64 AS bucket FROM documents),
+placed AS (SELECT *, row_number() OVER (ORDER BY bucket, {sql_hash('doc_id', 0)}, doc_id) - 1 AS place FROM sized),
+b AS (SELECT *, place // greatest(1, 16384 // bucket) AS batch_id FROM placed)
+SELECT doc_id, bucket::INT AS bucket, batch_id::BIGINT AS batch_id, (max(n) OVER w)::INT AS padded_input, n::INT AS n_input,
+  (max(k) OVER w)::INT AS padded_target FROM b WINDOW w AS (PARTITION BY bucket, batch_id)""")
+def t3_pad_by_length(spark, sf):
+    """Batches of like length within a budget of ids."""
+    rows = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("input_text"), F.col("source").alias("target_text"))
+    batches = tokens.pad_by_length(rows, 16384, order="doc_id")
+    return batches.select("doc_id", "bucket", "batch_id", F.size("input_ids").alias("padded_input"),
+                          F.size(F.filter("attention_mask", lambda m: m == 1)).alias("n_input"), F.size("labels").alias("padded_target"))
+
+
 @QUERIES.add("SELECT doc_id, text FROM documents")
 def t5_decode(spark, sf):
     """Encoding and decoding give the text back."""

@@ -49,6 +49,20 @@ def with_file_row_number(records: DataFrame) -> DataFrame:
     )
 
 
+def number_in_splits(rows: DataFrame, path: str, split: str, place: str) -> DataFrame:
+    """Add the 0-based `line_no` in its file to rows keyed by file, start of the split and a number that rises inside the split.
+
+    A split, which is at most `spark.sql.files.maxPartitionBytes` of a file, is ranked by itself; only its size meets those of the other
+    splits of the file.
+    """
+    key = [path, split]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(path).orderBy(split).rowsBetween(Window.unboundedPreceding, 0)
+    bases = sizes.select(*key, (F.sum("_rows").over(before) - F.col("_rows")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(place)) - 1
+    return rows.withColumn("_rank", rank).join(bases, key).withColumn("line_no", F.col("_base") + F.col("_rank")).drop("_base", "_rank")
+
+
 def read_lines_indexed(spark: SparkSession, paths: str | list[str], line_sep: str | None = None) -> DataFrame:
     """`file_path, line_no, row_id, value`: every line with its 0-based number in its file and in all files.
 
