@@ -139,3 +139,36 @@ def test_ngram_counts():
             ca, cb = (Counter(s[i:i + n] for i in range(len(s) - n + 1)) for s in (a, b))
             assert (p, r, m) == (sum(ca.values()), sum(cb.values()), sum((ca & cb).values()))
         assert len(counts) == 6
+
+
+def test_label_trie_finds_the_nearest_without_comparing_all():
+    import time
+
+    from textmill.functions.nearest import LabelTrie
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    many = "".join(chr(0xAC00 + i) for i in range(80)) + "\U0001F600x"
+    for letters in ("ab0", many) * 10:
+        names = list(dict.fromkeys("".join(rng.choices(letters, k=rng.randint(0, 8))) for _ in range(rng.randint(1, 150))))
+        values = ["", "z" * 14] + ["".join(rng.choices(letters + "q", k=rng.randint(0, 11))) for _ in range(20)]
+        bounds = [rng.choice([None, 1, 4]) for _ in values]
+        found = zip(*LabelTrie(names).nearest(values, bounds))
+        for value, bound, (far, place) in zip(values, bounds, found):
+            best = min((distance(value, name), i) for i, name in enumerate(names))
+            assert (far, place) == best if bound is None or best[0] <= bound else place == -1
+
+    # Names without any label nearby: all tie, or only one has the value as its end. 60 million distances otherwise.
+    names = [f"Customer#{i:09d}" for i in range(100000)]
+    start = time.perf_counter()
+    far, place = LabelTrie(names).nearest([n[::-1] for n in names[:300]] + [n[9:] for n in names[-300:]], [None] * 600)
+    assert time.perf_counter() - start < 20
+    assert set(far[300:]) == {9} and place[300:].tolist() == list(range(99700, 100000)) and max(far[:300]) <= 18

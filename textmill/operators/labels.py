@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.nearest import LabelTrie
 from ..functions.text import let
+from ..session import cut_lineage
 
 LabelMap = dict | DataFrame | Callable[[Column], Column]
 
-#: Labels that a row of the exact comparison holds, and copies of a table that a join on few keys is spread over.
-LABEL_BLOCK, SPREAD = 512, 16
+#: Characters of the labels in a block of the exact search, values searched in it at once, and copies of a table that a join on
+#: few keys is spread over.
+LABEL_BLOCK, VALUE_BLOCK, SPREAD = 1 << 22, 1 << 15, 16
 
 
 def literal_map(mapping: dict) -> Column:
@@ -96,32 +101,49 @@ def _deletions(text: Column, reach: int) -> Column:
     return F.array_distinct(F.transform(found, lambda word: F.xxhash64(word)))
 
 
-def nearest_in_table(values: DataFrame, labels: DataFrame, reach: int = 2) -> DataFrame:
+def nearest_in_table(values: DataFrame, labels: DataFrame, reach: int = 1) -> DataFrame:
     """`label, corrected`: each of the distinct `values` (one column) with its nearest label; nulls are left out.
 
     `labels` holds `label, place`; the smallest place wins a tie. Two texts at a distance of at most `reach` become equal when each
     loses at most that many characters, so values meet only labels with which they share such a rest, by an equi-join, and
-    the distance itself decides. Values without a label within reach are compared with all labels, in blocks of about
-    `LABEL_BLOCK`. Both ways are exact. The index takes about length ** reach / 2 keys for each label and value.
+    the distance itself decides. Values without a label within reach are searched in tries of blocks of labels of about
+    `LABEL_BLOCK` characters. Both ways are exact. The index takes about length ** reach keys for each label and value.
     """
     table = labels.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("place").alias("place"))
     wanted = values.toDF("value").filter(F.col("value").isNotNull())
     index = table.select("label", "place", F.explode(_deletions(F.col("label"), reach)).alias("key"))
     scored = F.struct(F.levenshtein("value", "label").alias("distance"), F.col("place"), F.col("label"))
-    near = wanted.select("value", F.explode(_deletions(F.col("value"), reach)).alias("key")).join(index, "key").select(
-        "value", scored.alias("best")).groupBy("value").agg(F.min("best").alias("best")).filter(F.col("best.distance") <= reach)
-
-    n_blocks = max(1, table.count() // LABEL_BLOCK)
-    blocks = table.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("block")).agg(
-        F.collect_list(F.struct("label", "place")).alias("labels")).withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    far = wanted.join(near, "value", "left_anti").select(
-        "value", F.pmod(F.hash("value"), F.lit(SPREAD)).alias("spread"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    closest = let(F.col("value"), lambda value: F.array_min(F.transform("labels", lambda e: F.struct(
-        F.levenshtein(value, e["label"]).alias("distance"), e["place"].alias("place"), e["label"].alias("label")))))
-    compared = far.join(blocks, ["block", "spread"]).select("value", closest.alias("best")).groupBy("value").agg(
-        F.min("best").alias("best"))
-    return near.unionByName(compared).select(F.col("value").alias("label"), F.col("best.label").alias("corrected"))
+    met = wanted.select("value", F.explode(_deletions(F.col("value"), reach)).alias("key")).join(index, "key").select(
+        "value", scored.alias("best")).groupBy("value").agg(F.min("best").alias("best"))
+    within = F.col("best.distance") <= reach
+    found = cut_lineage(wanted.join(met, "value", "left"))
+    near, far = found.filter(within), found.filter(~F.coalesce(within, F.lit(False)))
+
+    n_chars, n_far = table.agg(F.sum(F.length("label") + 1)).first()[0] or 0, far.count()
+    n_blocks, spread = n_chars // LABEL_BLOCK + 1, max(SPREAD, n_far // VALUE_BLOCK + 1)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    blocks = table.select("label", "place", F.pmod(F.xxhash64("label"), F.lit(n_blocks)).cast("int").alias("block"), copies.alias("spread"))
+    dealt = far.select("value", F.col("best.distance").alias("bound"), F.pmod(F.hash("value"), F.lit(spread)).alias("spread"),
+                       F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    left, right = (df.repartition(n_blocks * spread, "block", "spread").groupBy("block", "spread") for df in (dealt, blocks))
+    place = labels.schema["place"].dataType.simpleString()
+    compared = left.cogroup(right).applyInArrow(_nearest_in_block, f"value string, best struct<distance:int,place:{place},label:string>")
+    return near.unionByName(compared.groupBy("value").agg(F.min("best").alias("best"))).select(
+        F.col("value").alias("label"), F.col("best.label").alias("corrected"))
+
+
+def _nearest_in_block(values: pa.Table, labels: pa.Table) -> pa.Table:
+    """`value, best` for the values that have a label within their bound in the block."""
+    values, labels = values.select(["value", "bound"]), labels.select(["label", "place"]).sort_by([("place", "ascending"), ("label", "ascending")])
+    if len(values) and len(labels):
+        distances, ranks = LabelTrie(labels["label"].to_pylist()).nearest(values["value"].to_pylist(), values["bound"].to_pylist())
+    else:
+        distances, ranks = np.zeros(len(values), dtype=np.int64), np.full(len(values), -1)
+    hits = np.flatnonzero(ranks >= 0)
+    chosen = labels.take(ranks[hits])
+    best = pa.StructArray.from_arrays([pa.array(distances[hits].astype(np.int32)), chosen["place"].combine_chunks(),
+                                       chosen["label"].combine_chunks()], ["distance", "place", "label"])
+    return pa.table({"value": values["value"].take(hits), "best": best})
 
 
 def correction_map(df: DataFrame, column: str, labels: Sequence[str] | DataFrame) -> DataFrame:
