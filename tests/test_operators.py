@@ -376,3 +376,16 @@ def test_batches_by_length(spark):
         full.setdefault(bucket, []).append(len(batch) == max(1, 2048 // bucket))
     assert all(done.count(False) <= 2 for done in full.values())
     assert {r.row_id: r.batch_id for r in rows} == {r.row_id: r.batch_id for r in tokens.pad_by_length(df.repartition(7), 2048).collect()}
+
+
+def test_length_quantiles_are_exact(spark):
+    """More lengths than a sketch of 10,000 tells apart, and rows without text."""
+    rows = spark.range(400000).selectExpr("id % 2 as g", "if(id % 10 = 7, null, repeat('a', cast(id % 30011 as int))) as t")
+    got = {r.g: r for r in tokens.length_profile(rows, "t", ["g"], (0.0, 0.5, 0.55, 0.99, 1.0)).collect()}
+    for group in (0, 1):
+        lengths = sorted(i % 30011 + 1 for i in range(group, 400000, 2) if i % 10 != 7)
+        places = [max(1, -(-len(lengths) * percent // 100)) - 1 for percent in (0, 50, 55, 99, 100)]
+        assert got[group].quantiles == [lengths[i] for i in places]
+        assert (got[group].n_rows, got[group].max_length, got[group].sum_length) == (200000, lengths[-1], sum(lengths))
+    empty = tokens.length_profile(rows.limit(0), "t").first()
+    assert (empty.n_rows, empty.max_length, empty.quantiles) == (0, None, [None] * 3)

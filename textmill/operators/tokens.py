@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
@@ -75,8 +77,17 @@ def _padded(sized: DataFrame, keys: list[str], max_len: int | None, multiple: in
 
 def length_profile(df: DataFrame, column: str, by: list[str] | None = None,
                    quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Row count, largest and summed encoded length, and approximate quantiles; used to choose a length limit."""
-    size = encoded_length(F.col(column))
-    return df.groupBy(*(by or [])).agg(
-        F.count("*").alias("n_rows"), F.max(size).alias("max_length"), F.sum(size).alias("sum_length"),
-        F.percentile_approx(size, list(quantiles), 10000).alias("quantiles"))
+    """Row count, largest and summed encoded length, and exact quantiles; used to choose a length limit.
+
+    A quantile is the least length that at least this share of the lengths does not exceed. Rows are counted by length first, so what
+    is ordered are the distinct lengths of a group. Rows without text count as rows only.
+    """
+    keys, length = by or [], F.col("_length")
+    sizes = df.groupBy(*keys, encoded_length(F.col(column)).alias("_length")).agg(F.count("*").alias("_n"))
+    sized = F.sum(F.when(length.isNotNull(), F.col("_n")).otherwise(0))
+    group = Window.partitionBy(*keys)
+    ranked = sizes.withColumns({"_upto": sized.over(group.orderBy("_length")), "_all": sized.over(group)})
+    least = [F.min(F.when(F.col("_upto") >= F.ceil(F.lit(Decimal(str(q))) * F.col("_all")), length)) for q in quantiles]
+    return ranked.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.max(length).alias("max_length"),
+        F.sum(length * F.col("_n")).alias("sum_length"), F.array(*least).alias("quantiles"))
