@@ -172,3 +172,27 @@ def test_label_trie_finds_the_nearest_without_comparing_all():
     far, place = LabelTrie(names).nearest([n[::-1] for n in names[:300]] + [n[9:] for n in names[-300:]], [None] * 600)
     assert time.perf_counter() - start < 20
     assert set(far[300:]) == {9} and place[300:].tolist() == list(range(99700, 100000)) and max(far[:300]) <= 18
+
+
+def test_longest_runs_of_long_texts():
+    """Whole documents at a time, exactly, also where hashes of windows meet for different texts."""
+    import time
+
+    rng = random.Random(6)
+    for letters in ("a", "ab", "가나다\U0001F600x") * 8:
+        size = overlap.AUTOMATON_CHARS + rng.randint(1, 200)
+        text, other = "".join(rng.choices(letters, k=size)), "".join(rng.choices(letters, k=rng.randint(0, 300)))
+        other = other[:40] + text[rng.randint(0, 99):rng.randint(100, size)] + other[40:]
+        automaton = overlap.SuffixAutomaton(text)
+        assert overlap.longest_runs(text, [other, other[::-1]]) == [automaton.longest_run(other), automaton.longest_run(other[::-1])]
+    # A Thue-Morse word and its complement: window hashes modulo a power of two are equal though the texts are not.
+    word = "0"
+    for _ in range(12):
+        word += word.translate({48: 49, 49: 48})
+    other = word.translate({48: 49, 49: 48})
+    assert overlap.longest_runs(word, [other]) == [overlap.longest_common_run(word, other)]
+    text = "".join(rng.choices("abcdefghij ", k=30_000))
+    start = time.perf_counter()
+    for _ in range(30):
+        assert overlap.longest_runs(text[10_000:] + "|" + text[:10_000], [text]) == [20_000]
+    assert time.perf_counter() - start < 1.5

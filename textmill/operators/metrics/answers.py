@@ -17,7 +17,8 @@ NORMALIZERS = {"reading": normalize_reading_answer, "question": normalize_questi
 def common_runs(pred: pd.Series, golds: pd.Series) -> pd.Series:
     """For each gold answer the length of the longest contiguous text that the prediction shares with it, texts of any length.
 
-    The prediction becomes one suffix automaton, so a row takes time in proportion to its texts. Null texts have no length.
+    A short prediction becomes a suffix automaton, a long one hashes of its windows: a row takes time near-linear in its texts. Null
+    texts have no length.
     """
     return pd.Series([None if p is None or gs is None else longest_runs(p, gs) for p, gs in zip(pred, golds)], dtype=object)
 
