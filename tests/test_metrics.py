@@ -346,3 +346,34 @@ def test_many_entities_and_slots_in_a_row(spark):
     row = many.select(tagging.correct_entities(entities, F.reverse(entities)).alias("n"), states.slot_scores(F.col("w"), F.reverse("w")).alias("s")).first()
     assert row.n == 20000 and row.s.f1 == 1.0
     assert time.time() - started < 20
+
+
+def test_summary_block_traces_only_what_can_count(monkeypatch):
+    import random
+    from collections import Counter
+
+    from textmill.functions import overlap as sequences
+    from textmill.operators.metrics import overlap as scores
+
+    rng = random.Random(8)
+    for _ in range(300):
+        pred, gold = ([" ".join(rng.choices("abcdef", k=rng.randint(0, 6))) for _ in range(rng.randint(0, 8))] for _ in range(2))
+        gold = gold + rng.sample(pred, len(pred) // 2)
+        index = sequences.SentenceIndex(scores._sentences("\n".join(pred), "whitespace"))
+        used = Counter()
+        for sentence in (g.split() for g in gold):
+            covered = set().union(*(sequences._lcs_positions(sentence, p) for p in index.sentences))
+            used.update(range(0) if tuple(sentence) in index.known else (sentence[i] for i in covered))
+            used.update(sentence if tuple(sentence) in index.known else [])
+        assert scores._summary_block(index, gold, True, True, "whitespace")["hits"][0]["used"] == sum((used & index.counts).values())
+        many = {h["token"]: min(h["used"], h["held"]) for h in scores._summary_block(index, gold, True, False, "whitespace")["hits"]}
+        assert {t: n for t, n in many.items() if n} == dict(used & index.counts)
+
+    # Two of three lines are in the prediction: they use up all its tokens, so the third is traced against none.
+    traced = []
+    trace = sequences._lcs_positions
+    monkeypatch.setattr(sequences, "_lcs_positions", lambda *a: traced.append(a) or trace(*a))
+    gold = [" ".join(rng.choices("abcdefghij", k=12)) for _ in range(60)]
+    kept = [line for i, line in enumerate(gold) if (i + 1) % 3]
+    scores._summary_block(sequences.SentenceIndex([k.split() for k in kept]), gold, True, True, "whitespace")
+    assert not traced

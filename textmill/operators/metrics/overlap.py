@@ -132,8 +132,9 @@ _SUMMARY_BLOCK = ("struct<n_pred: bigint, n_gold: bigint, "
 def _summary_block(index: SentenceIndex, gold: Sequence[str], first: bool, only: bool, tokenizer: str) -> dict:
     sentences = [t for t in (_tokenize(line, tokenizer) for line in gold) if t]
     used: Counter = Counter()
-    for sentence in sentences:
-        used.update(index.union(sentence))
+    # Sentences that the prediction has cost nothing and may use up what it holds of a token: then none of its places need be traced.
+    for sentence in sorted(sentences, key=lambda s: tuple(s) not in index.known):
+        used.update(index.union(sentence, used))
     if only:
         same = sum((used & index.counts).values())
         hits = [{"token": None, "used": same, "held": same}]
