@@ -371,3 +371,17 @@ def test_scores_edges(spark):
     untrained = {r["doc_id"]: r for r in scoring.score_texts(docs, F.lit(False)).collect()}
     assert untrained[4]["score"] == pytest.approx(2 * np.log10(1 / 256), rel=1e-4) and untrained[4]["base_score"] == 0 and untrained[4]["n_known"] == 0
     assert scoring.score_texts(frame(spark, []), F.lit(True)).collect() == []
+
+
+def test_suffix_order_of_a_large_group_reads_words():
+    import time
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 120_000).astype(np.uint8) * 255
+    items, group = np.arange(len(data) - 50), np.repeat([4, 9], [50_000, len(data) - 50 - 50_000])
+    start = time.process_time()
+    order, equal = passages.suffix_order(data, items, group, 50)
+    assert time.process_time() - start < 1
+    strings = [(int(g), data[i:i + 50].tobytes()) for g, i in zip(group, items)]
+    assert order.tolist() == sorted(range(len(items)), key=strings.__getitem__)
+    assert equal.tolist() == [False, *(strings[a] == strings[b] for a, b in zip(order[1:], order[:-1]))]

@@ -1,4 +1,4 @@
-"""Repeated passages: bytes covered by strings that a document of a smaller id also holds, by a hash-compared suffix sort."""
+"""Repeated passages: bytes covered by strings that a document of a smaller id also holds, by a suffix sort."""
 
 from __future__ import annotations
 
@@ -95,67 +95,23 @@ def text_anchors(texts: list[bytes], length: int):
 def suffix_order(data: np.ndarray, items: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at `items` within their groups by their first `length` bytes, and which equal the one before.
 
-    `group` must be sorted. A mergesort from the bottom, all merges of a pass at once: each suffix finds its place in the
-    neighbouring run by binary search. Two suffixes are compared by their common extension, itself found by binary search over prefix
-    hashes, and the byte after it. Neighbours that are equal by hash are verified byte by byte; a group with a
-    collision is sorted by its bytes.
+    `group` must be sorted. Suffixes are read as words of eight bytes, the first byte highest, and sorted by one word after the other,
+    the last first, so nothing is compared but the bytes themselves.
     """
-    prefix = PrefixHash(data)
-    order = np.arange(len(items))
-    begin = np.searchsorted(group, group, side="left")
-    size = np.searchsorted(group, group, side="right") - begin
-
-    def after(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts after b, or is equal where `equal` counts."""
-        pa_, pb = items[a], items[b]
-        same = prefix(pa_, length) == prefix(pb, length)
-        out = same & equal
-        rest = np.flatnonzero(~same)
-        if len(rest):
-            x, y = pa_[rest], pb[rest]
-            low, high = np.zeros(len(rest), np.int64), np.full(len(rest), length - 1)
-            while (low < high).any():
-                middle = (low + high + 1) >> 1
-                extends = prefix(x, middle) == prefix(y, middle)
-                low, high = np.where(extends, middle, low), np.where(extends, high, middle - 1)
-            out[rest] = data[x + low] > data[y + low]
-        return out
-
-    width, most = 1, int(size.max(initial=1))
-    while width < most:
-        active = np.flatnonzero(size > width)
-        place = active - begin[active]
-        run = place // width
-        other = begin[active] + np.where(run % 2 == 0, run + 1, run - 1) * width
-        low, high = np.zeros(len(active), np.int64), np.clip(begin[active] + size[active] - other, 0, width)
-        left = run % 2 == 0  # elements of the left run come before equals of the right one
-        searching = np.flatnonzero(low < high)
-        while len(searching):
-            middle = (low[searching] + high[searching]) >> 1
-            goes_on = after(order[active[searching]], order[other[searching] + middle], ~left[searching])
-            low[searching] = np.where(goes_on, middle + 1, low[searching])
-            high[searching] = np.where(goes_on, high[searching], middle)
-            searching = searching[low[searching] < high[searching]]
-        target = begin[active] + (run - run % 2) * width + place % width + low
-        moved = order.copy()
-        moved[target] = order[active]
-        order = moved
-        width *= 2
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        eight |= padded[k:k + len(data) + 1] << np.uint64(56 - 8 * k)
+    words = []
+    for at in range(0, length, 8):
+        word = eight[items + at]
+        words.append(word >> np.uint64(8 * (at + 8 - length)) if at + 8 > length else word)
+    order = np.lexsort([*words[::-1], group])
     equal = np.zeros(len(items), bool)
-    near = np.flatnonzero(group[1:] == group[:-1]) + 1
-    x, y = items[order[near]], items[order[near - 1]]
-    same = prefix(x, length) == prefix(y, length)
-    span = np.arange(length)
-    truly = np.zeros(len(near), bool)
-    for part in np.array_split(np.flatnonzero(same), max(1, int(same.sum()) // CHUNK * 8)):
-        truly[part] = (data[x[part][:, None] + span] == data[y[part][:, None] + span]).all(axis=1)
-    equal[near] = truly
-    for g in np.unique(begin[near[same & ~truly]]):
-        own = slice(g, g + size[g])
-        strings = [data[items[i]:items[i] + length].tobytes() for i in order[own]]
-        by_bytes = sorted(range(len(strings)), key=strings.__getitem__)
-        order[own] = order[own][by_bytes]
-        equal[g + 1:g + size[g]] = [strings[by_bytes[i]] == strings[by_bytes[i - 1]] for i in range(1, len(strings))]
+    equal[1:] = group[1:] == group[:-1]
+    for word in words:
+        own = word[order]
+        equal[1:] &= own[1:] == own[:-1]
     return order, equal
 
 
