@@ -103,6 +103,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_links_need_no_shuffle(spark, monkeypatch):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
+    label = closure({x for p in links for x in p}, links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    rounds = []
+    whole = components._step
+    monkeypatch.setattr(components, "_step", lambda edges: rounds.append(1) or whole(edges))
+    monkeypatch.setattr(components, "_stars", lambda edges, stars=components._stars: rounds.append(1) or stars(edges))
+    assert {r["vertex"]: r["component"] for r in components.components(df).collect()} == {v: c for v, c in label.items() if v != c}
+    assert not rounds
+    # More links than a task takes are put together in rounds.
+    monkeypatch.setattr(components, "FOLD", 40)
+    assert {r["vertex"]: r["component"] for r in components.components(df).collect()} == {v: c for v, c in label.items() if v != c}
+    assert rounds
+
+
 def test_line_dedup(spark):
     rows = [*ODD, (5, "a repeated line here\nown first line\n A REPEATED line here\t\nshort", "s"), (6, "a repeated line here\nshort\nés repeated line É\n", "s"),
             (7, "és repeated line É\nÉs repeated line É\n" + "\n" * 5000, "s"), (8, "own line twice\nown line twice", "s")]

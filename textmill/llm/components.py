@@ -1,4 +1,4 @@
-"""Connected components: union-find inside each partition, then star contraction across partitions."""
+"""Connected components: union-find inside each partition, then over partitions put together, then star contraction."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 EDGES = "hi long, lo long"
+#: Edges that are put together in one task, about.
+FOLD = 1 << 20
 
 
 def forest(ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +64,28 @@ def _step(edges: DataFrame) -> DataFrame:
     return small.union(least.select("u", "m")).where("hi <> lo").distinct()
 
 
+def _folded(edges: DataFrame) -> DataFrame:
+    return stored(edges.mapInArrow(_united, EDGES), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex, component for every linked vertex that is not the smallest of its component.
 
     `links` has two long columns. A component is named by its smallest vertex. Self-links, repeated links and links with
-    a null end change nothing; no links give no rows. Each round is a few joins and map-side combined aggregations over
-    the links that are left, and the number of rounds grows with the logarithm of the longest chain.
+    a null end change nothing; no links give no rows. The forests of the partitions are put together without a shuffle, up to
+    `FOLD` edges in a task; as many edges or fewer are one forest then. If more are left, and putting them together leaves over
+    half of them, a round of star contraction follows: a few joins and map-side combined aggregations over the links that are left.
+    The number of rounds grows with the logarithm of the longest chain.
     """
     a, b = (F.col(c) for c in links.columns[:2])
-    edges = links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    edges = stored(edges.mapInArrow(_united, EDGES).distinct(), "links")
-    while not _stars(edges):
-        edges = stored(_step(edges).mapInArrow(_united, EDGES).distinct(), "links")
+    edges = _folded(links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")))
+    while (count := edges.count()) > FOLD:
+        edges = _folded(edges.coalesce(-(-count // FOLD)))
+        if edges.count() * 2 > count:
+            if _stars(edges):
+                break
+            edges = _folded(_step(edges))
+    else:
+        if count:
+            edges = _folded(edges.coalesce(1))
     return edges.select(F.col("hi").alias("vertex"), F.col("lo").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key")
         .agg(F.min(F.struct("id", "n_shingles", "sketch_1", "sketch_2", "bands")).alias("r")).select("set_key", "r.*"), "classes")
     named = classes.select("set_key", F.col("id").alias("first_id"))
-    for merged in _merges(texts, classes, percent, width):
-        named = named.join(merged, F.col("first_id") == F.col("vertex"), "left")
+    if rounds := list(_merges(texts, classes, percent, width)):
+        named = named.join(components(reduce(DataFrame.union, rounds)), F.col("first_id") == F.col("vertex"), "left")
         named = named.select("set_key", F.coalesce("component", "first_id").alias("first_id"))
     result = prints.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("first_id")).otherwise(F.col("id"))
@@ -180,30 +181,34 @@ def _merges(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> I
         if not current.count():
             return
         if not turn:
-            current = stored(_with_bounds(current, chosen, classes, sets), "bounded")
+            own = stored(sets.join(current.select("id").distinct(), "id", "left_semi"), "open-sets")
+            current = stored(_with_bounds(current, chosen, classes, sets, own), "bounded")
+            sets = own
         turn += 1
 
 
-def _with_bounds(members: DataFrame, origins: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of open buckets with all their bands and two counts that bound what two members have in common.
+def _with_bounds(members: DataFrame, origins: DataFrame, classes: DataFrame, sets: DataFrame, own: DataFrame) -> DataFrame:
+    """The members of open buckets, of which `own` has the sets, with all their bands and two counts that bound what two members
+    have in common.
 
     Only shingles that another member holds count. `inside` of them lie in the set of the bucket's first pivot, `outside`
     do not. Two members share at most the lesser inside and the lesser outside count, which rules out most pairs of
     loose copies of one text.
     """
-    ids = members.select("id").distinct()
-    own = stored(sets.join(ids, "id", "left_semi"), "open-sets")
-    single = (own.select("id", F.explode("shingles").alias("s")).distinct()
-              .groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-              .groupBy("id").agg(F.collect_list("s").alias("single")))
-    none = F.array().cast("array<long>")
-    held = own.join(single, "id", "left").select("id", F.array_except("shingles", F.coalesce("single", none)).alias("held"))
+    # A shingle is held by one member exactly if the smallest and the largest id that hold it are the same.
+    single = (own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+              .where("id = last").groupBy("id").agg(F.collect_list("s").alias("single")))
     placed = members.drop("inside", "outside", "bands").join(origins.select("band", F.col("id").alias("origin")), "band")
+    # Both sides of the next joins are dealt by id.
+    visits = placed.groupBy("id").agg(F.collect_set("origin").alias("origins"))
+    none = F.array().cast("array<long>")
+    held = (own.join(visits, "id").join(classes.select("id", "bands"), "id").join(single, "id", "left")
+            .select("id", "bands", F.explode("origins").alias("origin"), F.array_except("shingles", F.coalesce("single", none)).alias("held")))
     base = sets.select(F.col("id").alias("origin"), F.col("shingles").alias("base"))
-    met = (placed.select("id", "origin").distinct().join(held, "id").join(base, "origin")
-           .select("id", "origin", F.size(F.array_intersect("held", "base")).alias("inside"), F.size("held").alias("total"))
-           .select("id", "origin", "inside", (F.col("total") - F.col("inside")).alias("outside")))
-    return placed.join(met, ["id", "origin"]).join(classes.select("id", "bands"), "id").drop("origin")
+    met = (held.join(base, "origin")
+           .select("id", "origin", "bands", F.size(F.array_intersect("held", "base")).alias("inside"), F.size("held").alias("total"))
+           .select("id", "origin", "inside", (F.col("total") - F.col("inside")).alias("outside"), "bands"))
+    return placed.join(met, ["id", "origin"]).drop("origin")
 
 
 def _candidates(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
