@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -286,6 +287,19 @@ def test_long_pieces_and_few_states(codec, library):
         assert small.encode(text.encode()) == codec.transducer.encode(text.encode())
 
 
+def test_states_are_kept_small(codec):
+    own = bpe.Transducer(codec.transducer.ranks)
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(12)).encode() for _ in range(3000)]
+    tracemalloc.start()
+    try:
+        for piece in pieces:
+            own.encode(piece)
+        assert tracemalloc.get_traced_memory()[0] < 500 * len(own.states)
+    finally:
+        tracemalloc.stop()
+
+
 def test_decoding_broken_bytes(codec):
     names = codec.transducer.names
     byte = {v: k for k, v in names.items() if len(v) == 1}

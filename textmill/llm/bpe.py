@@ -62,11 +62,15 @@ class Transducer:
 
     def _reset(self) -> None:
         # A state: for each place where a token may still begin, the farthest first, the node of the tree that the bytes
-        # since lead to and the token before the place, -1 at the beginning. The last place is the end of what was read.
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.numbers: dict[tuple[tuple[int, int], ...], int] = {self.states[0]: 0}
-        # 256 * state + byte to (256 * next state, last token of the prefix).
-        self.moves: dict[int, tuple[int, int]] = {}
+        # since lead to and the token before the place plus one, 0 at the beginning. The last place is the end of what was read.
+        # A place is one number, and a state's places are packed, as hundreds of thousands of states are kept.
+        self.states: list[bytes] = [array.array("q", [0]).tobytes()]
+        # Of each state the last token of the prefix.
+        self.ends: list[int] = [-1]
+        # A state to 256 * its number. The numbers in `moves` are these same objects.
+        self.numbers: dict[bytes, int] = {self.states[0]: 0}
+        # 256 * state + byte to 256 * next state.
+        self.moves: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
@@ -123,38 +127,40 @@ class Transducer:
         self.pairs[key] = found
         return found
 
-    def _advance(self, number: int, byte: int) -> tuple[int, int]:
+    def _advance(self, number: int, byte: int) -> int:
         tree, token_at, grows = self.tree, self.token_at, self.grows
-        made, alive = None, []
-        for node, left in self.states[number]:
-            node = tree.get(node << 8 | byte)
+        made, alive = None, array.array("q")
+        for place in memoryview(self.states[number]).cast("q"):
+            node = tree.get(place >> 32 << 8 | byte)
             if node is None:
                 continue
+            left = (place & 0xFFFFFFFF) - 1
             if made is None:
                 token = token_at.get(node)
                 if token is not None and (self.sizes[token] == 1 or self._halves(token)) and (left < 0 or self._fits(left, token)):
                     made = token
             if node in grows:
-                alive.append((node, left))
+                alive.append(node << 32 | left + 1)
         if made is None:
             raise ValueError(f"no token for the byte {byte}")
-        alive.append((0, made))
-        key = tuple(alive)
+        alive.append(made + 1)
+        key = alive.tobytes()
         target = self.numbers.get(key)
         if target is None:
-            if len(self.states) >= self.max_states:  # forget all states; the run goes on from the new one
+            full = len(self.states) >= self.max_states
+            if full:  # forget all states; the run goes on from the new one
                 self._reset()
-                target = self.numbers[key] = len(self.states)
-                self.states.append(key)
-                return target << 8, made
-            target = self.numbers[key] = len(self.states)
+            target = self.numbers[key] = len(self.states) << 8
             self.states.append(key)
-        self.moves[number << 8 | byte] = move = (target << 8, made)
-        return move
+            self.ends.append(made)
+            if full:
+                return target
+        self.moves[number << 8 | byte] = target
+        return target
 
     def _settled(self, chain: list[int], number: int) -> int:
         """How many of the bytes read have an encoding that no later byte can change."""
-        places = [len(chain) - self.depth[node] for node, _ in self.states[number]]
+        places = [len(chain) - self.depth[place >> 32] for place in memoryview(self.states[number]).cast("q")]
         shared = places[0]
         for place in places[1:]:
             while place != shared:
@@ -180,15 +186,19 @@ class Transducer:
     def _read(self, data: bytes, at: int) -> tuple[list[int], int]:
         """The last token of each prefix of `data` read from state at / 256, and the state reached."""
         chain: list[int] = []
-        add = chain.append
-        moves = self.moves
+        reached: list[int] = []
+        add, moves, ends = reached.append, self.moves, self.ends
         for byte in data:
             move = moves.get(at | byte)
             if move is None:
                 move = self._advance(at >> 8, byte)
-                moves = self.moves
-            at, made = move
-            add(made)
+                if moves is not self.moves:  # the states were forgotten
+                    chain += [ends[x >> 8] for x in reached]
+                    reached.clear()
+                    moves, ends = self.moves, self.ends
+            at = move
+            add(at)
+        chain += [ends[x >> 8] for x in reached]
         return chain, at
 
     def stream(self, data: bytes) -> Iterator[list[int]]:
@@ -272,19 +282,19 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.decoder = StreamDecoder(self.transducer.names)
         self.pieces_of = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> array.array:
         known, out = self.known, array.array("I")
         for piece in self.pieces_of(text):
             ids = known.get(piece)
             if ids is None:
-                ids = tuple(self.transducer.encode(piece.encode("utf-8")))
+                ids = array.array("I", self.transducer.encode(piece.encode("utf-8"))).tobytes()
                 if len(piece) <= 64:
                     if len(known) >= MAX_PIECES:
                         known.clear()
                     known[piece] = ids
-            out.extend(ids)
+            out.frombytes(ids)
         return out
 
 
