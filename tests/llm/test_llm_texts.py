@@ -95,6 +95,17 @@ def test_super_minhash_estimates_similarity():
     assert (minhash.super_minhash([small], slots)[0] == expected).all()
 
 
+def test_super_minhash_holds_few_permutations():
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        minhash.super_minhash(sets, 200)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]

@@ -15,7 +15,8 @@ from .components import components
 
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW32, SHIFT32 = np.uint64(0xFFFFFFFF), np.uint64(32)
-ELEMENTS = 1 << 17
+#: Elements whose permutations are held at once.
+ELEMENTS = 1 << 15
 #: Pivots of a bucket in the first, second, ... round; the last count is used from there on.
 PIVOTS = (1, 32, 992)
 #: Of 128 one-bit slots, a pair at similarity 0.75 differs in 16 on average with deviation 3.7.
